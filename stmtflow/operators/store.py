@@ -17,9 +17,6 @@ from ..schemas import (
     DOCUMENT_TYPE_MAX_CHARS,
 )
 
-_LOW_BITS = (1 << 33) - 1
-
-
 def encode_line_items(items) -> Column:
     """List -> JSON text with item nulls kept; NULL or empty list -> NULL."""
     items = F.col(items) if isinstance(items, str) else items
@@ -73,26 +70,35 @@ def enforce_store_constraints(df: DataFrame, record_col: str = "record",
 
 
 def assign_ids(df: DataFrame, order_col: str = "doc_id", start: int | Column = 0,
-               id_col: str = "id") -> DataFrame:
+               id_col: str = "id", buckets: int | None = None) -> DataFrame:
     """Dense ids ``start+1 ..`` in ``order_col`` order (``order_col`` must be unique).
 
-    Range-partition and sort by the key, take ``monotonically_increasing_id`` (the
-    task's partition index in the high bits, the row's position in the low bits),
-    count rows per partition — a table with one row per partition, so its size is
-    bounded by the partition count and it is safe to broadcast — turn the counts into
-    offsets, and add. One shuffle (the range exchange, reused by both branches); no
-    single-partition window over the data and nothing collected.
+    Every step is a function of the key, not of partition layout, so recomputing
+    any part after a lost executor gives the same ids:
+    1. ``buckets - 1`` approximate quantiles of the key (a small array on the driver,
+       its size fixed by ``buckets``) cut the key range into balanced buckets;
+    2. rows per bucket -> a table of ``buckets`` rows -> running offsets (a window
+       over that small table; broadcast is safe, its size is bounded by ``buckets``);
+    3. ``row_number`` within each bucket (one shuffle by bucket; buckets are balanced
+       because the key is unique) plus the bucket's offset.
+    No unpartitioned window over the rows and nothing but the boundaries collected.
     """
-    ordered = df.repartitionByRange(F.col(order_col)).sortWithinPartitions(order_col)
-    tagged = ordered.withColumn("_mid", F.monotonically_increasing_id())
-    part = F.shiftright(F.col("_mid"), 33)
-    counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.approxQuantile(order_col, [i / n for i in range(1, n)], 0.001))) if n > 1 else []
+    key = F.col(order_col).cast("double")
+    bucket = F.lit(0)
+    for c in cuts:  # number of cut points below the key
+        bucket = bucket + (key > F.lit(c)).cast("int")
+    tagged = df.withColumn("_bucket", bucket.cast("int"))
+    counts = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     start_col = start if isinstance(start, Column) else F.lit(start)
-    joined = tagged.join(F.broadcast(offsets), part == F.col("_part"), "inner")
-    new_id = (start_col.cast("long") + F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1)
-    return joined.withColumn(id_col, new_id).drop("_mid", "_part", "_off")
+    rn = F.row_number().over(Window.partitionBy("_bucket").orderBy(order_col))
+    return (tagged.join(F.broadcast(offsets), "_bucket", "inner")
+                  .withColumn(id_col, start_col.cast("long") + F.col("_off") + rn)
+                  .drop("_bucket", "_off"))
 
 
 def ensure_bills_table(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:

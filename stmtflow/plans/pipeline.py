@@ -4,8 +4,8 @@ work items + documents -> status (guard, blank check, extraction result) -> rout
 success -> payload -> direct-store checks; failure -> review queue -> corrections ->
 corrected-store checks; everything else is counted, not stored. Both branches land
 in one table. All joins are keyed by ``doc_id``; with ``materialize`` the routed
-stage is checkpointed to the shared folder once, so the branches (and a costly
-extractor) do not recompute it.
+stage is written once to the shared checkpoint folder and read back, so the
+branches (and a costly extractor) do not recompute it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from ..operators.routing import (
 )
 from ..operators.store import constraint_error, table_rows
 from ..schemas import MODEL_MAX_RETRIES, STATUS_COMPLETED
-from ..session import checkpoint_root
+from ..session import materialize as materialize_stage
 
 
 @dataclass
@@ -66,8 +66,7 @@ def run_pipeline(documents: DataFrame, responses: DataFrame, corrections: DataFr
     results = extraction_results(responses, max_attempts)
     processed = document_status(documents.join(results, "doc_id", "left"))
     if materialize:
-        checkpoint_root(processed.sparkSession)
-        processed = processed.checkpoint(eager=True)
+        processed = materialize_stage(processed, "processed")
     routes = route_decision(processed)
 
     direct = build_storage_payload(routes["success"])

@@ -62,3 +62,12 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     if unique:
         tail = f"{tail}/{uuid.uuid4().hex}" if tail else uuid.uuid4().hex
     return f"{root}/stmtflow/{tail}" if tail else f"{root}/stmtflow"
+
+
+def materialize(df, name: str):
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder and read
+    it back. One computation, columnar, and it survives the loss of executors (the
+    folder is shared storage on a cluster); used before a plan branches."""
+    path = shared_path(df.sparkSession, "stages", name, unique=True)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
