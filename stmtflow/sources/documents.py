@@ -16,10 +16,8 @@ from ..schemas import DEFAULT_DOCUMENT_TYPE
 
 def read_text_documents(spark: SparkSession, path: str, path_glob: str | None = None) -> DataFrame:
     """One row per file: ``(document_path, text)``; each file is read whole."""
-    reader = spark.read.option("wholetext", "true")
-    if path_glob:
-        reader = reader.option("pathGlobFilter", path_glob)
-    df = reader.text(path)
+    # ``text()`` has its own ``wholetext`` default, so it is passed there, not as an option.
+    df = spark.read.text(path, wholetext=True, pathGlobFilter=path_glob)
     return df.select(F.col("_metadata.file_path").alias("document_path"), F.col("value").alias("text"))
 
 
