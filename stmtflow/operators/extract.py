@@ -127,19 +127,23 @@ def charges_section(text) -> Column:
     return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
 
 
-def charge_item_array(section) -> Column:
+def charges_heading(section) -> Column:
+    """Lower-cased heading of a charges section."""
+    return F.lower(F.regexp_extract(col_of(section), r"^#+[ \t]*([^\n]*?)[ \t]*\n", 1))
+
+
+def charge_item_array(section, heading=None) -> Column:
     """``array<struct<description, amount>>`` of a charges section (maybe empty).
 
     Rows whose description starts with "Total" or repeats the section heading are
-    subtotals, not items. The heading is computed once per document and zipped in,
-    so the per-item lambdas only touch the item itself.
+    subtotals, not items. Pass ``heading`` as a column computed beforehand so the
+    per-item lambda compares against a value instead of re-running a regex.
     """
     section = col_of(section)
-    heading = F.regexp_extract(section, r"^#+[ \t]*([^\n]*?)[ \t]*\n", 1)
+    head = col_of(heading) if heading is not None else charges_heading(section)
     descs = F.regexp_extract_all(section, F.lit(ITEM_ROW_RE), F.lit(1))
     amounts = F.regexp_extract_all(section, F.lit(ITEM_ROW_RE), F.lit(2))
     rows = F.arrays_zip(descs.alias("d"), amounts.alias("a"))
-    head = F.lower(heading)
     kept = F.filter(rows, lambda r: ~r["d"].rlike(ITEM_EXCLUDE_RE) & (F.lower(r["d"]) != head))
     return F.transform(kept, lambda r: F.struct(
         r["d"].alias("description"), parse_money(r["a"]).cast("double").alias("amount")))
@@ -152,10 +156,12 @@ def charge_items(text) -> Column:
 
 
 def _staged_items(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``_items``: the section regex and the item lambdas each run once per row."""
+    """Adds ``_items``; the section regex, the heading and the item lambdas each run
+    once per row (three projections Catalyst keeps apart)."""
     return (df.withColumn("_sec", charges_section(F.col(text_col)))
-              .withColumn("_items", charge_item_array(F.col("_sec")))
-              .drop("_sec"))
+              .withColumn("_head", charges_heading(F.col("_sec")))
+              .withColumn("_items", charge_item_array(F.col("_sec"), F.col("_head")))
+              .drop("_sec", "_head"))
 
 
 def line_items(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
