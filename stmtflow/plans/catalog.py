@@ -51,6 +51,12 @@ def flag(c: Column) -> Column:
     return F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("long")
 
 
+def n_elements(c) -> Column:
+    """Element count with NULL as 0, whatever ``spark.sql.legacy.sizeOfNull`` says."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
+
+
 # ---------------------------------------------------------------- shared Spark inputs
 
 def _pipeline_docs(spark, sf):
@@ -258,7 +264,7 @@ def q_extract_bills(spark, sf):
         ds("billing_period_end_date").alias("billing_period_end_date"),
         ds("due_date").alias("due_date"),
         "total_amount_due", "previous_balance", "payments_received", "current_charges",
-        as_long(F.coalesce(F.size("line_items"), F.lit(0))).alias("n_items"),
+        n_elements("line_items").alias("n_items"),
         _items_sum(F.col("line_items")).alias("items_sum"))
 
 
@@ -304,7 +310,7 @@ def q_validate_response(spark, sf):
         F.col("record.account_number").alias("account_number"),
         ds("record.billing_date").alias("billing_date"),
         F.col("record.total_amount_due").alias("total_amount_due"),
-        as_long(F.when(valid, F.coalesce(F.size("record.line_items"), F.lit(0)))).alias("n_items"))
+        F.when(valid, n_elements("record.line_items")).alias("n_items"))
 
 
 def q_first_valid_attempt(spark, sf):
