@@ -201,3 +201,11 @@ def extract_bills(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     staged = _staged_items(df.select(F.col(id_col), *[F.col(k) for k in keep],
                                      F.col(text_col).alias("_text")), "_text")
     return staged.select(id_col, *keep, *_record_fields(F.col("_text"), F.col("_items"), rules, schema))
+
+
+def extract_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    keep: tuple[str, ...] = (), rules=BILL_RULES, schema=BILL_RECORD,
+                    record_col: str = "record") -> DataFrame:
+    """Like ``extract_bills`` but with the fields packed into one ``record`` struct."""
+    flat = extract_bills(df, id_col, text_col, keep=keep, rules=rules, schema=schema)
+    return flat.select(id_col, *keep, F.struct(*[F.col(n) for n in schema.names]).alias(record_col))

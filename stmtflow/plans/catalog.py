@@ -108,7 +108,7 @@ def q_bills_table(spark, sf):
     path = shared_path(spark, "tables", "bills", unique=True)
     empty = ensure_bills_table(spark, path)
     st = fx.statements(spark, sf).withColumn("document_type", F.lit(fx.DEFAULT_DOCUMENT_TYPE))
-    records = st.select("doc_id", "text", "document_type", ex.extract_record(F.col("text")).alias("record"))
+    records = ex.extract_records(st, keep=("text", "document_type"))
     rows = table_rows(records, "record", "text", "document_type")
     conformed = empty.drop("id", "created_at").withColumn("doc_id", F.lit(None).cast("long")).unionByName(rows)
     return _bill_columns(conformed)
@@ -124,7 +124,7 @@ def q_append_bills(spark, sf):
 
 def q_export_records_json(spark, sf):
     st = fx.statements(spark, sf)
-    recs = st.select("doc_id", ex.extract_record(F.col("text")).alias("record"))
+    recs = ex.extract_records(st)
     js = export_records_json(recs)
     return js.select(
         "doc_id",

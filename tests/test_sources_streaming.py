@@ -58,3 +58,27 @@ def test_work_item_fixture_parse(spark, sf_small):
     parsed = parse_workitems(fx.mixed_work_items(spark, sf_small))
     counts = {r.document_type_hint: r["count"] for r in parsed.groupBy("document_type_hint").count().collect()}
     assert None in counts and "GENERIC_INVOICE" in counts
+
+
+def test_stream_corrections_with_watermark(spark):
+    from stmtflow.streaming.pipeline import stream_corrections
+
+    base = shared_path(spark, "test", "wm", unique=True)
+    queue = spark.createDataFrame(
+        [(1, "t", "PSEG_BILL", "p1", "2024-01-01 00:00:00"), (2, "t", "PSEG_BILL", "p2", "2024-01-01 00:00:00")],
+        "doc_id long, full_ocr_text string, document_type_hint string, original_document_path string, ts string",
+    ).withColumn("arrived_at", F.to_timestamp("ts")).drop("ts")
+    corr = spark.createDataFrame(
+        [(1, '{"account_number": "A"}', "2024-01-02 00:00:00"), (2, '{}', "2024-03-01 00:00:00")],
+        "doc_id long, corrected string, ts string").withColumn("arrived_at", F.to_timestamp("ts")).drop("ts")
+    queue.write.parquet(f"{base}/q")
+    corr.write.parquet(f"{base}/c")
+    qs = spark.readStream.schema(queue.schema).parquet(f"{base}/q")
+    cs = spark.readStream.schema(corr.schema).parquet(f"{base}/c")
+    joined = stream_corrections(qs, cs, wait_for="7 days")
+    q = (joined.writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = {r.doc_id: r for r in spark.read.parquet(f"{base}/out").collect()}
+    # doc 2's correction came after the wait limit, so only doc 1 joins
+    assert set(out) == {1} and out[1].record.account_number == "A"
