@@ -35,8 +35,14 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``orders`` on the same key; the customer join goes through AQE, which broadcasts
     ``customer`` only when its runtime size is under the broadcast threshold.
     """
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("d"))
+    # Hash-partition the (narrow) order rows by key: the lineitem aggregate is
+    # partitioned the same way, and the per-document work downstream (rendering,
+    # extraction, validation) is CPU-heavy per byte, so it should not inherit the
+    # partitioning of a few large input files.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = (table(spark, sf_dir, "orders")
+              .select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("d"))
+              .repartition(parts, "o_orderkey"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     items = (table(spark, sf_dir, "lineitem")
              .groupBy("l_orderkey")
