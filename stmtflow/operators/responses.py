@@ -8,6 +8,7 @@ record schema with native expressions.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,6 +22,13 @@ from ..schemas import BILL_RECORD, INVOICE_RECORD, MODEL_MAX_RETRIES, RecordSche
 RESPONSE_SCHEMA = "doc_id long, attempt int, response string, error string"
 
 
+def _is_json_object(text) -> bool:
+    try:
+        return isinstance(json.loads(text), dict)
+    except (TypeError, ValueError):
+        return False
+
+
 def model_extract(df: DataFrame, make_extractor: Callable[[], Callable[[str], str | None]],
                   id_col: str = "doc_id", text_col: str = "text", attempts: int = 1) -> DataFrame:
     """Run a black-box extractor over documents: ``(doc_id, attempt, response, error)``.
@@ -29,8 +37,10 @@ def model_extract(df: DataFrame, make_extractor: Callable[[], Callable[[str], st
     partition, not per row) and returns ``fn(text) -> json_text``. Blank documents
     are filtered natively *before* the Python stage, since Catalyst cannot push
     predicates through ``mapInPandas``. An exception becomes an ``error`` value for
-    that document only; other documents go on. ``attempts`` calls the extractor up
-    to that many times per document, each call a row (see ``first_valid_attempt``).
+    that document only; other documents go on. With ``attempts > 1`` the extractor
+    is called again only while it raises or answers with something that is not a
+    JSON object (a cheap pre-check; the strict validation stays native), each call a
+    row (see ``first_valid_attempt``).
     """
     todo = df.where(~is_blank(F.col(text_col))).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -49,6 +59,8 @@ def model_extract(df: DataFrame, make_extractor: Callable[[], Callable[[str], st
                     out["attempt"].append(attempt)
                     out["response"].append(response)
                     out["error"].append(error)
+                    if error is None and _is_json_object(response):
+                        break
             yield pd.DataFrame(out)
 
     return todo.mapInPandas(run, RESPONSE_SCHEMA)

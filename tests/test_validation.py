@@ -93,3 +93,31 @@ def test_first_valid_attempt(spark):
     assert best == {1: (2, "B"), 2: (1, "A")}  # doc 3's only valid attempt is beyond the limit
     best3 = {r.doc_id: r.attempt for r in first_valid_attempt(v, max_attempts=3).collect()}
     assert best3[3] == 3
+
+
+def test_model_extract_retries_only_on_failure(spark):
+    from stmtflow.operators.responses import model_extract
+
+    def make():
+        calls = {}
+
+        def fn(text):
+            calls[text] = calls.get(text, 0) + 1
+            if text == "boom":
+                raise ValueError("down")
+            if text == "flaky" and calls[text] == 1:
+                return "not json"
+            return '{"account_number": "%s"}' % text
+
+        return fn
+
+    docs = spark.createDataFrame([(1, "ok"), (2, "flaky"), (3, "boom"), (4, "  ")], "doc_id long, text string")
+    rows = model_extract(docs, make, attempts=3).collect()
+    per_doc = {}
+    for r in rows:
+        per_doc.setdefault(r.doc_id, []).append(r)
+    assert len(per_doc[1]) == 1 and len(per_doc[2]) == 2 and len(per_doc[3]) == 3
+    assert 4 not in per_doc  # blank documents never reach the extractor
+    assert per_doc[3][0].error == "ValueError: down"
+    best = first_valid_attempt(validate_response(model_extract(docs, make, attempts=3))).collect()
+    assert {(r.doc_id, r.attempt) for r in best} == {(1, 1), (2, 2)}
