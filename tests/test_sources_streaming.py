@@ -82,3 +82,21 @@ def test_stream_corrections_with_watermark(spark):
     out = {r.doc_id: r for r in spark.read.parquet(f"{base}/out").collect()}
     # doc 2's correction came after the wait limit, so only doc 1 joins
     assert set(out) == {1} and out[1].record.account_number == "A"
+
+
+def test_bucketed_inputs_join_without_exchange(spark, sf_small):
+    from stmtflow.plans.pipeline import extraction_results
+    from stmtflow.sources.tables import write_bucketed
+
+    docs = write_bucketed(cat._pipeline_docs(spark, sf_small), "t_docs", shared_path(spark, "t", "docs", unique=True), 8)
+    resp = write_bucketed(fx.responses(spark, sf_small), "t_resp", shared_path(spark, "t", "resp", unique=True), 8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the shuffle-join path
+    try:
+        joined = docs.join(extraction_results(resp), "doc_id", "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan, plan
+        assert "SortMergeJoin" in plan
+        assert joined.count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
