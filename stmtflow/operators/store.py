@@ -76,7 +76,8 @@ def assign_ids(df: DataFrame, order_col: str = "doc_id", start: int | Column = 0
     Every step is a function of the key, not of partition layout, so recomputing
     any part after a lost executor gives the same ids:
     1. ``buckets - 1`` approximate quantiles of the key (a small array on the driver,
-       its size fixed by ``buckets``) cut the key range into balanced buckets;
+       its size fixed by ``buckets``) cut the key range into balanced buckets,
+       found per row by binary search (``Bucketizer``);
     2. rows per bucket -> a table of ``buckets`` rows -> running offsets (a window
        over that small table; broadcast is safe, its size is bounded by ``buckets``);
     3. ``row_number`` within each bucket (one shuffle by bucket; buckets are balanced
@@ -86,11 +87,16 @@ def assign_ids(df: DataFrame, order_col: str = "doc_id", start: int | Column = 0
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(df.approxQuantile(order_col, [i / n for i in range(1, n)], 0.001))) if n > 1 else []
-    key = F.col(order_col).cast("double")
-    bucket = F.lit(0)
-    for c in cuts:  # number of cut points below the key
-        bucket = bucket + (key > F.lit(c)).cast("int")
-    tagged = df.withColumn("_bucket", bucket.cast("int"))
+    if cuts:
+        # Binary search over the cut points, in the JVM (Bucketizer), per row.
+        from pyspark.ml.feature import Bucketizer
+
+        keyed = df.withColumn("_key", F.col(order_col).cast("double"))
+        splits = [float("-inf"), *cuts, float("inf")]
+        tagged = (Bucketizer(splits=splits, inputCol="_key", outputCol="_b").transform(keyed)
+                  .withColumn("_bucket", F.col("_b").cast("int")).drop("_key", "_b"))
+    else:
+        tagged = df.withColumn("_bucket", F.lit(0))
     counts = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(
         Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
