@@ -26,7 +26,7 @@ from ..operators.routing import document_status, route_decision
 from ..operators.store import assign_ids
 from ..plans.pipeline import extraction_results
 from ..schemas import BILLS_TABLE
-from ..session import shared_path
+from ..session import materialize, shared_path
 
 STREAM_BILLS = T.StructType(BILLS_TABLE.fields + [T.StructField("batch_id", T.LongType(), True)])
 
@@ -43,9 +43,12 @@ def stream_ingest(spark: SparkSession, docs_path: str, docs_schema: T.StructType
                   processing_time: str | None = None):
     """Start the ingest stream; returns the ``StreamingQuery``.
 
-    ``results`` is the static ``(doc_id, record, extract_error)`` frame. Each batch
-    writes ``out_path/branch=<success|failure|unrouted>/batch_id=<n>`` (overwrite,
-    so a replayed batch replaces itself).
+    ``results`` is the static ``(doc_id, record, extract_error)`` frame. A stream-static
+    join re-reads the static side for every micro-batch, so pass a stored table
+    (``session.materialize`` or a bucketed table), not a plan that validates all
+    responses again each time. Each batch writes
+    ``out_path/branch=<success|failure|unrouted>/batch_id=<n>`` (overwrite, so a
+    replayed batch replaces itself).
     """
     docs = (spark.readStream.schema(docs_schema).option("maxFilesPerTrigger", max_files_per_trigger)
             .parquet(docs_path))
@@ -64,8 +67,8 @@ def stream_ingest(spark: SparkSession, docs_path: str, docs_schema: T.StructType
 def stream_ingest_once(spark: SparkSession, docs: DataFrame, responses: DataFrame) -> DataFrame:
     base = shared_path(spark, "streams", "ingest", unique=True)
     schema = _materialize(docs, f"{base}/in")
-    q = stream_ingest(spark, f"{base}/in", schema, extraction_results(responses), f"{base}/out",
-                      f"{base}/checkpoint")
+    results = materialize(extraction_results(responses), "stream_results")
+    q = stream_ingest(spark, f"{base}/in", schema, results, f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
     return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
 
