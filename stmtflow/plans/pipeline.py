@@ -87,3 +87,18 @@ def run_pipeline(documents: DataFrame, responses: DataFrame, corrections: DataFr
     stored = stored_direct.unionByName(stored_corrected)
     return PipelineRun(processed, routes["success"], routes["failure"], routes["unrouted"],
                        direct, queue, corrected, pending, stored)
+
+
+def extract_files(spark, path: str, path_glob: str | None = "*.md") -> DataFrame:
+    """Markdown files -> one indented JSON record per file: ``(document_path, json)``.
+
+    Whole-file read, rule extraction, JSON export; the batch form of running the
+    extractor over single files from the command line.
+    """
+    from ..operators.extract import extract_records
+    from ..operators.store import export_records_json
+    from ..sources.documents import read_text_documents
+
+    docs = read_text_documents(spark, path, path_glob=path_glob)
+    records = extract_records(docs, id_col="document_path")
+    return export_records_json(records, id_col="document_path")

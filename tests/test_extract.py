@@ -116,3 +116,16 @@ def test_line_items_flat(spark):
     items = ex.line_items(df).orderBy("item").collect()
     assert [i.item for i in items] == [1, 2, 3, 4]
     assert items[0].description == "Gas charges - utility"
+
+
+def test_extract_files_to_json(spark, tmp_path):
+    import json
+
+    from stmtflow.plans.pipeline import extract_files
+
+    (tmp_path / "bill.md").write_text(STATEMENT, encoding="utf-8")
+    (tmp_path / "empty.md").write_text("", encoding="utf-8")
+    out = {r.document_path.rsplit("/", 1)[-1]: json.loads(r.json) for r in extract_files(spark, str(tmp_path)).collect()}
+    assert out["bill.md"]["due_date"] == "2018-03-07" and out["bill.md"]["total_amount_due"] == 138.73
+    assert len(out["bill.md"]["line_items"]) == 4
+    assert "empty.md" not in out  # an empty file yields no row from the whole-text reader
