@@ -48,8 +48,10 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
              .groupBy("l_orderkey")
              .agg(F.array_sort(F.collect_list(F.struct(
                  "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).alias("items")))
-    return (orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
-                  .join(items, orders.o_orderkey == items.l_orderkey, "left")
+    # Line items first: both sides are hash-partitioned by order key, so that join
+    # needs no further exchange; the customer dimension comes second.
+    return (orders.join(items, orders.o_orderkey == items.l_orderkey, "left")
+                  .join(customer, orders.o_custkey == customer.c_custkey, "left")
                   .drop("c_custkey", "l_orderkey"))
 
 
