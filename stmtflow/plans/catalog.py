@@ -23,7 +23,7 @@ from ..operators.responses import first_valid_attempt, model_extract, validate_i
 from ..operators.review import apply_corrections, pending_reviews
 from ..operators.routing import (
     build_storage_payload, capture_errors, document_status, guard_required_path, process_log,
-    review_queue, route_decision, task_log, workflow_output,
+    route_decision, task_log, workflow_output,
 )
 from ..operators.stages import default_registry
 from ..operators.store import (

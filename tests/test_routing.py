@@ -1,9 +1,8 @@
 from pyspark.sql import functions as F
 
-from stmtflow.operators.responses import validate_response
 from stmtflow.operators.review import apply_corrections, pending_reviews
 from stmtflow.operators.routing import (
-    document_status, guard_required_path, route_decision, task_log, process_log, validate_corrected,
+    guard_required_path, route_decision, task_log, process_log, validate_corrected,
 )
 from stmtflow.plans.pipeline import run_pipeline
 from stmtflow.schemas import MSG_NO_CONTENT, MSG_NO_PATH
