@@ -66,7 +66,8 @@ def run_pipeline(documents: DataFrame, responses: DataFrame, corrections: DataFr
     results = extraction_results(responses, max_attempts)
     processed = document_status(documents.join(results, "doc_id", "left"))
     if materialize:
-        processed = materialize_stage(processed, "processed")
+        # Bucketed by doc_id: the review, pending and output joins leave it in place.
+        processed = materialize_stage(processed, "processed", bucket_by="doc_id")
     routes = route_decision(processed)
 
     direct = build_storage_payload(routes["success"])

@@ -64,10 +64,21 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     return f"{root}/stmtflow/{tail}" if tail else f"{root}/stmtflow"
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, bucket_by: str | None = None, buckets: int | None = None):
     """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder and read
     it back. One computation, columnar, and it survives the loss of executors (the
-    folder is shared storage on a cluster); used before a plan branches."""
-    path = shared_path(df.sparkSession, "stages", name, unique=True)
+    folder is shared storage on a cluster); used before a plan branches.
+
+    With ``bucket_by`` the copy is a table bucketed on that key (``buckets`` defaults
+    to ``spark.sql.shuffle.partitions``), so later joins on the key do not shuffle it.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "stages", name, unique=True)
+    if bucket_by:
+        from .sources.tables import write_bucketed
+
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"stmtflow_{name}_{path.rsplit('/', 1)[-1]}"
+        return write_bucketed(df, table, path, n, bucket_by)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
