@@ -23,7 +23,7 @@ from ..operators.responses import first_valid_attempt, model_extract, validate_i
 from ..operators.review import apply_corrections, pending_reviews
 from ..operators.routing import (
     build_storage_payload, capture_errors, document_status, guard_required_path, process_log,
-    route_decision, task_log, workflow_output,
+    route_decision, store_log, task_log, workflow_output,
 )
 from ..operators.stages import default_registry
 from ..operators.store import (
@@ -378,8 +378,12 @@ def q_capture_errors(spark, sf):
 
 
 def q_task_log(spark, sf):
-    processed = _run(spark, sf).processed
-    logs = task_log(processed, "process_document", process_log())
+    run = _run(spark, sf)
+    ids = assign_ids(run.stored.select("doc_id"), "doc_id")
+    logs = (task_log(run.processed, "process_document", process_log())
+            .unionByName(task_log(run.direct.join(ids, "doc_id", "left"), "store_document_data", store_log(True)))
+            .unionByName(task_log(run.corrected.join(ids, "doc_id", "left"), "process_human_corrected_data",
+                                  store_log(False))))
     return logs.select("doc_id", "task", as_long("seq").alias("seq"), "entry")
 
 

@@ -313,12 +313,24 @@ SQL["capture_errors"] = _w("""
 SELECT doc_id, 'FAILED' AS status, 'PIPELINE_ERROR' AS route, 'Critical error: ValueError: no charges table' AS reason
 FROM oc WHERE k <> 9 AND n_items = 0""")
 
-SQL["task_log"] = _w(f"""
+SQL["task_log"] = _w(f""", {STORED.strip()},
+ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS id FROM stored)
 SELECT doc_id, 'process_document' AS task, 1::BIGINT AS seq,
   CASE WHEN k = 9 THEN 'Parsing failed or no content for ' || {PATH} || '.'
        WHEN {FAILURE} THEN 'Processed ' || {PATH} || ', extraction failed. Sent for human review.'
        ELSE 'Processed ' || {PATH} || ', extraction successful.' END AS entry
-FROM o""")
+FROM o
+UNION ALL
+SELECT doc_id, 'store_document_data', 1::BIGINT,
+  CASE WHEN {DIRECT_REFUSED} THEN 'DB insertion failed.'
+       ELSE 'Data stored with ID: ' || CAST(ids.id AS VARCHAR) END
+FROM o LEFT JOIN ids USING (doc_id) WHERE {SUCCESS}
+UNION ALL
+SELECT doc_id, 'process_human_corrected_data', 1::BIGINT,
+  CASE WHEN r = 3 THEN {lit(MSG_CORRECTION_MISSING)} WHEN r = 2 THEN {lit(RECORD_INVALID)}
+       WHEN {CORRECTED_REFUSED} THEN 'DB insertion (human corrected) failed.'
+       ELSE 'Human corrected data stored with ID: ' || CAST(ids.id AS VARCHAR) END
+FROM o LEFT JOIN ids USING (doc_id) WHERE {FAILURE} AND r <> 0""")
 
 SQL["apply_corrections"] = _w(f"""
 SELECT doc_id, CASE WHEN r = 3 THEN 1 ELSE 0 END::BIGINT AS correction_missing,
