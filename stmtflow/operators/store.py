@@ -83,6 +83,8 @@ def assign_ids(df: DataFrame, order_col: str = "doc_id", start: int | Column = 0
     3. ``row_number`` within each bucket (one shuffle by bucket; buckets are balanced
        because the key is unique) plus the bucket's offset.
     No unpartitioned window over the rows and nothing but the boundaries collected.
+    The input is read three times (quantiles, counts, ids): materialize a costly one
+    first (``session.materialize``).
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))

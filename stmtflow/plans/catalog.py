@@ -29,7 +29,7 @@ from ..operators.stages import default_registry
 from ..operators.store import (
     append_rows, assign_ids, ensure_bills_table, export_records_json, table_rows,
 )
-from ..session import shared_path
+from ..session import materialize, shared_path
 from ..sources.documents import parse_workitems, read_text_table
 from . import fixtures as fx
 from .pipeline import join_documents, run_pipeline
@@ -379,7 +379,7 @@ def q_capture_errors(spark, sf):
 
 def q_task_log(spark, sf):
     run = _run(spark, sf)
-    ids = assign_ids(run.stored.select("doc_id"), "doc_id")
+    ids = assign_ids(materialize(run.stored.select("doc_id"), "stored_keys"), "doc_id")
     logs = (task_log(run.processed, "process_document", process_log())
             .unionByName(task_log(run.direct.join(ids, "doc_id", "left"), "store_document_data", store_log(True)))
             .unionByName(task_log(run.corrected.join(ids, "doc_id", "left"), "process_human_corrected_data",
@@ -389,7 +389,7 @@ def q_task_log(spark, sf):
 
 def q_workflow_output(spark, sf):
     run = _run(spark, sf)
-    ids = assign_ids(run.stored.select("doc_id"), "doc_id")
+    ids = assign_ids(materialize(run.stored.select("doc_id"), "stored_keys"), "doc_id")
     direct = run.direct.join(ids, "doc_id", "left")
     corrected = run.corrected.join(ids, "doc_id", "left")
     out = workflow_output(run.processed, run.processed, direct, corrected)
