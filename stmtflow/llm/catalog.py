@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, pii_spans, quality_ledger, token_counts, topk_search, toxicity
+from . import (html_main, language_id, mixing, packing, pii_spans, quality_ledger, token_counts, topk_search,
+               toxicity)
 from .common import id_remainder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), starting, continuing)
 
 
+def op3_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii_spans.find(docs, pii_spans.fit(docs))
@@ -31,6 +36,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        quality_ledger.passes("standard-1").alias("kept"), "failed")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -52,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out), held_out)
 
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op4_pii, op5_quality_rules, op7_mixing, op8_topk_search,
+QUERIES = {q.__name__: q for q in (op1_token_counts, op3_html_main, op4_pii, op5_quality_rules, op6_packing, op7_mixing, op8_topk_search,
                                      op9_language_id, op10_toxicity)}
 
 # A word is a maximal run without white space (space, tab to carriage return).
