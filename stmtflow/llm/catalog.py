@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (html_main, language_id, mixing, packing, pii_spans, quality_ledger, token_counts, topk_search,
+from . import (html_main, language_id, mixing, ngram_join, packing, pii_spans, quality_ledger, token_counts, topk_search,
                toxicity)
 from .common import id_remainder, table
 
@@ -20,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), starting, continuing)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
@@ -63,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out), held_out)
 
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op3_html_main, op4_pii, op5_quality_rules, op6_packing, op7_mixing, op8_topk_search,
+QUERIES = {q.__name__: q for q in (op1_token_counts, op2_ngram_join, op3_html_main, op4_pii, op5_quality_rules, op6_packing, op7_mixing, op8_topk_search,
                                      op9_language_id, op10_toxicity)}
 
 # A word is a maximal run without white space (space, tab to carriage return).
