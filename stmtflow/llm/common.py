@@ -39,3 +39,9 @@ def word_count(text: Column) -> Column:
     non-space run shrinks to one mark the marks are counted.
     """
     return F.length(F.regexp_replace(F.regexp_replace(text, WORD_PATTERN, "x"), r"[^x]+", "")).cast("bigint")
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Whole rows as one struct ``row`` beside working columns, whose names then clash with none of theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       *[column.alias(name) for name, column in columns.items()])

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text, word_count
+from .common import cut, packed, whole_text, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -156,11 +156,11 @@ def mix_sizes(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     per = mixed_units(docs, **options).filter("copies > 0").select(
-        *[F.col(c).alias(f"_mix_{c}") for c in UNIT_KEYS], F.col("copies").alias("_mix_copies"))
-    keyed = docs.withColumns({"_mix_n": word_count(whole_text()), "_mix_t": F.xxhash64(whole_text())})
-    same = (F.col("doc_id").cast("bigint").eqNullSafe(F.col("_mix_doc_id"))
-            & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
-            & (F.col("_mix_n") == F.col("_mix_size")) & (F.col("_mix_t") == F.col("_mix_text_key")))
-    return (keyed.join(per, same)
-            .withColumn("_mix_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_copies"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+        *[F.col(c).alias(f"unit_{c}") for c in UNIT_KEYS], "copies")
+    rows = packed(docs, doc_id=F.col("doc_id").cast("bigint"), source=F.col("source").cast("string"),
+                  size=word_count(whole_text()), text_key=F.xxhash64(whole_text()))
+    same = F.lit(True)
+    for c in UNIT_KEYS:
+        same = same & F.col(c).eqNullSafe(F.col(f"unit_{c}"))
+    return (rows.join(per, same).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+            .select("row.*"))

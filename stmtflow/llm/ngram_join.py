@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, whole_text
+from .common import WORD_PATTERN, cut, packed, whole_text
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -315,7 +315,8 @@ def path_edges(reps: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.unhex(F.md5(whole_text())))
+    """key (digest of the text), doc_id, text."""
+    return docs.select(F.unhex(F.md5(whole_text())).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -323,7 +324,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     ``links`` counts the documents with another text that are similar to this one.
     """
-    rows = keyed(docs).select(F.col("_key").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+    rows = keyed(docs)
     sketched = rows.select("key", "text").mapInArrow(_sketches, "key binary, size int, sketch binary")
     reps = cut(sketched.groupBy("key").agg(F.max("size").alias("size"), F.max("sketch").alias("sketch")))
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"))
@@ -349,7 +350,7 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id (smallest id of its group), n_links (other documents similar or equal to it), n_copies."""
     per = cut(classes(docs))
     groups = per.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    return (keyed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_key").alias("key"))
+    return (keyed(docs).select("doc_id", "key")
             .join(per.join(groups, "comp"), "key")
             .select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")))
 
@@ -360,12 +361,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     groups = per.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("kept"), F.count(F.lit(1)).alias("texts"))
     # Only groups of several rows decide anything; the others stay without being looked up.
     special = cut(per.join(groups, "comp").filter("texts > 1 OR copies > 1").select(
-        F.col("key").alias("_of"), (F.col("key") == F.col("kept.key")).alias("_kept"), F.col("rep").alias("_rep"), F.col("copies").alias("_copies")))
+        F.col("key").alias("of"), (F.col("key") == F.col("kept.key")).alias("stays"), "rep", "copies"))
     special = F.broadcast(special) if special.count() <= BROADCAST_ROWS else special
-    rows = keyed(docs).join(special, F.col("_key") == F.col("_of"), "left")
-    stay = F.col("_of").isNull() | (F.col("_kept") & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_rep")))
-    rows = rows.filter(stay)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    single = rows.filter(F.coalesce(F.col("_copies"), F.lit(1)) == 1).select(*names)
+    rows = packed(docs, key=F.unhex(F.md5(whole_text())), doc_id=F.col("doc_id").cast("bigint"))
+    rows = rows.join(special, F.col("key") == F.col("of"), "left")
+    rows = rows.filter(F.col("of").isNull() | (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("rep"))))
     # Copies may repeat the very row that stays.
-    return single.unionByName(rows.filter("_copies > 1").dropDuplicates(["_key"]).select(*names))
+    copied = rows.filter("copies > 1").dropDuplicates(["key"])
+    return rows.filter(F.coalesce("copies", F.lit(1)) == 1).unionByName(copied).select("row.*")

@@ -31,8 +31,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, whole_text
+from .common import cut, packed, whole_text
 
 WORD = re.compile(r"\w+")
 RESULT = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<bigint>"
@@ -224,7 +225,6 @@ def _scored(rows: DataFrame, index: Index | None, schema, keep: int) -> DataFram
 
 def clean_documents(docs: DataFrame, index: Index | None) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(row.alias("row"), whole_text().alias("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, score double, predicted int, evidence array<bigint>"
-    return _scored(packed, index, schema, keep=1).filter("predicted = 0").select("row.*")
+    rows = packed(docs, text=whole_text())
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("score double, predicted int, evidence array<bigint>").fields])
+    return _scored(rows, index, schema, keep=1).filter("predicted = 0").select("row.*")
