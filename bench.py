@@ -32,7 +32,7 @@ def main() -> None:
     from stmtflow.operators.extract import extract_bills
     from stmtflow.plans import fixtures as fx
     from stmtflow.plans.catalog import QUERIES
-    from stmtflow.session import get_spark, materialize
+    from stmtflow.session import get_spark, materialize, shared_path
 
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up
@@ -50,7 +50,7 @@ def main() -> None:
         setup = time.time() - t
         times[name] = round(setup + run(df), 3)
 
-    statements = materialize(fx.statements(spark, sf_dir), "bench_statements")
+    statements = materialize(fx.statements(spark, sf_dir), shared_path(spark, "bench", unique=True))
     n_docs = statements.count()
     run(extract_bills(statements))  # warm
     times["extract_only"] = round(run(extract_bills(statements)), 3)

@@ -8,7 +8,7 @@ ignored. Every expression is native; nothing runs in Python per row.
 
 Error codes follow the usual validation vocabulary: ``json_invalid``, ``model_type``,
 ``string_type``, ``float_type``, ``float_parsing``, ``date_type``,
-``date_from_datetime_parsing``, ``date_from_datetime_inexact``, ``list_type``.
+``date_parsing`` (year 0), ``date_from_datetime_parsing``, ``date_from_datetime_inexact``, ``list_type``.
 """
 
 from __future__ import annotations
@@ -21,10 +21,16 @@ from pyspark.sql import functions as F
 from ..schemas import DATE, FLOAT, STRING, ListOf, RecordSchema
 from .text import col_of
 
-FLOAT_STRING_RE = r"(?i)^\s*[+-]?((\d+(_\d+)*\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf(inity)?)\s*$"
-ISO_DATE_RE = r"^\d{4}-\d{2}-\d{2}([T ]00:00(:00(\.0+)?)?(Z)?)?$"
-ISO_DATETIME_RE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
-EPOCH_STRING_RE = r"^\s*-?\d+\s*$"
+# No repeated groups: text of any length is matched by loops, not by recursion.
+JSON_SPACE = r"\t\n\x0b\x0c\r \x85\p{Z}"
+FLOAT_STRING_RE = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf|infinity)$"
+ISO_DATE_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_ZONE = r"(?:[Zz]|[+\-\u2212](?:[01][0-9]|2[0-3]):?[0-5][0-9])?$"
+ISO_MIDNIGHT_RE = ISO_DATE_RE + r"(?:$|[Tt _]00:00(?::00(?:[.,]0+)?)?" + _ZONE + ")"
+ISO_DATETIME_RE = ISO_DATE_RE + r"[Tt _](?:[01][0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:[.,][0-9]+)?)?" + _ZONE
+EPOCH_STRING_RE = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"
+# Seconds of the first and the last day that a date can hold (years 1 to 9999).
+EPOCH_FIRST, EPOCH_LAST = -62_135_596_800.0, 253_402_300_799.0
 # Numbers above this magnitude are epoch milliseconds, below it epoch seconds.
 EPOCH_MS_THRESHOLD = 2e10
 NUMERIC_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
@@ -53,39 +59,40 @@ def _check_string(x: Column, t: Column):
 
 
 def _check_float(x: Column, t: Column):
-    s = _as(x, "string")
-    str_ok = (t == "STRING") & s.rlike(FLOAT_STRING_RE)
+    s = F.regexp_replace(_as(x, "string"), rf"^[{JSON_SPACE}]+|[{JSON_SPACE}]+$", "")
+    digits = F.translate(s, "_", "")  # single underscores inside the number are ignored
+    str_ok = (t == "STRING") & ~(s.startswith("_") | s.endswith("_") | s.contains("__")) & digits.rlike(FLOAT_STRING_RE)
     err = (F.when(_absent(t) | _is_numeric(t) | (t == "BOOLEAN") | str_ok, F.lit(None).cast("string"))
            .when(t == "STRING", F.lit("float_parsing"))
            .otherwise(F.lit("float_type")))
     value = (F.when(t == "BOOLEAN", F.when(_as(x, "boolean"), F.lit(1.0)).otherwise(F.lit(0.0)))
              .when(_is_numeric(t), _as(x, "double"))
-             .when(str_ok, F.regexp_replace(s, r"^\s+|\s+$|_", "").try_cast("double")))
+             .when(str_ok, F.regexp_replace(digits, r"(?i)^[+-](?=nan$)", "").try_cast("double")))
     return err, value
 
 
 def _epoch_date(n: Column):
-    """(is_midnight, date) for epoch seconds, or milliseconds above the threshold."""
-    unit = F.when(F.abs(n) > F.lit(EPOCH_MS_THRESHOLD), F.lit(86_400_000.0)).otherwise(F.lit(86_400.0))
-    finite = ~F.isnan(n) & (F.abs(n) < F.lit(float("inf")))
-    exact = finite & ((n % unit) == 0)
-    return exact, F.when(exact, F.date_from_unix_date((n / unit).cast("int")))
+    """(in range, is midnight, date) for epoch seconds, or milliseconds above the threshold."""
+    seconds = F.when(F.abs(n) > F.lit(EPOCH_MS_THRESHOLD), n / F.lit(1000.0)).otherwise(n)
+    known = F.coalesce(~F.isnan(n) & seconds.between(EPOCH_FIRST, EPOCH_LAST), F.lit(False))
+    exact = known & ((seconds % F.lit(86_400.0)) == 0)
+    return known, exact, F.when(exact, F.date_from_unix_date((seconds / 86_400.0).cast("int")))
 
 
 def _check_date(x: Column, t: Column):
     s = _as(x, "string")
-    day = F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd")
     is_str = t == "STRING"
-    iso_ok = is_str & s.rlike(ISO_DATE_RE) & day.isNotNull()
+    year_zero = is_str & s.rlike(r"^0000-[0-9]{2}-[0-9]{2}$")
+    day = F.when(~s.startswith("0000"), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
+    iso_ok = is_str & s.rlike(ISO_MIDNIGHT_RE) & day.isNotNull()
     iso_inexact = is_str & s.rlike(ISO_DATETIME_RE) & day.isNotNull() & ~iso_ok
     epoch_str = is_str & s.rlike(EPOCH_STRING_RE)
-    n = F.when(_is_numeric(t), _as(x, "double")).when(epoch_str, F.trim(s).try_cast("double"))
-    exact, epoch_day = _epoch_date(n)
+    n = F.when(_is_numeric(t), _as(x, "double")).when(epoch_str, s.try_cast("double"))
+    known, exact, epoch_day = _epoch_date(n)
     is_num = _is_numeric(t) | epoch_str
     err = (F.when(_absent(t) | iso_ok | (is_num & exact), F.lit(None).cast("string"))
-           .when(iso_inexact, F.lit("date_from_datetime_inexact"))
-           .when(is_num & n.isNotNull() & ~F.isnan(n) & (F.abs(n) < F.lit(float("inf"))),
-                 F.lit("date_from_datetime_inexact"))
+           .when(iso_inexact | (is_num & known), F.lit("date_from_datetime_inexact"))
+           .when(year_zero, F.lit("date_parsing"))
            .when(is_str | is_num, F.lit("date_from_datetime_parsing"))
            .otherwise(F.lit("date_type")))
     value = F.when(iso_ok, day).when(is_num & exact, epoch_day)
@@ -130,15 +137,23 @@ def _check_list(items: Column, t: Column, item: RecordSchema):
 
 
 def parse_object(text) -> Column:
-    """Parse JSON text to VARIANT; NULL for invalid JSON or trailing text after an object."""
+    """Parse JSON text to VARIANT; NULL for invalid JSON or anything after the first value.
+
+    The parser stops behind a complete value, so the text is parsed as the first of exactly two
+    elements of a list, the second one a mark of our own.
+    """
     text = col_of(text)
-    v = F.try_parse_json(text)
-    junk_after_object = F.schema_of_variant(v).startswith("OBJECT") & ~text.rlike(r"\}\s*$")
-    return F.when(~junk_after_object, v)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "end of text"]')))
+    whole = (_as_at(pair, "$[1]", "string") == "end of text") & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+
+
+def _as_at(v: Column, path: str, spark_type: str) -> Column:
+    return F.try_variant_get(v, path, spark_type)
 
 
 def validate_frame(df: DataFrame, variant_col: str, schema: RecordSchema, present: Column | None = None,
-                   errors_col: str = "errors", record_col: str = "record") -> DataFrame:
+                   errors_col: str = "errors", record_col: str = "record", barrier: bool = False) -> DataFrame:
     """Add ``errors`` (array of ``field: code``, empty when valid) and ``record``
     (typed struct, NULL unless valid) for a parsed VARIANT column.
 
@@ -146,7 +161,7 @@ def validate_frame(df: DataFrame, variant_col: str, schema: RecordSchema, presen
     the same way), (2) the checks and converted values, (3) the record. Each
     costly expression is therefore evaluated once per row; Catalyst keeps the
     stages apart because their outputs are used more than once. ``present`` marks
-    rows that had any input at all (otherwise ``json_invalid``).
+    rows that had any input at all (otherwise ``json_invalid``). ``barrier``: see below.
     """
     keep = [c for c in df.columns]
     v = F.col(variant_col)
@@ -181,22 +196,30 @@ def validate_frame(df: DataFrame, variant_col: str, schema: RecordSchema, presen
         errors = F.when(~present, F.array(F.lit("json_invalid"))).otherwise(errors)
     checked = staged.select(*keep, errors.alias(errors_col), F.struct(*values).alias("_values"))
     out = checked.select(*keep, errors_col, F.when(F.size(errors_col) == 0, F.col("_values")).alias(record_col))
+    if not barrier:
+        return out
     # The observed metrics (rows, valid rows) double as an optimizer barrier: filters on
     # columns derived from the record are not pushed below it, which would otherwise
-    # substitute (and multiply) the whole validation expression into the predicate.
+    # substitute (and multiply) the whole validation expression into the predicate. It also
+    # holds back filters on keys, so only callers that branch on the record ask for it.
     return out.observe(f"validated_{schema.name}_{uuid.uuid4().hex[:12]}",
                        F.count(F.lit(1)).alias("rows"),
                        F.count(F.col(record_col)).alias("valid_rows"))
 
 
-def is_empty_object(text) -> Column:
-    """Python falsiness of a decoded dict: NULL, JSON null, ``{}``, ``[]`` or ``""``."""
-    text = col_of(text)
-    v = F.try_parse_json(text)
-    t = F.coalesce(F.schema_of_variant(v), F.lit("INVALID"))
+def falsy_variant(v: Column) -> Column:
+    """Python falsiness of a decoded JSON value: absent, null, ``{}``, ``[]``, ``""``, 0 or false."""
+    t = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
     falsy = (F.when(t == "STRING", _as(v, "string") == "")
              .when(t.startswith("ARRAY"), F.size(_as(v, "array<variant>")) == 0)
              .when(t == "BOOLEAN", ~_as(v, "boolean"))
              .when(_is_numeric(t), _as(v, "double") == 0)
              .otherwise(F.lit(False)))
-    return text.isNull() | (t == "VOID") | (t == "OBJECT<>") | F.coalesce(falsy, F.lit(False))
+    return (t == "VOID") | (t == "OBJECT<>") | F.coalesce(falsy, F.lit(False))
+
+
+def is_empty_object(text) -> Column:
+    """Python falsiness of decoded JSON text; text that is no JSON is not empty."""
+    text = col_of(text)
+    v = F.try_parse_json(text)
+    return text.isNull() | (v.isNotNull() & falsy_variant(v))

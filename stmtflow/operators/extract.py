@@ -1,17 +1,16 @@
 """Rule-based structured extraction of bill records from Markdown.
 
-The rules are data: ``(field, rank, pattern, group)``. Every pattern is line-local
-(it cannot cross a ``---`` page break), so it runs once on the whole document text
-with ``regexp_extract``, whose first match is the earliest page and position. A
-field takes the non-empty match of the lowest rank; rules sharing a rank are ordered
-by match position (``regexp_instr``). The whole extraction is one projection of
-code-generated expressions: no shuffle, no window, no Python, no per-page arrays.
-Documents are never grouped, so a large document costs one task only its own size.
+The rules are data: ``(field, rank, pattern, group)``; a pattern never crosses a ``---``
+page break. All matches of a rule are taken (``regexp_extract_all``) and typed, and a
+field takes the first match that has a value of its type, of the lowest rank that has one:
+a label without a readable value never hides another. Layouts that share a rank are
+alternatives of one pattern, so they compete by position. The whole extraction is one
+projection of native expressions: no shuffle, no window, no Python. Documents are never
+grouped, so a large document costs one task only its own size.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +21,8 @@ from ..schemas import BILL_RECORD
 
 MONEY = r"(-?\$[0-9][0-9,]*\.[0-9]{2})"
 LONG_DATE = r"([A-Za-z]+\.?[ \t]+[0-9]{1,2},[ \t]*[0-9]{4})"
-BLANK_LINES = r"[ \t]*\n(?:[ \t]*\n)*[ \t]*"
+# One character class, not a repeated group: a run of any length is matched by a loop.
+BLANK_LINES = r"[ \t]*\n[ \t\n]*"
 
 
 @dataclass(frozen=True)
@@ -33,12 +33,16 @@ class Rule:
     group: int = 1
 
 
-# Ranked rules for the bill layout; lower rank wins, then earlier page, then position.
+# Ranked rules for the bill layout; lower rank wins, then the earlier place.
 BILL_RULES: tuple[Rule, ...] = (
     Rule("account_number", 1, r"(?im)^[ \t]*(?:your[ \t]+)?account[ \t]+(?:number|no\.?|#)[ \t]*:[ \t]*([0-9][0-9 ]*[0-9])[ \t]*$"),
     Rule("account_number", 2, r"(?im)^#+[ \t]*account[ \t]+(?:number|no\.?)" + BLANK_LINES + r"([0-9][0-9 ]*[0-9])[ \t]*$"),
     # The name heads the pages after the first: a heading right below a page break.
-    Rule("customer_name", 1, r"(?m)(?<=^---[ \t]{0,8}\n)#[ \t]+([^\n]*?)[ \t]*$"),
+    Rule("customer_name", 1, r"(?m)^---[ \t]*\n#[ \t]+([^\n]*?)[ \t]*$"),
+    Rule("service_address", 1, r"(?im)^[ \t]*(?:service[ \t]+(?:address|location)|premises)[ \t]*:[ \t]*([^\n]*?)[ \t]*$"),
+    Rule("service_address", 2, r"(?im)^#+[ \t]*service[ \t]+(?:address|location)" + BLANK_LINES + r"([^\n]*?)[ \t]*$"),
+    Rule("billing_address", 1, r"(?im)^[ \t]*(?:billing|mailing)[ \t]+address[ \t]*:[ \t]*([^\n]*?)[ \t]*$"),
+    Rule("billing_address", 2, r"(?im)^#+[ \t]*(?:billing|mailing)[ \t]+address" + BLANK_LINES + r"([^\n]*?)[ \t]*$"),
     Rule("billing_date", 1, r"(?im)^[ \t]*bill(?:ing)?[ \t]+date[ \t]*:[ \t]*([^\n]*?)[ \t]*$"),
     Rule("billing_period_start_date", 1, r"(?im)^[ \t]*for[ \t]+the[ \t]+(?:billing[ \t]+)?period[ \t]*:?[ \t]*(.+?)[ \t]+to[ \t]+.+?[ \t]*$"),
     Rule("billing_period_end_date", 1, r"(?im)^[ \t]*for[ \t]+the[ \t]+(?:billing[ \t]+)?period[ \t]*:?[ \t]*.+?[ \t]+to[ \t]+(.+?)[ \t]*$"),
@@ -48,13 +52,13 @@ BILL_RULES: tuple[Rule, ...] = (
     # A total that names its due date outranks a bare "Total amount due" heading.
     Rule("total_amount_due", 1, r"(?im)^\|[ \t]*total[ \t]+amount[ \t]+due[ \t]+by[^|\n]*\|[ \t]*" + MONEY),
     Rule("total_amount_due", 2, r"(?im)^#+[ \t]*total[ \t]+amount[ \t]+due[ \t]+by[^\n]*" + BLANK_LINES + MONEY),
-    Rule("total_amount_due", 3, r"(?im)^#+[ \t]*total[ \t]+amount[ \t]+due[ \t]*" + BLANK_LINES + MONEY),
-    Rule("total_amount_due", 3, r"(?im)^\|[ \t]*total[ \t]+amount[ \t]+due[ \t]*\|[ \t]*" + MONEY),
+    Rule("total_amount_due", 3, r"(?im)^(?:#+[ \t]*total[ \t]+amount[ \t]+due[ \t]*\n[ \t\n]*|\|[ \t]*total[ \t]+amount[ \t]+due[ \t]*\|[ \t]*)" + MONEY),
     Rule("previous_balance", 1, r"(?im)^\|[^|\n]*balance[ \t]+from[ \t]+(?:your[ \t]+)?last[ \t]+bill[ \t]*\|[ \t]*" + MONEY),
     Rule("previous_balance", 2, r"(?im)^\|[ \t]*previous[ \t]+balance[ \t]*\|[ \t]*" + MONEY),
     Rule("payments_received", 1, r"(?im)^\|[^|\n]*payments?[ \t]+received[^|\n]*\|[ \t]*" + MONEY),
     Rule("current_charges", 1, r"(?im)^\|[ \t]*total[ \t]+(?:current[ \t]+)?charges[ \t]*\|[ \t]*" + MONEY),
     Rule("current_charges", 2, r"(?im)^\|[ \t]*(?:plus[ \t]+)?this[ \t]+month.s[ \t]+charges[ \t]+and[ \t]+credits[ \t]*\|[ \t]*" + MONEY),
+    Rule("raw_text_summary", 1, r"(?im)^[ \t]*(?:bill[ \t]+)?summary[ \t]*:[ \t]*([^\n]*?)[ \t]*$"),
 )
 
 # The first section whose heading names charges holds the line items.
@@ -67,34 +71,15 @@ _DATE_FIELDS = {"billing_date", "billing_period_start_date", "billing_period_end
 _MONEY_FIELDS = {"total_amount_due", "previous_balance", "current_charges"}
 
 
-def _rules_by_field(rules) -> dict[str, dict[int, list[Rule]]]:
-    grouped: dict[str, dict[int, list[Rule]]] = defaultdict(lambda: defaultdict(list))
-    for r in rules:
-        grouped[r.field][r.rank].append(r)
+def _rules_by_field(rules) -> dict[str, list[Rule]]:
+    grouped: dict[str, list[Rule]] = {}
+    for r in sorted(rules, key=lambda r: r.rank):
+        grouped.setdefault(r.field, []).append(r)
     return grouped
 
 
-def _match(text: Column, rule: Rule) -> Column:
-    return F.nullif(F.regexp_extract(text, rule.pattern, rule.group), F.lit(""))
-
-
-def resolve_field(text: Column, by_rank: dict[int, list[Rule]]) -> Column:
-    """Raw text of the winning candidate: lowest rank, then earliest match."""
-    per_rank = []
-    for rank in sorted(by_rank):
-        same = by_rank[rank]
-        if len(same) == 1:
-            per_rank.append(_match(text, same[0]))
-        else:
-            # array_min skips NULL elements, so no lambda (and codegen stays on).
-            cands = F.array(*[F.when(_match(text, r).isNotNull(), F.struct(
-                F.regexp_instr(text, F.lit(r.pattern)).alias("pos"), _match(text, r).alias("value")))
-                for r in same])
-            per_rank.append(F.array_min(cands)["value"])
-    return F.coalesce(*per_rank)
-
-
 def _typed(field: str, raw: Column) -> Column:
+    """The value of a match, NULL if it is not of the field's type (or empty)."""
     if field in _DATE_FIELDS:
         return normalize_date(raw)
     if field in _MONEY_FIELDS:
@@ -102,23 +87,37 @@ def _typed(field: str, raw: Column) -> Column:
     if field == "payments_received":
         return F.abs(parse_money(raw)).cast("double")  # printed as a credit, kept positive
     if field == "account_number":
-        return normalize_account(raw)
-    return raw
+        return F.nullif(normalize_account(raw), F.lit(""))
+    return F.nullif(raw, F.lit(""))
+
+
+def resolve_field(text: Column, field: str, rules: list[Rule]) -> Column:
+    """Typed value of the winning candidate: lowest rank that has one, then the earliest match."""
+    per_rule = []
+    for rule in rules:
+        matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+        values = F.transform(matches, lambda raw: _typed(field, raw))
+        per_rule.append(F.get(F.array_compact(values), 0))
+    return F.coalesce(*per_rule)
 
 
 def label_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      rules=BILL_RULES) -> DataFrame:
-    """Every rule's first match: ``(id, field, rank, page, pos, value)``; page from 1."""
-    text = F.col(text_col)
-    cands = F.array(*[F.struct(
-        F.lit(r.field).alias("field"), F.lit(r.rank).alias("rank"),
-        F.regexp_instr(text, F.lit(r.pattern)).alias("pos"), _match(text, r).alias("value"))
-        for r in rules])
-    exploded = (df.select(F.col(id_col), text, F.explode(cands).alias("c"))
-                  .where(F.col("c.value").isNotNull()))
-    before = F.substring(F.col(text_col), 1, F.col("c.pos"))
-    page = F.size(F.split(before, PAGE_BREAK_RE))
-    return exploded.select(id_col, "c.field", "c.rank", page.alias("page"), "c.pos", "c.value")
+    """Every match of every rule with a value: ``(id, field, rank, page, nth, value)``.
+
+    Pages are numbered from 1 and ``nth`` numbers a rule's matches on its page from 1. A page
+    after the first is searched with the break above it, where some rules start.
+    """
+    pages = df.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), PAGE_BREAK_RE, -1)).alias("_p", "_t"))
+    pages = pages.select(id_col, (F.col("_p") + 1).alias("page"),
+                         F.when(F.col("_p") == 0, F.col("_t")).otherwise(F.concat(F.lit("---"), "_t")).alias("_t"))
+    found = F.array(*[F.struct(F.lit(r.field).alias("field"), F.lit(r.rank).alias("rank"),
+                               F.regexp_extract_all("_t", F.lit(r.pattern), F.lit(r.group)).alias("values"))
+                      for r in rules])
+    return (pages.select(id_col, "page", F.explode(found).alias("c")).where(F.size("c.values") > 0)
+            .select(id_col, "c.field", "c.rank", "page", F.posexplode("c.values").alias("nth", "value"))
+            .where(F.col("value") != "")
+            .select(id_col, "field", "rank", "page", (F.col("nth") + 1).alias("nth"), "value"))
 
 
 def charges_section(text) -> Column:
@@ -179,7 +178,7 @@ def _record_fields(text: Column, items: Column, rules, schema) -> list[Column]:
         if name == "line_items":
             value = F.when(F.size(items) > 0, items)
         elif name in grouped:
-            value = _typed(name, resolve_field(text, grouped[name]))
+            value = resolve_field(text, name, grouped[name])
         else:
             value = F.lit(None)
         fields.append(value.cast(dtype).alias(name))

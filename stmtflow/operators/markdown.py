@@ -16,7 +16,8 @@ from ..functions.text import PAGE_BREAK_RE, col_of
 HEADING_START_RE = r"(?m)^(?=#{1,6}[ \t])"
 HEADING_RE = r"^#{1,6}[ \t]+([^\n]*?)[ \t]*$"
 LAST_HEADING_RE = r"(?s).*(?:^|\n)#{1,6}[ \t]+([^\n]*?)[ \t]*(?:\n|$)"
-SEPARATOR_ROW_RE = r"^\s*\|?(\s*:?-{3,}:?\s*\|)+\s*:?-*:?\s*\|?\s*$"
+# The repeated cell is possessive, which matches by a loop however many cells there are.
+SEPARATOR_ROW_RE = r"^\s*\|?(?:\s*:?-{3,}:?\s*\|)++\s*:?-*:?\s*\|?\s*$"
 
 
 def _trim_newlines(c):
@@ -54,13 +55,16 @@ def heading_sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     pages = page_array(text_col)
     with_pages = df.select(F.col(id_col), pages.alias("_pages"))
-    last_heads = F.transform("_pages", lambda p: F.regexp_extract(p, LAST_HEADING_RE, 1))
-    carry = F.transform(
-        "_last",
-        lambda _h, i: F.try_element_at(F.filter(F.slice("_last", 1, i), lambda h: h != ""), F.lit(-1)))
-    paged = (with_pages.withColumn("_last", last_heads)
-             .select(id_col, F.posexplode(F.arrays_zip(F.col("_pages").alias("t"), carry.alias("c")))
-                     .alias("_p", "_pg")))
+    # Each heading that ends a page is carried over the pages up to the next such page: the carried
+    # headings of all pages are runs of one heading each, written out one after another.
+    carried = F.expr("""concat(
+        array_repeat(CAST(NULL AS string), IF(size(_heads) = 0, size(_pages), get(_heads, 0).i + 1)),
+        flatten(zip_with(_heads, slice(_heads, 2, size(_heads)),
+                         (a, b) -> array_repeat(a.h, coalesce(b.i, size(_pages) - 1) - a.i))))""")
+    paged = (with_pages.withColumn("_heads", F.filter(
+                 F.transform("_pages", lambda p, i: F.struct(F.regexp_extract(p, LAST_HEADING_RE, 1).alias("h"), i.alias("i"))),
+                 lambda x: x["h"] != ""))
+             .select(id_col, F.posexplode(F.arrays_zip(F.col("_pages").alias("t"), carried.alias("c"))).alias("_p", "_pg")))
     sections = paged.select(
         id_col, (F.col("_p") + 1).alias("page"), F.col("_pg.c").alias("_carry"),
         F.posexplode(F.split(F.col("_pg.t"), HEADING_START_RE)).alias("section", "_sec"))

@@ -8,72 +8,79 @@ record schema with native expressions.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_blank
 from ..functions.validation import parse_object, validate_frame
 from ..schemas import BILL_RECORD, INVOICE_RECORD, MODEL_MAX_RETRIES, RecordSchema
+from ..session import cut
 
-RESPONSE_SCHEMA = "doc_id long, attempt int, response string, error string"
+def _call(make_extractor, attempt: int, schema: T.StructType):
+    """One call per document; an exception becomes the row's ``error``."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        fn = make_extractor()
+        for batch in batches:
+            answers = []
+            for text in batch.column(1).to_pylist():
+                try:
+                    answers.append((fn(text), None))
+                except Exception as exc:  # noqa: BLE001 - any failure is data
+                    answers.append((None, f"{type(exc).__name__}: {exc}"))
+            cols = list(zip(*answers)) or [(), ()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([attempt] * batch.num_rows, pa.int32()), *[pa.array(c, pa.string()) for c in cols]],
+                names=[f.name for f in schema])
 
-def _is_json_object(text) -> bool:
-    try:
-        return isinstance(json.loads(text), dict)
-    except (TypeError, ValueError):
-        return False
+    return run
 
 
 def model_extract(df: DataFrame, make_extractor: Callable[[], Callable[[str], str | None]],
-                  id_col: str = "doc_id", text_col: str = "text", attempts: int = 1) -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", attempts: int = MODEL_MAX_RETRIES + 1,
+                  schema: RecordSchema = BILL_RECORD) -> DataFrame:
     """Run a black-box extractor over documents: ``(doc_id, attempt, response, error)``.
 
     ``make_extractor`` is called once per task (client set-up cost is paid per
     partition, not per row) and returns ``fn(text) -> json_text``. Blank documents
-    are filtered natively *before* the Python stage, since Catalyst cannot push
-    predicates through ``mapInPandas``. An exception becomes an ``error`` value for
-    that document only; other documents go on. With ``attempts > 1`` the extractor
-    is called again only while it raises or answers with something that is not a
-    JSON object (a cheap pre-check; the strict validation stays native), each call a
-    row (see ``first_valid_attempt``).
+    are filtered natively before the Python stage. An exception becomes an ``error`` value for
+    that document only. ``attempts`` rounds: each calls the model once for the documents that have no
+    valid record yet (it raised, or the strict validation against ``schema`` refused its answer), and
+    stores its answers in the shared folder, so a call is never repeated by a later plan. ``doc_id``
+    keeps the type of ``id_col``; keys must be unique.
     """
-    todo = df.where(~is_blank(F.col(text_col))).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = make_extractor()
-        for pdf in batches:
-            out = {"doc_id": [], "attempt": [], "response": [], "error": []}
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                for attempt in range(1, attempts + 1):
-                    try:
-                        response, error = fn(text), None
-                    except Exception as exc:  # noqa: BLE001 - any failure is data
-                        response, error = None, f"{type(exc).__name__}: {exc}"
-                    out["doc_id"].append(doc_id)
-                    out["attempt"].append(attempt)
-                    out["response"].append(response)
-                    out["error"].append(error)
-                    if error is None and _is_json_object(response):
-                        break
-            yield pd.DataFrame(out)
-
-    return todo.mapInPandas(run, RESPONSE_SCHEMA)
+    todo = df.where(~is_blank(F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out_schema = T.StructType([todo.schema["doc_id"], T.StructField("attempt", T.IntegerType()),
+                               T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
+    rounds = None
+    for attempt in range(1, attempts + 1):
+        # Batches of the session's byte limit (spark.sql.execution.arrow.maxBytesPerBatch) hold whole documents.
+        answers = todo.mapInArrow(_call(make_extractor, attempt, out_schema), out_schema)
+        if attempts > 1:
+            answers = cut(answers)
+        rounds = answers if rounds is None else rounds.unionByName(answers)
+        if attempt < attempts:
+            checked = validate_response(answers, schema=schema, barrier=True)
+            open_ids = cut(checked.where(F.size("errors") > 0).select("doc_id"))
+            if open_ids.isEmpty():
+                break
+            todo = todo.join(open_ids, "doc_id", "left_semi")
+    return rounds
 
 
 def validate_response(df: DataFrame, response_col: str = "response",
                       schema: RecordSchema = BILL_RECORD, record_col: str = "record",
-                      errors_col: str = "errors") -> DataFrame:
+                      errors_col: str = "errors", barrier: bool = False) -> DataFrame:
     """Add ``errors`` (array of ``field: code``; empty when valid) and ``record``
-    (typed struct, NULL unless valid). Unknown keys are dropped."""
+    (typed struct, NULL unless valid). Unknown keys are dropped. ``barrier`` keeps later
+    filters on the record above the validation (see ``validate_frame``)."""
     staged = df.withColumn("_v", parse_object(F.col(response_col)))
     out = validate_frame(staged, "_v", schema, present=F.col(response_col).isNotNull(),
-                         errors_col=errors_col, record_col=record_col)
+                         errors_col=errors_col, record_col=record_col, barrier=barrier)
     return out.drop("_v")
 
 
@@ -89,7 +96,9 @@ def first_valid_attempt(attempts: DataFrame, max_attempts: int = MODEL_MAX_RETRI
 
     Returns ``(doc_id, attempt, record)`` for documents with a valid attempt. The
     ``row_number() = 1`` is planned as a per-key group limit, so each document keeps
-    at most one row per map task before the shuffle. Documents with no valid attempt are absent (left-join to keep them).
+    at most one row per map task before the shuffle. Documents with no valid attempt are
+    absent (left-join to keep them). The attempt limit is a filter on the input, which Spark
+    moves below a validation without barrier; ``first_valid_response`` puts it there itself.
     """
     # Valid attempts sort first; filtering on the record only after the window keeps
     # Catalyst from pushing that predicate into (and so re-running) the validation.
@@ -100,6 +109,13 @@ def first_valid_attempt(attempts: DataFrame, max_attempts: int = MODEL_MAX_RETRI
                   .select(id_col, attempt_col, record_col))
 
 
+def first_valid_response(responses: DataFrame, max_attempts: int = MODEL_MAX_RETRIES + 1,
+                         schema: RecordSchema = BILL_RECORD) -> DataFrame:
+    """``first_valid_attempt`` of raw responses: attempts past the limit are never parsed."""
+    within = responses.where(F.col("attempt") <= max_attempts)
+    return first_valid_attempt(validate_response(within, schema=schema, barrier=True), max_attempts)
+
+
 def error_detail(errors_col: str = "errors"):
     """Readable validation detail for reasons and logs."""
     n = F.size(errors_col)

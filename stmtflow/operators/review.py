@@ -21,7 +21,7 @@ def check_corrections(joined: DataFrame, corrected_col: str = "corrected",
     decoded dict), ``errors`` and ``record``."""
     staged = (joined.withColumn("_v", parse_object(F.col(corrected_col)))
                     .withColumn("correction_missing", is_empty_object(F.col(corrected_col))))
-    out = validate_frame(staged, "_v", schema, present=F.col(corrected_col).isNotNull())
+    out = validate_frame(staged, "_v", schema, present=F.col(corrected_col).isNotNull(), barrier=True)
     return out.drop("_v")
 
 

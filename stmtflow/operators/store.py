@@ -16,6 +16,8 @@ from ..schemas import (
     ACCOUNT_MAX_CHARS, AMOUNT_FIELDS, AMOUNT_TYPE, BILL_RECORD, BILLS_TABLE, BILLS_TABLE_DDL,
     DOCUMENT_TYPE_MAX_CHARS,
 )
+from ..session import cut
+
 
 def encode_line_items(items) -> Column:
     """List -> JSON text with item nulls kept; NULL or empty list -> NULL."""
@@ -70,43 +72,35 @@ def enforce_store_constraints(df: DataFrame, record_col: str = "record",
 
 
 def assign_ids(df: DataFrame, order_col: str = "doc_id", start: int | Column = 0,
-               id_col: str = "id", buckets: int | None = None) -> DataFrame:
-    """Dense ids ``start+1 ..`` in ``order_col`` order (``order_col`` must be unique).
-
-    Every step is a function of the key, not of partition layout, so recomputing
-    any part after a lost executor gives the same ids:
-    1. ``buckets - 1`` approximate quantiles of the key (a small array on the driver,
-       its size fixed by ``buckets``) cut the key range into balanced buckets,
-       found per row by binary search (``Bucketizer``);
-    2. rows per bucket -> a table of ``buckets`` rows -> running offsets (a window
-       over that small table; broadcast is safe, its size is bounded by ``buckets``);
-    3. ``row_number`` within each bucket (one shuffle by bucket; buckets are balanced
-       because the key is unique) plus the bucket's offset.
-    No unpartitioned window over the rows and nothing but the boundaries collected.
-    The input is read three times (quantiles, counts, ids): materialize a costly one
-    first (``session.materialize``).
+               id_col: str = "id", parts: int | None = None) -> DataFrame:
+    """Dense ids ``start+1 ..`` in ``order_col`` order; keys of any orderable type, NULL last.
+
+    Only keys are numbered; rows get their id by a join on the key:
+    1. distinct keys with their row counts (partial counts before the shuffle) are
+       range-partitioned, so parts are balanced by the keys themselves, and stored once in the
+       shared folder: every later step sees the same parts, also after a lost executor;
+    2. rows per part -> running offsets, a window over a table of ``parts`` rows (its
+       broadcast is bounded by that number);
+    3. a running sum within each part gives every key its first id.
+    Rows that share a key are numbered among themselves by a hash of the row. The input is read
+    twice (keys, ids): store a costly one first (``session.cut``).
     """
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(order_col, [i / n for i in range(1, n)], 0.001))) if n > 1 else []
-    if cuts:
-        # Binary search over the cut points, in the JVM (Bucketizer), per row.
-        from pyspark.ml.feature import Bucketizer
-
-        keyed = df.withColumn("_key", F.col(order_col).cast("double"))
-        splits = [float("-inf"), *cuts, float("inf")]
-        tagged = (Bucketizer(splits=splits, inputCol="_key", outputCol="_b").transform(keyed)
-                  .withColumn("_bucket", F.col("_b").cast("int")).drop("_key", "_b"))
-    else:
-        tagged = df.withColumn("_bucket", F.lit(0))
-    counts = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.groupBy(F.col(order_col).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut(keys.repartitionByRange(n, F.col("_k").asc_nulls_last()).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_t"), F.max("_n").alias("_most"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_part").orderBy(F.col("_k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     start_col = start if isinstance(start, Column) else F.lit(start)
-    rn = F.row_number().over(Window.partitionBy("_bucket").orderBy(order_col))
-    return (tagged.join(F.broadcast(offsets), "_bucket", "inner")
-                  .withColumn(id_col, start_col.cast("long") + F.col("_off") + rn)
-                  .drop("_bucket", "_off"))
+    first = ranged.join(F.broadcast(offsets), "_part").select(
+        "_k", (start_col.cast("long") + F.col("_off") + F.coalesce(F.sum("_n").over(within), F.lit(0)) + 1).alias("_first"))
+    joined = df.join(first, F.col(order_col).eqNullSafe(F.col("_k")))
+    nth = F.lit(0)
+    if (totals.agg(F.max("_most")).first()[0] or 0) > 1:
+        nth = F.row_number().over(Window.partitionBy(order_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))) - 1
+    return joined.withColumn(id_col, F.col("_first") + nth).drop("_k", "_first")
 
 
 def ensure_bills_table(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
@@ -122,7 +116,7 @@ def ensure_bills_table(spark: SparkSession, path: str, name: str | None = None)
 
 
 def current_max_id(spark: SparkSession, path: str) -> int:
-    """Largest stored id (0 for an empty table): one scalar, via Parquet footer stats."""
+    """Largest stored id (0 for an empty table): one scalar from a scan of the id column alone."""
     row = spark.read.schema(BILLS_TABLE).parquet(path).agg(F.max("id").alias("m")).first()
     return int(row["m"] or 0)
 
@@ -135,8 +129,9 @@ def table_rows(df: DataFrame, record_col: str = "record", text_col: str = "full_
 
 def append_rows(rows: DataFrame, path: str, order_col: str = "doc_id") -> DataFrame:
     """Append rows already in table layout (no ``id``/``created_at``) and return them,
-    read back from disk, with their new ids."""
+    read back from disk, with their new ids. The rows are computed once."""
     spark = rows.sparkSession
+    rows = cut(rows)
     ensure_bills_table(spark, path)
     base = current_max_id(spark, path)
     with_ids = assign_ids(rows, order_col, base).withColumn("created_at", F.current_timestamp())
@@ -157,10 +152,14 @@ def append_bills(df: DataFrame, path: str, order_col: str = "doc_id",
 
 
 def export_records_json(df: DataFrame, record_col: str = "record", id_col: str = "doc_id",
-                        path: str | None = None) -> DataFrame:
-    """Records as indented JSON text with nulls kept; optionally written as text files."""
+                        path: str | None = None, mode: str = "error") -> DataFrame:
+    """Records as indented JSON text with nulls kept: ``(id, json)``.
+
+    With ``path`` also written there as JSON lines, each with its id and the (multi-line) JSON as one
+    string field; an existing path is an error unless ``mode`` says otherwise.
+    """
     out = df.select(F.col(id_col), F.to_json(F.col(record_col),
                                              {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
     if path:
-        out.select("json").write.mode("overwrite").text(path)
+        out.write.mode(mode).json(path)
     return out

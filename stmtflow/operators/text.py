@@ -27,18 +27,10 @@ def text_measure(df: DataFrame, text_col: str = "text", out_col: str = "n_chars_
 
 
 def context_budget(df: DataFrame, text_col: str = "text", max_tokens: int = CONTEXT_MAX_TOKENS,
-                   truncate: bool = False, chars_per_token: int = CHARS_PER_TOKEN) -> DataFrame:
-    """Estimate tokens, flag text over the budget and, only if asked, cut it.
-
-    The reference declares the budget but never cuts, so ``truncate`` is off by default.
-    """
-    n = char_length(text_col)
-    approx = F.ceil(n / F.lit(chars_per_token)).cast("long")
-    out = df.withColumn("approx_tokens", approx).withColumn("over_budget", approx > F.lit(max_tokens))
-    if truncate:
-        out = out.withColumn(text_col, F.when(F.col("over_budget"), F.substring(
-            F.col(text_col), 1, max_tokens * chars_per_token)).otherwise(F.col(text_col)))
-    return out
+                   chars_per_token: int = CHARS_PER_TOKEN) -> DataFrame:
+    """Estimate tokens and flag text over the budget. The text itself is never cut."""
+    approx = F.ceil(char_length(text_col) / F.lit(chars_per_token)).cast("long")
+    return df.withColumn("approx_tokens", approx).withColumn("over_budget", approx > F.lit(max_tokens))
 
 
 # Prompt wording is our own, built from the schema's field names.
@@ -76,40 +68,83 @@ def assemble_parts(parts: DataFrame, id_col: str = "doc_id", pos_col: str = "pos
                    out_col: str = "text") -> DataFrame:
     """Join each document's non-blank parts in order with a blank line between them.
 
-    Blank parts are dropped before the shuffle; ``collect_list`` aggregates partially
-    on the map side, so only one buffer per (task, document) crosses the network.
-    A document with no usable part gets NULL (pass ``documents`` to keep it).
+    One grouping by document, which also keeps documents without a usable part (NULL
+    text): blank parts count for the group but are not collected. A group's buffer is the
+    document's own text. ``documents`` adds documents that have no part at all.
     """
-    usable = parts.where(~is_blank(F.col(text_col)))
-    joined = (usable.groupBy(id_col)
-              .agg(F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"),
-                                                        F.col(text_col).alias("t")))).alias("_parts"))
-              .select(id_col, F.array_join(F.transform("_parts", lambda x: x["t"]), PART_SEPARATOR).alias(out_col)))
+    part = F.when(~is_blank(F.col(text_col)), F.struct(F.col(pos_col).alias("p"), F.col(text_col).alias("t")))
+    joined = (parts.groupBy(id_col).agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+              .select(id_col, F.when(F.size("_parts") > 0, F.array_join(
+                  F.transform("_parts", lambda x: x["t"]), PART_SEPARATOR)).alias(out_col)))
     if documents is not None:
         return documents.select(id_col).join(joined, id_col, "left")
     return joined
 
 
-# Applied in order: (pattern, replacement). RE2-safe so DuckDB can run the same chain.
-HTML_TO_MARKDOWN_STEPS = (
-    (r"(?is)<(script|style|head|nav|footer)\b.*?</(script|style|head|nav|footer)>", ""),
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?i)<h1[^>]*>", "\n# "),
-    (r"(?i)<li[^>]*>", "\n- "),
-    (r"(?i)<(p|br|div|article)\b[^>]*>|</(p|h1|div|article|ul)>", "\n"),
-    (r"<[^>]+>", ""),
-    (r"&quot;", '"'),
-    (r"&middot;", "·"),
-    (r"&copy;", "©"),
-    (r"&amp;", "&"),
-    (r"\n{2,}", "\n\n"),
-    (r"^\n+|\n+$", ""),
-)
-
-
-def html_to_markdown(df: DataFrame, html_col: str = "html", out_col: str = "markdown") -> DataFrame:
-    """Raw HTML -> Markdown with a fixed chain of native regex replacements."""
-    c = F.col(html_col)
-    for pattern, repl in HTML_TO_MARKDOWN_STEPS:
-        c = F.regexp_replace(c, pattern, repl.replace("\\", "\\\\").replace("$", "\\$"))
+# Elements whose text is not part of the document, with their content.
+HTML_DROPPED = ("script", "style", "head", "noscript", "template")
+HTML_FRAME = ("nav", "footer")  # dropped unless asked for
+# Named character references that are written out, the ampersand last.
+HTML_ENTITIES = (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("middot", "·"),
+                 ("copy", "©"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("euro", "€"), ("pound", "£"))
+
+
+def _numeric_references(c):
+    """``&#39;`` and ``&#x27;`` to their characters: the text is split at them and put together again."""
+    pieces = F.split(c, r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", -1)
+    codes = F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1))
+    def char(x):
+        number = F.when(x.rlike("^[xX]"), F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(x).cast("long")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        # UTF-32 bytes of the code point, decoded.
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    joined = F.array_join(F.zip_with(pieces, codes, lambda p, x: F.concat(p, F.when(x.isNull(), F.lit("")).otherwise(char(x)))), "")
+    return F.when(c.contains("&#"), joined).otherwise(c)
+
+
+def html_to_markdown(df: DataFrame, html_col: str = "html", out_col: str = "markdown",
+                     keep_frame: bool = False) -> DataFrame:
+    """Raw HTML -> Markdown by native expressions.
+
+    Headings ``h1`` to ``h6`` become ``#`` lines, list items ``- `` lines, table rows pipe rows with a
+    separator below the first, other block elements line breaks. Comments and the elements of
+    ``HTML_DROPPED`` go with their content, ``nav`` and ``footer`` too unless ``keep_frame``; a dropped
+    element ends at its own closing tag, or with the page. Character references are decoded last.
+    """
+    c = F.regexp_replace(F.col(html_col), r"(?s)<!--.*?(?:-->|\z)", "")
+    for tag in HTML_DROPPED + (() if keep_frame else HTML_FRAME):
+        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", "")
+    for level in range(1, 7):
+        c = F.regexp_replace(c, rf"(?i)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
+    # A table's first row gets the separator: one dash cell for each of its cells.
+    c = F.regexp_replace(c, r"(?i)\s*</t[dh]\s*>\s*(?=<t[dh]\b)", "|")
+    c = F.regexp_replace(c, r"(?i)<tr\b[^>]*>\s*<t[dh]\b[^>]*>\s*", "\n|")
+    c = F.regexp_replace(c, r"(?i)<t[dh]\b[^>]*>\s*", "")
+    c = F.regexp_replace(c, r"(?i)\s*</t[dh]\s*>\s*(?:</tr\s*>)?", "|")
+    c = F.regexp_replace(c, r"(?i)<table\b[^>]*>", "\n\u0001")
+    c = F.regexp_replace(c, r"(?i)<li\b[^>]*>", "\n- ")
+    c = F.regexp_replace(c, r"(?i)<(?:p|br|div|article|section|blockquote|pre)\b[^>]*>|</(?:p|h[1-6]|div|article|section|ul|ol|table|blockquote|pre)\s*>", "\n")
+    c = F.regexp_replace(c, r"<[/!?a-zA-Z][^>]*>", "")
+    c = _with_separator_rows(c)
+    c = _numeric_references(c)
+    for name, char in HTML_ENTITIES:
+        c = F.regexp_replace(c, f"&{name};", char)
+    c = F.regexp_replace(c, "&amp;", "&")
+    c = F.regexp_replace(F.regexp_replace(c, r"\n{2,}", "\n\n"), r"^\n+|\n+$", "")
     return df.withColumn(out_col, c)
+
+
+def _with_separator_rows(c):
+    """Below the first pipe row after each table mark, a row of as many ``---`` cells."""
+    parts = F.split(c, "\u0001", -1)
+
+    def table(part):
+        row = F.regexp_extract(part, r"\A[^|\n]*\n?[^|\n]*(\n?\|[^\n]*\|)", 1)
+        bars = F.length(row) - F.length(F.translate(row, "|", ""))
+        line = F.concat(F.lit("\n|"), F.repeat(F.lit("---|"), (bars - 1).cast("int")))
+        at = F.instr(part, row) + F.length(row)
+        return F.when(row == "", part).otherwise(
+            F.concat(F.substring(part, F.lit(1), at - 1), line, F.substring(part, at, F.length(part))))
+
+    marked = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(table(p)))
+    return F.when(c.contains("\u0001"), F.array_join(marked, "")).otherwise(c)

@@ -19,20 +19,21 @@ from ..functions.text import normalize_account, normalize_date, parse_money
 from ..operators import extract as ex
 from ..operators import markdown as md
 from ..operators import text as tx
-from ..operators.responses import first_valid_attempt, model_extract, validate_invoice, validate_response
-from ..operators.review import apply_corrections, pending_reviews
+from ..operators.responses import (
+    first_valid_response, model_extract, validate_invoice, validate_response,
+)
 from ..operators.routing import (
-    build_storage_payload, capture_errors, document_status, guard_required_path, process_log,
-    route_decision, store_log, task_log, workflow_output,
+    build_storage_payload, capture_errors, document_status, guard_required_path, parse_storage_payload,
+    process_log, route_decision, store_log, task_log, validate_direct, workflow_output,
 )
 from ..operators.stages import default_registry
 from ..operators.store import (
-    append_rows, assign_ids, ensure_bills_table, export_records_json, table_rows,
+    append_rows, assign_ids, constraint_error, ensure_bills_table, export_records_json, table_rows,
 )
-from ..session import materialize, shared_path
+from ..session import cut, shared_path
 from ..sources.documents import parse_workitems, read_text_table
 from . import fixtures as fx
-from .pipeline import join_documents, run_pipeline
+from .pipeline import extraction_results, join_documents, run_pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,10 +65,9 @@ def _pipeline_docs(spark, sf):
     return join_documents(fx.pipeline_documents(spark, sf), work)
 
 
-def _run(spark, sf, responses=None):
-    docs = _pipeline_docs(spark, sf)
-    resp = responses if responses is not None else fx.responses(spark, sf)
-    return run_pipeline(docs, resp, fx.corrections(spark, sf), materialize=True)
+def _run(spark, sf, stored_stage=False):
+    """The whole run; ``stored_stage`` for queries that use two or more of its branches."""
+    return run_pipeline(_pipeline_docs(spark, sf), fx.responses(spark, sf), fx.corrections(spark, sf), stored_stage=stored_stage)
 
 
 def _items_sum(items: Column) -> Column:
@@ -115,7 +115,7 @@ def q_bills_table(spark, sf):
 
 
 def q_append_bills(spark, sf):
-    run = _run(spark, sf)
+    run = _run(spark, sf, stored_stage=True)
     path = shared_path(spark, "tables", "bills", unique=True)
     back = append_rows(run.stored.drop("branch"), path)
     return back.select(as_long("id").alias("id"), "account_number", ds("billing_date").alias("billing_date"),
@@ -170,7 +170,7 @@ def q_text_measure(spark, sf):
 
 def q_context_budget(spark, sf):
     docs = read_text_table(spark, f"{sf}/documents.parquet")
-    b = tx.context_budget(docs, truncate=True)
+    b = tx.context_budget(docs)
     return b.select("doc_id", as_long("approx_tokens").alias("approx_tokens"),
                     flag(F.col("over_budget")).alias("over_budget"),
                     as_long(F.char_length("text")).alias("kept_chars"))
@@ -185,8 +185,7 @@ def q_render_prompt(spark, sf):
 
 def q_assemble_parts(spark, sf):
     conv = spark.read.parquet(f"{sf}/conversations.parquet")
-    return tx.assemble_parts(conv, id_col="conv_id", pos_col="turn", text_col="text",
-                             documents=conv.select("conv_id").distinct())
+    return tx.assemble_parts(conv, id_col="conv_id", pos_col="turn", text_col="text")
 
 
 def q_html_to_markdown(spark, sf):
@@ -258,14 +257,14 @@ def q_line_items(spark, sf):
 def q_extract_bills(spark, sf):
     b = ex.extract_bills(fx.statements(spark, sf))
     return b.select(
-        "doc_id", "account_number", "customer_name",
+        "doc_id", "account_number", "customer_name", "service_address", "billing_address",
         ds("billing_date").alias("billing_date"),
         ds("billing_period_start_date").alias("billing_period_start_date"),
         ds("billing_period_end_date").alias("billing_period_end_date"),
         ds("due_date").alias("due_date"),
         "total_amount_due", "previous_balance", "payments_received", "current_charges",
         n_elements("line_items").alias("n_items"),
-        _items_sum(F.col("line_items")).alias("items_sum"))
+        _items_sum(F.col("line_items")).alias("items_sum"), "raw_text_summary")
 
 
 STUB_ERROR = "ValueError: no charges table"
@@ -277,7 +276,7 @@ def make_stub_extractor():
     import json
     import re
 
-    account = re.compile(r"(?m)^Your account number: ([0-9 ]+)$")
+    account = re.compile(r"(?m)^(?:Your account number: |# Account number\n\n)([0-9 ]+)$")
     name = re.compile(r"(?m)^---\n# (.+)$")
 
     def extract(text: str) -> str:
@@ -292,17 +291,13 @@ def make_stub_extractor():
 
 def q_model_extract(spark, sf):
     out = validate_response(model_extract(fx.pipeline_documents(spark, sf), make_stub_extractor))
-    return out.select("doc_id", F.col("record.account_number").alias("account_number"),
+    return out.select("doc_id", as_long("attempt").alias("attempt"), F.col("record.account_number").alias("account_number"),
                       F.col("record.customer_name").alias("customer_name"),
                       flag(F.col("error").isNotNull()).alias("has_error"))
 
 
-def _validated(spark, sf, retries=False):
-    return validate_response(fx.responses(spark, sf, retries=retries))
-
-
 def q_validate_response(spark, sf):
-    v = _validated(spark, sf)
+    v = validate_response(fx.responses(spark, sf))
     valid = F.size("errors") == 0
     return v.select(
         "doc_id", flag(valid).alias("valid"), F.try_element_at("errors", F.lit(1)).alias("first_error"),
@@ -314,7 +309,7 @@ def q_validate_response(spark, sf):
 
 
 def q_first_valid_attempt(spark, sf):
-    best = first_valid_attempt(_validated(spark, sf, retries=True), max_attempts=3)
+    best = first_valid_response(fx.responses(spark, sf, retries=True), max_attempts=3)
     return best.select("doc_id", as_long("attempt").alias("attempt"))
 
 
@@ -350,7 +345,7 @@ def q_document_status(spark, sf):
 
 
 def q_route_decision(spark, sf):
-    processed = _run(spark, sf).processed
+    processed = cut(_run(spark, sf).processed.select("doc_id", "route"))
     routes = route_decision(processed)
     return (routes["success"].select("doc_id", F.lit("success").alias("branch"))
             .unionByName(routes["failure"].select("doc_id", F.lit("failure").alias("branch")))
@@ -365,21 +360,26 @@ def q_validate_corrected(spark, sf):
     return _run(spark, sf).corrected.select("doc_id", "store_status", "store_reason")
 
 
-def _stub_run(spark, sf):
-    docs = _pipeline_docs(spark, sf)
-    resp = model_extract(docs, make_stub_extractor)
-    from .pipeline import extraction_results
-    return document_status(docs.join(extraction_results(resp), "doc_id", "left"))
+READ_ERROR = "OSError: document store unavailable"
+
+
+def q_validate_direct_json(spark, sf):
+    parsed = parse_storage_payload(fx.storage_payloads(spark, sf))
+    checked = validate_direct(parsed.withColumn("store_error", constraint_error("payload.record", "payload.document_type")))
+    return checked.select("doc_id", "store_status", "store_reason")
 
 
 def q_capture_errors(spark, sf):
-    processed = capture_errors(_stub_run(spark, sf))
-    return processed.where(F.col("extract_error").isNotNull()).select("doc_id", "status", "route", "reason")
+    # The model raises on some documents; others could not be read at all.
+    docs = _pipeline_docs(spark, sf).withColumn("pipeline_error", F.when(F.col("doc_id") % 13 == 0, F.lit(READ_ERROR)))
+    results = extraction_results(model_extract(docs.where(F.col("pipeline_error").isNull()), make_stub_extractor, attempts=2))
+    processed = capture_errors(document_status(docs.join(results, "doc_id", "left")))
+    return processed.select("doc_id", "status", "route", "reason")
 
 
 def q_task_log(spark, sf):
-    run = _run(spark, sf)
-    ids = assign_ids(materialize(run.stored.select("doc_id"), "stored_keys"), "doc_id")
+    run = _run(spark, sf, stored_stage=True)
+    ids = assign_ids(run.stored.select("doc_id"), "doc_id")
     logs = (task_log(run.processed, "process_document", process_log())
             .unionByName(task_log(run.direct.join(ids, "doc_id", "left"), "store_document_data", store_log(True)))
             .unionByName(task_log(run.corrected.join(ids, "doc_id", "left"), "process_human_corrected_data",
@@ -388,11 +388,11 @@ def q_task_log(spark, sf):
 
 
 def q_workflow_output(spark, sf):
-    run = _run(spark, sf)
-    ids = assign_ids(materialize(run.stored.select("doc_id"), "stored_keys"), "doc_id")
-    direct = run.direct.join(ids, "doc_id", "left")
-    corrected = run.corrected.join(ids, "doc_id", "left")
-    out = workflow_output(run.processed, run.processed, direct, corrected)
+    run = _run(spark, sf, stored_stage=True)
+    ids = assign_ids(run.stored.select("doc_id"), "doc_id")
+    outcome = ("doc_id", "store_status", "store_reason")
+    out = workflow_output(run.processed, run.direct.select(*outcome).join(ids, "doc_id", "left"),
+                          run.corrected.select(*outcome).join(ids, "doc_id", "left"))
     return out.select(
         "doc_id", "final_status_doc_processing",
         F.col("direct_storage_output.status").alias("direct_status"),
@@ -404,16 +404,14 @@ def q_workflow_output(spark, sf):
 # ---------------------------------------------------------------- 2.6 joins, store
 
 def q_apply_corrections(spark, sf):
-    run = _run(spark, sf)
-    c = apply_corrections(run.queue, fx.corrections(spark, sf))
+    c = _run(spark, sf).corrected
     return c.select("doc_id", flag(F.col("correction_missing")).alias("correction_missing"),
                     flag(F.size("errors") == 0).alias("valid"), "document_type_hint",
                     F.col("record.account_number").alias("account_number"))
 
 
 def q_pending_reviews(spark, sf):
-    run = _run(spark, sf)
-    return pending_reviews(run.queue, fx.corrections(spark, sf)).select("doc_id", "original_document_path")
+    return _run(spark, sf).pending.select("doc_id", "original_document_path")
 
 
 def _stored_columns(df: DataFrame) -> DataFrame:
@@ -426,19 +424,19 @@ def _stored_columns(df: DataFrame) -> DataFrame:
 
 
 def q_store_all(spark, sf):
-    return _stored_columns(_run(spark, sf).stored)
+    return _stored_columns(_run(spark, sf, stored_stage=True).stored)
 
 
 def q_enforce_store_constraints(spark, sf):
-    run = _run(spark, sf)
+    run = _run(spark, sf, stored_stage=True)
     d = run.direct.select("doc_id", F.lit("direct").alias("branch"), "store_error")
     c = run.corrected.select("doc_id", F.lit("corrected").alias("branch"), "store_error")
     return d.unionByName(c)
 
 
 def q_encode_line_items(spark, sf):
-    stored = _run(spark, sf).stored.where(F.col("branch") == "direct")
-    return stored.select("doc_id", flag(F.col("line_items").isNull()).alias("is_null"),
+    stored = _run(spark, sf, stored_stage=True).stored
+    return stored.select("doc_id", "branch", flag(F.col("line_items").isNull()).alias("is_null"),
                          "line_items", _items_sum(_json_items("line_items")).alias("items_sum"))
 
 
@@ -462,9 +460,15 @@ def q_stream_corrections(spark, sf):
 
 def q_stream_append(spark, sf):
     from ..streaming.pipeline import stream_append_once
-    run = _run(spark, sf)
-    table = stream_append_once(spark, run.stored)
-    return table.select("account_number", "customer_name", ds("billing_date").alias("billing_date"),
+    table = stream_append_once(spark, _run(spark, sf, stored_stage=True).stored)
+    return table.select(as_long("id").alias("id"), "account_number", "customer_name", ds("billing_date").alias("billing_date"),
+                        F.col("total_amount_due").cast("double").alias("total_amount_due"), "document_type")
+
+
+def q_stream_all(spark, sf):
+    from ..streaming.pipeline import stream_all_once
+    table = stream_all_once(spark, _pipeline_docs(spark, sf), fx.responses(spark, sf), fx.corrections(spark, sf))
+    return table.select(as_long("id").alias("id"), "account_number", "customer_name", ds("billing_date").alias("billing_date"),
                         F.col("total_amount_due").cast("double").alias("total_amount_due"), "document_type")
 
 
@@ -507,6 +511,7 @@ QUERIES: dict[str, Query] = {
     "document_status": q_document_status,
     "route_decision": q_route_decision,
     "validate_direct": q_validate_direct,
+    "validate_direct_json": q_validate_direct_json,
     "validate_corrected": q_validate_corrected,
     "capture_errors": q_capture_errors,
     "task_log": q_task_log,
@@ -519,5 +524,6 @@ QUERIES: dict[str, Query] = {
     "stream_ingest": q_stream_ingest,
     "stream_corrections": q_stream_corrections,
     "stream_append": q_stream_append,
+    "stream_all": q_stream_all,
     "registered_stage": q_registered_stage,
 }

@@ -55,33 +55,50 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .drop("c_custkey", "l_orderkey"))
 
 
+def payment_amount(f=F.col) -> Column:
+    """Payment printed on odd layouts, as a positive amount."""
+    return (f("o_custkey") % 500).cast("double") + 0.25
+
+
 def statement_text(f=F.col) -> Column:
-    """Markdown statement for one ``order_facts`` row (layout in FIXTURES.md)."""
-    d = f("d")
+    """Markdown statement for one ``order_facts`` row, in layout ``o_orderkey % 4`` (see FIXTURES.md)."""
+    d, layout = f("d"), f("o_orderkey") % 4
     long_date = lambda c: F.date_format(c, "MMMM d, yyyy")
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    block = lambda when, *lines: F.when(when, F.concat_ws("\n", *lines))
+    plain, headed = layout < 2, layout >= 2
     item_rows = F.transform(F.coalesce(f("items"), F.array()), lambda x: F.format_string(
         "|Part %d supplier %d|%s|", x["l_partkey"], x["l_suppkey"], format_money(x["l_extendedprice"])))
     has_items = F.size(F.coalesce(f("items"), F.array())) > 0
     account = group_account(F.lpad(f("o_custkey").cast("string"), 10, "0"))
+    service = F.format_string("%d Elm Street", "o_custkey")
+    mail = F.format_string("PO Box %d", "o_custkey")
+    blank, total, due = F.lit(""), format_money(f("o_totalprice")), F.date_add(d, 14)
     return F.concat_ws(
         "\n",
-        F.lit("# Total amount due"), F.lit(""),
-        format_money(f("o_totalprice") + 100), F.lit(""),
-        F.concat(F.lit("Bill date: "), long_date(d)), F.lit(""),
-        F.concat(F.lit("For the period: "), long_date(F.date_sub(d, 31)), F.lit(" to "),
-                 long_date(F.date_sub(d, 1))), F.lit(""),
-        F.concat(F.lit("|Balance from last bill|"), F.coalesce(format_money(f("c_acctbal")), F.lit("")),
-                 F.lit("|")),
+        F.lit("# Total amount due"), blank, format_money(f("o_totalprice") + 100), blank,
+        # The last layout leaves the first date empty and abbreviates the second.
+        block(layout == 3, F.lit("Bill date:"), line("Billing date: ", F.date_format(d, "MMM'.' d, yyyy"))),
+        block(layout != 3, line("Bill date: ", long_date(d))), blank,
+        line("For the period: ", long_date(F.date_sub(d, 31)), " to ", long_date(F.date_sub(d, 1))), blank,
+        F.format_string("Summary: order %d", "o_orderkey"), blank,
+        block(plain, line("Service address: ", service)), block(headed, F.lit("# Service address"), blank, service), blank,
+        block(plain, line("Mailing address: ", mail)), block(headed, F.lit("# Billing address"), blank, mail), blank,
+        block(layout == 2, F.lit("# Please pay by"), blank, long_date(due), blank),
+        block(layout == 3, line("Due date: ", F.date_format(due, "yyyy-MM-dd")), blank),
+        line(F.when(plain, "|Balance from last bill|").otherwise("|Previous balance|"),
+             F.coalesce(format_money(f("c_acctbal")), F.lit("")), "|"),
         F.lit("|---|---|"),
-        F.concat(F.lit("|Total amount due by "), F.date_format(F.date_add(d, 14), "MMM d, yyyy"), F.lit("|"),
-                 format_money(f("o_totalprice")), F.lit("|")),
+        block(layout % 2 == 1, line("|Payment received - thank you|", format_money(-payment_amount(f)), "|")),
+        block(layout == 0, line("|Total amount due by ", F.date_format(due, "MMM d, yyyy"), "|", total, "|")),
+        block(layout == 1, blank, line("# Total amount due by ", F.date_format(due, "MMM d, yyyy")), blank, total),
         F.lit("---"),
-        F.concat(F.lit("# "), F.coalesce(f("c_name"), F.lit(""))), F.lit(""),
-        F.concat(F.lit("Your account number: "), account), F.lit(""),
-        F.lit("# Charges"), F.lit(""),
+        line("# ", F.coalesce(f("c_name"), F.lit(""))), blank,
+        block(plain, line("Your account number: ", account)), block(headed, F.lit("# Account number"), blank, account), blank,
+        F.when(plain, "# Charges").otherwise("# This month's charges and credits"), blank,
         F.when(has_items, F.lit("|Description|Amount|\n|---|---|")),
         F.when(has_items, F.array_join(item_rows, "\n")),
-        F.concat(F.lit("|Total charges|"), format_money(f("o_totalprice")), F.lit("|")),
+        line(F.when(plain, "|Total charges|").otherwise("|This month's charges and credits|"), total, "|"),
     )
 
 
@@ -218,3 +235,15 @@ def pipeline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = statements(spark, sf_dir)
     return st.withColumn("text", F.when(F.col("doc_id") % 10 == 9, F.lit(" \n\t 　\n"))
                          .otherwise(F.col("text")))
+
+
+def storage_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, payload_json)``: a storage payload per order around its model response, by class:
+    3 to 5 hold an invalid record, 6 an empty one, 7 is an empty payload, 8 has no text, 9 is absent."""
+    facts = order_facts(spark, sf_dir)
+    k = _klass(F.col("o_orderkey"))
+    text = F.when(k == 8, F.lit("null")).otherwise(F.lit('"bill text"'))
+    payload = F.concat(F.lit('{"pseg_data_dict": '), response_json(), F.lit(', "full_ocr_text": '), text,
+                       F.lit(', "document_type": "PSEG_BILL"}'))
+    return facts.select(F.col("o_orderkey").alias("doc_id"),
+                        F.when(k == 7, F.lit("{}")).when(k != 9, payload).alias("payload_json"))

@@ -3,17 +3,15 @@
 Expected values come from the base tables and the fixture rules of
 ``plans.fixtures`` (response class ``o_orderkey % 10``, review class
 ``(o_orderkey // 10) % 4``, constraint cases ``% 97``, ``% 101``, ``% 103``), not from
-the Spark operators. Three oracles necessarily state the same logic in SQL
-(``html_to_markdown``, ``render_prompt``, ``filter_blank_content``); they are built
-from the same constants so wording cannot drift.
+the Spark operators. ``html_to_markdown``, ``render_prompt`` and ``filter_blank_content`` are
+written out here on their own, from the pages' known structure and the prompt's wording.
 """
 
 from __future__ import annotations
 
-from ..operators.text import HTML_TO_MARKDOWN_STEPS, system_prompt, user_prompt_parts
 from ..schemas import (
     DEFAULT_DOCUMENT_TYPE, MSG_CORRECTION_INSERT_FAILED, MSG_CORRECTION_INVALID, MSG_CORRECTION_MISSING,
-    MSG_INSERT_FAILED, MSG_NO_CONTENT, MSG_NO_PATH,
+    MSG_INSERT_FAILED, MSG_NO_CONTENT, MSG_NO_PATH, MSG_NO_PAYLOAD, MSG_NO_RECORD, MSG_NO_TEXT_OR_TYPE, MSG_RECORD_INVALID,
 )
 from .fixtures import LONG_TYPE
 
@@ -30,7 +28,7 @@ def lit(s: str) -> str:
 # Orders with their fixture classes, customer and line-item totals.
 O = """
 o AS (
-  SELECT o_orderkey AS doc_id, o_orderkey % 10 AS k, (o_orderkey // 10) % 4 AS r,
+  SELECT o_orderkey AS doc_id, o_orderkey % 10 AS k, (o_orderkey // 10) % 4 AS r, o_orderkey % 4 AS v,
          o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS d
   FROM orders),
 li AS (
@@ -82,30 +80,34 @@ SELECT doc_id, CASE WHEN m IN (3, 4, 5) THEN 0 ELSE 1 END::BIGINT AS path_ok,
 FROM m
 """
 
+# What the statement layouts (v) print.
+SERVICE = "CAST(o_custkey AS VARCHAR) || ' Elm Street'"
+MAIL = "'PO Box ' || CAST(o_custkey AS VARCHAR)"
+SUMMARY = "'order ' || CAST(doc_id AS VARCHAR)"
+DECOY = "CAST(CAST(o_totalprice + 100 AS DECIMAL(18,2)) AS DOUBLE)"
+TOTAL_READ = f"CASE WHEN v < 2 THEN o_totalprice ELSE {DECOY} END"
+PAYMENT = "CASE WHEN v % 2 = 1 THEN o_custkey % 500 + 0.25::DOUBLE END"
+
 BILL_ROW = f"""
   doc_id, {ACCOUNT} AS account_number, c_name AS customer_name,
-  NULL::VARCHAR AS service_address, NULL::VARCHAR AS billing_address,
+  {SERVICE} AS service_address, {MAIL} AS billing_address,
   {DS.format('d')} AS billing_date, {DS.format('d - 31')} AS billing_period_start_date,
   {DS.format('d - 1')} AS billing_period_end_date, {DS.format('d + 14')} AS due_date,
-  o_totalprice AS total_amount_due, c_acctbal AS previous_balance, NULL::DOUBLE AS payments_received,
+  {TOTAL_READ} AS total_amount_due, c_acctbal AS previous_balance, {PAYMENT} AS payments_received,
   o_totalprice AS current_charges"""
 
 SQL["bills_table"] = _w(f"""
-SELECT {BILL_ROW}, n_items::BIGINT AS n_items, NULL::VARCHAR AS raw_text_summary,
+SELECT {BILL_ROW}, n_items::BIGINT AS n_items, {SUMMARY} AS raw_text_summary,
   {lit(DEFAULT_DOCUMENT_TYPE)} AS document_type
 FROM oc""")
 
 SQL["extract_bills"] = _w(f"""
-SELECT doc_id, {ACCOUNT} AS account_number, c_name AS customer_name,
-  {DS.format('d')} AS billing_date, {DS.format('d - 31')} AS billing_period_start_date,
-  {DS.format('d - 1')} AS billing_period_end_date, {DS.format('d + 14')} AS due_date,
-  o_totalprice AS total_amount_due, c_acctbal AS previous_balance, NULL::DOUBLE AS payments_received,
-  o_totalprice AS current_charges, n_items::BIGINT AS n_items, CAST(items_sum AS DOUBLE) AS items_sum
+SELECT {BILL_ROW}, n_items::BIGINT AS n_items, CAST(items_sum AS DOUBLE) AS items_sum, {SUMMARY} AS raw_text_summary
 FROM oc""")
 
 SQL["export_records_json"] = _w(f"""
 SELECT doc_id, {ACCOUNT} AS account_number, {DS.format('d')} AS billing_date,
-  o_totalprice AS total_amount_due, 14::BIGINT AS n_keys,
+  {TOTAL_READ} AS total_amount_due, 14::BIGINT AS n_keys,
   CASE WHEN n_items > 0 THEN n_items END::BIGINT AS n_items
 FROM oc""")
 
@@ -135,7 +137,10 @@ SELECT row_number() OVER (ORDER BY doc_id)::BIGINT AS id, account_number, billin
 FROM stored""")
 
 SQL["stream_append"] = _w(f""", {STORED.strip()}
-SELECT account_number, customer_name, billing_date, total_amount_due, document_type FROM stored""")
+SELECT row_number() OVER (ORDER BY doc_id)::BIGINT AS id, account_number, customer_name, billing_date, total_amount_due,
+  document_type
+FROM stored""")
+SQL["stream_all"] = SQL["stream_append"]
 
 SQL["filter_blank_content"] = f"""
 SELECT doc_id, CASE WHEN text IS NULL OR regexp_full_match(text, '{BLANK_CLASS}') THEN 1 ELSE 0 END::BIGINT
@@ -159,15 +164,20 @@ SELECT doc_id, length(text)::BIGINT AS n_chars_measured, n_chars::BIGINT AS n_ch
 SQL["context_budget"] = """
 SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS approx_tokens,
   CASE WHEN ceil(length(text) / 4.0) > 3000 THEN 1 ELSE 0 END::BIGINT AS over_budget,
-  least(length(text), 12000)::BIGINT AS kept_chars
+  length(text)::BIGINT AS kept_chars
 FROM documents
 """
 
-_head, _tail = user_prompt_parts()
+SYSTEM = ("You turn PSEG_BILL documents into JSON. Answer with a single JSON object that follows the BillRecord schema; "
+          "write dates as YYYY-MM-DD. The document is Markdown.")
+HEAD = ("Fields to extract: account_number, customer_name, service_address, billing_address, billing_date, "
+        "billing_period_start_date, billing_period_end_date, due_date, total_amount_due, previous_balance, payments_received, "
+        "current_charges, line_items, raw_text_summary.\nDocument:\n<<<\n")
+TAIL = "\n>>>\nAnswer with the JSON object only."
 SQL["render_prompt"] = f"""
-SELECT doc_id, 1::BIGINT AS seq, 'system' AS role, {lit(system_prompt())} AS content FROM documents
+SELECT doc_id, 1::BIGINT AS seq, 'system' AS role, {lit(SYSTEM)} AS content FROM documents
 UNION ALL
-SELECT doc_id, 2::BIGINT AS seq, 'user' AS role, {lit(_head)} || text || {lit(_tail)} AS content FROM documents
+SELECT doc_id, 2::BIGINT AS seq, 'user' AS role, {lit(HEAD)} || text || {lit(TAIL)} AS content FROM documents
 """
 
 SQL["assemble_parts"] = f"""
@@ -181,65 +191,80 @@ SELECT ids.conv_id, agg.text FROM ids LEFT JOIN agg ON ids.conv_id = agg.conv_id
 """
 
 
-def _html_sql() -> str:
-    expr = "html"
-    for pattern, repl in HTML_TO_MARKDOWN_STEPS:
-        expr = f"regexp_replace({expr}, {lit(pattern)}, {lit(repl) if repl else chr(39) * 2}, 'g')"
-    return f"SELECT page_id, {expr} AS markdown FROM pages"
-
-
-SQL["html_to_markdown"] = _html_sql()
+# The pages' known structure: what counts stands between the menu and the footer, in a few kinds of elements.
+_BLOCKS = ["<div class=\"ad\">", "</div>", "<article>", "</article>", "</h1>", "<p>", "</p>", "<br>"]
+_html = "split_part(split_part(html, '</nav>', 2), '<footer>', 1)"
+for _tag in _BLOCKS:
+    _html = f"replace({_html}, {lit(_tag)}, chr(10))"
+for _old, _new in (("<h1>", "chr(10) || '# '"), ("<b>", "''"), ("</b>", "''")):
+    _html = f"replace({_html}, {lit(_old)}, {_new})"
+_html = f"regexp_replace({_html}, '<!-- ad [0-9]+ -->', '', 'g')"
+for _old, _new in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _html = f"replace({_html}, {lit(_old)}, {lit(_new)})"
+SQL["html_to_markdown"] = f"""
+SELECT page_id, trim(regexp_replace({_html}, '\\n\\n+', chr(10) || chr(10), 'g'), chr(10)) AS markdown FROM pages
+"""
 
-SQL["split_pages"] = _w("""
-SELECT doc_id, 1::BIGINT AS page, 11::BIGINT AS n_lines, '# Total amount due' AS first_line FROM oc
+P1_LINES = "CASE v WHEN 0 THEN 17 WHEN 1 THEN 21 ELSE 24 END"
+ITEM_LINES = "CASE WHEN n_items > 0 THEN 2 + n_items ELSE 0 END"
+DUE_HEADING = "'Total amount due by ' || strftime(d + 14, '%b %-d, %Y')"
+CHARGES = "CASE WHEN v < 2 THEN 'Charges' ELSE 'This month''s charges and credits' END"
+SQL["split_pages"] = _w(f"""
+SELECT doc_id, 1::BIGINT AS page, ({P1_LINES})::BIGINT AS n_lines, '# Total amount due' AS first_line FROM oc
 UNION ALL
-SELECT doc_id, 2::BIGINT AS page, (7 + CASE WHEN n_items > 0 THEN 2 + n_items ELSE 0 END)::BIGINT AS n_lines,
+SELECT doc_id, 2::BIGINT AS page, (CASE WHEN v < 2 THEN 7 ELSE 9 END + {ITEM_LINES})::BIGINT AS n_lines,
   '# ' || coalesce(c_name, '') AS first_line FROM oc""")
 
-SQL["heading_sections"] = _w("""
-SELECT doc_id, 1::BIGINT AS page, 'Total amount due' AS heading, 11::BIGINT AS n_lines FROM oc
-UNION ALL
-SELECT doc_id, 2::BIGINT, coalesce(c_name, ''), 4::BIGINT FROM oc
-UNION ALL
-SELECT doc_id, 2::BIGINT, 'Charges', (3 + CASE WHEN n_items > 0 THEN 2 + n_items ELSE 0 END)::BIGINT FROM oc""")
+SQL["heading_sections"] = _w(f"""
+SELECT doc_id, 1::BIGINT AS page, 'Total amount due' AS heading,
+  (CASE v WHEN 0 THEN 17 WHEN 1 THEN 18 WHEN 2 THEN 10 ELSE 11 END)::BIGINT AS n_lines FROM oc
+UNION ALL SELECT doc_id, 1::BIGINT, {DUE_HEADING}, 3::BIGINT FROM oc WHERE v = 1
+UNION ALL SELECT doc_id, 1::BIGINT, 'Service address', 4::BIGINT FROM oc WHERE v >= 2
+UNION ALL SELECT doc_id, 1::BIGINT, 'Billing address', (CASE WHEN v = 2 THEN 4 ELSE 9 END)::BIGINT FROM oc WHERE v >= 2
+UNION ALL SELECT doc_id, 1::BIGINT, 'Please pay by', 6::BIGINT FROM oc WHERE v = 2
+UNION ALL SELECT doc_id, 2::BIGINT, coalesce(c_name, ''), (CASE WHEN v < 2 THEN 4 ELSE 2 END)::BIGINT FROM oc
+UNION ALL SELECT doc_id, 2::BIGINT, 'Account number', 4::BIGINT FROM oc WHERE v >= 2
+UNION ALL SELECT doc_id, 2::BIGINT, {CHARGES}, (3 + {ITEM_LINES})::BIGINT FROM oc""")
 
 SQL["table_cells"] = _w("""
-SELECT doc_id, 1::BIGINT AS page, 2::BIGINT AS n_rows, 4::BIGINT AS n_cells FROM oc
+SELECT doc_id, 1::BIGINT AS page, (CASE WHEN v = 2 THEN 1 ELSE 2 END)::BIGINT AS n_rows,
+  (CASE WHEN v = 2 THEN 2 ELSE 4 END)::BIGINT AS n_cells FROM oc
 UNION ALL
 SELECT doc_id, 2::BIGINT, (1 + CASE WHEN n_items > 0 THEN 1 + n_items ELSE 0 END)::BIGINT,
   (2 * (1 + CASE WHEN n_items > 0 THEN 1 + n_items ELSE 0 END))::BIGINT FROM oc""")
 
 MONEY_TXT = "CAST(CAST({} AS DECIMAL(18,2)) AS VARCHAR)"
+RANK_12 = "CASE WHEN v < 2 THEN 1 ELSE 2 END"
 CANDIDATES = f"""
 cand AS (
-  SELECT doc_id, 'account_number' AS field, 1 AS rank, 2 AS page, {ACCOUNT} AS value,
-         {ACCOUNT} AS acct FROM oc
+  SELECT doc_id, 'account_number' AS field, {RANK_12} AS rank, 2 AS page, {ACCOUNT} AS value, {ACCOUNT} AS raw FROM oc
   UNION ALL SELECT doc_id, 'customer_name', 1, 2, c_name, NULL FROM oc
-  UNION ALL SELECT doc_id, 'billing_date', 1, 1, {DS.format('d')}, strftime(d, '%B %-d, %Y') FROM oc
-  UNION ALL SELECT doc_id, 'billing_period_start_date', 1, 1, {DS.format('d - 31')},
-                   strftime(d - 31, '%B %-d, %Y') FROM oc
-  UNION ALL SELECT doc_id, 'billing_period_end_date', 1, 1, {DS.format('d - 1')},
-                   strftime(d - 1, '%B %-d, %Y') FROM oc
-  UNION ALL SELECT doc_id, 'due_date', 1, 1, {DS.format('d + 14')}, strftime(d + 14, '%b %-d, %Y') FROM oc
-  UNION ALL SELECT doc_id, 'total_amount_due', 1, 1, {MONEY_TXT.format('o_totalprice')}, NULL FROM oc
+  UNION ALL SELECT doc_id, 'service_address', {RANK_12}, 1, {SERVICE}, NULL FROM oc
+  UNION ALL SELECT doc_id, 'billing_address', {RANK_12}, 1, {MAIL}, NULL FROM oc
+  UNION ALL SELECT doc_id, 'billing_date', 1, 1, {DS.format('d')},
+                   CASE WHEN v = 3 THEN strftime(d, '%b. %-d, %Y') ELSE strftime(d, '%B %-d, %Y') END FROM oc
+  UNION ALL SELECT doc_id, 'billing_period_start_date', 1, 1, {DS.format('d - 31')}, strftime(d - 31, '%B %-d, %Y') FROM oc
+  UNION ALL SELECT doc_id, 'billing_period_end_date', 1, 1, {DS.format('d - 1')}, strftime(d - 1, '%B %-d, %Y') FROM oc
+  UNION ALL SELECT doc_id, 'due_date', CASE WHEN v < 2 THEN 1 ELSE v END, 1, {DS.format('d + 14')},
+                   CASE v WHEN 2 THEN strftime(d + 14, '%B %-d, %Y') WHEN 3 THEN strftime(d + 14, '%Y-%m-%d') ELSE strftime(d + 14, '%b %-d, %Y') END FROM oc
+  UNION ALL SELECT doc_id, 'total_amount_due', v + 1, 1, {MONEY_TXT.format('o_totalprice')}, NULL FROM oc WHERE v < 2
   UNION ALL SELECT doc_id, 'total_amount_due', 3, 1, {MONEY_TXT.format('o_totalprice + 100')}, NULL FROM oc
-  UNION ALL SELECT doc_id, 'previous_balance', 1, 1, {MONEY_TXT.format('c_acctbal')}, NULL FROM oc
-  UNION ALL SELECT doc_id, 'current_charges', 1, 2, {MONEY_TXT.format('o_totalprice')}, NULL FROM oc)
+  UNION ALL SELECT doc_id, 'previous_balance', {RANK_12}, 1, {MONEY_TXT.format('c_acctbal')}, NULL FROM oc
+  UNION ALL SELECT doc_id, 'payments_received', 1, 1, {MONEY_TXT.format('-(' + PAYMENT + ')')}, NULL FROM oc WHERE v % 2 = 1
+  UNION ALL SELECT doc_id, 'current_charges', {RANK_12}, 2, {MONEY_TXT.format('o_totalprice')}, NULL FROM oc
+  UNION ALL SELECT doc_id, 'raw_text_summary', 1, 1, {SUMMARY}, NULL FROM oc)
 """
 
 SQL["label_candidates"] = _w(f""", {CANDIDATES.strip()}
 SELECT doc_id, field, rank::BIGINT AS rank, page::BIGINT AS page, value FROM cand""")
 
 SQL["normalize_dates"] = _w(f""", {CANDIDATES.strip()}
-SELECT doc_id, field, acct AS raw, value FROM cand
+SELECT doc_id, field, raw, value FROM cand
 WHERE field IN ('billing_date', 'billing_period_start_date', 'billing_period_end_date', 'due_date')""")
 
-SQL["parse_money"] = _w("""
-SELECT doc_id, 'total_amount_due' AS field, 1::BIGINT AS rank, o_totalprice AS amount FROM oc
-UNION ALL SELECT doc_id, 'total_amount_due', 3::BIGINT,
-  CAST(CAST(o_totalprice + 100 AS DECIMAL(18,2)) AS DOUBLE) FROM oc
-UNION ALL SELECT doc_id, 'previous_balance', 1::BIGINT, c_acctbal FROM oc
-UNION ALL SELECT doc_id, 'current_charges', 1::BIGINT, o_totalprice FROM oc""")
+SQL["parse_money"] = _w(f""", {CANDIDATES.strip()}
+SELECT doc_id, field, rank::BIGINT AS rank, CAST(value AS DOUBLE) AS amount FROM cand
+WHERE field IN ('total_amount_due', 'previous_balance', 'payments_received', 'current_charges')""")
 
 SQL["normalize_account"] = _w(f"""
 SELECT doc_id, substr({ACCOUNT}, 1, 2) || ' ' || substr({ACCOUNT}, 3, 3) || ' ' || substr({ACCOUNT}, 6, 5) AS raw,
@@ -255,10 +280,10 @@ FROM lineitem
 """
 
 SQL["model_extract"] = _w(f"""
-SELECT doc_id, CASE WHEN n_items > 0 THEN {ACCOUNT} END AS account_number,
+SELECT doc_id, attempt::BIGINT AS attempt, CASE WHEN n_items > 0 THEN {ACCOUNT} END AS account_number,
   CASE WHEN n_items > 0 THEN c_name END AS customer_name,
   CASE WHEN n_items > 0 THEN 0 ELSE 1 END::BIGINT AS has_error
-FROM oc WHERE k <> 9""")
+FROM oc, unnest([1, 2, 3]) AS u(attempt) WHERE k <> 9 AND (attempt = 1 OR n_items = 0)""")
 
 SQL["validate_response"] = _w(f"""
 SELECT doc_id, CASE WHEN {FAILURE} THEN 0 ELSE 1 END::BIGINT AS valid,
@@ -309,27 +334,42 @@ SELECT doc_id, CASE WHEN ({CORRECTED_REASON}) IS NULL THEN 'COMPLETED' ELSE 'FAI
   {CORRECTED_REASON} AS store_reason
 FROM o WHERE {FAILURE} AND r <> 0""")
 
-SQL["capture_errors"] = _w("""
-SELECT doc_id, 'FAILED' AS status, 'PIPELINE_ERROR' AS route, 'Critical error: ValueError: no charges table' AS reason
-FROM oc WHERE k <> 9 AND n_items = 0""")
+SQL["validate_direct_json"] = _w(f"""
+SELECT doc_id, CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS store_status, reason AS store_reason
+FROM (SELECT doc_id, CASE
+    WHEN k IN (7, 9) THEN {lit(MSG_NO_PAYLOAD)}
+    WHEN k = 6 THEN {lit(MSG_NO_RECORD)}
+    WHEN k = 3 THEN {lit(MSG_RECORD_INVALID + '1 validation error: account_number: string_type')}
+    WHEN k = 4 THEN {lit(MSG_RECORD_INVALID + '1 validation error: billing_date: date_from_datetime_parsing')}
+    WHEN k = 5 THEN {lit(MSG_RECORD_INVALID + '1 validation error: line_items: list_type')}
+    WHEN k = 8 THEN {lit(MSG_NO_TEXT_OR_TYPE)}
+    WHEN doc_id % 97 = 0 OR doc_id % 103 = 0 THEN {lit(MSG_INSERT_FAILED)} END AS reason FROM o)""")
+
+SQL["capture_errors"] = _w(f"""
+SELECT doc_id, CASE WHEN k = 9 OR doc_id % 13 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+  CASE WHEN k = 9 THEN NULL WHEN doc_id % 13 = 0 THEN 'PIPELINE_ERROR' WHEN n_items = 0 THEN 'LLM_FAILURE'
+       ELSE 'LLM_SUCCESS' END AS route,
+  CASE WHEN k = 9 THEN {lit(MSG_NO_CONTENT)}
+       WHEN doc_id % 13 = 0 THEN 'Critical error: OSError: document store unavailable' END AS reason
+FROM oc""")
 
 SQL["task_log"] = _w(f""", {STORED.strip()},
 ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS id FROM stored)
 SELECT doc_id, 'process_document' AS task, 1::BIGINT AS seq,
-  CASE WHEN k = 9 THEN 'Parsing failed or no content for ' || {PATH} || '.'
-       WHEN {FAILURE} THEN 'Processed ' || {PATH} || ', extraction failed. Sent for human review.'
-       ELSE 'Processed ' || {PATH} || ', extraction successful.' END AS entry
+  CASE WHEN k = 9 THEN 'skipped ' || {PATH} || ': it holds no text'
+       WHEN {FAILURE} THEN 'no record read from ' || {PATH} || ', a reviewer is asked'
+       ELSE 'record read from ' || {PATH} END AS entry
 FROM o
 UNION ALL
 SELECT doc_id, 'store_document_data', 1::BIGINT,
-  CASE WHEN {DIRECT_REFUSED} THEN 'DB insertion failed.'
-       ELSE 'Data stored with ID: ' || CAST(ids.id AS VARCHAR) END
+  CASE WHEN {DIRECT_REFUSED} THEN 'extracted record refused by the table'
+       ELSE 'extracted record is row ' || CAST(ids.id AS VARCHAR) END
 FROM o LEFT JOIN ids USING (doc_id) WHERE {SUCCESS}
 UNION ALL
 SELECT doc_id, 'process_human_corrected_data', 1::BIGINT,
   CASE WHEN r = 3 THEN {lit(MSG_CORRECTION_MISSING)} WHEN r = 2 THEN {lit(RECORD_INVALID)}
-       WHEN {CORRECTED_REFUSED} THEN 'DB insertion (human corrected) failed.'
-       ELSE 'Human corrected data stored with ID: ' || CAST(ids.id AS VARCHAR) END
+       WHEN {CORRECTED_REFUSED} THEN 'reviewed record refused by the table'
+       ELSE 'reviewed record is row ' || CAST(ids.id AS VARCHAR) END
 FROM o LEFT JOIN ids USING (doc_id) WHERE {FAILURE} AND r <> 0""")
 
 SQL["apply_corrections"] = _w(f"""
@@ -361,11 +401,12 @@ items AS (
     to_json(list({{'description': 'Part ' || CAST(l_partkey AS VARCHAR) || ' supplier ' || CAST(l_suppkey AS VARCHAR),
                    'amount': l_extendedprice}} ORDER BY l_linenumber, l_partkey, l_suppkey))::VARCHAR AS js
   FROM lineitem GROUP BY l_orderkey)
-SELECT doc_id, CASE WHEN k IN (6, 8) OR n_items = 0 THEN 1 ELSE 0 END::BIGINT AS is_null,
+SELECT doc_id, CASE WHEN {SUCCESS} THEN 'direct' ELSE 'corrected' END AS branch,
+  CASE WHEN k IN (6, 8) OR n_items = 0 THEN 1 ELSE 0 END::BIGINT AS is_null,
   CASE WHEN k IN (6, 8) THEN NULL ELSE js END AS line_items,
   CASE WHEN k IN (6, 8) THEN 0.0 ELSE CAST(items_sum AS DOUBLE) END AS items_sum
 FROM oc LEFT JOIN items ON l_orderkey = doc_id
-WHERE {SUCCESS} AND NOT {DIRECT_REFUSED}""")
+WHERE ({SUCCESS} AND NOT {DIRECT_REFUSED}) OR ({FAILURE} AND r = 1 AND NOT {CORRECTED_REFUSED})""")
 
 SQL["workflow_output"] = _w(f"""
 SELECT doc_id,
@@ -380,6 +421,6 @@ SELECT doc_id,
 FROM o""")
 
 SQL["registered_stage"] = _w(f"""
-SELECT doc_id, {PATH} AS document_path, {ACCOUNT} AS account_number, o_totalprice AS total_amount_due,
+SELECT doc_id, {PATH} AS document_path, {ACCOUNT} AS account_number, {TOTAL_READ} AS total_amount_due,
   {DS.format('d + 14')} AS due_date
 FROM oc""")

@@ -3,9 +3,9 @@
 work items + documents -> status (guard, blank check, extraction result) -> routes:
 success -> payload -> direct-store checks; failure -> review queue -> corrections ->
 corrected-store checks; everything else is counted, not stored. Both branches land
-in one table. All joins are keyed by ``doc_id``; with ``materialize`` the routed
-stage is written once to the shared checkpoint folder and read back, so the
-branches (and a costly extractor) do not recompute it.
+in one table. All joins are keyed by ``doc_id``. A caller that uses two or more
+branches asks for ``stored_stage``: the routed stage is then computed once and kept in the
+shared folder; with one branch only, Spark prunes what that branch does not need.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.responses import first_valid_attempt, validate_response
+from ..operators.responses import first_valid_response
 from ..operators.review import apply_corrections, pending_reviews
 from ..operators.routing import (
     build_storage_payload, document_status, review_queue, route_decision, validate_corrected,
@@ -23,7 +23,7 @@ from ..operators.routing import (
 )
 from ..operators.store import constraint_error, table_rows
 from ..schemas import MODEL_MAX_RETRIES, STATUS_COMPLETED
-from ..session import materialize as materialize_stage
+from ..session import cut
 
 
 @dataclass
@@ -46,28 +46,19 @@ def join_documents(documents: DataFrame, work: DataFrame) -> DataFrame:
 
 
 def extraction_results(responses: DataFrame, max_attempts: int = MODEL_MAX_RETRIES + 1) -> DataFrame:
-    """``(doc_id, record, extract_error)``: first valid attempt, or the error of the
-    extractor when no attempt produced a response at all."""
-    checked = validate_response(responses)
-    best = first_valid_attempt(checked, max_attempts)
-    if "error" in responses.columns:
-        errs = (responses.where(F.col("error").isNotNull())
-                .groupBy("doc_id").agg(F.min_by("error", "attempt").alias("extract_error"),
-                                       F.count(F.col("response")).alias("_n_ok")))
-        errs = errs.where(F.col("_n_ok") == 0).drop("_n_ok")
-        return best.select("doc_id", "record").join(errs, "doc_id", "full")
-    return best.select("doc_id", "record", F.lit(None).cast("string").alias("extract_error"))
+    """``(doc_id, record)``: the first valid attempt. Documents whose model calls all failed or
+    gave nothing valid are absent, so they have no record and go to review."""
+    return first_valid_response(responses, max_attempts).select("doc_id", "record")
 
 
 def run_pipeline(documents: DataFrame, responses: DataFrame, corrections: DataFrame,
-                 max_attempts: int = MODEL_MAX_RETRIES + 1, materialize: bool = False) -> PipelineRun:
-    """``documents``: doc_id, document_path, document_type_hint, text.
-    ``responses``: doc_id, attempt, response[, error]. ``corrections``: doc_id, corrected."""
+                 max_attempts: int = MODEL_MAX_RETRIES + 1, stored_stage: bool = False) -> PipelineRun:
+    """``documents``: doc_id, document_path, document_type_hint, text[, pipeline_error].
+    ``responses``: doc_id, attempt, response. ``corrections``: doc_id, corrected."""
     results = extraction_results(responses, max_attempts)
     processed = document_status(documents.join(results, "doc_id", "left"))
-    if materialize:
-        # Bucketed by doc_id: the review, pending and output joins leave it in place.
-        processed = materialize_stage(processed, "processed", bucket_by="doc_id")
+    if stored_stage:
+        processed = cut(processed)
     routes = route_decision(processed)
 
     direct = build_storage_payload(routes["success"])
@@ -78,6 +69,8 @@ def run_pipeline(documents: DataFrame, responses: DataFrame, corrections: DataFr
     corrected = apply_corrections(queue, corrections)
     corrected = corrected.withColumn("store_error", constraint_error("record", "document_type_hint"))
     corrected = validate_corrected(corrected)
+    if stored_stage:
+        corrected = cut(corrected)  # its keys number the rows, its rows are stored
     pending = pending_reviews(queue, corrections)
 
     ok = F.col("store_status") == STATUS_COMPLETED

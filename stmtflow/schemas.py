@@ -44,10 +44,10 @@ def _spark_kind(kind) -> T.DataType:
     return {STRING: T.StringType(), DATE: T.DateType(), FLOAT: T.DoubleType()}[kind]
 
 
-LINE_ITEM = RecordSchema("PSEGLineItem", (("description", STRING), ("amount", FLOAT)))
+LINE_ITEM = RecordSchema("LineItem", (("description", STRING), ("amount", FLOAT)))
 
 BILL_RECORD = RecordSchema(
-    "PSEGData",
+    "BillRecord",
     (
         ("account_number", STRING),
         ("customer_name", STRING),
@@ -67,7 +67,7 @@ BILL_RECORD = RecordSchema(
 )
 
 INVOICE_RECORD = RecordSchema(
-    "GenericInvoiceData",
+    "InvoiceRecord",
     (
         ("invoice_number", STRING),
         ("vendor_name", STRING),
@@ -98,6 +98,7 @@ MSG_CORRECTION_TEXT_OR_TYPE = ("Missing 'full_ocr_text' or 'document_type_hint'
 MSG_CORRECTION_INVALID = "Corrected PSEGData model reconstruction failed: "
 MSG_CORRECTION_INSERT_FAILED = "DB insertion of human corrected data failed"
 MSG_CRITICAL = "Critical error: "
+RECORD_KEY = "pseg_data_dict"  # the record inside a storage payload
 ACCOUNT_MAX_CHARS = 255      # VARCHAR(255)
 DOCUMENT_TYPE_MAX_CHARS = 100  # VARCHAR(100)
 AMOUNT_PRECISION, AMOUNT_SCALE = 10, 2  # NUMERIC(10, 2)

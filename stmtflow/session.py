@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for a local run; on a cluster these come from the job's own config.
 LOCAL_CONF = {
@@ -41,8 +41,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator of the cluster sets it to shared storage. Only when it is
-    unset (local tests) is a private folder created and registered.
+    On a cluster the operator of the cluster sets it to shared storage; without it nothing
+    can be stored between stages, so it is an error there. Only a local master, whose
+    tasks share the driver's disk, gets a private folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +51,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="stmtflow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -64,21 +67,25 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     return f"{root}/stmtflow/{tail}" if tail else f"{root}/stmtflow"
 
 
-def materialize(df, name: str, bucket_by: str | None = None, buckets: int | None = None):
-    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder and read
-    it back. One computation, columnar, and it survives the loss of executors (the
-    folder is shared storage on a cluster); used before a plan branches.
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage through the shared checkpoint folder.
 
-    With ``bucket_by`` the copy is a table bucketed on that key (``buckets`` defaults
-    to ``spark.sql.shuffle.partitions``), so later joins on the key do not shuffle it.
+    For plans that branch: every branch then reads the stored rows, also after executors
+    are lost. Spark owns the files and removes them with the frame where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, "stages", name, unique=True)
-    if bucket_by:
-        from .sources.tables import write_bucketed
-
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        table = f"stmtflow_{name}_{path.rsplit('/', 1)[-1]}"
-        return write_bucketed(df, table, path, n, bucket_by)
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet at ``path`` (shared storage, the caller's to remove) and read it back."""
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

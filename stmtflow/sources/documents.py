@@ -8,17 +8,39 @@ absent, while an explicit ``null`` stays NULL.
 
 from __future__ import annotations
 
+from fnmatch import fnmatchcase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_DOCUMENT_TYPE
 
 
+def empty_files(spark: SparkSession, path: str, path_glob: str | None = None) -> list[str]:
+    """Paths of files without content, which Spark's readers pass over (names only, from the file system's listing)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], [s for s in (fs.globStatus(root) or [])]
+    while todo:
+        status = todo.pop()
+        name = status.getPath().getName()
+        if status.isDirectory():
+            todo += [s for s in fs.listStatus(status.getPath()) if not s.getPath().getName().startswith(("_", "."))]
+        elif status.getLen() == 0 and (path_glob is None or fnmatchcase(name, path_glob)):
+            found.append(status.getPath().toString())
+    return found
+
+
 def read_text_documents(spark: SparkSession, path: str, path_glob: str | None = None) -> DataFrame:
-    """One row per file: ``(document_path, text)``; each file is read whole."""
-    # ``text()`` has its own ``wholetext`` default, so it is passed there, not as an option.
-    df = spark.read.text(path, wholetext=True, pathGlobFilter=path_glob)
-    return df.select(F.col("_metadata.file_path").alias("document_path"), F.col("value").alias("text"))
+    """One row per file, empty files too: ``(document_path, text)``.
+
+    Each file is read whole as bytes and decoded as UTF-8; bytes that are not UTF-8 become
+    replacement characters, so one bad file does not end the job.
+    """
+    df = read_binary_documents(spark, path, path_glob)
+    texts = df.select(F.col("path").alias("document_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    empty = empty_files(spark, path, path_glob)
+    return texts.unionByName(spark.createDataFrame([(p, "") for p in empty], "document_path string, text string")) if empty else texts
 
 
 def read_binary_documents(spark: SparkSession, path: str, path_glob: str | None = None) -> DataFrame:

@@ -1,18 +1,20 @@
 """Structured Streaming forms of the pipeline.
 
 * ``stream_ingest``: documents arrive as files; each micro-batch is joined to the
-  extraction results (a stream-static join), gets its status and route, and is
-  written per branch by ``foreachBatch``.
+  extraction results (a stream-static join), gets its status and route, and is written
+  once, partitioned by branch, with all that the stores and the review need.
 * ``stream_corrections``: review requests and reviewer corrections are two streams
-  joined on ``doc_id``. Without a watermark a request waits without limit, as the
-  human task does in the reference; ``wait_for`` bounds the state when given.
+  joined on ``doc_id``; the join state holds keys and corrections, not texts, which are
+  fetched from the stored requests after the join. A request waits without limit, as the human
+  task does in the reference.
 * ``stream_append``: accepted rows are appended per micro-batch under
   ``batch_id=<n>``; a replayed batch overwrites its own folder, so the sink is
-  idempotent, and ids continue densely from the earlier batches.
+  idempotent. Ids continue densely from the last id that a small manifest keeps per batch.
 
-The ``*_once`` helpers run a stream to completion with ``availableNow`` from inputs
-materialised under the shared checkpoint folder; they back the registered queries
-and tests (batch and stream must agree).
+Sources read whatever has arrived unless the caller bounds a micro-batch with
+``max_files_per_trigger``. The ``*_once`` helpers run a stream to completion with
+``availableNow`` from inputs stored under the shared checkpoint folder; they back the registered
+queries and tests (batch and stream must agree).
 """
 
 from __future__ import annotations
@@ -21,114 +23,125 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.review import apply_corrections, check_corrections
-from ..operators.routing import document_status, route_decision
-from ..operators.store import assign_ids
+from ..operators.review import apply_corrections
+from ..operators.routing import build_storage_payload, document_status, route_branch, validate_corrected, validate_direct
+from ..operators.store import assign_ids, constraint_error, table_rows
 from ..plans.pipeline import extraction_results
-from ..schemas import BILLS_TABLE
-from ..session import materialize, shared_path
+from ..schemas import BILLS_TABLE, STATUS_COMPLETED
+from ..session import cut, materialize, path_exists, shared_path
 
 STREAM_BILLS = T.StructType(BILLS_TABLE.fields + [T.StructField("batch_id", T.LongType(), True)])
+MANIFEST = "batch_id bigint, last_id bigint"
 
 
-def _materialize(df: DataFrame, path: str, files: int = 4) -> T.StructType:
-    """Write a frame as a few Parquet files (a stand-in for arriving data)."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
-    return df.schema
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path)
+
+
+def _start(writer, checkpoint: str, available_now: bool, processing_time: str | None):
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)).start()
 
 
 def stream_ingest(spark: SparkSession, docs_path: str, docs_schema: T.StructType,
                   results: DataFrame, out_path: str, checkpoint: str,
-                  max_files_per_trigger: int = 1, available_now: bool = True,
+                  max_files_per_trigger: int | None = None, available_now: bool = True,
                   processing_time: str | None = None):
     """Start the ingest stream; returns the ``StreamingQuery``.
 
-    ``results`` is the static ``(doc_id, record, extract_error)`` frame. A stream-static
+    ``results`` is the static ``(doc_id, record)`` frame. A stream-static
     join re-reads the static side for every micro-batch, so pass a stored table
     (``session.materialize`` or a bucketed table), not a plan that validates all
-    responses again each time. Each batch writes
-    ``out_path/branch=<success|failure|unrouted>/batch_id=<n>`` (overwrite, so a
-    replayed batch replaces itself).
+    responses again each time. Each batch is written once as
+    ``out_path/batch_id=<n>/branch=<success|failure|unrouted>`` (overwrite, so a
+    replayed batch replaces itself): document, record, status, route and reason.
     """
-    docs = (spark.readStream.schema(docs_schema).option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(docs_path))
-    processed = document_status(docs.join(results, "doc_id", "left"))
+    docs = read_stream(spark, docs_path, docs_schema, max_files_per_trigger)
+    processed = document_status(docs.join(results, "doc_id", "left")).withColumn("branch", route_branch())
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        routes = route_decision(batch.select("doc_id", "status", "route", "reason"))
-        for name, part in routes.items():
-            part.write.mode("overwrite").parquet(f"{out_path}/branch={name}/batch_id={batch_id}")
+        batch.write.mode("overwrite").partitionBy("branch").parquet(f"{out_path}/batch_id={batch_id}")
+
+    return _start(processed.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
+
+
+def ingested(spark: SparkSession, out_path: str) -> DataFrame:
+    """What the ingest stream has written so far (with ``batch_id`` and ``branch``)."""
+    return spark.read.option("basePath", out_path).parquet(f"{out_path}/batch_id=*")
 
-    writer = processed.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
-    return writer.start()
+
+def _ingest_into(spark: SparkSession, base: str, docs: DataFrame, responses: DataFrame) -> str:
+    materialize(docs, f"{base}/in")
+    results = materialize(extraction_results(responses), f"{base}/results")
+    stream_ingest(spark, f"{base}/in", docs.schema, results, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/out"
 
 
 def stream_ingest_once(spark: SparkSession, docs: DataFrame, responses: DataFrame) -> DataFrame:
-    base = shared_path(spark, "streams", "ingest", unique=True)
-    schema = _materialize(docs, f"{base}/in")
-    results = materialize(extraction_results(responses), "stream_results")
-    q = stream_ingest(spark, f"{base}/in", schema, results, f"{base}/out", f"{base}/checkpoint")
-    q.awaitTermination()
-    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
+    return ingested(spark, _ingest_into(spark, shared_path(spark, "streams", "ingest", unique=True), docs, responses))
 
 
-def stream_corrections(queue: DataFrame, corrections: DataFrame, wait_for: str | None = None) -> DataFrame:
-    """Stream-stream inner join of review requests and corrections, validated.
+def stream_corrections(queue: DataFrame, corrections: DataFrame, requests: DataFrame, out_path: str, checkpoint: str,
+                       available_now: bool = True, processing_time: str | None = None):
+    """Start the correction stream; returns the query.
 
-    With ``wait_for`` (e.g. ``"7 days"``) both sides carry an ``arrived_at`` event time
-    column and the join keeps state only that long; without it, state is unbounded.
+    ``queue`` and ``corrections`` are streams; only their keys and the corrected JSON enter the join
+    state. Each batch of matches is joined to ``requests`` (the stored review requests, read
+    again per batch) for text, type and path, validated, and written to ``out_path/batch_id=<n>``.
     """
-    if wait_for:
-        q = queue.withWatermark("arrived_at", wait_for).alias("q")
-        c = corrections.withWatermark("arrived_at", wait_for).alias("c")
-        cond = ((F.col("q.doc_id") == F.col("c.doc_id"))
-                & F.col("c.arrived_at").between(F.col("q.arrived_at"),
-                                                F.col("q.arrived_at") + F.expr(f"INTERVAL {wait_for}")))
-        joined = q.join(c, cond, "inner").select("q.*", F.col("c.corrected")).drop("arrived_at")
-        return check_corrections(joined)
-    return apply_corrections(queue, corrections)
+    matched = queue.select("doc_id").join(corrections.select("doc_id", "corrected"), "doc_id", "inner")
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        apply_corrections(requests, batch).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    return _start(matched.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
+
+
+def _corrections_into(spark: SparkSession, base: str, requests: DataFrame, corrections: DataFrame) -> str:
+    stored = materialize(requests, f"{base}/queue")
+    materialize(corrections, f"{base}/corrections")
+    stream_corrections(read_stream(spark, f"{base}/queue", requests.schema),
+                       read_stream(spark, f"{base}/corrections", corrections.schema),
+                       stored, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/out"
 
 
 def stream_corrections_once(spark: SparkSession, queue: DataFrame, corrections: DataFrame) -> DataFrame:
-    base = shared_path(spark, "streams", "corrections", unique=True)
-    q_schema = _materialize(queue, f"{base}/queue")
-    c_schema = _materialize(corrections, f"{base}/corrections")
-    q_stream = spark.readStream.schema(q_schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/queue")
-    c_stream = spark.readStream.schema(c_schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/corrections")
-    joined = stream_corrections(q_stream, c_stream)
-    query = (joined.writeStream.format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
-
-
-def _max_id_before(spark: SparkSession, table: str, batch_id: int) -> int:
-    try:
-        prior = spark.read.schema(STREAM_BILLS).option("basePath", table).parquet(f"{table}/batch_id=*")
-    except Exception:  # noqa: BLE001 - no batch written yet
+    return ingested(spark, _corrections_into(spark, shared_path(spark, "streams", "corrections", unique=True), queue, corrections))
+
+
+def last_id_before(spark: SparkSession, table: str, batch_id: int) -> int:
+    """Last id of the batches before this one, from the manifest (one small file per batch).
+
+    Only a manifest that does not exist yet means 0; any failure to read it is raised.
+    """
+    manifest = f"{table}_manifest"
+    if not path_exists(spark, manifest):
         return 0
-    row = prior.where(F.col("batch_id") < batch_id).agg(F.max("id").alias("m")).first()
-    return int(row["m"] or 0)
+    rows = spark.read.schema(MANIFEST).option("basePath", manifest).parquet(f"{manifest}/batch_id=*")
+    return int(rows.where(F.col("batch_id") < batch_id).agg(F.max("last_id")).first()[0] or 0)
 
 
 def append_batch(batch: DataFrame, batch_id: int, table: str, order_col: str = "doc_id") -> None:
     """Write one micro-batch of table-layout rows with dense ids after earlier batches."""
     spark = batch.sparkSession
-    base = _max_id_before(spark, table, batch_id)
-    rows = assign_ids(batch, order_col, base).withColumn("created_at", F.current_timestamp())
-    (rows.select(*[f.name for f in BILLS_TABLE.fields])
-         .write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}"))
+    rows = cut(batch)  # numbered, counted and written: computed once
+    base = last_id_before(spark, table, batch_id)
+    numbered = assign_ids(rows, order_col, base).withColumn("created_at", F.current_timestamp())
+    (numbered.select(*[f.name for f in BILLS_TABLE.fields])
+     .write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}"))
+    # After the rows: a batch that fails before this line is replayed whole, with the same ids.
+    (spark.range(1).select(F.lit(base + rows.count()).cast("bigint").alias("last_id")).coalesce(1)
+     .write.mode("overwrite").parquet(f"{table}_manifest/batch_id={batch_id}"))
 
 
 def stream_append(rows: DataFrame, table: str, checkpoint: str, available_now: bool = True,
                   processing_time: str | None = None):
     """Start the append stream for table-layout rows (with ``doc_id``); returns the query."""
-    writer = (rows.writeStream.foreachBatch(lambda b, i: append_batch(b, i, table))
-              .option("checkpointLocation", checkpoint))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
-    return writer.start()
+    return _start(rows.writeStream.foreachBatch(lambda b, i: append_batch(b, i, table)), checkpoint, available_now, processing_time)
 
 
 def read_stream_table(spark: SparkSession, table: str) -> DataFrame:
@@ -137,8 +150,29 @@ def read_stream_table(spark: SparkSession, table: str) -> DataFrame:
 
 def stream_append_once(spark: SparkSession, stored: DataFrame) -> DataFrame:
     base = shared_path(spark, "streams", "append", unique=True)
-    schema = _materialize(stored.drop("branch"), f"{base}/in")
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    q = stream_append(rows, f"{base}/table", f"{base}/checkpoint")
-    q.awaitTermination()
+    rows = stored.drop("branch")
+    materialize(rows, f"{base}/in")
+    stream_append(read_stream(spark, f"{base}/in", rows.schema), f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return read_stream_table(spark, f"{base}/table")
+
+
+def accepted_rows(ingest_out: DataFrame, corrected: DataFrame) -> DataFrame:
+    """Table-layout rows (with ``doc_id`` and ``branch``) that the two stores accept."""
+    direct = build_storage_payload(ingest_out.where(F.col("branch") == "success"))
+    direct = validate_direct(direct.withColumn("store_error", constraint_error("payload.record", "payload.document_type")))
+    reviewed = validate_corrected(corrected.withColumn("store_error", constraint_error("record", "document_type_hint")))
+    ok = F.col("store_status") == STATUS_COMPLETED
+    return (table_rows(direct.where(ok), "payload.record", "payload.full_ocr_text", "payload.document_type")
+            .withColumn("branch", F.lit("direct"))
+            .unionByName(table_rows(reviewed.where(ok), "record", "full_ocr_text", "document_type_hint")
+                         .withColumn("branch", F.lit("corrected"))))
+
+
+def stream_all_once(spark: SparkSession, docs: DataFrame, responses: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Ingest, corrections and append one after another, each reading only what the one before wrote."""
+    base = shared_path(spark, "streams", "all", unique=True)
+    out = ingested(spark, _ingest_into(spark, f"{base}/ingest", docs, responses))
+    requests = out.where(F.col("branch") == "failure").select(
+        "doc_id", F.col("text").alias("full_ocr_text"), "document_type_hint", F.col("document_path").alias("original_document_path"))
+    corrected = ingested(spark, _corrections_into(spark, f"{base}/corrections", requests, corrections))
+    return stream_append_once(spark, accepted_rows(out, corrected))

@@ -26,3 +26,16 @@ def test_heading_sections_carry_across_pages(spark):
 def test_table_cells(spark):
     cells = md.table_cells(_doc(spark)).orderBy("line", "col").collect()
     assert [(c.col, c.cell) for c in cells] == [(1, "a"), (2, "b"), (1, "1"), (2, "2")]
+
+
+def test_heading_carry_over_many_pages(spark):
+    text = "none\n---\n# A\n---\nx\n---\ny\n---\n# B\n---\nz"
+    rows = {r.line_text: r.heading for r in md.heading_sections(_doc(spark, text)).collect()}
+    assert rows["none"] is None and rows["x"] == rows["y"] == "A" and rows["z"] == "B"
+    pages = "\n---\n".join(["# H"] + ["p"] * 20_000)
+    assert md.heading_sections(_doc(spark, pages)).where("heading = 'H'").count() == 20_001
+
+
+def test_wide_separator_rows(spark):
+    wide = "|a" * 20_000 + "|\n" + "|---" * 20_000 + "|"
+    assert md.table_cells(_doc(spark, wide)).count() == 20_000

@@ -43,7 +43,42 @@ def test_status_order_and_routes(spark):
     assert direct[6] == "Missing full_ocr_text or document_type" and direct[1] is None
     assert sorted(r.doc_id for r in run.pending.collect()) == [7]
     logs = task_log(run.processed, "process_document", process_log()).where("doc_id = 7").first()
-    assert logs.entry == "Processed g.md, extraction failed. Sent for human review."
+    assert logs.entry == "no record read from g.md, a reviewer is asked"
+
+
+def test_model_failures_go_to_review(spark):
+    from stmtflow.operators.responses import model_extract
+
+    def make():
+        def fn(text):
+            raise RuntimeError("model is down")
+
+        return fn
+
+    docs = _docs(spark).withColumn("pipeline_error", F.when(F.col("doc_id") == 7, F.lit("OSError: gone")))
+    answers = model_extract(docs, make, attempts=2)
+    run = run_pipeline(docs, answers, spark.createDataFrame([], "doc_id long, corrected string"))
+    st = {r.doc_id: (r.status, r.route, r.reason) for r in run.processed.collect()}
+    assert st[1] == st[4] == ("COMPLETED", "LLM_FAILURE", None)
+    assert st[7] == ("FAILED", "PIPELINE_ERROR", "Critical error: OSError: gone")
+    assert sorted(r.doc_id for r in run.queue.collect()) == [1, 4, 6]
+    assert sorted(r.doc_id for r in run.unrouted.collect()) == [2, 3, 5, 7]
+
+
+def test_direct_store_reasons_of_json_payloads(spark):
+    from stmtflow.operators.routing import parse_storage_payload, validate_direct
+
+    good = '"full_ocr_text": "", "document_type": "T"'
+    cases = [(None, "Missing db_storage_payload"), ("{}", "Missing db_storage_payload"), ("null", "Missing db_storage_payload"),
+             ("{%s}" % good, "Missing pseg_data_dict"), ('{"pseg_data_dict": {}, %s}' % good, "Missing pseg_data_dict"),
+             ('{"pseg_data_dict": null, %s}' % good, "Missing pseg_data_dict"),
+             ('{"pseg_data_dict": {"account_number": 5}}', "PSEGData model reconstruction failed: 1 validation error: account_number: string_type"),
+             ('{"pseg_data_dict": {"account_number": "5"}, "document_type": "T"}', "Missing full_ocr_text or document_type"),
+             ('{"pseg_data_dict": {"account_number": "5"}, %s}' % good, None), ('{"pseg_data_dict": {"x": 1}, %s}' % good, None)]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "doc_id int, payload_json string")
+    out = {r.doc_id: (r.store_status, r.store_reason) for r in validate_direct(parse_storage_payload(df)).collect()}
+    for i, (_, reason) in enumerate(cases):
+        assert out[i] == ("FAILED" if reason else "COMPLETED", reason), cases[i]
 
 
 def test_corrections_order_and_messages(spark):
@@ -69,7 +104,7 @@ def test_corrections_order_and_messages(spark):
 def test_pipeline_row_conservation(spark, sf_small):
     from stmtflow.plans import catalog as cat
 
-    run = cat._run(spark, sf_small)
+    run = cat._run(spark, sf_small, stored_stage=True)
     n_docs = run.processed.count()
     routed = run.success.count() + run.failure.count() + run.unrouted.count()
     assert routed == n_docs

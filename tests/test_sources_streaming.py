@@ -6,18 +6,19 @@ from stmtflow.plans import catalog as cat
 from stmtflow.plans import fixtures as fx
 from stmtflow.session import shared_path
 from stmtflow.sources.documents import parse_workitems, read_binary_documents, read_text_documents, scan_workitems
-from stmtflow.streaming.pipeline import append_batch, read_stream_table
+from stmtflow.streaming.pipeline import append_batch, last_id_before, read_stream_table
 
 
 def test_read_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("# A\n\nline\n", encoding="utf-8")
     (tmp_path / "b.md").write_text("# B", encoding="utf-8")
     (tmp_path / "c.txt").write_text("skip", encoding="utf-8")
+    (tmp_path / "empty.md").write_text("", encoding="utf-8")
     docs = {os.path.basename(r.document_path): r.text
             for r in read_text_documents(spark, str(tmp_path), path_glob="*.md").collect()}
-    assert docs == {"a.md": "# A\n\nline\n", "b.md": "# B"}
+    assert docs == {"a.md": "# A\n\nline\n", "b.md": "# B", "empty.md": ""}
     binary = read_binary_documents(spark, str(tmp_path), path_glob="*.md")
-    assert set(binary.columns) >= {"path", "modificationTime", "length", "content"} and binary.count() == 2
+    assert set(binary.columns) >= {"path", "modificationTime", "length", "content"} and binary.count() == 2  # Spark passes over empty files
 
 
 def test_workitems_missing_vs_null(spark, tmp_path):
@@ -30,7 +31,7 @@ def test_workitems_missing_vs_null(spark, tmp_path):
 
 def test_stream_append_replay_is_idempotent(spark, sf_small):
     table = shared_path(spark, "test", "stream_table", unique=True)
-    rows = cat._run(spark, sf_small).stored.drop("branch")
+    rows = cat._run(spark, sf_small, stored_stage=True).stored.drop("branch")
     part_a = rows.where(F.col("doc_id") % 2 == 0)
     part_b = rows.where(F.col("doc_id") % 2 == 1)
     append_batch(part_a, 0, table)
@@ -60,28 +61,25 @@ def test_work_item_fixture_parse(spark, sf_small):
     assert None in counts and "GENERIC_INVOICE" in counts
 
 
-def test_stream_corrections_with_watermark(spark):
-    from stmtflow.streaming.pipeline import stream_corrections
-
-    base = shared_path(spark, "test", "wm", unique=True)
-    queue = spark.createDataFrame(
-        [(1, "t", "PSEG_BILL", "p1", "2024-01-01 00:00:00"), (2, "t", "PSEG_BILL", "p2", "2024-01-01 00:00:00")],
-        "doc_id long, full_ocr_text string, document_type_hint string, original_document_path string, ts string",
-    ).withColumn("arrived_at", F.to_timestamp("ts")).drop("ts")
-    corr = spark.createDataFrame(
-        [(1, '{"account_number": "A"}', "2024-01-02 00:00:00"), (2, '{}', "2024-03-01 00:00:00")],
-        "doc_id long, corrected string, ts string").withColumn("arrived_at", F.to_timestamp("ts")).drop("ts")
-    queue.write.parquet(f"{base}/q")
-    corr.write.parquet(f"{base}/c")
-    qs = spark.readStream.schema(queue.schema).parquet(f"{base}/q")
-    cs = spark.readStream.schema(corr.schema).parquet(f"{base}/c")
-    joined = stream_corrections(qs, cs, wait_for="7 days")
-    q = (joined.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = {r.doc_id: r for r in spark.read.parquet(f"{base}/out").collect()}
-    # doc 2's correction came after the wait limit, so only doc 1 joins
-    assert set(out) == {1} and out[1].record.account_number == "A"
+def test_streams_connect_and_equal_the_batch_run(spark, sf_small):
+    def rows(df):
+        return sorted((r.account_number or "", str(r.billing_date), str(r.total_amount_due), r.document_type) for r in df.collect())
+
+    streamed = cat.q_stream_all(spark, sf_small)
+    stored = cat.q_store_all(spark, sf_small)
+    assert rows(streamed) == rows(stored)
+    n = stored.count()
+    assert sorted(r.id for r in streamed.collect()) == list(range(1, n + 1))
+
+
+def test_append_raises_when_the_manifest_cannot_be_read(spark):
+    import pytest
+
+    table = shared_path(spark, "test", "broken", unique=True)
+    assert last_id_before(spark, table, 0) == 0
+    spark.range(1).selectExpr("'x' AS last_id").write.parquet(f"{table}_manifest/batch_id=0")
+    with pytest.raises(Exception):
+        last_id_before(spark, table, 1)
 
 
 def test_bucketed_inputs_join_without_exchange(spark, sf_small):

@@ -16,6 +16,24 @@ def test_assign_ids_dense_in_key_order(spark):
     assert [r.id for r in out] == list(range(101, 5101))
 
 
+def test_assign_ids_keeps_null_repeated_and_text_keys(spark):
+    df = spark.createDataFrame([("b", 1), (None, 2), ("a", 3), ("a", 4), (None, 5), ("c", 6)], "key string, x int").repartition(4)
+    out = {r.x: r.id for r in assign_ids(df, "key", start=10, parts=3).collect()}
+    assert {out[3], out[4]} == {11, 12} and out[1] == 13 and out[6] == 14 and {out[2], out[5]} == {15, 16}
+    assert assign_ids(df.limit(0), "key").count() == 0
+
+
+def test_assign_ids_parts_are_balanced(spark):
+    from stmtflow.operators import store
+
+    df = spark.range(0, 80_000, 2).withColumnRenamed("id", "doc_id")
+    ids = assign_ids(df, "doc_id", parts=40)
+    assert ids.filter("id = doc_id / 2 + 1").count() == 40_000
+    part = store.F.spark_partition_id()
+    sizes = [r["count"] for r in df.repartitionByRange(40, "doc_id").groupBy(part).count().collect()]
+    assert max(sizes) < 2 * 40_000 / 40
+
+
 def test_encode_line_items(spark):
     df = spark.createDataFrame([(1, [("a", None)]), (2, []), (3, None)],
                                "k int, items array<struct<description:string,amount:double>>")
@@ -68,3 +86,14 @@ def test_export_keeps_nulls(spark):
     parsed = json.loads(js)
     assert parsed["account_number"] == "A" and "due_date" in parsed and parsed["due_date"] is None
     assert "\n" in js  # indented
+
+
+def test_exported_files_keep_ids_and_are_not_overwritten(spark, tmp_path):
+    import pytest
+
+    recs = _records(spark, [(1, '{"account_number": "A"}', "t", "X"), (2, '{"account_number": "B"}', "t", "X")])
+    export_records_json(recs, path=str(tmp_path / "out"))
+    back = {r.doc_id: json.loads(r.json)["account_number"] for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert back == {1: "A", 2: "B"}
+    with pytest.raises(Exception):
+        export_records_json(recs, path=str(tmp_path / "out"))

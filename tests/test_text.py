@@ -37,11 +37,20 @@ def test_text_measure_counts_code_points(spark):
 
 def test_context_budget(spark):
     df = spark.createDataFrame([(1, "x" * 10), (2, "y" * 25)], "doc_id long, text string")
-    out = {r.doc_id: r for r in tx.context_budget(df, max_tokens=5, truncate=True).collect()}
+    out = {r.doc_id: r for r in tx.context_budget(df, max_tokens=5).collect()}
     assert out[1].approx_tokens == 3 and not out[1].over_budget and out[1].text == "x" * 10
-    assert out[2].approx_tokens == 7 and out[2].over_budget and out[2].text == "y" * 20
-    untouched = tx.context_budget(df, max_tokens=5).where("doc_id = 2").first()
-    assert untouched.text == "y" * 25  # the default only flags
+    assert out[2].approx_tokens == 7 and out[2].over_budget and out[2].text == "y" * 25  # flagged, never cut
+
+
+def test_strict_money_and_dotted_months(spark):
+    money = {"$1,234.56": "1234.56", "-$198.92": "-198.92", "1 2 3": None, "1,2,3": None, "$1,23.00": None, "12": "12.00",
+             "$12.5": "12.50", "": None, "$": None, "1.2.3": None, "$1,234,567.00": "1234567.00"}
+    dates = {"Mar. 7, 2018": "2018-03-07", "Sept 7, 2018": "2018-09-07", "Sept. 7, 2018": "2018-09-07", "May. 1, 2020": "2020-05-01",
+             "September 7, 2018": "2018-09-07", "Foo 7, 2018": None}
+    rows = spark.createDataFrame([(k,) for k in money], "s string").select("s", parse_money("s").cast("string").alias("v")).collect()
+    assert {r.s: r.v for r in rows} == money
+    rows = spark.createDataFrame([(k,) for k in dates], "s string").select("s", normalize_date("s").cast("string").alias("v")).collect()
+    assert {r.s: r.v for r in rows} == dates
 
 
 def test_filter_blank_content(spark):
@@ -74,3 +83,30 @@ def test_html_to_markdown(spark):
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     md = tx.html_to_markdown(df).first().markdown
     assert md == "# Head & more\n\nOne·two\n\n- a\n- b"
+
+
+def test_html_structures(spark):
+    cases = {
+        "<h2>Two</h2><h6>Six</h6>x": "## Two\n\n###### Six\n\nx".replace("\n\n#", "\n\n#").replace("Six\n\nx", "Six\nx"),
+        "<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>": "|A|B|\n|---|---|\n|1|2|",
+        "<p>a &lt;b&gt;&nbsp;c &#39;d&#x27; &amp;lt;</p>": "a <b> c 'd' &lt;",
+        "<nav>x<script>y</script>z</nav>keep": "keep",
+        "<head><title>t</title></head>b<footer>f</footer>": "b",
+        "1 < 2 &#0; &#x1F600;": "1 < 2 \ufffd \U0001f600",
+        "<!-- open": "",
+        "<div>a</div><div>b</div>": "a\n\nb",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id long, html string")
+    got = {r.html: r.markdown for r in tx.html_to_markdown(df).collect()}
+    for html, markdown in cases.items():
+        assert got[html] == markdown, html
+    kept = tx.html_to_markdown(spark.createDataFrame([(1, "<nav>menu</nav>a<footer>end</footer>")], "page_id long, html string"), keep_frame=True)
+    assert kept.first().markdown == "menua" + "end"
+
+
+def test_assemble_parts_is_one_grouping(spark):
+    parts = spark.createDataFrame([(1, 0, "a"), (2, 0, " ")], "doc_id long, pos int, text string")
+    out = tx.assemble_parts(parts)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "a", 2: None}
+    plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

@@ -95,29 +95,52 @@ def test_first_valid_attempt(spark):
     assert best3[3] == 3
 
 
-def test_model_extract_retries_only_on_failure(spark):
-    from stmtflow.operators.responses import model_extract
-
-    def make():
-        calls = {}
+def test_model_extract_retries_only_on_failure(spark, tmp_path):
+    import os
 
-        def fn(text):
-            calls[text] = calls.get(text, 0) + 1
-            if text == "boom":
-                raise ValueError("down")
-            if text == "flaky" and calls[text] == 1:
-                return "not json"
-            return '{"account_number": "%s"}' % text
-
-        return fn
+    from stmtflow.operators.responses import model_extract
 
-    docs = spark.createDataFrame([(1, "ok"), (2, "flaky"), (3, "boom"), (4, "  ")], "doc_id long, text string")
+    def maker(folder):
+        def make():
+            def fn(text):
+                if text == "boom":
+                    raise ValueError("down")
+                first = not os.path.exists(f"{folder}/{text}")
+                open(f"{folder}/{text}", "w").close()
+                if first and text == "flaky":
+                    return "not json"
+                if first and text == "typed":
+                    return '{"account_number": 5}'
+                return '{"account_number": "%s"}' % text
+
+            return fn
+
+        return make
+
+    docs = spark.createDataFrame([(1, "ok"), (2, "flaky"), (3, "boom"), (4, "  "), (5, "typed")], "doc_id long, text string")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    make = maker(str(tmp_path / "a"))
     rows = model_extract(docs, make, attempts=3).collect()
     per_doc = {}
     for r in rows:
         per_doc.setdefault(r.doc_id, []).append(r)
     assert len(per_doc[1]) == 1 and len(per_doc[2]) == 2 and len(per_doc[3]) == 3
     assert 4 not in per_doc  # blank documents never reach the extractor
+    assert len(per_doc[5]) == 2  # JSON of the wrong types is asked for again
     assert per_doc[3][0].error == "ValueError: down"
-    best = first_valid_attempt(validate_response(model_extract(docs, make, attempts=3))).collect()
-    assert {(r.doc_id, r.attempt) for r in best} == {(1, 1), (2, 2)}
+    named = docs.selectExpr("concat('d', doc_id) AS name", "text")  # keys of any type
+    answers = model_extract(named, maker(str(tmp_path / "b")), id_col="name", attempts=3)
+    best = first_valid_attempt(validate_response(answers)).collect()
+    assert {(r.doc_id, r.attempt) for r in best} == {("d1", 1), ("d2", 2), ("d5", 2)}
+
+
+def test_attempts_past_the_limit_are_not_validated(spark):
+    from stmtflow.operators.responses import first_valid_response
+
+    df = spark.createDataFrame([(1, 1, "bad"), (1, 2, '{}')], "doc_id long, attempt int, response string")
+    plan = first_valid_response(df, max_attempts=1)._jdf.queryExecution().optimizedPlan().toString()
+    import re
+
+    assert re.search(r"attempt#\d+ <= 1", plan[plan.index("CollectMetrics"):])  # the limit lies below the validation
+    assert first_valid_response(df, max_attempts=1).count() == 0 and first_valid_response(df, max_attempts=2).count() == 1
