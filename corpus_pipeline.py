@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stmtflow.llm import mixing, ngram_join, packing, pii_spans, toxicity
 from stmtflow.llm.catalog import TOKENIZER
 from stmtflow.llm.common import id_remainder, table
-from stmtflow.session import materialize
+from stmtflow.session import materialize, shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; stage results are Parquet in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        docs = materialize(stage(spark, docs, sf_dir), shared_path(spark, "pipeline", name, unique=True))
     return STAGES[-1][1](spark, docs, sf_dir)
