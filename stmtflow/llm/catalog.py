@@ -95,7 +95,7 @@ m AS (
   FROM d LEFT JOIN cov USING (rid) LEFT JOIN dup USING (rid)),
 b AS (
   SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT
-         + 4 * (10 * n_symbols > n_words)::INT + 8 * (10 * n_dup_lines > 3 * n_lines)::INT
+         + 4 * (10 * n_symbols > n_words)::INT + 8 * (n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines)::INT
          + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 20 * n_words)::INT AS INTEGER) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM b""",

@@ -28,7 +28,7 @@ RULES: dict[str, str] = {
     "few_words": f"n_words < {MIN_WORDS}",
     "repeated_words": "100 * n_repeat_words > 20 * n_words",
     "many_symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines",  # a short text may well repeat a line
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
 }
