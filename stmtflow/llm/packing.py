@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, whole_text
+from .token_counts import byte_alphabet
 
 WINDOW = 1024
 END_ID = 0
@@ -37,18 +40,25 @@ QUERY_TERMS = 16   # the seed's terms of largest weight ask the index; every fra
 NEIGHBOURS = 32
 K1, B = 1.2, 0.75
 CACHE_CHUNKS = 300_000
+KEPT_CHUNKS = 100_000
 TWO_SPACES = re.compile(r"\s\s")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 _tokenizers: dict = {}
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ChunkEncoder:
-    """Token ids of texts by a tokenizers file, with the ids of space-separated chunks cached.
+    """Token ids of texts by a tokenizers file, with the ids of chunks between spaces cached.
 
-    Byte-level pre-tokenization keeps a single space with what follows it, so a text without
-    two adjacent white-space characters is the concatenation of its chunks. Other texts go to
-    the tokenizer whole.
+    Byte-level pre-tokenization keeps a single space with what follows it and a single line
+    break apart from it. So a text without two adjacent white-space characters is the
+    concatenation of its chunks: words after a space, and words after a line break, which
+    here begin with that break. Other texts go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -57,48 +67,69 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        self.newline = self.ids("\n")
-
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.newline = packed_ids(self.ids(["\n"])[0])
+        self.marks = {m: packed_ids(i) for m, i in zip(".,", self.ids([".", ","]))}
+        self.spelling = {b: c for c, b in byte_alphabet().items()}
+        probe = ["word", "Über", "żółw", "a", "naïveté", "日本"]
+        # Letters alone are one pre-token, which the byte-level model splits without the steps around it.
+        self.split = self.tokenizer.model.tokenize
+        self.direct = all(self.letters(w, True) == packed_ids(i) for w, i in zip(probe, self.ids([" " + w for w in probe])))
+
+    def letters(self, word: str, spaced: bool) -> bytes:
+        """Ids of a word of letters, with the space before it if ``spaced``, from the model itself."""
+        if not word.isascii():  # letters of ASCII stand for themselves
+            word = word.encode("utf-8", "replace").decode("latin-1").translate(self.spelling)
+        return packed_ids([t.id for t in self.split(self.spelling[32] + word if spaced else word)])
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def shrink(self) -> dict[str, bytes]:
+        """Keep the chunks met first, which are the common ones; what a task has met besides is freed."""
+        self.known = dict(islice(self.known.items(), KEPT_CHUNKS))
+        return self.known
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode unseen chunks, many in one text: a line break is a token of its own between them."""
-        if len(self.known) + len(chunks) > CACHE_CHUNKS:
-            self.known.clear()
-        plain = [c for c in chunks if c and "\n" not in c] if len(self.newline) == 1 else []
-        for at in range(0, len(plain), 2000):
-            part = plain[at:at + 2000]
-            ids = np.array(self.ids("\n".join(" " + c for c in part)), dtype="<u4")
-            breaks = np.flatnonzero(ids == self.newline[0])
-            if len(breaks) == len(part) - 1:
-                self.known.update(zip(part, (x.tobytes() for x in np.split(ids, breaks))))
-                for c in part[1:]:
-                    self.known[c] = self.known[c][4:]
-        for c in chunks:
-            if c not in self.known:
-                self.known[c] = np.array(self.ids(" " + c), dtype="<u4").tobytes()
+        """Encode unseen chunks."""
+        known, rest = self.known, []
+        # A word and the mark after it are separate pre-tokens: the word alone is learned.
+        marked = [c for c in chunks if c[-1:] in self.marks and c[-2:-1].isalpha()]
+        for c in [*chunks.difference(marked), *{c[:-1] for c in marked}, ""]:
+            if c in known:
+                continue
+            if self.direct and c.isalpha():
+                known[c] = self.letters(c, True)
+            elif self.direct and c[:1] == "\n" and c[1:].isalpha():
+                known[c] = self.newline + self.letters(c[1:], False)
+            else:
+                rest.append(c)
+        for c, ids in zip(rest, self.ids([c if c[:1] == "\n" else " " + c for c in rest])):
+            known[c] = packed_ids(ids)
+        for c in marked:
+            known[c] = known[c[:-1]] + self.marks[c[-1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [None if TWO_SPACES.search(t) else t.split(" ") for t in texts]
-        known, out, at = self.known, [], 0
+        """The ids of each text. Texts are taken in groups whose unseen chunks the cache can hold."""
+        chunks = [None if TWO_SPACES.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        out, at = [], 0
         while at < len(texts):
-            # As many texts as the cache can hold at once.
-            new, to = set(), at
-            while to < len(texts) and (to == at or len(new) < CACHE_CHUNKS // 3):
-                if chunks[to] is not None:
-                    new.update(c for c in chunks[to][1:] if c not in known)
+            if len(self.known) > CACHE_CHUNKS:
+                self.shrink()
+            known, found, new, to = self.known, [], set(), at
+            while to < len(texts) and len(new) < CACHE_CHUNKS // 4:
+                words = chunks[to] or [""]
+                data = list(map(known.get, words))
+                gaps = [i for i, d in enumerate(data) if d is None]
+                new.update([words[i] for i in gaps if i])
+                found.append((words, data, gaps))
                 to += 1
-            if len(known) + len(new) > CACHE_CHUNKS:
-                known.clear()
-                new = {c for words in chunks[at:to] if words is not None for c in words[1:]}
             self.learn(new)
-            for text, words in zip(texts[at:to], chunks[at:to]):
-                if words is None:
-                    out.append(np.array(self.ids(text), dtype="<u4"))
-                else:
-                    first = np.array(self.ids(words[0]), dtype="<u4").tobytes() if words[0] else b""
-                    out.append(np.frombuffer(first + b"".join([known[c] for c in words[1:]]), dtype="<u4"))
+            firsts = self.ids([t if c is None else c[0] for t, c in zip(texts[at:to], chunks[at:to])])
+            for first, (words, data, gaps) in zip(firsts, found):
+                for i in gaps:
+                    data[i] = known.get(words[i])
+                data[0] = packed_ids(first)  # the first chunk has no space before it
+                out.append(np.frombuffer(b"".join(data), dtype="<u4"))
             at = to
         return out
 
@@ -129,6 +160,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())],
                                                  names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        encoder.shrink()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).mapInArrow(
         run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary")
