@@ -39,8 +39,8 @@ SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 16   # the seed's terms of largest weight ask the index; every fragment can answer
 NEIGHBOURS = 32
 K1, B = 1.2, 0.75
-CACHE_CHUNKS = 300_000
-KEPT_CHUNKS = 100_000
+CACHE_CHUNKS = 450_000  # at most so many while a task runs, a few MB per 10,000
+KEPT_CHUNKS = 100_000   # and so many from one task of a worker to its next
 TWO_SPACES = re.compile(r"\s\s")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -66,6 +66,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16  # ids fit 16 bits
         self.known: dict[str, bytes] = {}
         self.newline = packed_ids(self.ids(["\n"])[0])
         self.marks = {m: packed_ids(i) for m, i in zip(".,", self.ids([".", ","]))}
@@ -84,10 +85,10 @@ class ChunkEncoder:
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def shrink(self) -> dict[str, bytes]:
-        """Keep the chunks met first, which are the common ones; what a task has met besides is freed."""
-        self.known = dict(islice(self.known.items(), KEPT_CHUNKS))
-        return self.known
+    def shrink(self, to: int) -> None:
+        """Keep the chunks met first, which are the common ones, and free the others."""
+        if len(self.known) > to:
+            self.known = dict(islice(self.known.items(), to))
 
     def learn(self, chunks: set[str]) -> None:
         """Encode unseen chunks."""
@@ -108,13 +109,13 @@ class ChunkEncoder:
         for c in marked:
             known[c] = known[c[:-1]] + self.marks[c[-1]]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Texts are taken in groups whose unseen chunks the cache can hold."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text. Texts are taken in groups whose unseen chunks the cache can hold."""
         chunks = [None if TWO_SPACES.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         out, at = [], 0
         while at < len(texts):
             if len(self.known) > CACHE_CHUNKS:
-                self.shrink()
+                self.shrink(CACHE_CHUNKS // 2)
             known, found, new, to = self.known, [], set(), at
             while to < len(texts) and len(new) < CACHE_CHUNKS // 4:
                 words = chunks[to] or [""]
@@ -129,7 +130,7 @@ class ChunkEncoder:
                 for i in gaps:
                     data[i] = known.get(words[i])
                 data[0] = packed_ids(first)  # the first chunk has no space before it
-                out.append(np.frombuffer(b"".join(data), dtype="<u4"))
+                out.append(b"".join(data))
             at = to
         return out
 
@@ -146,21 +147,22 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _tokenizers.get(path) or _tokenizers.setdefault(path, ChunkEncoder(path))
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids = np.append(ids, np.uint32(END_ID))
-                    n = len(ids)
+                for doc_id, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                    data += packed_ids([END_ID])
+                    n = len(data) // 4
                     full = n - n % window
-                    rows += [(doc_id, s, window, crc_of(ids[s:s + window]), n, None) for s in range(0, full, window)]
+                    rows += [(doc_id, s, window, zlib.crc32(data[4 * s:4 * (s + window)]), n, None) for s in range(0, full, window)]
                     if full < n:
-                        rest = ids[full:]
-                        rows.append((doc_id, full, n - full, None, n, rest.astype("<u2" if int(rest.max()) < 1 << 16 else "<u4").tobytes()))
+                        rest = np.frombuffer(data, dtype="<u4", offset=4 * full)
+                        rows.append((doc_id, full, n - full, None, n,
+                                     rest.astype("<u2").tobytes() if encoder.narrow else rest.tobytes()))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())],
                                                  names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-        encoder.shrink()
+        encoder.shrink(KEPT_CHUNKS)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).mapInArrow(
         run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary")
