@@ -10,7 +10,7 @@ leave-one-out votes, weighted back to the true class shares, turns votes into
 probabilities. The nearest examples are returned as evidence.
 
 The examples are a bounded sample: at most about ``per_class`` labelled documents of each class, by
-a hash of the id, and at most ``features`` words. Index and calibration are of that size whatever
+a hash of the id and without copies of each other, and at most ``features`` words. Index and calibration are of that size whatever
 the corpus; they go to the tasks as a broadcast.
 
 Cases: null or empty text, and text without any chosen word, get the rate of label 1 among
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, packed, whole_text
+from .ngram_join import shingles, sketch
 
 WORD = re.compile(r"\w+")
 RESULT = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<bigint>"
@@ -64,21 +65,47 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class
     # At most about 2 * per_class ids: the bound of the broadcast.
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).limit(3 * per_class)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    return (cut(rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])),
-            [sizes.get(0, 0), sizes.get(1, 0)])
+    rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(
+        _marked, "doc_id bigint, label int, text string, m0 bigint, m1 bigint, m2 bigint")
+    # Copies would make every word of theirs look telling: of examples with a common mark one stays.
+    for m in ("m0", "m1", "m2"):
+        rest = [c for c in rows.columns if c not in ("label", m)]
+        rows = rows.groupBy("label", m).agg(F.min(F.struct(*rest)).alias("first")).select("label", m, "first.*")
+    return cut(rows.select("doc_id", "label", "text")), [sizes.get(0, 0), sizes.get(1, 0)]
+
+
+def _marked(batches: Iterator) -> Iterator:
+    """Adds three MinHash values of the word shingles; a text without any is marked by its id."""
+    import pyarrow as pa
+
+    for batch in batches:
+        marks = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            hashes = shingles(text)
+            marks.append([int(x) for x in sketch(hashes)[:3]] if len(hashes) else [-1 - doc_id] * 3)
+        cols = list(zip(*marks)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in cols]],
+                                         names=[*batch.schema.names, "m0", "m1", "m2"])
+
+
+def critical_chi_square(tests: int, level: float = 0.05) -> float:
+    """Chi-square (one degree of freedom) that chance exceeds once in ``tests / level`` words."""
+    x = 2 * math.log(max(tests, 1) / level)
+    return x - math.log(x) - math.log(math.pi / 2)
 
 
 def choose_words(rows: DataFrame, features: int) -> list[tuple]:
-    """(word, document frequency): words over-represented in one class (odds, chi-square at 0.1%)."""
+    """(word, document frequency): words over-represented in one class, beyond what chance gives among so many words."""
     n0, n1 = (rows.filter(F.col("label") == y).count() for y in (0, 1))
-    freq = (rows.select("label", "text").mapInArrow(_document_frequencies, "word string, clean bigint, toxic bigint")
-            .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-            .filter(F.col("clean") + F.col("toxic") > 2))
+    freq = cut(rows.select("label", "text").mapInArrow(_document_frequencies, "word string, clean bigint, toxic bigint")
+               .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+               .filter(F.col("clean") + F.col("toxic") > 2))
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     c, d = F.lit(n1 + 1.0) - a, F.lit(n0 + 1.0) - b
     odds = F.abs(F.log(a * d / (b * c)))
     chi = (a * d - b * c) * (a * d - b * c) * (n0 + n1 + 2.0) / ((a + b) * (c + d) * (a + c) * (b + d))
-    best = (freq.withColumn("odds", odds).withColumn("chi", chi).filter((F.col("odds") > math.log(4)) & (F.col("chi") > 10.83))
+    best = (freq.withColumn("odds", odds).withColumn("chi", chi)
+            .filter((F.col("odds") > math.log(4)) & (F.col("chi") > critical_chi_square(freq.count())))
             .orderBy(F.desc("chi"), "word").limit(features))
     return [(r["word"], r["clean"] + r["toxic"]) for r in best.collect()]
 
