@@ -296,8 +296,9 @@ def path_edges(reps: DataFrame) -> DataFrame:
     rows = rows.select("key", F.xxhash64("c", value(F.col("c"))).alias("path"))
     leaves, level = None, 1
     while True:
-        # Only nodes that hold two classes or more go on.
-        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # Only nodes that hold two classes or more go on. Their counts are stored first: a join of two plain
+        # exchanges is one whose large partitions (a node with a shingle of very many texts) Spark can split.
+        counts = cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         rows = cut(rows.join(counts, "path"))
         leaf = rows if level == DEPTH else rows.filter(F.col("n") <= LEAF)
         leaf = leaf.select("key", F.col("path").alias("group"), F.ceil(F.col("n") / LEAF).alias("blocks"))
