@@ -5,8 +5,9 @@
    equal coordinates of two sketches estimates the Jaccard similarity of the sets.
 2. Chosen paths: a run starts at a node that holds every class and chooses coordinates at
    random; classes with equal value there go to the same child. A node with more than ``LEAF``
-   classes chooses again, ``BRANCHES`` coordinates, down to ``DEPTH`` levels; a pair of similarity s
-   goes on to a common child with probability s per coordinate. Runs (one first coordinate each) are
+   classes chooses again, ``BRANCHES`` coordinates, while that separates its classes (a child with more
+   than ``DENSE`` of its node is a group of near copies and a leaf) and down to ``DEPTH`` levels; a pair of
+   similarity s goes on to a common child with probability s per coordinate. Runs (one first coordinate each) are
    repeated until the chance to miss a pair at the threshold in all of them is below ``1 - RECALL``.
 3. Leaves are compared by brute force on sketches, and a spanning forest of what looks
    similar is kept. Leaves that stay large (groups of near copies never split) are cut into blocks
@@ -44,7 +45,8 @@ COORDINATES = 64
 LOOSE = 0.6          # sketches that agree less are not candidates: four standard deviations below the threshold
 LEAF = 512
 BRANCHES = 2
-DEPTH = 3
+DEPTH = 8            # a bound; splitting ends when no node is large, or when it no longer separates
+DENSE = 0.5          # share of a node in one child from which on splitting does not separate
 RECALL = 0.9999
 BLOCK_BYTES = 4 << 20
 BROADCAST_ROWS = 500_000
@@ -293,24 +295,27 @@ def path_edges(reps: DataFrame) -> DataFrame:
     runs = runs_needed()
     first = np.random.Generator(np.random.PCG64(11)).permutation(COORDINATES)[:runs]
     rows = reps.select("key", "sketch", F.explode(F.array(*[F.lit(int(c)) for c in first])).alias("c"))
-    rows = rows.select("key", F.xxhash64("c", value(F.col("c"))).alias("path"))
+    rows = rows.select("key", F.xxhash64("c", value(F.col("c"))).alias("path"), F.lit(None).cast("bigint").alias("above"), F.array("c").alias("used"))
     leaves, level = None, 1
     while True:
         # Only nodes that hold two classes or more go on. Their counts are stored first: a join of two plain
         # exchanges is one whose large partitions (a node with a shingle of very many texts) Spark can split.
         counts = cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         rows = cut(rows.join(counts, "path"))
-        leaf = rows if level == DEPTH else rows.filter(F.col("n") <= LEAF)
-        leaf = leaf.select("key", F.col("path").alias("group"), F.ceil(F.col("n") / LEAF).alias("blocks"))
+        ends = (F.col("n") <= LEAF) | F.coalesce(F.col("n") > DENSE * F.col("above"), F.lit(False)) | F.lit(level == DEPTH)
+        leaf = rows.filter(ends).select("key", F.col("path").alias("group"), F.ceil(F.col("n") / LEAF).alias("blocks"))
         leaves = leaf if leaves is None else leaves.union(leaf)
-        rows = rows.filter(F.col("n") > LEAF)
+        rows = rows.filter(~ends)
         level += 1
         if level > DEPTH or rows.isEmpty():
             break
-        chosen = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).alias("c"))
+        # A coordinate that led here would put the whole node into one child: only others are chosen.
+        others = F.array_except(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), F.col("used"))
+        chosen = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.get(others, F.pmod(F.xxhash64("path", F.lit(b)), F.size(others)).cast("int")).alias("c"))
                                      for b in range(BRANCHES)])).alias("s")
-        rows = (rows.select("key", "path", chosen).join(reps.select("key", "sketch"), "key")
-                .select("key", F.xxhash64("path", "s.b", "s.c", value(F.col("s.c"))).alias("path")))
+        rows = (rows.select("key", "path", "n", "used", chosen).join(reps.select("key", "sketch"), "key")
+                .select("key", F.xxhash64("path", "s.b", "s.c", value(F.col("s.c"))).alias("path"), F.col("n").alias("above"),
+                        F.array_append("used", F.col("s.c")).alias("used")))
     compared = in_blocks(leaves.join(reps.select("key", "sketch"), "key"), "blocks")
     return compared.select("piece", "side", "key", "sketch").mapInArrow(_leaf_edges, "a binary, b binary")
 
