@@ -2,8 +2,12 @@
 
 A document is its token ids and one end id. Full windows at its start are sequences of
 their own; what is left, less than a window, is a fragment to be packed with others. The
-fragments are spread over shards by a hash, as many as the tokens ask for. A shard holds a
-BM25 inverted index of its fragments (terms are token ids, document frequencies are those
+fragments are dealt over shards by content, as many as the tokens ask for: the BM25 weights of a
+fragment, projected at random to ``DIMENSIONS`` numbers, lead it down a tree of two-means
+splits, learned from bounded samples and grown until its leaves are smaller than a shard. Leaves
+next to each other share a shard; one that does not separate (copies) is spread over several by a
+hash. So most near neighbours of a fragment are in its shard, but not all: a seed does not ask the
+other shards (README gives the share found). A shard holds a BM25 inverted index of its fragments (terms are token ids, document frequencies are those
 of the whole corpus). The longest unused fragment seeds a window; its neighbours that are
 still unused, in order of score, fill it greedily: those that fit go in whole, then the
 first that does not is cut at the end of the window, and its rest stays in the index. So
@@ -39,12 +43,17 @@ SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 16   # the seed's terms of largest weight ask the index; every fragment can answer
 NEIGHBOURS = 32
 K1, B = 1.2, 0.75
+DIMENSIONS = 64
+SAMPLE = 100_000   # fragments from which the tree grows in one round
+LEAST_SAMPLE = 32  # a leaf of fewer sampled ones is not split in that round
 CACHE_CHUNKS = 450_000  # at most so many while a task runs, a few MB per 10,000
 KEPT_CHUNKS = 100_000   # and so many from one task of a worker to its next
 TWO_SPACES = re.compile(r"\s\s")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+PLACED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary, key bigint, leaf bigint"
 
 _tokenizers: dict = {}
+_directions: dict = {}
 
 
 def packed_ids(ids: list[int]) -> bytes:
@@ -191,6 +200,162 @@ def document_frequencies(fragments: DataFrame) -> dict[int, int]:
     return {r["term"]: r["n"] for r in rows.collect()}
 
 
+def projected(ids: list[np.ndarray], idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """A unit vector per fragment: its BM25 term weights, projected at random."""
+    directions = _directions.get(len(idf))
+    if directions is None:
+        _directions.clear()
+        random = np.random.Generator(np.random.PCG64(7))
+        directions = _directions[len(idf)] = random.standard_normal((len(idf), DIMENSIONS), dtype=np.float32)
+    out = np.zeros((len(ids), DIMENSIONS), dtype=np.float32)
+    for i, x in enumerate(ids):
+        terms, tf = np.unique(x, return_counts=True)
+        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean_length))
+        v = weight.astype(np.float32) @ directions[terms]
+        out[i] = v / max(float(np.linalg.norm(v)), 1e-9)
+    return out
+
+
+class ContentTree:
+    """A binary tree over vectors: inner nodes hold a plane, leaves are the nodes without children."""
+
+    def __init__(self):
+        self.plane = np.zeros((1, DIMENSIONS + 1), dtype=np.float32)
+        self.children = np.full((1, 2), -1, dtype=np.int64)
+
+    def leaf_of(self, x: np.ndarray, node: int = 0) -> np.ndarray:
+        at = np.full(len(x), node, dtype=np.int64)
+        while True:
+            inner = np.flatnonzero(self.children[at, 0] >= 0)
+            if not len(inner):
+                return at
+            plane = self.plane[at[inner]]
+            side = np.einsum("ij,ij->i", x[inner], plane[:, :-1]) > plane[:, -1]
+            at[inner] = self.children[at[inner], side.astype(np.int64)]
+
+    def leaves(self) -> list[int]:
+        """Leaves in the order of the tree."""
+        out, stack = [], [0]
+        while stack:
+            node = stack.pop()
+            if self.children[node, 0] < 0:
+                out.append(node)
+            else:
+                stack += [int(self.children[node, 1]), int(self.children[node, 0])]
+        return out
+
+    def grow(self, leaf: int, x: np.ndarray, tokens: np.ndarray, most: float, least: int) -> bool:
+        """Split a leaf by sampled vectors until parts have at most ``most`` tokens or fewer than ``least`` vectors."""
+        grown, planes, children = False, [], []
+        stack = [(leaf, np.arange(len(x)))]
+        while stack:
+            node, rows = stack.pop()
+            if len(rows) < max(least, 2) or tokens[rows].sum() <= most:
+                continue
+            y = x[rows]
+            # The two centres start at a vector and the one least like it.
+            centres = np.stack([y[0], y[np.argmin(y @ y[0])]])
+            for _ in range(8):
+                normal, offset = centres[1] - centres[0], (centres[1] @ centres[1] - centres[0] @ centres[0]) / 2
+                side = y @ normal > offset
+                if side.all() or not side.any():
+                    break
+                centres = np.stack([y[~side].mean(axis=0), y[side].mean(axis=0)])
+            if side.all() or not side.any():
+                continue
+            new = len(self.plane) + len(planes)
+            planes += [np.zeros(DIMENSIONS + 1, dtype=np.float32)] * 2
+            children += [(-1, -1)] * 2
+            plane = np.append(normal, offset).astype(np.float32)
+            if node < len(self.plane):
+                self.plane[node], self.children[node] = plane, (new, new + 1)
+            else:
+                planes[node - len(self.plane)], children[node - len(self.plane)] = plane, (new, new + 1)
+            stack += [(new, rows[~side]), (new + 1, rows[side])]
+            grown = True
+        if grown:
+            self.plane = np.concatenate([self.plane, np.stack(planes)])
+            self.children = np.concatenate([self.children, np.array(children, dtype=np.int64)])
+        return grown
+
+
+def shard_places(sizes: dict[int, int], order: list[int], shards: int) -> list[tuple[int, float, float]]:
+    """(leaf, from, to) in shards: small leaves have one place, so one shard; large ones are spread between two places."""
+    total, before, out = sum(sizes.values()), 0, []
+    for leaf in order:
+        if leaf in sizes:
+            low, high = before * shards / total, (before + sizes[leaf]) * shards / total
+            if high - low <= 1:
+                low = high = (low + high) / 2
+            out.append((leaf, low, high))
+            before += sizes[leaf]
+    return out
+
+
+def by_content(fragments: DataFrame, shared, tokens: int, shard_tokens: int) -> DataFrame:
+    """``fragments`` with ``key`` (a hash) and ``shard``. ``shared`` broadcasts idf and mean length."""
+    spark = fragments.sparkSession
+    shards = max(1, -(-tokens // shard_tokens))
+    fragments = fragments.withColumn("key", F.xxhash64("doc_id", "start", "ids"))
+    if shards == 1:
+        return fragments.withColumn("shard", F.lit(0).cast("bigint"))
+
+    def vectors(rows: DataFrame, tree: ContentTree, schema: str, finish) -> DataFrame:
+        grown = spark.sparkContext.broadcast(tree)
+
+        def run(batches: Iterator) -> Iterator:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 512):
+                    part = batch.slice(low, 512)
+                    ids = [unpacked(d, n) for d, n in zip(part.column("ids").to_pylist(), part.column("length").to_pylist())]
+                    x = projected(ids, *shared.value)
+                    yield finish(part, x, grown.value.leaf_of(x))
+
+        return rows.mapInArrow(run, schema)
+
+    def sampled(part, x, leaf):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(leaf), part.column("length"), pa.array([v.tobytes() for v in x], pa.binary())],
+                                          names=["leaf", "length", "vector"])
+
+    def placed(part, x, leaf):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(leaf)], names=[*part.schema.names, "leaf"])
+
+    tree, rows, turn = ContentTree(), fragments.withColumn("leaf", F.lit(0).cast("bigint")), 0
+    counts = {0: (fragments.count(), tokens)}
+    closed: set[int] = set()
+    while True:
+        big = [leaf for leaf, (_, size) in counts.items() if size > shard_tokens and leaf not in closed]
+        if not big:
+            break
+        many = sum(counts[leaf][0] for leaf in big)
+        share = min(1.0, SAMPLE / many)
+        turn += 1
+        wanted = rows.filter(F.col("leaf").isin(big)) if tree.children[0, 0] >= 0 else rows
+        wanted = wanted.filter(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 30)) < share * (1 << 30)).select("ids", "length")
+        found = vectors(wanted, tree, "leaf bigint, length bigint, vector binary", sampled).toPandas()
+        x = np.frombuffer(b"".join(found["vector"]), dtype=np.float32).reshape(-1, DIMENSIONS)
+        at, length, before = found["leaf"].to_numpy(), found["length"].to_numpy(), len(tree.plane)
+        for leaf in big:
+            mine = np.flatnonzero(at == leaf)
+            # Parts of a quarter of a shard, so that the shards put together from them are even.
+            if not tree.grow(leaf, x[mine], length[mine], share * shard_tokens / 4, LEAST_SAMPLE if share < 1 else 2):
+                closed.add(leaf)
+        if len(tree.plane) == before:
+            break
+        rows = cut(vectors(fragments, tree, PLACED, placed))
+        counts = {r["leaf"]: (r["n"], r["size"]) for r in
+                  rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).collect()}
+    places = shard_places({leaf: size for leaf, (_, size) in counts.items()}, tree.leaves(), shards)
+    places = spark.createDataFrame(places, "leaf bigint, low double, high double")
+    within = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    shard = F.least(F.floor(F.col("low") + within * (F.col("high") - F.col("low"))), F.lit(shards - 1)).cast("bigint")
+    return rows.join(F.broadcast(places), "leaf").withColumn("shard", shard).drop("leaf", "low", "high")
+
+
 def shard_windows(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of one shard as lists of (fragment, from, to)."""
     n = len(ids)
@@ -274,7 +439,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
     for term, count in frequency.items():
         idf[term] = np.log(1 + (n - count + 0.5) / (count + 0.5))
     shared = spark.sparkContext.broadcast((idf, tokens / max(n, 1)))  # bounded by the vocabulary
-    shards = max(1, -(-tokens // shard_tokens))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         idf, mean_length = shared.value
@@ -292,9 +456,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
         out["doc_id"] = doc.iloc[out["doc_id"]].reset_index(drop=True)
         return out
 
-    key = F.xxhash64("doc_id", "start", "ids")
-    mixed = (fragments.withColumn("key", key).withColumn("shard", F.pmod("key", F.lit(shards)))
-             .groupBy("shard").applyInPandas(run, PIECES))
+    mixed = by_content(fragments, shared, tokens, shard_tokens).groupBy("shard").applyInPandas(run, PIECES)
     full = parts.filter("ids IS NULL").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))

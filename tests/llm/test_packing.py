@@ -71,3 +71,22 @@ def test_neighbours_share_a_window():
     idf = np.log(1 + (len(ids) - used + 0.5) / (used + 0.5))
     mixed = [len({int(ids[f][0]) // 1000 for f, _, _ in s}) for s in pk.shard_windows(ids, idf, 200.0)]
     assert sum(m == 1 for m in mixed) >= 6
+
+
+def test_shards_hold_neighbours(spark):
+    """Fragments of a topic share a shard, however many shards there are; copies are spread over several."""
+    r = np.random.default_rng(2)
+    rows = [(i, 0, 200, None, 200, r.integers(1000 * (i % 8) + 1, 1000 * (i % 8) + 400, 200).astype("<u2").tobytes()) for i in range(400)]
+    copy = np.arange(9000, 9200).astype("<u2").tobytes()
+    rows += [(1000 + i, 0, 200, None, 200, copy) for i in range(150)]
+    columns = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
+    fragments = spark.createDataFrame(rows, columns)
+    shared = spark.sparkContext.broadcast((np.ones(10_000), 200.0))
+    for shards in (4, 11):  # by a hash one neighbour in as many would be there
+        got = pk.by_content(fragments, shared, 110_000, 110_000 // shards).collect()
+        assert len(got) == 550 and len({x.doc_id for x in got}) == 550
+        of = {x.doc_id: x.shard for x in got}
+        near = [of[a] == of[b] for t in range(8) for a in range(t, 400, 8) for b in range(t, a, 8)]
+        assert np.mean(near) > 0.8
+        assert np.bincount([x.shard for x in got]).max() <= 1.5 * 550 / shards
+        assert len({of[1000 + i] for i in range(150)}) >= 150 * shards // 550
