@@ -8,10 +8,10 @@ splits, learned from bounded samples and grown until its leaves are smaller than
 next to each other share a shard; one that does not separate (copies) is spread over several by a
 hash. So most near neighbours of a fragment are in its shard, but not all: a seed does not ask the
 other shards (README gives the share found). A shard holds a BM25 inverted index of its fragments (terms are token ids, document frequencies are those
-of the whole corpus). The longest unused fragment seeds a window; its neighbours that are
-still unused, in order of score, fill it greedily: those that fit go in whole, then the
-first that does not is cut at the end of the window, and its rest stays in the index. So
-windows are full; the last fragments of a shard, less than a window, are laid out in
+of the whole corpus). The longest unused fragment seeds a window and asks with all of its terms; its
+neighbours that are still unused fill it in order of score, ``NEIGHBOURS`` at a time until it is full: of
+each lot those that fit go in whole, then the first that does not is cut at the end of the
+window, and its rest stays in the index. So windows are full; the last fragments of a shard, less than a window, are laid out in
 sequences whose lengths are powers of two, which need no padding.
 
 Cases: null text is an empty document (its end id alone); null ids and repeated rows are
@@ -40,8 +40,8 @@ from .token_counts import byte_alphabet
 WINDOW = 1024
 END_ID = 0
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 16   # the seed's terms of largest weight ask the index; every fragment can answer
-NEIGHBOURS = 32
+NEIGHBOURS = 32    # looked at together for those that fit; the next ones follow while there is room
+DENSE_TERM = 8     # a term that one fragment in so many holds has a row of all fragments as its postings
 K1, B = 1.2, 0.75
 DIMENSIONS = 64
 SAMPLE = 100_000   # fragments from which the tree grows in one round
@@ -365,13 +365,18 @@ def shard_windows(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, wi
     key, tf = np.unique(inverse.astype(np.int64) * n + owner, return_counts=True)
     term_of, fragment_of = key // n, key % n
     norm = K1 * (1 - B + B * lengths / mean_length)
-    weight = idf[terms][term_of] * tf * (K1 + 1) / (tf + norm[fragment_of])
+    weight = (idf[terms][term_of] * tf * (K1 + 1) / (tf + norm[fragment_of])).astype(np.float32)
     postings = np.searchsorted(term_of, np.arange(len(terms) + 1))
-    by_fragment = np.lexsort((-weight, fragment_of))
+    by_fragment = np.argsort(fragment_of, kind="stable")
     first = np.searchsorted(fragment_of[by_fragment], np.arange(n + 1))
+    row_of = np.full(len(terms), -1)  # terms of long postings, at most DENSE_TERM numbers for each of theirs
+    long = np.flatnonzero(np.diff(postings) * DENSE_TERM > n)
+    row_of[long] = np.arange(len(long))
+    dense = np.zeros((len(long), n), dtype=np.float32)
+    in_row = row_of[term_of] >= 0
+    dense[row_of[term_of[in_row]], fragment_of[in_row]] = weight[in_row]
     left_from = np.zeros(n, dtype=np.int64)  # what is left of a fragment begins here
     room_of = lengths.copy()                 # and is this long; 0 when used up
-    scores = np.zeros(n)
     seeds = np.argsort(-lengths, kind="stable")
     sequences, total, at = [], int(lengths.sum()), 0
 
@@ -383,6 +388,33 @@ def shard_windows(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, wi
         room_of[fragment] -= size
         return size
 
+    def scored(seed: int) -> np.ndarray:
+        """Scores of all fragments for all terms of the seed; -1 for those used up."""
+        asked = term_of[by_fragment[first[seed]:first[seed + 1]]]
+        rows = row_of[asked]
+        scores = dense[rows[rows >= 0]].sum(axis=0)
+        for term in asked[rows < 0].tolist():
+            low, high = postings[term], postings[term + 1]
+            scores[fragment_of[low:high]] += weight[low:high]
+        scores[room_of == 0] = -1
+        return scores
+
+    def nearest(scores: np.ndarray) -> Iterator[np.ndarray]:
+        """All unused fragments in order of score, NEIGHBOURS at a time."""
+        done, most = 0, 4 * NEIGHBOURS
+        while True:
+            if most < n:  # with all that score as much as the last one
+                near = np.flatnonzero(scores >= np.partition(scores, n - most)[n - most])
+            else:
+                near = np.arange(n)
+            near = near[np.lexsort((near, -scores[near]))]
+            near = near[scores[near] >= 0]
+            for low in range(done, len(near), NEIGHBOURS):
+                yield near[low:low + NEIGHBOURS]
+            if most >= n:
+                return
+            done, most = len(near), 8 * most
+
     while total >= window:
         while room_of[seeds[at]] == 0:
             at += 1
@@ -390,26 +422,15 @@ def shard_windows(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, wi
         pieces: list[tuple[int, int, int]] = []
         room = window - take(pieces, seed, window)
         if room:
-            scores[:] = 0
-            for e in by_fragment[first[seed]:first[seed + 1]][:QUERY_TERMS]:
-                low, high = postings[term_of[e]], postings[term_of[e] + 1]
-                scores[fragment_of[low:high]] += weight[low:high]
-            scores[room_of == 0] = -1
-            near = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS] if n > NEIGHBOURS else np.arange(n)
-            near = near[np.lexsort((near, -scores[near]))]
-            near = near[scores[near] >= 0]
-            for fragment in near:
-                if 0 < room_of[fragment] <= room:
-                    room -= take(pieces, fragment, room)
-            for fragment in near:
-                if room and room_of[fragment]:
-                    room -= take(pieces, fragment, room)
-            ahead = at
-            while room:  # fewer neighbours than room: the next seeds
-                if room_of[seeds[ahead]]:
-                    room -= take(pieces, seeds[ahead], room)
-                else:
-                    ahead += 1
+            for near in nearest(scored(seed)):
+                for fragment in near:
+                    if 0 < room_of[fragment] <= room:
+                        room -= take(pieces, fragment, room)
+                for fragment in near:
+                    if room and room_of[fragment]:
+                        room -= take(pieces, fragment, room)
+                if not room:
+                    break
         sequences.append(pieces)
         total -= window
     size = window

@@ -90,3 +90,25 @@ def test_shards_hold_neighbours(spark):
         assert np.mean(near) > 0.8
         assert np.bincount([x.shard for x in got]).max() <= 1.5 * 550 / shards
         assert len({of[1000 + i] for i in range(150)}) >= 150 * shards // 550
+
+
+def test_every_term_of_a_seed_asks():
+    r = np.random.default_rng(3)
+    topic = np.arange(2000, 2300)
+    seed = np.concatenate([np.arange(100, 120), topic, topic])  # its twenty rarest terms are nobody else's
+    related = [r.permutation(topic) for _ in range(2)]
+    others = [r.integers(5000, 9000, 250) for _ in range(60)]
+    ids = [x.astype(np.int64) for x in [*others[:30], seed, *others[30:], *related]]
+    idf = np.ones(10_000)
+    idf[100:120] = 20
+    window = next(s for s in pk.shard_windows(ids, idf, 300.0) if s[0][0] == 30)
+    assert {f for f, _, _ in window} == {30, 61, 62}
+
+
+def test_neighbours_beyond_the_first_lots():
+    """Related short fragments come before longer ones of another topic, however many it takes."""
+    r = np.random.default_rng(6)
+    ids = [r.integers(1000, 1040, 20) for _ in range(300)] + [r.integers(2000, 2040, 19) for _ in range(300)]
+    ids[300] = r.integers(2000, 2040, 21)  # the first seed
+    first = pk.shard_windows(ids, np.ones(4000), 20.0)[0]
+    assert first[0][0] == 300 and all(f >= 300 for f, _, _ in first)
