@@ -9,7 +9,9 @@ shuffle, and no task holds a host.
 
 * A class is valid as template if it has the support of ``SUPPORT`` pages and holds an element
   role; its roles nest by their paths, and so do the classes.
-* A text run in the class of a role is text of the template (a label, a notice), not content.
+* A text run in the class of a role is text of the template (a label, a notice), not content. Where the
+  main role is an article or main element, this holds for runs and roles inside such elements, on half
+  of its pages or more; if those runs are more than half of its text, the pages are copies and keep them.
 * What is left between template tokens are the slots. Each role has the mass of slot text
   below it over all pages of the host, and the main role is the deepest template role that
   still holds most of it; ``article`` and ``main`` elements, where a host has them, are
@@ -257,7 +259,7 @@ def token_classes(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, main_role, texts (keys of template text; none where the main role is an article)."""
+    """host, main_role, texts (keys of template text)."""
     tokens = cut(token_classes(pages))
     roles = tokens.filter("NOT is_text")
     host = Window.partitionBy("host")
@@ -270,14 +272,18 @@ def templates(pages: DataFrame) -> DataFrame:
     fit = fit.filter(F.when(by_article, F.col("semantic") & (F.col("mass") >= MOST * F.col("article_mass")))
                      .otherwise(F.col("mass") >= MOST * F.col("all_mass")))
     nth = F.row_number().over(host.orderBy(F.when(F.col("semantic"), F.col("depth")).otherwise(-F.col("depth")), F.desc("mass"), "token"))
-    main = fit.withColumn("nth", nth).filter("nth = 1").select("host", F.col("token").alias("main_role"), "semantic")
+    main = fit.withColumn("nth", nth).filter("nth = 1").select(
+        "host", F.col("token").alias("main_role"), F.col("semantic").alias("article"), F.col("pages").alias("main_pages"), F.col("mass").alias("main_mass"))
     # Text in the class of an element role: on just the pages, and as often, as a piece of the template.
-    classes = roles.groupBy("host", "pages", "total", "vector").agg(F.count(F.lit(1)).alias("roles"))
-    texts = (tokens.filter("is_text").join(classes, ["host", "pages", "total", "vector"])
-             .groupBy("host").agg(F.collect_set("token").alias("texts")))
+    classes = roles.groupBy("host", "pages", "total", "vector").agg(F.max("semantic").alias("inside"))
+    within = F.col("semantic") & F.col("inside") & (2 * F.col("pages") >= F.col("main_pages"))
+    texts = (tokens.filter("is_text").join(classes, ["host", "pages", "total", "vector"]).join(main, "host")
+             .filter(~F.col("article") | within)
+             .groupBy("host").agg(F.collect_set("token").alias("texts"), F.sum("mass").alias("text_mass")))
     none = F.array().cast("array<bigint>")
+    copies = F.col("article") & (2 * F.col("text_mass") > F.col("main_mass"))
     return (main.join(texts, "host", "left")
-            .select("host", "main_role", F.when(F.col("semantic"), none).otherwise(F.coalesce("texts", none)).alias("texts")))
+            .select("host", "main_role", F.when(copies, none).otherwise(F.coalesce("texts", none)).alias("texts")))
 
 
 def extract(pages: DataFrame) -> DataFrame:

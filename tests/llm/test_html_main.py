@@ -38,6 +38,24 @@ def test_template_without_article_elements(spark):
         assert text == " ".join(f"word{i}x{j}" for j in range(60)) + f" A <b> & c {i}"
 
 
+def test_template_within_article_elements(spark):
+    def page(i, body):
+        return (f'<html><body><nav>menu</nav><article><h1>Title {i}</h1><p class="desk">Published by the desk</p><p>{body}</p>'
+                f'<p>last</p><p>last</p></article><div class="site-footer">&copy; us</div></body></html>')
+
+    words = [" ".join(f"word{i}x{j}" for j in range(60)) for i in range(8)]
+    rows = [(i, f"http://h.example/{i}", page(i, words[i]), "x", "y", 1) for i in range(8)]
+    # A host whose pages are copies keeps their text, and so does a group of copies among other pages.
+    rows += [(100 + i, f"http://copies.example/{i}", page(0, words[0]), "x", "y", 1) for i in range(8)]
+    rows += [(200 + i, f"http://some.example/{i}", f"<article><p>{i} {words[i % 8]}</p></article>", "x", "y", 1) for i in range(12)]
+    rows += [(300 + i, f"http://some.example/c{i}", f"<article><table><tr><td>{words[0]}</table></article>", "x", "y", 1) for i in range(4)]
+    got = result(hm.extract(pages(spark, rows)))
+    for i in range(8):
+        assert got[i][0] == f"Title {i} {words[i]} last last"
+        assert got[100 + i][0] == f"Title 0 Published by the desk {words[0]} last last"
+    assert all(got[300 + i][0] == words[0] for i in range(4))
+
+
 def test_parts_of_one_page():
     take = lambda h: hm.main_text(h, None, frozenset())
     assert take("a<b>b</b>c<br>d<p>e") == "abc d e"
