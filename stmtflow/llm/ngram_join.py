@@ -170,8 +170,8 @@ def forest(near: np.ndarray) -> np.ndarray:
 
 
 def pairs_asked(side: np.ndarray) -> np.ndarray:
-    """Pairs that a piece compares: all of one block, or those across two."""
-    asked = side[:, None] != side[None, :] if side.any() else np.ones((len(side), len(side)), dtype=bool)
+    """Pairs that a piece compares: all of one block (side 0), or those across two (sides 1 and 2, one of which may be empty)."""
+    asked = (side[:, None] != side[None, :]) | (side[:, None] == 0)
     np.fill_diagonal(asked, False)
     return asked
 
@@ -205,7 +205,7 @@ def common_counts(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
     if n <= 12:
         for i in range(n):
             for j in range(i):
-                if side[i] == side[j] and side.any():
+                if side[i] == side[j] != 0:
                     continue
                 counts[i, j] = counts[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
         return counts
@@ -255,12 +255,13 @@ def in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
     """Each row once per block pair of its group: columns piece and side are added.
 
     ``group`` is the group's number and ``blocks`` its number of blocks; a row of block x goes to
-    the pairs (x, y), x first if x <= y. Rows are sorted by piece within partitions.
+    the pairs (x, y), x first if x <= y. The side is 0 in a pair of a block with itself, 1 for the first and
+    2 for the second of two. Rows are sorted by piece within partitions.
     """
     spread = (rows.withColumn("_x", F.pmod(F.xxhash64("key"), F.col(blocks)))
               .withColumn("_y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1)))
               .withColumn("piece", F.xxhash64("group", F.least("_x", "_y"), F.greatest("_x", "_y")))
-              .withColumn("side", (F.col("_x") > F.col("_y")).cast("int")).drop("_x", "_y"))
+              .withColumn("side", F.when(F.col("_x") == F.col("_y"), 0).when(F.col("_x") < F.col("_y"), 1).otherwise(2)).drop("_x", "_y"))
     return spread.repartition("piece").sortWithinPartitions("piece")
 
 

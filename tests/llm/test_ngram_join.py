@@ -68,6 +68,17 @@ def test_large_group_of_near_copies_in_small_blocks(spark, monkeypatch):
     same(nj.duplicate_groups(docs).collect(), rows)
 
 
+def test_few_long_members_leave_blocks_empty(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_BYTES", 2048)  # of each group, far more blocks than members
+    r = random.Random(7)
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{r.randrange(10**6)}" for _ in range(300)]
+        for i in range(3):
+            rows.append((10 * g + i, " ".join([*words, f"end{i}"])))
+    same(nj.duplicate_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     same(nj.duplicate_groups(odd_docs).collect(), rows)
