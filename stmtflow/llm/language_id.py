@@ -6,7 +6,7 @@ unseen word falls back to its longest n-grams that are known anywhere, then to s
 ones. The language of the largest total wins; the score is its share after the totals
 are tempered by the number of words.
 
-The model is fitted on a bounded sample: at most about ``per_language`` documents of each of the
+The model is fitted on a bounded sample: at most about ``per_language`` distinct texts of each of the
 ``MAX_LANGUAGES`` commonest languages, chosen by a hash of the text, and keeps at most ``words``
 words and ``grams`` n-grams of each length per language. Its size is thus fixed by parameters,
 whatever the size of the table; it goes to the tasks as a broadcast.
@@ -68,13 +68,14 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 2000, words: int = 2
     """(languages, tables): tables[n] maps a piece to its log frequencies, n 0 for words."""
     rows = docs.select(F.col("lang").cast("string").alias("lang"), whole_text().alias("text"),
                        learn.alias("learn")).filter("learn AND lang IS NOT NULL")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    found = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.countDistinct(F.xxhash64("text")).alias("texts"))
+             .orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
     if not found:
         return [], [{} for _ in range(LONGEST + 1)]
-    # The share of each language's documents that is read; at most MAX_LANGUAGES entries.
-    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, per_language / r["count"]))])
+    # The share of each language's distinct texts that is read, each once; at most MAX_LANGUAGES entries.
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, per_language / r["texts"]))])
     in_sample = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)
-    pieces = (rows.filter(in_sample).select("lang", "text")
+    pieces = (rows.filter(in_sample).select("lang", "text").distinct()
               .mapInArrow(_count_pieces, "lang string, n int, piece string, count bigint")
               .groupBy("lang", "n", "piece").agg(F.sum("count").alias("count")))
     pieces = cut(pieces)

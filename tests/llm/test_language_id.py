@@ -31,3 +31,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
     nothing = li.fit(no_docs, F.lit(True))
     assert nothing[0] == [] and {r.lang_pred for r in li.identify(odd_docs, nothing, F.lit(False)).collect()} == {"und"}
     assert li.identify(no_docs, model, F.lit(False)).count() == 0
+
+
+def test_copies_take_no_room_in_the_sample(spark):
+    rows = [(i, "the very same words", "en") for i in range(3000)] + [(5000 + i, f"other{chr(97 + i)} text", "en") for i in range(20)]
+    rows += [(9000 + i, "toujours le texte", "fr") for i in range(3000)]
+    langs, tables = li.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), per_language=30)
+    assert langs == ["en", "fr"] and {f"other{chr(97 + i)}" for i in range(20)} <= set(tables[0])
