@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (html_main, language_id, mixing, ngram_join, packing, pii_spans, quality_ledger, token_counts, topk_search,
+from . import (decontamination, html_main, language_id, mixing, ngram_join, packing, pii_spans, quality_ledger, token_counts, topk_search,
                toxicity)
 from .common import id_remainder, table
 
@@ -67,13 +67,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out), held_out)
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {q.__name__: q for q in (op1_token_counts, op2_ngram_join, op3_html_main, op4_pii, op5_quality_rules, op6_packing, op7_mixing, op8_topk_search,
-                                     op9_language_id, op10_toxicity)}
+                                     op9_language_id, op10_toxicity, op12_decontamination)}
 
 # A word is a maximal run without white space (space, tab to carriage return).
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+# Lower-cased A-Z, then words of 0-9, a-z and all characters beyond ASCII.
+_PLAIN_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+                r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
 SQL: dict[str, str] = {
+    "op12_decontamination": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_PLAIN_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, w[i:i + {decontamination.WINDOW - 1}] AS g
+  FROM b, unnest(range(1, greatest(len(w) - {decontamination.WINDOW - 2}, 2))) AS u(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT len(g) AS l FROM iw),
+dw AS (SELECT rid, i, l, w[i:i + l - 1] AS g FROM d, lens, unnest(range(1, len(w) - l + 2)) AS u(i)),
+hit AS (SELECT rid, i, l, item FROM dw JOIN iw USING (g)),
+cov AS (SELECT rid, count(DISTINCT i + j) AS n FROM hit, unnest(range(0, l)) AS u(j) GROUP BY rid),
+its AS (SELECT rid, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hit GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(its.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(cov.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)""",
     "op5_quality_rules": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
