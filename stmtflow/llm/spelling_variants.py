@@ -198,11 +198,11 @@ class SortedList:
 
         for d, (first, key, children) in enumerate(self.levels):
             cell = lengths[query] - d + 1
-            ends = np.flatnonzero((self.lengths[first[node]] == d) & (cell >= 0) & (cell <= 2))
+            fixed = exact[query] > d  # code points still have to agree
+            ends = np.flatnonzero((self.lengths[first[node]] == d) & (cell >= 0) & (cell <= 2) & ~fixed)
             hit = ends[row[cell[ends], ends] == 1]
             found.append((first[node[hit]], query[hit]))
             # Down to the stretches within: one, while code points have to agree, then all.
-            fixed = exact[query] > d
             wanted = node[fixed] << 21 | letter(query[fixed], d)
             at = np.searchsorted(key, wanted)
             there = at < len(key)
