@@ -1,8 +1,8 @@
 """Model-response operators: batch model calls, strict validation, bounded retries.
 
 The model itself is outside Spark. ``model_extract`` runs a caller-supplied
-function over Arrow batches (one client per task, created once per partition);
-its output is JSON text, which ``validate_response`` checks strictly against a
+function over Arrow batches (one client per task, created once per partition, several calls at
+once if asked, each within a deadline); its output is JSON text, which ``validate_response`` checks strictly against a
 record schema with native expressions.
 """
 
@@ -13,44 +13,63 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import is_blank
 from ..functions.validation import parse_object, validate_frame
 from ..schemas import BILL_RECORD, INVOICE_RECORD, MODEL_MAX_RETRIES, RecordSchema
-from ..session import cut
+from ..session import cut, stored_once
+from .calls import in_order
 
-def _call(make_extractor, attempt: int, schema: T.StructType):
-    """One call per document; an exception becomes the row's ``error``."""
+
+ANSWERS_AT_ONCE = 256  # rows of an output batch
+
+
+def _call(make_extractor, attempt: int, schema: T.StructType, concurrency: int, deadline: float | None):
+    """One call per document, in the order of the documents; an exception or a missed deadline becomes the row's ``error``."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         fn = make_extractor()
-        for batch in batches:
-            answers = []
-            for text in batch.column(1).to_pylist():
-                try:
-                    answers.append((fn(text), None))
-                except Exception as exc:  # noqa: BLE001 - any failure is data
-                    answers.append((None, f"{type(exc).__name__}: {exc}"))
-            cols = list(zip(*answers)) or [(), ()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([attempt] * batch.num_rows, pa.int32()), *[pa.array(c, pa.string()) for c in cols]],
+        key_type = to_arrow_type(schema[0].dataType)
+
+        def rows() -> Iterator:
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+        def record(held: list) -> pa.RecordBatch:
+            keys, answers, errors = zip(*held)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, key_type), pa.array([attempt] * len(held), pa.int32()), pa.array(answers, pa.string()), pa.array(errors, pa.string())],
                 names=[f.name for f in schema])
 
+        held: list = []
+        for answered in in_order(fn, rows(), concurrency, deadline):
+            held.append(answered)
+            if len(held) >= ANSWERS_AT_ONCE:
+                yield record(held)
+                held = []
+        if held:
+            yield record(held)
+
     return run
 
 
 def model_extract(df: DataFrame, make_extractor: Callable[[], Callable[[str], str | None]],
                   id_col: str = "doc_id", text_col: str = "text", attempts: int = MODEL_MAX_RETRIES + 1,
-                  schema: RecordSchema = BILL_RECORD) -> DataFrame:
+                  schema: RecordSchema = BILL_RECORD, concurrency: int = 1, deadline: float | None = None,
+                  store: str | None = None) -> DataFrame:
     """Run a black-box extractor over documents: ``(doc_id, attempt, response, error)``.
 
     ``make_extractor`` is called once per task (client set-up cost is paid per
     partition, not per row) and returns ``fn(text) -> json_text``. Blank documents
     are filtered natively before the Python stage. An exception becomes an ``error`` value for
-    that document only. ``attempts`` rounds: each calls the model once for the documents that have no
+    that document only. ``concurrency`` calls of a task run at once (``fn`` is then called from several threads),
+    and a call without an answer after ``deadline`` seconds (the reference waits ``MODEL_TIMEOUT_SECONDS``) is an ``error``
+    too; see ``operators.calls``. ``attempts`` rounds: each calls the model once for the documents that have no
     valid record yet (it raised, or the strict validation against ``schema`` refused its answer), and
-    stores its answers in the shared folder, so a call is never repeated by a later plan. ``doc_id``
+    stores its answers in the shared folder, so a call is never repeated by a later plan. With ``store``,
+    round k is Parquet at ``<store>/attempt=<k>``, and one that is complete there is read and not asked again. ``doc_id``
     keeps the type of ``id_col``; keys must be unique.
     """
     todo = df.where(~is_blank(F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -59,8 +78,10 @@ def model_extract(df: DataFrame, make_extractor: Callable[[], Callable[[str], st
     rounds = None
     for attempt in range(1, attempts + 1):
         # Batches of the session's byte limit (spark.sql.execution.arrow.maxBytesPerBatch) hold whole documents.
-        answers = todo.mapInArrow(_call(make_extractor, attempt, out_schema), out_schema)
-        if attempts > 1:
+        answers = todo.mapInArrow(_call(make_extractor, attempt, out_schema, concurrency, deadline), out_schema)
+        if store:
+            answers = stored_once(answers, f"{store}/attempt={attempt}")
+        elif attempts > 1:
             answers = cut(answers)
         rounds = answers if rounds is None else rounds.unionByName(answers)
         if attempt < attempts:

@@ -1,6 +1,6 @@
 """Named pipeline stages: register ``DataFrame -> DataFrame`` functions by name and
 run a sequence of them with ``DataFrame.transform``. Black-box stages (a model
-client, say) are ordinary stages built on ``model_extract``'s ``mapInPandas``."""
+client, say) are ordinary stages built on ``model_extract``'s ``mapInArrow``."""
 
 from __future__ import annotations
 

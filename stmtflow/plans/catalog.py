@@ -458,6 +458,82 @@ def q_stream_corrections(spark, sf):
                       F.col("record.account_number").alias("account_number"))
 
 
+def q_stream_extract(spark, sf):
+    """Documents alone in: the model is asked inside the micro-batches."""
+    from ..streaming.extract import stream_extract_once
+    out, answers = stream_extract_once(spark, _pipeline_docs(spark, sf), make_stub_extractor, batches=2, concurrency=2)
+    asked = answers.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_answers"))
+    return out.join(asked, "doc_id", "left").select(
+        "doc_id", "status", "route", "branch", F.col("record.account_number").alias("account_number"),
+        as_long(F.coalesce("n_answers", F.lit(0))).alias("n_answers"))
+
+
+def q_stream_extract_rules(spark, sf):
+    from ..streaming.extract import stream_extract_once
+    out, _ = stream_extract_once(spark, _pipeline_docs(spark, sf))
+    return out.select("doc_id", "status", "route", F.col("record.account_number").alias("account_number"),
+                      F.col("record.total_amount_due").alias("total_amount_due"), ds("record.due_date").alias("due_date"))
+
+
+def _requests(spark, sf):
+    """Review requests and corrections; every fifth request gets a second correction, which comes later."""
+    corrections = fx.corrections(spark, sf).withColumn("place", F.lit(1))
+    second = corrections.where(F.col("doc_id") % 5 == 0).withColumn("corrected", F.lit("{}")).withColumn("place", F.lit(2))
+    return _run(spark, sf).queue, corrections.unionByName(second)
+
+
+def q_stream_reviews(spark, sf):
+    """Every change of every review request."""
+    from ..streaming.reviews import stream_reviews_once
+    states, _ = stream_reviews_once(spark, *_requests(spark, sf), order_col="place")
+    return states.select("doc_id", "state", flag(F.col("corrected") == "{}").alias("empty"))
+
+
+def q_stream_pending(spark, sf):
+    from ..streaming.reviews import still_pending, stream_reviews_once
+    requests, corrections = _requests(spark, sf)
+    states, _ = stream_reviews_once(spark, requests, corrections, order_col="place")
+    return still_pending(states)
+
+
+def q_first_corrections(spark, sf):
+    from ..operators.review import apply_corrections
+    requests, corrections = _requests(spark, sf)
+    c = apply_corrections(requests, corrections, order_col="place")
+    return c.select("doc_id", flag(F.col("correction_missing")).alias("correction_missing"),
+                    flag(F.size("errors") == 0).alias("valid"), as_long("n_corrections").alias("n_corrections"))
+
+
+HANG_EVERY = 1009
+HANG_DEADLINE = 6.0
+
+
+def make_hanging_extractor():
+    """The stand-in client, over a service that never answers for some orders."""
+    import re
+    import time
+
+    read, order = make_stub_extractor(), re.compile(r"(?m)^Summary: order ([0-9]+)$")
+
+    def extract(text: str) -> str:
+        number = order.search(text)
+        if number and int(number.group(1)) % HANG_EVERY == 0:
+            time.sleep(60)
+        return read(text)
+
+    return extract
+
+
+def q_model_deadline(spark, sf):
+    """Calls that hang become errors after the deadline, and their documents go to review."""
+    docs = _pipeline_docs(spark, sf)
+    answers = cut(model_extract(docs, make_hanging_extractor, attempts=1, concurrency=8, deadline=HANG_DEADLINE))
+    status = document_status(docs.join(extraction_results(answers), "doc_id", "left"))
+    late = F.coalesce(F.col("error").startswith("TimeoutError"), F.lit(False))
+    return (status.join(answers.select("doc_id", "error"), "doc_id", "left")
+            .select("doc_id", "status", "route", flag(late).alias("timed_out"), flag(F.col("error").isNotNull()).alias("has_error")))
+
+
 def q_stream_append(spark, sf):
     from ..streaming.pipeline import stream_append_once
     table = stream_append_once(spark, _run(spark, sf, stored_stage=True).stored)
@@ -523,6 +599,12 @@ QUERIES: dict[str, Query] = {
     "workflow_output": q_workflow_output,
     "stream_ingest": q_stream_ingest,
     "stream_corrections": q_stream_corrections,
+    "stream_extract": q_stream_extract,
+    "stream_extract_rules": q_stream_extract_rules,
+    "stream_reviews": q_stream_reviews,
+    "stream_pending": q_stream_pending,
+    "first_corrections": q_first_corrections,
+    "model_deadline": q_model_deadline,
     "stream_append": q_stream_append,
     "stream_all": q_stream_all,
     "registered_stage": q_registered_stage,

@@ -317,6 +317,41 @@ FROM o"""
 SQL["document_status"] = _w(STATUS)
 SQL["stream_ingest"] = _w(STATUS)
 
+READ = "k <> 9 AND n_items > 0"
+SQL["stream_extract"] = _w(f"""
+SELECT doc_id, CASE WHEN k = 9 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+  CASE WHEN k = 9 THEN NULL WHEN {READ} THEN 'LLM_SUCCESS' ELSE 'LLM_FAILURE' END AS route,
+  CASE WHEN k = 9 THEN 'unrouted' WHEN {READ} THEN 'success' ELSE 'failure' END AS branch,
+  CASE WHEN {READ} THEN {ACCOUNT} END AS account_number,
+  CASE WHEN k = 9 THEN 0 WHEN {READ} THEN 1 ELSE 3 END::BIGINT AS n_answers
+FROM oc""")
+
+SQL["stream_extract_rules"] = _w(f"""
+SELECT doc_id, CASE WHEN k = 9 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+  CASE WHEN k <> 9 THEN 'LLM_SUCCESS' END AS route, CASE WHEN k <> 9 THEN {ACCOUNT} END AS account_number,
+  CASE WHEN k <> 9 THEN {TOTAL_READ} END AS total_amount_due, CASE WHEN k <> 9 THEN {DS.format('d + 14')} END AS due_date
+FROM oc""")
+
+SQL["model_deadline"] = _w(f"""
+SELECT doc_id, CASE WHEN k = 9 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+  CASE WHEN k = 9 THEN NULL WHEN {READ} AND doc_id % 1009 <> 0 THEN 'LLM_SUCCESS' ELSE 'LLM_FAILURE' END AS route,
+  CASE WHEN k <> 9 AND doc_id % 1009 = 0 THEN 1 ELSE 0 END::BIGINT AS timed_out,
+  CASE WHEN k <> 9 AND (n_items = 0 OR doc_id % 1009 = 0) THEN 1 ELSE 0 END::BIGINT AS has_error
+FROM oc""")
+
+SQL["stream_reviews"] = _w(f"""
+SELECT doc_id, CASE WHEN r = 0 THEN 'waiting' ELSE 'corrected' END AS state, CASE WHEN r = 3 THEN 1 ELSE 0 END::BIGINT AS empty
+FROM o WHERE {FAILURE}
+UNION ALL SELECT doc_id, 'repeated', 1::BIGINT FROM o WHERE {FAILURE} AND r <> 0 AND doc_id % 5 = 0""")
+
+SQL["stream_pending"] = _w(f"""
+SELECT doc_id, 'waiting' AS state FROM o WHERE {FAILURE} AND r = 0""")
+
+SQL["first_corrections"] = _w(f"""
+SELECT doc_id, CASE WHEN r = 3 THEN 1 ELSE 0 END::BIGINT AS correction_missing, CASE WHEN r IN (1, 3) THEN 1 ELSE 0 END::BIGINT AS valid,
+  CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS n_corrections
+FROM o WHERE {FAILURE} AND r <> 0""")
+
 SQL["route_decision"] = _w(f"""
 SELECT doc_id, CASE WHEN k = 9 THEN 'unrouted' WHEN {FAILURE} THEN 'failure' ELSE 'success' END AS branch
 FROM o""")

@@ -103,6 +103,7 @@ ACCOUNT_MAX_CHARS = 255      # VARCHAR(255)
 DOCUMENT_TYPE_MAX_CHARS = 100  # VARCHAR(100)
 AMOUNT_PRECISION, AMOUNT_SCALE = 10, 2  # NUMERIC(10, 2)
 MODEL_MAX_RETRIES = 2
+MODEL_TIMEOUT_SECONDS = 600
 CONTEXT_MAX_TOKENS = 3000
 PART_SEPARATOR = "\n\n"
 # --- end of fixed values ---------------------------------------------------------------

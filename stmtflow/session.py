@@ -84,6 +84,18 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stored_once(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as Parquet at ``path``; if a complete write is already there, that one, without computing ``df``.
+
+    Complete means that the writer's ``_SUCCESS`` mark is there; without it (also where the mark is switched off)
+    the rows are computed and written anew.
+    """
+    spark = df.sparkSession
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
     jvm = spark._jvm

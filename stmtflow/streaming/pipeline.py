@@ -41,7 +41,7 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_
     return reader.parquet(path)
 
 
-def _start(writer, checkpoint: str, available_now: bool, processing_time: str | None):
+def start_stream(writer, checkpoint: str, available_now: bool, processing_time: str | None):
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)).start()
 
@@ -65,7 +65,7 @@ def stream_ingest(spark: SparkSession, docs_path: str, docs_schema: T.StructType
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").partitionBy("branch").parquet(f"{out_path}/batch_id={batch_id}")
 
-    return _start(processed.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
+    return start_stream(processed.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
 
 
 def ingested(spark: SparkSession, out_path: str) -> DataFrame:
@@ -97,7 +97,7 @@ def stream_corrections(queue: DataFrame, corrections: DataFrame, requests: DataF
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         apply_corrections(requests, batch).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
-    return _start(matched.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
+    return start_stream(matched.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
 
 
 def _corrections_into(spark: SparkSession, base: str, requests: DataFrame, corrections: DataFrame) -> str:
@@ -141,7 +141,7 @@ def append_batch(batch: DataFrame, batch_id: int, table: str, order_col: str = "
 def stream_append(rows: DataFrame, table: str, checkpoint: str, available_now: bool = True,
                   processing_time: str | None = None):
     """Start the append stream for table-layout rows (with ``doc_id``); returns the query."""
-    return _start(rows.writeStream.foreachBatch(lambda b, i: append_batch(b, i, table)), checkpoint, available_now, processing_time)
+    return start_stream(rows.writeStream.foreachBatch(lambda b, i: append_batch(b, i, table)), checkpoint, available_now, processing_time)
 
 
 def read_stream_table(spark: SparkSession, table: str) -> DataFrame:
