@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PAGE_BREAK_RE, col_of, normalize_account, normalize_date, parse_money
 from ..schemas import BILL_RECORD
+from .markdown import SEPARATOR_ROW_RE, row_cells
 
 MONEY = r"(-?\$[0-9][0-9,]*\.[0-9]{2})"
 LONG_DATE = r"([A-Za-z]+\.?[ \t]+[0-9]{1,2},[ \t]*[0-9]{4})"
@@ -61,10 +62,18 @@ BILL_RULES: tuple[Rule, ...] = (
     Rule("raw_text_summary", 1, r"(?im)^[ \t]*(?:bill[ \t]+)?summary[ \t]*:[ \t]*([^\n]*?)[ \t]*$"),
 )
 
-# The first section whose heading names charges holds the line items.
+# Sections whose heading names charges hold the line items, up to the one that states their total.
 CHARGES_SECTION_RE = r"(?ims)^#+[ \t]*([^\n]*charges[^\n]*?)[ \t]*\n(.*?)(?=^#|^---[ \t]*$|\z)"
 ITEM_ROW_RE = r"(?m)^\|[ \t]*([^|\n]*?)[ \t]*\|[ \t]*" + MONEY + r"[ \t]*\|[ \t]*$"
-ITEM_EXCLUDE_RE = r"(?i)^\s*total\b"
+ITEM_EXCLUDE_RE = r"(?i)^\s*(?:sub-?[ \t]*)?total\b"
+PAST_SECTION_RE = r"(?i)^#+[^\n]*\b(?:past|previous|prior|last)\b"
+CLOSING_ROW_RE = r"(?im)^\|[ \t]*(?:total[ \t]+(?:current[ \t]+)?charges|(?:plus[ \t]+)?this[ \t]+month.s[ \t]+charges[ \t]+and[ \t]+credits)[ \t]*\|"
+# A row of three cells or more, or one with a marked bar: its columns are told apart by their roles.
+WIDE_ROW_RE = r"(?m)^\|[^|\n]*(?:\\|\|[^|\n]*(?:\\|\|[^|\n]*\|))"
+AMOUNT_HEADER_RE = r"(?i)\b(?:amount|charges?|total|cost|price)\b"
+TEXT_HEADER_RE = r"(?i)\b(?:description|item|service|details?|product|charge type)\b"
+MONEY_CELL_RE = "^" + MONEY + "$"
+WORD_RE = r"[A-Za-z]{2}"
 
 # How each field's winning text becomes a typed value.
 _DATE_FIELDS = {"billing_date", "billing_period_start_date", "billing_period_end_date", "due_date"}
@@ -120,10 +129,21 @@ def label_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .select(id_col, "field", "rank", "page", (F.col("nth") + 1).alias("nth"), "value"))
 
 
-def charges_section(text) -> Column:
-    """Text of the first section whose heading names charges (heading line included)."""
-    found = F.regexp_extract_all(col_of(text), F.lit(CHARGES_SECTION_RE), F.lit(0))
-    return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
+def charge_sections(text) -> Column:
+    """Texts of the sections that hold the line items, heading line included.
+
+    All whose heading names charges, but for those of an earlier time, up to the first that states the total of
+    the charges: sections after it break the same charges down.
+    """
+    found = F.filter(F.regexp_extract_all(col_of(text), F.lit(CHARGES_SECTION_RE), F.lit(0)), lambda s: ~s.rlike(PAST_SECTION_RE))
+    return bind(found, lambda all_: bind(
+        F.array_position(F.transform(all_, lambda s: s.rlike(CLOSING_ROW_RE)), True),
+        lambda n: F.when(n > 0, F.slice(all_, F.lit(1), n.cast("int"))).otherwise(all_)))
+
+
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def charges_heading(section) -> Column:
@@ -131,36 +151,94 @@ def charges_heading(section) -> Column:
     return F.lower(F.regexp_extract(col_of(section), r"^#+[ \t]*([^\n]*?)[ \t]*\n", 1))
 
 
-def charge_item_array(section, heading=None) -> Column:
-    """``array<struct<description, amount>>`` of a charges section (maybe empty).
+def _item(description: Column, amount: Column) -> Column:
+    return F.struct(description.alias("description"), parse_money(amount).cast("double").alias("amount"))
 
-    Rows whose description starts with "Total" or repeats the section heading are
-    subtotals, not items. Pass ``heading`` as a column computed beforehand so the
-    per-item lambda compares against a value instead of re-running a regex.
-    """
+
+def two_column_items(section) -> Column:
+    """Items of a section whose table has a description and an amount column."""
     section = col_of(section)
-    head = col_of(heading) if heading is not None else charges_heading(section)
     descs = F.regexp_extract_all(section, F.lit(ITEM_ROW_RE), F.lit(1))
     amounts = F.regexp_extract_all(section, F.lit(ITEM_ROW_RE), F.lit(2))
-    rows = F.arrays_zip(descs.alias("d"), amounts.alias("a"))
-    kept = F.filter(rows, lambda r: ~r["d"].rlike(ITEM_EXCLUDE_RE) & (F.lower(r["d"]) != head))
-    return F.transform(kept, lambda r: F.struct(
-        r["d"].alias("description"), parse_money(r["a"]).cast("double").alias("amount")))
+    return F.transform(F.arrays_zip(descs.alias("d"), amounts.alias("a")), lambda r: _item(r["d"], r["a"]))
+
+
+def wide_items(section) -> Column:
+    """Items of a section whose tables have any columns, by the roles of these.
+
+    A first row above a separator that holds no amount is the header. The amount column is the last one that the
+    header names so, else the one with the most amounts (the rightmost of them; there a row without an amount in it
+    gives its last one). The description column is the first that the header names so, else the one with the most words.
+    """
+    def roles(t: Column) -> Column:
+        head, body = t["header"], t["body"]
+        columns = F.sequence(F.lit(0), F.greatest(F.array_max(F.transform(F.concat(body, F.array(head)), lambda r: F.size(r))), F.lit(1)) - 1)
+        count = lambda j, regex: F.size(F.filter(body, lambda r: F.coalesce(F.get(r, j).rlike(regex), F.lit(False))))
+        named = lambda regex: F.filter(columns, lambda j: F.coalesce(F.get(head, j).rlike(regex), F.lit(False)))
+        voted = F.array_max(F.transform(columns, lambda j: F.struct(count(j, MONEY_CELL_RE).alias("n"), j.alias("j"))))["j"]
+        amount_at = F.filter(named(AMOUNT_HEADER_RE), lambda j: count(j, MONEY_CELL_RE) > 0)
+
+        def descriptions(amount: Column) -> Column:
+            others = F.filter(named(TEXT_HEADER_RE), lambda j: j != amount)
+            words = F.array_max(F.transform(F.filter(columns, lambda j: j != amount),
+                                            lambda j: F.struct(count(j, WORD_RE).alias("n"), (-j).alias("j"))))
+            return F.when(F.size(others) > 0, F.get(others, 0)).otherwise(-words["j"])
+
+        return bind(F.coalesce(F.element_at(F.when(F.size(amount_at) > 0, amount_at), -1), voted),
+                    lambda amount: F.struct(amount.alias("amount"), descriptions(amount).alias("text"), (F.size(amount_at) > 0).alias("named"), body.alias("body")))
+
+    def items(t: Column) -> Column:
+        def item(r: Column) -> Column:
+            own = F.get(r, t["amount"])
+            money = F.when(own.rlike(MONEY_CELL_RE), own).when(
+                ~t["named"], F.element_at(F.filter(r, lambda c: c.rlike(MONEY_CELL_RE)), -1))
+            return _item(F.get(r, t["text"]), money)
+
+        return F.filter(F.transform(t["body"], item), lambda x: (x["description"] != "") & x["amount"].isNotNull())
+
+    def table(lines: Column) -> Column:
+        rows = F.transform(F.filter(lines, lambda x: ~x.rlike(SEPARATOR_ROW_RE)), row_cells)
+        headed = F.coalesce(F.get(lines, 1).rlike(SEPARATOR_ROW_RE), F.lit(False))
+        return bind(F.struct(rows.alias("rows"), headed.alias("headed")), lambda t: bind(
+            F.when(t["headed"] & ~F.exists(F.get(t["rows"], 0), lambda c: c.rlike(MONEY_CELL_RE)), F.get(t["rows"], 0)),
+            lambda head: F.struct(F.coalesce(head, F.array().cast("array<string>")).alias("header"),
+                                  F.when(head.isNull(), t["rows"]).otherwise(F.slice(t["rows"], 2, F.greatest(F.size(t["rows"]) - 1, F.lit(0)))).alias("body"))))
+
+    # Tables of a section are parted by anything that is no pipe row.
+    tables = F.filter(F.split(F.regexp_replace(col_of(section), r"(?m)^(?!\|).*$", ""), r"\n{2,}"), lambda t: t.contains("|"))
+    per_table = F.transform(tables, lambda t: items_of(t, table, roles, items))
+    return F.flatten(per_table)
+
+
+def items_of(text: Column, table, roles, items) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: x.startswith("|"))
+    return bind(table(lines), lambda t: bind(roles(t), items))
+
+
+def charge_item_array(sections) -> Column:
+    """``array<struct<description, amount>>`` of charges sections (maybe empty).
+
+    Rows whose description starts with "Total" or "Subtotal", or repeats the section heading, are
+    sums, not items. Sections with two columns are read by one pattern, others by column roles.
+    """
+    def kept(section: Column) -> Column:
+        found = F.when(section.rlike(WIDE_ROW_RE), wide_items(section)).otherwise(two_column_items(section))
+        return bind(F.struct(charges_heading(section).alias("head"), found.alias("items")), lambda t: F.filter(
+            t["items"], lambda r: ~r["description"].rlike(ITEM_EXCLUDE_RE) & (F.lower(r["description"]) != t["head"])))
+
+    return F.flatten(F.transform(col_of(sections), kept))
 
 
 def charge_items(text) -> Column:
     """Line items of a document text, NULL when there are none."""
-    items = charge_item_array(charges_section(text))
+    items = charge_item_array(charge_sections(text))
     return F.when(F.size(items) > 0, items)
 
 
 def _staged_items(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``_items``; the section regex, the heading and the item lambdas each run
-    once per row (three projections Catalyst keeps apart)."""
-    return (df.withColumn("_sec", charges_section(F.col(text_col)))
-              .withColumn("_head", charges_heading(F.col("_sec")))
-              .withColumn("_items", charge_item_array(F.col("_sec"), F.col("_head")))
-              .drop("_sec", "_head"))
+    """Adds ``_items``; the section pattern and the items each run once per row (projections Catalyst keeps apart)."""
+    return (df.withColumn("_sec", charge_sections(F.col(text_col)))
+              .withColumn("_items", charge_item_array(F.col("_sec"))).drop("_sec"))
 
 
 def line_items(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +266,7 @@ def _record_fields(text: Column, items: Column, rules, schema) -> list[Column]:
 def extract_record(text, rules=BILL_RULES, schema=BILL_RECORD) -> Column:
     """The bill record struct for one document text column, NULL fields where absent."""
     text = col_of(text)
-    return F.struct(*_record_fields(text, charge_item_array(charges_section(text)), rules, schema))
+    return F.struct(*_record_fields(text, charge_item_array(charge_sections(text)), rules, schema))
 
 
 def extract_bills(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

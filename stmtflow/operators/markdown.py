@@ -8,7 +8,7 @@ put them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PAGE_BREAK_RE, col_of
@@ -80,10 +80,28 @@ def heading_sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                          (F.col("_l") + 1).alias("line"), "heading", "line_text")
 
 
+# A cell and the bar after it; a backslash keeps the character after it from being one. All repeats are possessive.
+CELL_RE = r"((?:[^|\\]++|\\[\s\S])*+)\|"
+
+
+def row_cells(line) -> Column:
+    """Cells of a pipe row, trimmed, with marked bars and backslashes as they were meant."""
+    inner = F.regexp_replace(F.trim(col_of(line)), r"^\|", "")
+    escapes = inner.contains("\\")
+    # The last bar closes the row, unless it is marked as a character of the last cell.
+    closed = F.when(escapes, inner.rlike(r"(?<!\\)(?:\\\\)*+\|$")).otherwise(inner.endswith("|"))
+    inner = F.when(closed, inner).otherwise(F.concat(inner, F.lit("|")))
+    bars = F.split(inner, r"\|")
+    marked = F.transform(F.regexp_extract_all(inner, F.lit(CELL_RE), F.lit(1)), lambda c: F.regexp_replace(c, r"\\([|\\])", "$1"))
+    return F.transform(F.when(escapes, marked).otherwise(F.slice(bars, 1, F.size(bars) - 1)), lambda c: F.trim(c))
+
+
 def table_cells(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pipe-table rows as cells: ``(id, page, line, col, cell)``; separator rows dropped."""
+    """Pipe-table rows as cells: ``(id, page, line, col, cell)``; separator rows dropped.
+
+    A bar marked by a backslash belongs to its cell, and a marked backslash is one.
+    """
     lines = split_lines(df, id_col, text_col)
     rows = lines.where(F.col("line_text").startswith("|") & ~F.col("line_text").rlike(SEPARATOR_ROW_RE))
-    inner = F.regexp_replace(F.col("line_text"), r"^\s*\||\|\s*$", "")
-    return (rows.select(id_col, "page", "line", F.posexplode(F.split(inner, r"\|")).alias("_c", "cell"))
-                .select(id_col, "page", "line", (F.col("_c") + 1).alias("col"), F.trim("cell").alias("cell")))
+    return (rows.select(id_col, "page", "line", F.posexplode(row_cells("line_text")).alias("_c", "cell"))
+                .select(id_col, "page", "line", (F.col("_c") + 1).alias("col"), "cell"))

@@ -1,12 +1,14 @@
 """Document text operators: blank filter, length, context budget, prompts, part
-assembly and HTML-to-Markdown. All native expressions; only ``assemble_parts``
-shuffles (it groups parts by document)."""
+assembly and HTML-to-Markdown. Native expressions but for ``html_to_markdown``; only
+``assemble_parts`` shuffles (it groups parts by document)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import to_markdown
 from ..functions.text import char_length, is_blank
 from ..schemas import BILL_RECORD, CONTEXT_MAX_TOKENS, DEFAULT_DOCUMENT_TYPE, PART_SEPARATOR, RecordSchema
 
@@ -81,70 +83,21 @@ def assemble_parts(parts: DataFrame, id_col: str = "doc_id", pos_col: str = "pos
     return joined
 
 
-# Elements whose text is not part of the document, with their content.
-HTML_DROPPED = ("script", "style", "head", "noscript", "template")
-HTML_FRAME = ("nav", "footer")  # dropped unless asked for
-# Named character references that are written out, the ampersand last.
-HTML_ENTITIES = (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("middot", "·"),
-                 ("copy", "©"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("euro", "€"), ("pound", "£"))
-
-
-def _numeric_references(c):
-    """``&#39;`` and ``&#x27;`` to their characters: the text is split at them and put together again."""
-    pieces = F.split(c, r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", -1)
-    codes = F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1))
-    def char(x):
-        number = F.when(x.rlike("^[xX]"), F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(x).cast("long")
-        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        # UTF-32 bytes of the code point, decoded.
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-    joined = F.array_join(F.zip_with(pieces, codes, lambda p, x: F.concat(p, F.when(x.isNull(), F.lit("")).otherwise(char(x)))), "")
-    return F.when(c.contains("&#"), joined).otherwise(c)
-
-
 def html_to_markdown(df: DataFrame, html_col: str = "html", out_col: str = "markdown",
                      keep_frame: bool = False) -> DataFrame:
-    """Raw HTML -> Markdown by native expressions.
+    """Raw HTML -> Markdown, by one pass over the tags of each page (``functions.html``).
+
+    Headings ``h1`` to ``h6`` become ``#`` lines; list items ``- `` or numbered lines, two spaces deeper for each
+    list around theirs; links ``[text](address)``; ``pre`` fenced blocks, unchanged within; table rows pipe rows with a
+    separator below the first, whose cells have bars and backslashes marked by a backslash (``table_cells`` reads
+    them back); other block elements line breaks. Comments and the elements of ``functions.html.DROPPED`` go with their
+    content, ``nav`` and ``footer`` too unless ``keep_frame``. All character references are decoded, also named ones.
 
-    Headings ``h1`` to ``h6`` become ``#`` lines, list items ``- `` lines, table rows pipe rows with a
-    separator below the first, other block elements line breaks. Comments and the elements of
-    ``HTML_DROPPED`` go with their content, ``nav`` and ``footer`` too unless ``keep_frame``; a dropped
-    element ends at its own closing tag, or with the page. Character references are decoded last.
+    Elements nest, which no composition of built-in functions can follow; pages go through Arrow batches, one column
+    each way, and the other columns stay where they are.
     """
-    c = F.regexp_replace(F.col(html_col), r"(?s)<!--.*?(?:-->|\z)", "")
-    for tag in HTML_DROPPED + (() if keep_frame else HTML_FRAME):
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", "")
-    for level in range(1, 7):
-        c = F.regexp_replace(c, rf"(?i)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
-    # A table's first row gets the separator: one dash cell for each of its cells.
-    c = F.regexp_replace(c, r"(?i)\s*</t[dh]\s*>\s*(?=<t[dh]\b)", "|")
-    c = F.regexp_replace(c, r"(?i)<tr\b[^>]*>\s*<t[dh]\b[^>]*>\s*", "\n|")
-    c = F.regexp_replace(c, r"(?i)<t[dh]\b[^>]*>\s*", "")
-    c = F.regexp_replace(c, r"(?i)\s*</t[dh]\s*>\s*(?:</tr\s*>)?", "|")
-    c = F.regexp_replace(c, r"(?i)<table\b[^>]*>", "\n\u0001")
-    c = F.regexp_replace(c, r"(?i)<li\b[^>]*>", "\n- ")
-    c = F.regexp_replace(c, r"(?i)<(?:p|br|div|article|section|blockquote|pre)\b[^>]*>|</(?:p|h[1-6]|div|article|section|ul|ol|table|blockquote|pre)\s*>", "\n")
-    c = F.regexp_replace(c, r"<[/!?a-zA-Z][^>]*>", "")
-    c = _with_separator_rows(c)
-    c = _numeric_references(c)
-    for name, char in HTML_ENTITIES:
-        c = F.regexp_replace(c, f"&{name};", char)
-    c = F.regexp_replace(c, "&amp;", "&")
-    c = F.regexp_replace(F.regexp_replace(c, r"\n{2,}", "\n\n"), r"^\n+|\n+$", "")
-    return df.withColumn(out_col, c)
-
-
-def _with_separator_rows(c):
-    """Below the first pipe row after each table mark, a row of as many ``---`` cells."""
-    parts = F.split(c, "\u0001", -1)
-
-    def table(part):
-        row = F.regexp_extract(part, r"\A[^|\n]*\n?[^|\n]*(\n?\|[^\n]*\|)", 1)
-        bars = F.length(row) - F.length(F.translate(row, "|", ""))
-        line = F.concat(F.lit("\n|"), F.repeat(F.lit("---|"), (bars - 1).cast("int")))
-        at = F.instr(part, row) + F.length(row)
-        return F.when(row == "", part).otherwise(
-            F.concat(F.substring(part, F.lit(1), at - 1), line, F.substring(part, at, F.length(part))))
-
-    marked = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(table(p)))
-    return F.when(c.contains("\u0001"), F.array_join(marked, "")).otherwise(c)
+    @F.pandas_udf("string")
+    def convert(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda html: to_markdown(html, keep_frame), na_action="ignore")
+
+    return df.withColumn(out_col, convert(F.col(html_col).cast("string")))

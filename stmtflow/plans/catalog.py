@@ -193,6 +193,15 @@ def q_html_to_markdown(spark, sf):
     return tx.html_to_markdown(pages).select("page_id", "markdown")
 
 
+def q_html_order_pages(spark, sf):
+    return tx.html_to_markdown(fx.order_pages(spark, sf)).select("doc_id", "markdown")
+
+
+def q_html_table_cells(spark, sf):
+    cells = md.table_cells(tx.html_to_markdown(fx.order_pages(spark, sf), out_col="text"))
+    return cells.select("doc_id", as_long("line").alias("line"), as_long("col").alias("col"), "cell")
+
+
 def q_split_pages(spark, sf):
     pages = md.split_pages(fx.statements(spark, sf))
     lines = F.split("page_text", "\n")
@@ -254,6 +263,12 @@ def q_line_items(spark, sf):
     return li.select("doc_id", as_long("item").alias("item"), "description", "amount")
 
 
+def q_wide_line_items(spark, sf):
+    """Charges in tables of three and four columns, over several sections."""
+    li = ex.line_items(fx.wide_statements(spark, sf))
+    return li.select("doc_id", as_long("item").alias("item"), "description", "amount")
+
+
 def q_extract_bills(spark, sf):
     b = ex.extract_bills(fx.statements(spark, sf))
     return b.select(
@@ -571,6 +586,9 @@ QUERIES: dict[str, Query] = {
     "render_prompt": q_render_prompt,
     "assemble_parts": q_assemble_parts,
     "html_to_markdown": q_html_to_markdown,
+    "html_order_pages": q_html_order_pages,
+    "html_table_cells": q_html_table_cells,
+    "wide_line_items": q_wide_line_items,
     "split_pages": q_split_pages,
     "heading_sections": q_heading_sections,
     "table_cells": q_table_cells,

@@ -111,6 +111,48 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         statement_text().alias("text"))
 
 
+def wide_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)``: charges in two sections with three and four columns, by ``o_orderkey % 3``.
+
+    Items of odd place are in the first section, the others and a service charge in the second, which states the
+    total; a section of past charges follows. Layout 0 names its columns, 1 puts the amount first, 2 names none.
+    """
+    layout, total = F.col("o_orderkey") % 3, format_money(F.col("o_totalprice"))
+    items = F.coalesce(F.col("items"), F.array())
+    name = lambda x: F.format_string("Part %d \\| supplier %d", x["l_partkey"], x["l_suppkey"])
+    money = lambda x: format_money(x["l_extendedprice"])
+    rows = lambda odd, fn: F.array_join(F.transform(F.filter(items, lambda x, i: i % 2 == (0 if odd else 1)), fn), "")
+    first = (F.when(layout == 0, F.concat(F.lit("|Description|Units|Rate|Amount|\n|---|---|---|---|\n"), rows(
+                 True, lambda x: F.concat(F.lit("|"), name(x), F.lit("|3|$1.25|"), money(x), F.lit("|\n"))), F.lit("|Total delivery charges| | |$1.00|\n")))
+             .when(layout == 1, F.concat(F.lit("|Amount|Rate|Service|\n|---|---|---|\n"), rows(
+                 True, lambda x: F.concat(F.lit("|"), money(x), F.lit("|$0.50|"), name(x), F.lit("|\n"))), F.lit("|$2.00| |Subtotal|\n")))
+             .otherwise(F.concat(F.lit("|Base fee, see below| | |\n|---|---|---|\n"), rows(
+                 True, lambda x: F.concat(F.lit("|"), name(x), F.lit("|3 units x $0.374621|"), money(x), F.lit("|\n"))), F.lit("|Total delivery charges| |$3.00|\n"))))
+    second = F.concat(F.lit("|Monthly service charge| |$5.84| |\n|---|---|---|---|\n"), rows(
+        False, lambda x: F.concat(F.lit("| "), name(x), F.lit(" |2 units| "), money(x), F.lit(" | |\n"))), F.lit("|Sub-total| |$4.00| |\n|Total charges|"), total, F.lit("| | |\n"))
+    text = F.concat(F.lit("# Account\n\n1\n\n# Delivery charges\n\n"), first, F.lit("\nNote: a | b\n\n# Supply charges\n\n"), second,
+                    F.lit("---\n# Past charges\n\n|Old part|1|$9.99|\n|---|---|---|\n"))
+    return order_facts(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
+def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, html)``: a web page per order with nested lists, a link, a table, a ``pre`` block and named references."""
+    cell = lambda *parts: F.concat(F.lit("<td>"), *parts, F.lit("</td>"))
+    text = lambda c: c.cast("string")
+    rows = F.array_join(F.transform(F.coalesce("items", F.array()), lambda x: F.concat(
+        F.lit("<tr>"), cell(F.lit("Part "), text(x["l_partkey"])), cell(text(x["l_suppkey"]), F.lit("|"), text(x["l_linenumber"])),
+        cell(F.lit("<p>"), text(x["l_extendedprice"].cast("decimal(18,2)")), F.lit("</p>")), F.lit("</tr>"))), "")
+    key, customer = text(F.col("o_orderkey")), text(F.col("o_custkey"))
+    html = F.concat(
+        F.lit("<html><head><title>Order</title></head><body><nav><ul><li><a href='/'>Home</a></ul></nav><h1>Order &num;"), key,
+        F.lit("</h1><p>For <a href=\"/customer/"), customer, F.lit("?x=1&amp;y=2\"><b>"), F.coalesce("c_name", F.lit("")),
+        F.lit("</b> &amp; Co</a>, caf&eacute; &frac12;&hearts;</p><ul><li>Date<ul><li>"), text(F.col("d")),
+        F.lit("</li></ul></li><li>Total<ol><li>"), text(F.col("o_totalprice").cast("decimal(18,2)")),
+        F.lit("</li></ol></li></ul><table><tr><th>Part</th><th>Supplier|Line</th><th>Amount</th></tr>"), rows,
+        F.lit("</table><pre>ref  "), key, F.lit("\n\n\n  &lt;end&gt;</pre><footer>x</footer></body></html>"))
+    return order_facts(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), html.alias("html"))
+
+
 # ---- model responses -----------------------------------------------------------------
 
 LONG_TYPE = DEFAULT_DOCUMENT_TYPE + "_" + "X" * 110

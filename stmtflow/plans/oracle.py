@@ -279,6 +279,41 @@ SELECT l_orderkey AS doc_id,
 FROM lineitem
 """
 
+# Items of odd place, then a service charge, then the others.
+SQL["wide_line_items"] = """
+WITH li AS (
+  SELECT l_orderkey AS doc_id, 'Part ' || CAST(l_partkey AS VARCHAR) || ' | supplier ' || CAST(l_suppkey AS VARCHAR) AS description,
+    l_extendedprice AS amount, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+every AS (
+  SELECT doc_id, CASE n % 2 WHEN 1 THEN 0 ELSE 2 END AS part, n, description, amount FROM li
+  UNION ALL SELECT o_orderkey, 1, 0, 'Monthly service charge', 5.84 FROM orders)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, n)::BIGINT AS item, description, amount::DOUBLE AS amount FROM every
+"""
+
+HTML_ROWS = """
+rows AS (
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n,
+    'Part ' || CAST(l_partkey AS VARCHAR) AS part, CAST(l_suppkey AS VARCHAR) AS supplier, CAST(l_linenumber AS VARCHAR) AS line,
+    CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS amount FROM lineitem)
+"""
+SQL["html_order_pages"] = _w(f""", {HTML_ROWS.strip()},
+joined AS (
+  SELECT l_orderkey, string_agg('|' || part || '|' || supplier || '\\|' || line || '|' || amount || '|' || chr(10), '' ORDER BY n) AS t
+  FROM rows GROUP BY l_orderkey)
+SELECT doc_id, '# Order #' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || 'For [' || coalesce(c_name, '') || ' & Co](/customer/'
+  || CAST(o_custkey AS VARCHAR) || '?x=1&y=2), café ½♥' || chr(10) || chr(10) || '- Date' || chr(10) || '  - ' || CAST(d AS VARCHAR) || chr(10)
+  || '- Total' || chr(10) || '  1. ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || chr(10) || chr(10)
+  || '|Part|Supplier\\|Line|Amount|' || chr(10) || '|---|---|---|' || chr(10) || coalesce(t, '') || chr(10)
+  || '```' || chr(10) || 'ref  ' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || chr(10) || '  <end>' || chr(10) || '```' AS markdown
+FROM oc LEFT JOIN joined ON l_orderkey = doc_id""")
+
+SQL["html_table_cells"] = _w(f""", {HTML_ROWS.strip()},
+every AS (
+  SELECT doc_id, 10 AS line, ['Part', 'Supplier|Line', 'Amount'] AS cells FROM o
+  UNION ALL SELECT doc_id, 11 + n, [part, supplier || '|' || rows.line, amount] FROM o JOIN rows ON l_orderkey = doc_id)
+SELECT doc_id, line::BIGINT AS line, i::BIGINT AS col, cells[i] AS cell FROM every, unnest([1, 2, 3]) AS u(i)""")
+
 SQL["model_extract"] = _w(f"""
 SELECT doc_id, attempt::BIGINT AS attempt, CASE WHEN n_items > 0 THEN {ACCOUNT} END AS account_number,
   CASE WHEN n_items > 0 THEN c_name END AS customer_name,

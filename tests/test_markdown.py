@@ -39,3 +39,26 @@ def test_heading_carry_over_many_pages(spark):
 def test_wide_separator_rows(spark):
     wide = "|a" * 20_000 + "|\n" + "|---" * 20_000 + "|"
     assert md.table_cells(_doc(spark, wide)).count() == 20_000
+
+
+def test_marked_bars_and_backslashes(spark):
+    rows = {r"|a\|b|c|": ["a|b", "c"], r"|a\\|b|": ["a\\", "b"], r"|x\|": ["x|"], r"| C:\dir |\|": ["C:\\dir", "|"], "|a|b": ["a", "b"],
+            r"|a\\\|b|": ["a\\|b"], "||": [""], "|a||c|": ["a", "", "c"], r"|\\|": ["\\"]}
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(rows)], "doc_id long, text string")
+    got = {}
+    for c in md.table_cells(df).orderBy("doc_id", "col").collect():
+        got.setdefault(c.doc_id, []).append(c.cell)
+    assert got == dict(enumerate(rows.values()))
+    long = "|" + r"\|x" * 50_000 + "|"
+    assert md.table_cells(_doc(spark, long)).first().cell == "|x" * 50_000
+
+
+def test_cells_survive_html_and_markdown(spark):
+    from stmtflow.operators.text import html_to_markdown
+
+    cells = ["a|b", "c", "\\", "x\\|y", "", "é & <b>", "1 2", "tail\\"]
+    escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+    html = "<table><tr>" + "".join(f"<td>{escape(c)}</td>" for c in cells) + "</tr><tr><td>n</td></tr></table>"
+    pages = html_to_markdown(spark.createDataFrame([(1, html)], "doc_id long, html string"), out_col="text")
+    got = [c.cell for c in md.table_cells(pages).orderBy("line", "col").collect()]
+    assert got == [*cells, "n"]
