@@ -46,8 +46,8 @@ K1, B = 1.2, 0.75
 DIMENSIONS = 64
 SAMPLE = 100_000   # fragments from which the tree grows in one round
 LEAST_SAMPLE = 32  # a leaf of fewer sampled ones is not split in that round
-CACHE_CHUNKS = 450_000  # at most so many while a task runs, a few MB per 10,000
-KEPT_CHUNKS = 100_000   # and so many from one task of a worker to its next
+CACHE_CHUNKS = 200_000  # at most so many while a task runs, a few MB per 10,000
+KEPT_CHUNKS = 40_000    # and so many from one task of a worker to its next
 TWO_SPACES = re.compile(r"\s\s")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 PLACED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary, key bigint, leaf bigint"

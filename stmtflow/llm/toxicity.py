@@ -228,8 +228,8 @@ def score(docs: DataFrame, index: Index | None, held_out: Column) -> DataFrame:
                    index, RESULT, keep=2)
 
 
-def _scored(rows: DataFrame, index: Index | None, schema, keep: int) -> DataFrame:
-    """Scores after the first ``keep`` columns; the text is the last column."""
+def _scored(rows: DataFrame, index: Index | None, schema, keep: int, within: str | None = None) -> DataFrame:
+    """Scores after the first ``keep`` columns; the text is the last column, or its field ``within``."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator) -> Iterator:
@@ -238,7 +238,10 @@ def _scored(rows: DataFrame, index: Index | None, schema, keep: int) -> DataFram
         index = shared.value
         for batch in batches:
             scores, evidence = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            texts = batch.column(batch.num_columns - 1)
+            texts = texts if within is None else texts.field(texts.type.get_field_index(within))
+            for text in texts:
+                text = text.as_py() or ""
                 s, e = index.score(WORD.findall(text.lower())) if index else (0.0, [])
                 scores.append(min(max(s, 0.0), 1.0))
                 evidence.append(e)
@@ -252,6 +255,6 @@ def _scored(rows: DataFrame, index: Index | None, schema, keep: int) -> DataFram
 
 def clean_documents(docs: DataFrame, index: Index | None) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    rows = packed(docs, text=whole_text())
+    rows = packed(docs)  # the text travels once, as a field of its row
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("score double, predicted int, evidence array<bigint>").fields])
-    return _scored(rows, index, schema, keep=1).filter("predicted = 0").select("row.*")
+    return _scored(rows, index, schema, keep=1, within="text").filter("predicted = 0").select("row.*")
