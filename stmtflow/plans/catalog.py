@@ -31,7 +31,7 @@ from ..operators.store import (
     append_rows, assign_ids, constraint_error, ensure_bills_table, export_records_json, table_rows,
 )
 from ..session import cut, shared_path
-from ..sources.documents import parse_workitems, read_text_table
+from ..sources.documents import parse_workitems, read_text_documents, read_text_table, scan_documents
 from . import fixtures as fx
 from .pipeline import extraction_results, join_documents, run_pipeline
 
@@ -87,6 +87,27 @@ def q_scan_documents(spark, sf):
     return read_text_table(spark, f"{sf}/documents.parquet")
 
 
+def _file_id(path: str) -> Column:
+    return F.regexp_extract(path, r"([0-9]+)\.md$", 1).cast("long")
+
+
+def q_scan_document_files(spark, sf):
+    """Documents as files of text, empty ones too."""
+    root = shared_path(spark, "files", unique=True)
+    fx.document_files(spark, sf, root)
+    docs = read_text_documents(spark, root, path_glob="*.md")
+    return docs.select(_file_id("document_path").alias("doc_id"), F.regexp_extract("document_path", r"([^/]+/[^/]+)/[^/]+$", 1).alias("folder"),
+                       as_long(F.length("text")).alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def q_scan_binary_files(spark, sf):
+    """The same files as bytes."""
+    root = shared_path(spark, "files", unique=True)
+    fx.document_files(spark, sf, root)
+    files = scan_documents(spark, root, "files", path_glob="*.md")
+    return files.select(_file_id("path").alias("doc_id"), "length", F.md5("content").alias("digest"))
+
+
 def q_scan_workitems(spark, sf):
     return parse_workitems(fx.mixed_work_items(spark, sf)).select("doc_id", "document_path", "document_type_hint")
 
@@ -573,6 +594,8 @@ def q_registered_stage(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "scan_documents": q_scan_documents,
+    "scan_document_files": q_scan_document_files,
+    "scan_binary_files": q_scan_binary_files,
     "scan_workitems": q_scan_workitems,
     "bills_table": q_bills_table,
     "append_bills": q_append_bills,

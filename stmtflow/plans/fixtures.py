@@ -135,6 +135,25 @@ def wide_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_facts(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
+def document_files(spark: SparkSession, sf_dir: str, root: str) -> int:
+    """Write every document as ``<root>/<lang>/<source>/<doc_id>.md``, each tenth without content; returns how many."""
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for doc_id, lang, source, text in zip(*[c.to_pylist() for c in batch.columns]):
+                folder = f"{base}/{lang}/{source}"
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(f"{folder}/{doc_id}.md") as out:
+                    out.write(b"" if doc_id % 10 == 0 else (text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return docs.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, html)``: a web page per order with nested lists, a link, a table, a ``pre`` block and named references."""
     cell = lambda *parts: F.concat(F.lit("<td>"), *parts, F.lit("</td>"))

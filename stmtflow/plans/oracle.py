@@ -62,6 +62,15 @@ SQL["scan_documents"] = """
 SELECT doc_id, concat_ws('/', source, CAST(doc_id AS VARCHAR) || '.md') AS document_path, text FROM documents
 """
 
+FILE_TEXT = "CASE WHEN doc_id % 10 = 0 THEN '' ELSE coalesce(text, '') END"
+SQL["scan_document_files"] = f"""
+SELECT doc_id, coalesce(lang, 'None') || '/' || coalesce(source, 'None') AS folder, length({FILE_TEXT})::BIGINT AS n_chars,
+  md5({FILE_TEXT}) AS digest FROM documents
+"""
+SQL["scan_binary_files"] = f"""
+SELECT doc_id, strlen({FILE_TEXT})::BIGINT AS length, md5({FILE_TEXT}) AS digest FROM documents
+"""
+
 MIXED = """
 m AS (SELECT o_orderkey AS doc_id, o_orderkey % 7 AS m FROM orders)
 """

@@ -8,43 +8,27 @@ absent, while an explicit ``null`` stays NULL.
 
 from __future__ import annotations
 
-from fnmatch import fnmatchcase
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_DOCUMENT_TYPE
-
-
-def empty_files(spark: SparkSession, path: str, path_glob: str | None = None) -> list[str]:
-    """Paths of files without content, which Spark's readers pass over (names only, from the file system's listing)."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, todo = [], [s for s in (fs.globStatus(root) or [])]
-    while todo:
-        status = todo.pop()
-        name = status.getPath().getName()
-        if status.isDirectory():
-            todo += [s for s in fs.listStatus(status.getPath()) if not s.getPath().getName().startswith(("_", "."))]
-        elif status.getLen() == 0 and (path_glob is None or fnmatchcase(name, path_glob)):
-            found.append(status.getPath().toString())
-    return found
+from .files import known_store, list_files, read_files
 
 
 def read_text_documents(spark: SparkSession, path: str, path_glob: str | None = None) -> DataFrame:
     """One row per file, empty files too: ``(document_path, text)``.
 
     Each file is read whole as bytes and decoded as UTF-8; bytes that are not UTF-8 become
-    replacement characters, so one bad file does not end the job.
+    replacement characters, so one bad file does not end the job. Files are listed and read by tasks
+    (``sources.files``); in a store that only Spark can open its own reader is used, which passes over empty files.
     """
-    df = read_binary_documents(spark, path, path_glob)
-    texts = df.select(F.col("path").alias("document_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    empty = empty_files(spark, path, path_glob)
-    return texts.unionByName(spark.createDataFrame([(p, "") for p in empty], "document_path string, text string")) if empty else texts
+    df = read_files(list_files(spark, path, path_glob)) if known_store(path) else read_binary_documents(spark, path, path_glob)
+    return df.select(F.col("path").alias("document_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def read_binary_documents(spark: SparkSession, path: str, path_glob: str | None = None) -> DataFrame:
-    """One row per file: ``(path, modificationTime, length, content)`` (raw bytes)."""
+    """One row per file: ``(path, modificationTime, length, content)`` (raw bytes), by Spark's own reader,
+    which also streams; ``sources.files`` has the form that reads empty files too."""
     reader = spark.read.format("binaryFile")
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
@@ -67,11 +51,14 @@ def read_text_table(spark: SparkSession, path: str, id_col: str = "doc_id", text
 
 
 def scan_documents(spark: SparkSession, path: str, fmt: str = "table", **kw) -> DataFrame:
-    """Dispatch on the storage form: ``table`` (Parquet with text), ``text`` files, ``binary`` files."""
+    """Dispatch on the storage form: ``table`` (Parquet with text), ``text`` files, ``files`` (bytes, empty
+    files too), ``binary`` (bytes by Spark's own reader)."""
     if fmt == "table":
         return read_text_table(spark, path, **kw)
     if fmt == "text":
         return read_text_documents(spark, path, **kw)
+    if fmt == "files":
+        return read_files(list_files(spark, path, **kw))
     if fmt == "binary":
         return read_binary_documents(spark, path, **kw)
     raise ValueError(f"unknown document format: {fmt}")

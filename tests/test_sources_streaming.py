@@ -98,3 +98,31 @@ def test_bucketed_inputs_join_without_exchange(spark, sf_small):
         assert joined.count() == docs.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_files_of_a_tree(spark, tmp_path):
+    """Folders at several depths, empty and hidden files, one file alone, and many files over few tasks."""
+    from stmtflow.sources.files import list_files, packed, read_files
+    from stmtflow.sources.documents import scan_documents
+
+    want = {}
+    for i in range(60):
+        folder = tmp_path / "/".join(f"d{i % k}" for k in (2, 3, 5)[: i % 4])
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.md").write_bytes(b"" if i % 7 == 0 else bytes([i]) * i)
+        want[str(folder / f"{i}.md")] = 0 if i % 7 == 0 else i
+    (tmp_path / "_skip").mkdir()
+    for name in ("_skip/x.md", ".hidden.md", "other.txt"):
+        (tmp_path / name).write_text("no")
+    files = list_files(spark, str(tmp_path), "*.md")
+    assert {r["path"]: r["length"] for r in files.collect()} == want
+    got = {r["path"]: r["content"] for r in read_files(files).collect()}
+    assert {p: len(c) for p, c in got.items()} == want and got[str(tmp_path / "4.md")] == b"\x04" * 4
+    assert packed(files, task_bytes=1 << 40).select("bin").distinct().count() == 1
+    assert 15 <= packed(files, task_bytes=2 << 20).select("bin").distinct().count() <= 60
+    single = scan_documents(spark, f"file:{tmp_path}/4.md", "files")
+    assert [(r["path"], r["length"]) for r in single.collect()] == [(f"file:{tmp_path}/4.md", 4)]
+    (tmp_path / "none").mkdir()
+    assert read_files(list_files(spark, str(tmp_path / "none"))).count() == 0
+    (tmp_path / "bad.md").write_bytes(b"a\xffb")
+    assert read_text_documents(spark, str(tmp_path / "bad.md")).first()["text"] == "a\ufffdb"
