@@ -110,6 +110,58 @@ def resolve_field(text: Column, field: str, rules: list[Rule]) -> Column:
     return F.coalesce(*per_rule)
 
 
+SUM_FIELDS = ("total_amount_due", "current_charges", "previous_balance", "payments_received")
+CENTS = "decimal(18,2)"
+
+
+def amount_candidates(text: Column, field: str, rules: list[Rule]) -> Column:
+    """All different amounts that the rules of a field find, by rank and then by place."""
+    found = []
+    for rule in rules:
+        values = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda raw: parse_money(raw).cast(CENTS))
+        found.append(F.array_compact(F.transform(values, F.abs) if field == "payments_received" else values))
+    return F.array_distinct(F.concat(*found))
+
+
+def balanced_amounts(text: Column, rules=BILL_RULES) -> Column:
+    """The amounts of a bill that fit each other, as a struct of ``SUM_FIELDS`` (decimals); NULL if none do.
+
+    previous balance - payments + current charges = total. Of all combinations of candidates that
+    satisfy this the one with the least places in the candidates' orders is taken (their sum, then the total's place, then the others').
+    A bill without a previous balance or without payments counts them as zero, and they stay NULL. Both sides
+    of the equation are built as pairs and meet by equal sums, so the work grows with the square of the
+    candidates of a field and not with the fourth power.
+    """
+    grouped = _rules_by_field(rules)
+    candidates = F.struct(*[amount_candidates(text, f, grouped.get(f, [])).alias(f) for f in SUM_FIELDS])
+
+    def pairs(a: Column, b: Column) -> Column:
+        """(sum, place, a's place, b's place, a, b) of every pair; an empty list is one of a NULL that counts as zero."""
+        placed = lambda values: F.transform(F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(None).cast(CENTS))),
+                                            lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+        zero = lambda v: F.coalesce(v, F.lit(0).cast(CENTS))
+        return F.flatten(F.transform(placed(a), lambda x: F.transform(placed(b), lambda y: F.struct(
+            (zero(x["v"]) - zero(y["v"])).cast("decimal(20,2)").alias("sum"), (x["i"] + y["i"]).alias("place"), x["i"].alias("i"), y["i"].alias("j"),
+            x["v"].alias("a"), y["v"].alias("b")))))
+
+    def fitting(c: Column) -> Column:
+        sides = F.struct(pairs(c["total_amount_due"], c["current_charges"]).alias("left"),
+                         pairs(c["previous_balance"], c["payments_received"]).alias("right"))
+
+        def best(t: Column) -> Column:
+            sums = F.array_intersect(F.transform(t["left"], lambda x: x["sum"]), F.transform(t["right"], lambda x: x["sum"]))
+            least = lambda side, s: F.array_min(F.filter(side, lambda x: x["sum"] == s))  # noqa: E731 - equal sums: by place
+            both = F.transform(sums, lambda s: bind(F.struct(least(t["left"], s).alias("l"), least(t["right"], s).alias("r")), lambda x: F.struct(
+                (x["l"]["place"] + x["r"]["place"]).alias("place"), x["l"]["i"].alias("i"), x["l"].alias("l"), x["r"].alias("r"))))
+            return bind(F.array_min(both), lambda x: F.when(x.isNotNull(), F.struct(
+                x["l"]["a"].alias("total_amount_due"), x["l"]["b"].alias("current_charges"), x["r"]["a"].alias("previous_balance"),
+                x["r"]["b"].alias("payments_received"))))
+
+        return F.when((F.size(c["total_amount_due"]) > 0) & (F.size(c["current_charges"]) > 0), bind(sides, best))
+
+    return bind(candidates, fitting)
+
+
 def label_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      rules=BILL_RULES) -> DataFrame:
     """Every match of every rule with a value: ``(id, field, rank, page, nth, value)``.
@@ -184,15 +236,16 @@ def wide_items(section) -> Column:
                                             lambda j: F.struct(count(j, WORD_RE).alias("n"), (-j).alias("j"))))
             return F.when(F.size(others) > 0, F.get(others, 0)).otherwise(-words["j"])
 
-        return bind(F.coalesce(F.element_at(F.when(F.size(amount_at) > 0, amount_at), -1), voted),
+        return bind(F.coalesce(F.try_element_at(amount_at, F.lit(-1)), voted),
                     lambda amount: F.struct(amount.alias("amount"), descriptions(amount).alias("text"), (F.size(amount_at) > 0).alias("named"), body.alias("body")))
 
     def items(t: Column) -> Column:
         def item(r: Column) -> Column:
             own = F.get(r, t["amount"])
             money = F.when(own.rlike(MONEY_CELL_RE), own).when(
-                ~t["named"], F.element_at(F.filter(r, lambda c: c.rlike(MONEY_CELL_RE)), -1))
-            return _item(F.get(r, t["text"]), money)
+                ~t["named"], F.try_element_at(F.filter(r, lambda c: c.rlike(MONEY_CELL_RE)), F.lit(-1)))
+            text = F.get(r, t["text"])
+            return _item(F.when(text.rlike(MONEY_CELL_RE), F.get(F.filter(r, lambda c: c.rlike(WORD_RE)), 0)).otherwise(text), money)
 
         return F.filter(F.transform(t["body"], item), lambda x: (x["description"] != "") & x["amount"].isNotNull())
 
@@ -249,7 +302,7 @@ def line_items(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                       F.col("_it.description").alias("description"), F.col("_it.amount").alias("amount")))
 
 
-def _record_fields(text: Column, items: Column, rules, schema) -> list[Column]:
+def _record_fields(text: Column, items: Column, rules, schema, sums: Column | None = None) -> list[Column]:
     grouped = _rules_by_field(rules)
     fields = []
     for name, dtype in ((f.name, f.dataType) for f in schema.spark_type().fields):
@@ -257,6 +310,8 @@ def _record_fields(text: Column, items: Column, rules, schema) -> list[Column]:
             value = F.when(F.size(items) > 0, items)
         elif name in grouped:
             value = resolve_field(text, name, grouped[name])
+            if sums is not None and name in SUM_FIELDS:
+                value = F.when(sums.isNotNull(), sums[name].cast("double")).otherwise(value)
         else:
             value = F.lit(None)
         fields.append(value.cast(dtype).alias(name))
@@ -270,19 +325,25 @@ def extract_record(text, rules=BILL_RULES, schema=BILL_RECORD) -> Column:
 
 
 def extract_bills(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  keep: tuple[str, ...] = (), rules=BILL_RULES, schema=BILL_RECORD) -> DataFrame:
+                  keep: tuple[str, ...] = (), rules=BILL_RULES, schema=BILL_RECORD, reconcile: bool = False) -> DataFrame:
     """One bill record per document, flattened to the record's columns.
 
-    Two projections: the item array is computed once, then tested and used.
+    Two projections: the item array is computed once, then tested and used. With ``reconcile`` the amounts are chosen
+    together (``balanced_amounts``) where some combination of candidates balances, else each by its rank; a column
+    ``balanced`` says which.
     """
     staged = _staged_items(df.select(F.col(id_col), *[F.col(k) for k in keep],
                                      F.col(text_col).alias("_text")), "_text")
-    return staged.select(id_col, *keep, *_record_fields(F.col("_text"), F.col("_items"), rules, schema))
+    if not reconcile:
+        return staged.select(id_col, *keep, *_record_fields(F.col("_text"), F.col("_items"), rules, schema))
+    staged = staged.withColumn("_sums", balanced_amounts(F.col("_text"), rules))
+    return staged.select(id_col, *keep, *_record_fields(F.col("_text"), F.col("_items"), rules, schema, F.col("_sums")),
+                         F.col("_sums").isNotNull().alias("balanced"))
 
 
 def extract_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     keep: tuple[str, ...] = (), rules=BILL_RULES, schema=BILL_RECORD,
-                    record_col: str = "record") -> DataFrame:
+                    record_col: str = "record", reconcile: bool = False) -> DataFrame:
     """Like ``extract_bills`` but with the fields packed into one ``record`` struct."""
-    flat = extract_bills(df, id_col, text_col, keep=keep, rules=rules, schema=schema)
+    flat = extract_bills(df, id_col, text_col, keep=keep, rules=rules, schema=schema, reconcile=reconcile)
     return flat.select(id_col, *keep, F.struct(*[F.col(n) for n in schema.names]).alias(record_col))

@@ -290,6 +290,12 @@ def q_wide_line_items(spark, sf):
     return li.select("doc_id", as_long("item").alias("item"), "description", "amount")
 
 
+def q_reconciled_bills(spark, sf):
+    """Amounts chosen together, where they balance."""
+    b = ex.extract_bills(fx.decoy_statements(spark, sf), reconcile=True)
+    return b.select("doc_id", *_MONEY_FIELDS, flag(F.col("balanced")).alias("balanced"))
+
+
 def q_extract_bills(spark, sf):
     b = ex.extract_bills(fx.statements(spark, sf))
     return b.select(
@@ -620,6 +626,7 @@ QUERIES: dict[str, Query] = {
     "parse_money": q_parse_money,
     "normalize_account": q_normalize_account,
     "line_items": q_line_items,
+    "reconciled_bills": q_reconciled_bills,
     "extract_bills": q_extract_bills,
     "model_extract": q_model_extract,
     "validate_response": q_validate_response,

@@ -135,6 +135,27 @@ def wide_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_facts(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
+def decoy_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)``: bills with two totals and two earlier balances, by ``o_orderkey % 4``.
+
+    The total that ranks first is never right. 0: the other balances with the first earlier balance, 2: with
+    the second, 1: nothing balances, 3: there is no payment and no earlier balance, and the other total is the charges.
+    """
+    kind, cents = F.col("o_orderkey") % 4, "decimal(18,2)"
+    charges = F.col("o_totalprice").cast(cents)
+    first = ((F.col("o_custkey") % 700).cast(cents) + F.lit("0.10").cast(cents)).cast(cents)
+    second = (first + F.lit("33.33").cast(cents)).cast(cents)
+    paid = payment_amount().cast(cents)
+    right = F.when(kind == 0, first - paid + charges).when(kind == 2, second - paid + charges).when(kind == 3, charges).otherwise(
+        first - paid + charges + F.lit("5000000.01").cast(cents)).cast(cents)
+    wrong = (right + F.lit("1000000.07").cast(cents)).cast(cents)
+    row = lambda name, amount: F.concat(F.lit(f"|{name}|"), format_money(amount), F.lit("|\n"))
+    earlier = F.concat(row("Balance from last bill", first), F.lit("|---|---|\n"), row("Payment received - thank you", -paid), row("Previous balance", second))
+    text = F.concat(F.lit("# Total amount due\n\n"), format_money(right), F.lit("\n\n"), F.when(kind == 3, F.lit("")).otherwise(earlier),
+                    row("Total amount due by Jan 5, 2020", wrong), F.lit("---\n# Name\n\n# Charges\n\n"), row("Total charges", charges))
+    return order_facts(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
 def document_files(spark: SparkSession, sf_dir: str, root: str) -> int:
     """Write every document as ``<root>/<lang>/<source>/<doc_id>.md``, each tenth without content; returns how many."""
     def write(batches):

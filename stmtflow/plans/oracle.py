@@ -344,6 +344,16 @@ SQL["first_valid_attempt"] = _w(f"""
 SELECT doc_id, CASE WHEN k IN (3, 4) THEN 2 ELSE 1 END::BIGINT AS attempt
 FROM o WHERE NOT ({FAILURE}) OR (k IN (3, 4) AND (doc_id // 10) % 2 = 0)""")
 
+SQL["reconciled_bills"] = _w("""
+, a AS (
+  SELECT doc_id, v, CAST(o_totalprice AS DECIMAL(18,2)) AS c, CAST(o_custkey % 700 + 0.10 AS DECIMAL(18,2)) AS p1,
+    CAST(o_custkey % 700 + 33.43 AS DECIMAL(18,2)) AS p2, CAST(o_custkey % 500 + 0.25 AS DECIMAL(18,2)) AS y FROM o),
+t AS (SELECT *, CASE v WHEN 0 THEN p1 - y + c WHEN 2 THEN p2 - y + c WHEN 3 THEN c ELSE p1 - y + c + 5000000.01 END AS good FROM a)
+SELECT doc_id, CAST(CASE WHEN v = 1 THEN good + 1000000.07 ELSE good END AS DOUBLE) AS total_amount_due,
+  CAST(CASE v WHEN 2 THEN p2 WHEN 3 THEN NULL ELSE p1 END AS DOUBLE) AS previous_balance,
+  CAST(CASE WHEN v <> 3 THEN y END AS DOUBLE) AS payments_received, CAST(c AS DOUBLE) AS current_charges,
+  CASE WHEN v = 1 THEN 0 ELSE 1 END::BIGINT AS balanced FROM t""")
+
 SQL["validate_invoice"] = _w("""
 SELECT doc_id, CASE WHEN doc_id % 4 IN (2, 3) THEN 0 ELSE 1 END::BIGINT AS valid,
   CASE doc_id % 4 WHEN 2 THEN 'total_amount: float_parsing' WHEN 3 THEN 'invoice_number: string_type' END

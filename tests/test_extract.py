@@ -129,3 +129,72 @@ def test_extract_files_to_json(spark, tmp_path):
     assert out["bill.md"]["due_date"] == "2021-09-24" and len(out["bill.md"]["line_items"]) == 3
     assert set(out["empty.md"].values()) == {None}  # an empty file is a document without content
     assert out["bytes.md"]["due_date"] == "2020-01-02"
+
+
+def _balanced(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = ex.extract_bills(df, reconcile=True).first()
+    plain = ex.extract_bills(df).first()
+    return (r.total_amount_due, r.previous_balance, r.payments_received, r.current_charges, r.balanced), plain
+
+
+def test_amounts_are_chosen_together(spark):
+    text = ("# Total amount due\n\n$80.00\n\n|Balance from last bill|$50.00|\n|---|---|\n|Payment received A|-$50.00|\n|Payment received B|-$20.00|\n"
+            "|Total amount due by Mar 1, 2020|$999.00|\n---\n# N\n\n# Charges\n\n|Total charges|$50.00|\n|Total current charges|$30.00|\n")
+    got, plain = _balanced(spark, text)
+    # Both 50 - 20 + 50 = 80 and, with places further back, nothing else.
+    assert got == (80.0, 50.0, 20.0, 50.0, True)
+    assert (plain.total_amount_due, plain.payments_received) == (999.0, 50.0)
+
+
+def test_without_a_balance_ranks_decide(spark, bill):
+    for text in (BILL.replace("$120.40|\n|---", "$1.00|\n|---"), "no amounts here", "# Total amount due\n\n$5.00\n"):
+        got, plain = _balanced(spark, text)
+        assert got == (plain.total_amount_due, plain.previous_balance, plain.payments_received, plain.current_charges, False)
+    got, plain = _balanced(spark, BILL)
+    assert got == (180.70, 120.40, 120.40, 180.70, True)
+
+
+def test_many_candidates(spark):
+    rows = "".join(f"|Payment received {i}|-${i}.01|\n" for i in range(200)) + "".join(f"|Total amount due|${i + 300}.00|\n" for i in range(200))
+    text = f"|Previous balance|$150.01|\n{rows}|Total charges|$400.00|\n"
+    got, _ = _balanced(spark, text)
+    assert got[4] and abs(got[0] - (150.01 - got[2] + 400.0)) < 1e-9
+
+
+WIDE = """# Delivery charges
+
+|Description|Qty|Rate|Amount|
+|---|---|---|---|
+|Power \\| peak|3|$1.00|$3.00|
+|Power \\\\ night|3|$1.00|n/a|
+|Subtotal| | |$3.00|
+
+# Supply charges
+
+|Usage|Temperature|
+|---|---|
+|9|8|
+
+|Cost of gas supplied:|9.409 therms x $0.339037|$3.19|
+|---|---|---|
+|Base fee|$5.84| |
+|Total supply charges| |$9.03|
+
+# Other charges
+
+|$1.50|Late fee|2 days|
+|Total charges| |$13.53|
+
+# More charges
+
+|Not|$7.00|
+"""
+
+
+def test_line_items_by_column_roles(spark):
+    df = spark.createDataFrame([(1, WIDE), (2, WIDE.replace("Total charges", "Sum of charges"))], "doc_id long, text string")
+    got = [(r.doc_id, r.description, r.amount) for r in ex.line_items(df).orderBy("doc_id", "item").collect()]
+    first = [("Power | peak", 3.0), ("Cost of gas supplied:", 3.19), ("Base fee", 5.84), ("Late fee", 1.5)]
+    assert [x[1:] for x in got if x[0] == 1] == first
+    assert [x[1:] for x in got if x[0] == 2] == [*first, ("Sum of charges", 13.53), ("Not", 7.0)]  # no section states the total
