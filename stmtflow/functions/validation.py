@@ -136,13 +136,33 @@ def _check_list(items: Column, t: Column, item: RecordSchema):
     return err, F.when(is_arr, F.transform(items, item_value))
 
 
-def parse_object(text) -> Column:
+def parse_object(text, schema: RecordSchema | None = None) -> Column:
     """Parse JSON text to VARIANT; NULL for invalid JSON or anything after the first value.
 
     The parser stops behind a complete value, so the text is parsed as the first of exactly two
-    elements of a list, the second one a mark of our own.
+    elements of a list, the second one a mark of our own. With ``schema``, what it refuses is read once more by
+    ``tolerant_object``; texts that it accepts pay nothing for that.
+    """
+    strict = _strict_value(col_of(text))
+    return strict if schema is None else F.coalesce(strict, tolerant_object(text, schema))
+
+
+def tolerant_object(text, schema: RecordSchema) -> Column:
+    """The fields of ``schema`` in an object that repeats keys (the last one counts) or holds a bare NaN or Infinity; else NULL.
+
+    Only these two liberties: the text has to be one object and nothing else, as a mark of our own behind it shows. Objects within a field may hold such numbers, but no repeated keys.
     """
     text = col_of(text)
+    fields = ", ".join(f"`{name}`: variant" for name in schema.names)
+    rows = F.from_json(F.concat(F.lit("["), text, F.lit(', {"end of text": "end"}]')), f"array<struct<{fields}, `end of text`: string>>",
+                       {"allowSingleQuotes": "false"})
+    whole = (F.size(rows) == 2) & (F.get(rows, 1)["end of text"] == "end")
+    record = F.struct(*[F.get(rows, 0)[name].alias(name) for name in schema.names])
+    return F.when(text.rlike(r"\A[ \t\n\r]*\{") & whole, F.to_variant_object(record))
+
+
+
+def _strict_value(text: Column) -> Column:
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "end of text"]')))
     whole = (_as_at(pair, "$[1]", "string") == "end of text") & F.try_variant_get(pair, "$[2]", "variant").isNull()
     return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))

@@ -295,9 +295,12 @@ def _staged_items(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def line_items(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Flat charge rows: ``(id, item, description, amount)``, item numbered from 1."""
+    """Flat charge rows: ``(id, item, description, amount)``, item numbered from 1.
+
+    The outer form of explode keeps Spark from testing the list for elements before, which would compute it three times.
+    """
     staged = _staged_items(df.select(id_col, text_col), text_col)
-    return (staged.select(F.col(id_col), F.posexplode("_items").alias("_i", "_it"))
+    return (staged.select(F.col(id_col), F.posexplode_outer("_items").alias("_i", "_it")).where(F.col("_i").isNotNull())
               .select(id_col, (F.col("_i") + 1).alias("item"),
                       F.col("_it.description").alias("description"), F.col("_it.amount").alias("amount")))
 

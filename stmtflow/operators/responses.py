@@ -99,7 +99,7 @@ def validate_response(df: DataFrame, response_col: str = "response",
     """Add ``errors`` (array of ``field: code``; empty when valid) and ``record``
     (typed struct, NULL unless valid). Unknown keys are dropped. ``barrier`` keeps later
     filters on the record above the validation (see ``validate_frame``)."""
-    staged = df.withColumn("_v", parse_object(F.col(response_col)))
+    staged = df.withColumn("_v", parse_object(F.col(response_col), schema))
     out = validate_frame(staged, "_v", schema, present=F.col(response_col).isNotNull(),
                          errors_col=errors_col, record_col=record_col, barrier=barrier)
     return out.drop("_v")

@@ -19,7 +19,7 @@ def check_corrections(joined: DataFrame, corrected_col: str = "corrected",
                       schema: RecordSchema = BILL_RECORD) -> DataFrame:
     """Validate joined corrections: ``correction_missing`` (Python falsiness of the
     decoded dict), ``errors`` and ``record``."""
-    staged = (joined.withColumn("_v", parse_object(F.col(corrected_col)))
+    staged = (joined.withColumn("_v", parse_object(F.col(corrected_col), schema))
                     .withColumn("correction_missing", is_empty_object(F.col(corrected_col))))
     out = validate_frame(staged, "_v", schema, present=F.col(corrected_col).isNotNull(), barrier=True)
     return out.drop("_v")

@@ -4,13 +4,14 @@ The table is Parquet with a fixed schema (``schemas.BILLS_TABLE``). It is
 append-only with no unique key, as in the reference: rerunning an append
 duplicates rows. Ids are dense and increasing, assigned in ``doc_id`` order from
 one past the current maximum, without collecting rows or using an unpartitioned
-window (see ``assign_ids``).
+window (see ``assign_ids`` for keys, ``number_rows`` for rows to be written).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import (
     ACCOUNT_MAX_CHARS, AMOUNT_FIELDS, AMOUNT_TYPE, BILL_RECORD, BILLS_TABLE, BILLS_TABLE_DDL,
@@ -103,6 +104,41 @@ def assign_ids(df: DataFrame, order_col: str = "doc_id", start: int | Column = 0
     return joined.withColumn(id_col, F.col("_first") + nth).drop("_k", "_first")
 
 
+def range_bounds(df: DataFrame, order_col: str, parts: int) -> list:
+    """At most ``parts`` - 1 keys that cut the rows into about equal ranges, from a sample of about 64 keys a part."""
+    n = df.count()
+    share = min(1.0, 64.0 * parts / max(n, 1))
+    keys = df.select(F.col(order_col).alias("_k")).where(F.col("_k").isNotNull())
+    # By a hash of the key, so that a run after a lost executor takes the same sample.
+    keys = keys.where(F.pmod(F.xxhash64("_k"), F.lit(1 << 30)) < share * (1 << 30)) if share < 1 else keys
+    held = [r["_k"] for r in keys.distinct().orderBy("_k").collect()]  # about 64 * parts keys
+    return sorted({held[i * len(held) // parts] for i in range(1, parts)}) if held else []
+
+
+def number_rows(df: DataFrame, order_col: str = "doc_id", start: int = 0, id_col: str = "id", parts: int | None = None) -> DataFrame:
+    """Dense ids ``start+1 ..`` in ``order_col`` order, those of ``assign_ids``, given to the rows where they lie.
+
+    Rows go to their key's range, which is the only exchange of their texts; how many rows each range holds is
+    counted before, from the keys alone, so every range knows its first id and numbers its rows by a running count.
+    ``df`` is read three times (sample, counts, rows): store a costly one first. Rows of equal key are ordered by a hash
+    of the row and share a range.
+    """
+    spark = df.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(df, order_col, n)
+    kind = df.schema[order_col].dataType
+    limits = F.array(*[F.lit(b).cast(kind) for b in bounds]) if bounds else F.array().cast(T.ArrayType(kind))
+    key = F.col(order_col)
+    rows = df.withColumn("_part", F.when(key.isNull(), len(bounds) + 1).otherwise(F.size(F.filter(limits, lambda b: b <= key))))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_part").alias("_of"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) + start).alias("_off"))  # one row a range
+    within = Window.partitionBy("_part").orderBy(key.asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    numbered = rows.repartition(n, "_part").withColumn("_nth", F.row_number().over(within))
+    return (numbered.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))
+            .withColumn(id_col, F.col("_off") + F.col("_nth")).drop("_part", "_of", "_off", "_nth"))
+
+
 def ensure_bills_table(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """Create the table at ``path`` if absent (an existing table is left untouched).
 
@@ -134,7 +170,7 @@ def append_rows(rows: DataFrame, path: str, order_col: str = "doc_id") -> DataFr
     rows = cut(rows)
     ensure_bills_table(spark, path)
     base = current_max_id(spark, path)
-    with_ids = assign_ids(rows, order_col, base).withColumn("created_at", F.current_timestamp())
+    with_ids = number_rows(rows, order_col, base).withColumn("created_at", F.current_timestamp())
     with_ids.select(*[f.name for f in BILLS_TABLE.fields]).write.mode("append").parquet(path)
     return spark.read.schema(BILLS_TABLE).parquet(path).where(F.col("id") > base)
 

@@ -33,7 +33,7 @@ from ..operators.store import (
 from ..session import cut, shared_path
 from ..sources.documents import parse_workitems, read_text_documents, read_text_table, scan_documents
 from . import fixtures as fx
-from .pipeline import extraction_results, join_documents, run_pipeline
+from .pipeline import extraction_results, join_documents, run_pipeline, with_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,9 +65,9 @@ def _pipeline_docs(spark, sf):
     return join_documents(fx.pipeline_documents(spark, sf), work)
 
 
-def _run(spark, sf, stored_stage=False):
-    """The whole run; ``stored_stage`` for queries that use two or more of its branches."""
-    return run_pipeline(_pipeline_docs(spark, sf), fx.responses(spark, sf), fx.corrections(spark, sf), stored_stage=stored_stage)
+def _run(spark, sf, stored_stage=False, keep_text=True):
+    """The whole run; ``stored_stage`` for queries that use two or more of its branches, without ``keep_text`` for those that write no text."""
+    return run_pipeline(_pipeline_docs(spark, sf), fx.responses(spark, sf), fx.corrections(spark, sf), stored_stage=stored_stage, keep_text=keep_text)
 
 
 def _items_sum(items: Column) -> Column:
@@ -126,19 +126,19 @@ def _bill_columns(df: DataFrame) -> DataFrame:
 
 
 def q_bills_table(spark, sf):
+    """Created, filled and read back; the order's number is in the stored summary."""
     path = shared_path(spark, "tables", "bills", unique=True)
-    empty = ensure_bills_table(spark, path)
+    ensure_bills_table(spark, path)
     st = fx.statements(spark, sf).withColumn("document_type", F.lit(fx.DEFAULT_DOCUMENT_TYPE))
     records = ex.extract_records(st, keep=("text", "document_type"))
-    rows = table_rows(records, "record", "text", "document_type")
-    conformed = empty.drop("id", "created_at").withColumn("doc_id", F.lit(None).cast("long")).unionByName(rows)
-    return _bill_columns(conformed)
+    back = append_rows(table_rows(records, "record", "text", "document_type"), path)
+    return _bill_columns(back.withColumn("doc_id", F.regexp_extract("raw_text_summary", "([0-9]+)$", 1).cast("long")))
 
 
 def q_append_bills(spark, sf):
-    run = _run(spark, sf, stored_stage=True)
+    run = _run(spark, sf, stored_stage=True, keep_text=False)
     path = shared_path(spark, "tables", "bills", unique=True)
-    back = append_rows(run.stored.drop("branch"), path)
+    back = append_rows(with_texts(run.stored.drop("branch"), _pipeline_docs(spark, sf)), path)
     return back.select(as_long("id").alias("id"), "account_number", ds("billing_date").alias("billing_date"),
                        F.col("total_amount_due").cast("double").alias("total_amount_due"), "document_type")
 
@@ -383,11 +383,11 @@ def q_validate_invoice(spark, sf):
 # ---------------------------------------------------------------- 2.5 routing, status
 
 def q_document_status(spark, sf):
-    return _run(spark, sf).processed.select("doc_id", "status", "route", "reason")
+    return _run(spark, sf, keep_text=False).processed.select("doc_id", "status", "route", "reason")
 
 
 def q_route_decision(spark, sf):
-    processed = cut(_run(spark, sf).processed.select("doc_id", "route"))
+    processed = cut(_run(spark, sf, keep_text=False).processed.select("doc_id", "route"))
     routes = route_decision(processed)
     return (routes["success"].select("doc_id", F.lit("success").alias("branch"))
             .unionByName(routes["failure"].select("doc_id", F.lit("failure").alias("branch")))
@@ -395,11 +395,11 @@ def q_route_decision(spark, sf):
 
 
 def q_validate_direct(spark, sf):
-    return _run(spark, sf).direct.select("doc_id", "store_status", "store_reason")
+    return _run(spark, sf, keep_text=False).direct.select("doc_id", "store_status", "store_reason")
 
 
 def q_validate_corrected(spark, sf):
-    return _run(spark, sf).corrected.select("doc_id", "store_status", "store_reason")
+    return _run(spark, sf, keep_text=False).corrected.select("doc_id", "store_status", "store_reason")
 
 
 READ_ERROR = "OSError: document store unavailable"
@@ -420,7 +420,7 @@ def q_capture_errors(spark, sf):
 
 
 def q_task_log(spark, sf):
-    run = _run(spark, sf, stored_stage=True)
+    run = _run(spark, sf, stored_stage=True, keep_text=False)
     ids = assign_ids(run.stored.select("doc_id"), "doc_id")
     logs = (task_log(run.processed, "process_document", process_log())
             .unionByName(task_log(run.direct.join(ids, "doc_id", "left"), "store_document_data", store_log(True)))
@@ -430,7 +430,7 @@ def q_task_log(spark, sf):
 
 
 def q_workflow_output(spark, sf):
-    run = _run(spark, sf, stored_stage=True)
+    run = _run(spark, sf, stored_stage=True, keep_text=False)
     ids = assign_ids(run.stored.select("doc_id"), "doc_id")
     outcome = ("doc_id", "store_status", "store_reason")
     out = workflow_output(run.processed, run.direct.select(*outcome).join(ids, "doc_id", "left"),
@@ -446,14 +446,14 @@ def q_workflow_output(spark, sf):
 # ---------------------------------------------------------------- 2.6 joins, store
 
 def q_apply_corrections(spark, sf):
-    c = _run(spark, sf).corrected
+    c = _run(spark, sf, keep_text=False).corrected
     return c.select("doc_id", flag(F.col("correction_missing")).alias("correction_missing"),
                     flag(F.size("errors") == 0).alias("valid"), "document_type_hint",
                     F.col("record.account_number").alias("account_number"))
 
 
 def q_pending_reviews(spark, sf):
-    return _run(spark, sf).pending.select("doc_id", "original_document_path")
+    return _run(spark, sf, keep_text=False).pending.select("doc_id", "original_document_path")
 
 
 def _stored_columns(df: DataFrame) -> DataFrame:
@@ -466,18 +466,18 @@ def _stored_columns(df: DataFrame) -> DataFrame:
 
 
 def q_store_all(spark, sf):
-    return _stored_columns(_run(spark, sf, stored_stage=True).stored)
+    return _stored_columns(_run(spark, sf, stored_stage=True, keep_text=False).stored)
 
 
 def q_enforce_store_constraints(spark, sf):
-    run = _run(spark, sf, stored_stage=True)
+    run = _run(spark, sf, stored_stage=True, keep_text=False)
     d = run.direct.select("doc_id", F.lit("direct").alias("branch"), "store_error")
     c = run.corrected.select("doc_id", F.lit("corrected").alias("branch"), "store_error")
     return d.unionByName(c)
 
 
 def q_encode_line_items(spark, sf):
-    stored = _run(spark, sf, stored_stage=True).stored
+    stored = _run(spark, sf, stored_stage=True, keep_text=False).stored
     return stored.select("doc_id", "branch", flag(F.col("line_items").isNull()).alias("is_null"),
                          "line_items", _items_sum(_json_items("line_items")).alias("items_sum"))
 

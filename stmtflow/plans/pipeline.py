@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
 from ..operators.responses import first_valid_response
 from ..operators.review import apply_corrections, pending_reviews
 from ..operators.routing import (
@@ -51,10 +52,28 @@ def extraction_results(responses: DataFrame, max_attempts: int = MODEL_MAX_RETRI
     return first_valid_response(responses, max_attempts).select("doc_id", "record")
 
 
+def text_mark(text: str = "text"):
+    """What the checks ask of a text: NULL, empty if it is blank, else one mark."""
+    return F.when(F.col(text).isNotNull(), F.when(is_blank(text), F.lit("")).otherwise(F.lit("text")))
+
+
+def with_texts(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows of the table layout with the texts of their documents, for those that are written only."""
+    texts = documents.select(F.col("doc_id").alias("_of"), F.col("text").alias("_text"))
+    whole = rows.join(texts, F.col("doc_id") == F.col("_of"), "left").drop("_of")
+    return whole.withColumn("raw_ocr_text", F.when(F.col("raw_ocr_text").isNotNull(), F.col("_text"))).drop("_text")
+
+
 def run_pipeline(documents: DataFrame, responses: DataFrame, corrections: DataFrame,
-                 max_attempts: int = MODEL_MAX_RETRIES + 1, stored_stage: bool = False) -> PipelineRun:
+                 max_attempts: int = MODEL_MAX_RETRIES + 1, stored_stage: bool = False, keep_text: bool = True) -> PipelineRun:
     """``documents``: doc_id, document_path, document_type_hint, text[, pipeline_error].
-    ``responses``: doc_id, attempt, response. ``corrections``: doc_id, corrected."""
+    ``responses``: doc_id, attempt, response. ``corrections``: doc_id, corrected.
+
+    Without ``keep_text`` no text goes into a join or a stored stage: a mark stands for it from the scan on (``text_mark``),
+    which every check treats like the text. ``with_texts`` fetches the texts of the rows that are written.
+    """
+    if not keep_text:
+        documents = documents.withColumn("text", text_mark())
     results = extraction_results(responses, max_attempts)
     processed = document_status(documents.join(results, "doc_id", "left"))
     if stored_stage:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..operators.review import apply_corrections
 from ..operators.routing import build_storage_payload, document_status, route_branch, validate_corrected, validate_direct
-from ..operators.store import assign_ids, constraint_error, table_rows
+from ..operators.store import constraint_error, number_rows, table_rows
 from ..plans.pipeline import extraction_results
 from ..schemas import BILLS_TABLE, STATUS_COMPLETED
 from ..session import cut, materialize, path_exists, shared_path
@@ -130,7 +130,7 @@ def append_batch(batch: DataFrame, batch_id: int, table: str, order_col: str = "
     spark = batch.sparkSession
     rows = cut(batch)  # numbered, counted and written: computed once
     base = last_id_before(spark, table, batch_id)
-    numbered = assign_ids(rows, order_col, base).withColumn("created_at", F.current_timestamp())
+    numbered = number_rows(rows, order_col, base).withColumn("created_at", F.current_timestamp())
     (numbered.select(*[f.name for f in BILLS_TABLE.fields])
      .write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}"))
     # After the rows: a batch that fails before this line is replayed whole, with the same ids.

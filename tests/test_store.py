@@ -7,7 +7,7 @@ from stmtflow.operators.store import (
 )
 from stmtflow.operators.responses import validate_response
 from stmtflow.schemas import BILLS_TABLE
-from stmtflow.session import shared_path
+from stmtflow.session import cut, shared_path
 
 
 def test_assign_ids_dense_in_key_order(spark):
@@ -97,3 +97,36 @@ def test_exported_files_keep_ids_and_are_not_overwritten(spark, tmp_path):
     assert back == {1: "A", 2: "B"}
     with pytest.raises(Exception):
         export_records_json(recs, path=str(tmp_path / "out"))
+
+
+def test_rows_are_numbered_where_they_lie(spark):
+    """The ids of ``assign_ids``, with one exchange of the rows and no join of them on the key."""
+    import random
+
+    from stmtflow.operators.store import number_rows
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, *range(90)]), f"text {i}") for i in range(700)] + [(50, "same")] * 30
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(5)
+        got = sorted((r.id, str(r.doc_id)) for r in number_rows(df, "doc_id", 10, parts=7).collect())
+        assert [i for i, _ in got] == list(range(11, 741))
+        assert got == sorted((r.id, str(r.doc_id)) for r in assign_ids(df, "doc_id", 10, parts=3).collect())
+    assert number_rows(df.limit(0), "doc_id").count() == 0
+    whole = cut(spark.range(1000).selectExpr("id AS doc_id", "repeat('x', 100) AS text"))
+    plan = number_rows(whole, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line and "text" in line for line in plan.partition("Initial Plan")[0].splitlines()) <= 1 and "SortMergeJoin" not in plan
+
+
+def test_texts_stay_out_of_the_stored_stage(spark, sf_small):
+    from stmtflow.plans import catalog as cat
+
+    with_text, without = cat._run(spark, sf_small), cat._run(spark, sf_small, stored_stage=True, keep_text=False)
+    assert {r[0] for r in without.processed.select("text").distinct().collect()} <= {None, "", "text"}
+    for name in ("processed", "direct", "corrected", "pending"):
+        cols = [c for c in ("doc_id", "status", "route", "reason", "store_status", "store_reason") if c in getattr(without, name).columns]
+        assert sorted(map(str, getattr(without, name).select(cols).collect())) == sorted(map(str, getattr(with_text, name).select(cols).collect())), name
+    from stmtflow.plans.pipeline import with_texts
+
+    same = lambda df: sorted((r.doc_id, r.raw_ocr_text, r.account_number or "") for r in df.collect())
+    assert same(with_texts(without.stored, cat._pipeline_docs(spark, sf_small))) == same(with_text.stored)

@@ -26,6 +26,13 @@ FLOATS = ["1.5_0", "1_000.5_5", "1e5_0", "_1", "1_", "1__0", "1_.5", "1._5", "-_
 TEXTS = ['{"account_number":"x"}}', '{"account_number":"x"} {"b":2}', '{"account_number":"x"},{"b":2}', '{"account_number":"x"}],[{"b":2}',
          '{"account_number":"x"} x', ' {"account_number":"x"} \n', '[]', '""', 'null', '', ' ', '{', '{}', '{"account_number":1}',
          '{"account_number":true}', '{"account_number":["a"]}', '{"line_items":"x"}', '{"line_items":[{"description":5}]}',
+         # Repeated keys and bare numbers that are none; and what must not pass with them.
+         '{"account_number":"a","account_number":"b"}', '{"account_number":1,"account_number":"b"}', '{"account_number":"b","account_number":1}',
+         '{"total_amount_due":NaN}', '{"total_amount_due":Infinity}', '{"total_amount_due":-Infinity}', '{"account_number":NaN}', '{"zzz":NaN,"account_number":"x"}',
+         ' {"zzz":1,"zzz":2} ', '{"line_items":[{"amount":NaN},{"amount":Infinity}]}', '{"line_items":NaN}', '{"line_items":[],"line_items":[{"amount":1}]}',
+         '{"account_number":"a","account_number":"b"} x', '{"account_number":"a","account_number":"b"},{"zzz":1}', '{"account_number":NaN',
+         '{"account_number":"a","account_number":"b"', "{'account_number':'x'}", '{"account_number":NaN}}', '{account_number:"x"}', '{"total_amount_due":NaN},1',
+         '{"total_amount_due":01}', '{"zzz":NaN}, {}]', '{"zzz":NaN}}, {"a":1}]', '{"zzz":NaN}, "mark":1', '{"account_number":"NaN, \\" NaN","account_number":"c","total_amount_due":NaN}',
          '{"line_items":[{"amount":"1_0"},{"description":"d"}]}', '{"zzz":1}', '1', '{"account_number":"\\u00e9\\n"}']
 
 
@@ -65,7 +72,7 @@ def test_errors_and_values_agree(both):
             same = a == b or a is not None and b is not None and math.isnan(a) and math.isnan(b)
             items = None if want.line_items is None else [(x.description, x.amount) for x in want.line_items]
             rows = None if row.record.line_items is None else [tuple(x) for x in row.record.line_items]
-            if not same or want.billing_date != row.record.billing_date or want.account_number != row.record.account_number or items != rows:
+            if not same or want.billing_date != row.record.billing_date or want.account_number != row.record.account_number or repr(items) != repr(rows):
                 different.append((text, want, row.record))
     assert not different, "\n".join(map(str, different))
 
