@@ -16,7 +16,7 @@ shuffle, and no task holds a host.
   below it over all pages of the host, and the main role is the deepest template role that
   still holds most of it; ``article`` and ``main`` elements, where a host has them, are
   preferred. Roles that mark menus, headers, footers, notices, adverts, forms and
-  comments, by tag or by class name, hold no slots.
+  comments, by tag or by class name (outside of article elements by id too), hold no slots.
 
 A page yields the text of its main role, in page order. A page without host, of a host with
 too little support, or without the host's main role is read by its own roles alone.
@@ -30,8 +30,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,9 +47,11 @@ RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 # Fixed values of HTML: elements without content, without text, and those that do not end a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea object canvas audio video title".split())
+RAW = frozenset("script style noscript template iframe svg textarea object canvas audio video title".split())
+CODE = frozenset("script style noscript template iframe textarea title".split())  # of RAW: without an end they last to the end of the page
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
-                    "small span strike strong sub sup time tt u var wbr").split())
+                    "small span strike strong sub sup time tt u var wbr math mi mn mo mrow ms msub msup msubsup mfrac msqrt mroot mtext mstyle "
+                    "mover munder munderover semantics").split())
 # Opening one of the keys ends an open one of the values, up to the nearest container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
@@ -59,8 +63,11 @@ APART_WORDS = frozenset(("ad ads adv advert adverts advertisement advertising sp
                          "comment comments disqus reply replies respond discussion share sharing social related recommended "
                          "recommendations footer masthead newsletter subscribe subscription signup login popup modal overlay "
                          "widget widgets pagination pager toolbar skip search copyright disclaimer outbrain taboola").split())
+# Words that say nothing about what an element holds: beside them a word of the above decides also within an article.
+BARE_WORDS = frozenset("area block bottom box center container content for inner item items left link links list main new outer panel post right row section slot small the top unit wrap wrapper".split())
 HEADER_WORDS = frozenset(("header", "topbar", "site-header", "page-header"))
 SEMANTIC = frozenset(("article", "main"))
+TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 
 PIECE = re.compile(
     r"<!--(?:.*?--!?>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^<>\"']++|\"[^\"]*\"|'[^']*'|[\"'<])*+)(?:>|\Z)|([^<]++|<)", re.S)
@@ -75,21 +82,28 @@ class Element:
         self.tag, self.role, self.depth, self.apart, self.semantic, self.main = tag, role, depth, apart, semantic, main
 
 
-def named_apart(name: str) -> bool:
-    """Whether a class name or id marks something beside the article (first or last part counts)."""
-    parts = re.split(r"[-_]+", name.lower())
-    if parts[0] in ("with", "has", "no", "without"):
+def named_apart(name: str, within: bool = False) -> bool:
+    """Whether a class name or id marks something beside the article.
+
+    Outside of article elements the first or the last part of the name is enough; ``within`` them every part has to say
+    so, or nothing: ``search-results`` or ``copyright-law`` are subjects an article may have.
+    """
+    parts = [x for x in re.split(r"[-_0-9]+", name.lower()) if x]
+    if not parts or parts[0] in ("with", "has", "no", "without"):
         return False
+    if within:
+        return any(x in APART_WORDS for x in parts) and all(x in APART_WORDS or x in BARE_WORDS for x in parts)
     return parts[0] in APART_WORDS or parts[-1] in APART_WORDS
 
 
 def opened(tag: str, attributes: str, parent: Element | None, main_role: int | None) -> Element:
-    names, semantic, hidden, header = [], tag in SEMANTIC, False, tag == "header"
+    names, classes, semantic, hidden, header = [], [], tag in SEMANTIC, False, tag == "header"
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 names += value.split()
+                classes += value.split() if key == "class" else []
             elif key == "role":
                 semantic = semantic or value in SEMANTIC
                 names += [value] if value in ("navigation", "search", "banner", "contentinfo", "complementary") else []
@@ -104,7 +118,8 @@ def opened(tag: str, attributes: str, parent: Element | None, main_role: int | N
     header = header or any(n.lower() in HEADER_WORDS for n in names)
     apart = (parent is not None and parent.apart) or hidden or tag in APART or (header and not within)
     if not apart and tag not in ("html", "body") and tag not in INLINE:
-        apart = any(named_apart(n) for n in names)
+        # Ids name places to link to, and headings and paragraphs are text: within an article neither sets anything apart.
+        apart = (tag not in TEXT_BLOCKS and any(named_apart(n, True) for n in classes)) if within else any(named_apart(n) for n in names)
     if tag in INLINE:
         role, depth = (parent.role, parent.depth) if parent else (0, 0)
     else:
@@ -118,7 +133,13 @@ def opened(tag: str, attributes: str, parent: Element | None, main_role: int | N
 def walk(page: str, main_role: int | None = None) -> Iterator[tuple]:
     """(kind, element, data): 'open' with the parent's role, 'text' with raw text, 'break'."""
     stack: list[Element] = []
+    count: Counter = Counter()  # open elements by tag: a tag that none waits for is not searched
     at, end = 0, len(page)
+
+    def cut_to(i: int) -> None:
+        count.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
     while at < end:
         m = PIECE.match(page, at)
         at = m.end()
@@ -131,9 +152,9 @@ def walk(page: str, main_role: int | None = None) -> Iterator[tuple]:
         if m[1]:
             if tag not in INLINE:
                 yield "break", None, None
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if count[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut_to(i)
                     break
                 if stack[i].tag in CONTAINERS and tag not in CONTAINERS:
                     break
@@ -143,15 +164,15 @@ def walk(page: str, main_role: int | None = None) -> Iterator[tuple]:
         if tag in RAW:
             if not m[3].endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
+                at = close.end() if close else end if tag in CODE else at
             continue
         if tag in VOID:
             continue
         ends = ENDS.get(tag) or (None if tag in INLINE else {"p"})
-        if ends:
+        if ends and any(count[t] for t in ends):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    cut_to(i)
                     if tag not in ("tr", "thead", "tbody"):
                         break
                 elif stack[i].tag in CONTAINERS:
@@ -161,6 +182,7 @@ def walk(page: str, main_role: int | None = None) -> Iterator[tuple]:
         if tag not in INLINE:
             yield "open", element, parent
         stack.append(element)
+        count[tag] += 1
 
 
 def plain(raw: str) -> str:
@@ -294,22 +316,32 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.trim("url"), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html")).withColumn("host", host)
-    # Templates, a row per host, go to all tasks only while their measured size is small.
-    rows = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, F.col("host") == F.col("of"), "left")
+    if size <= BROADCAST_BYTES:
+        # Templates, a row per host, go to all tasks as one table while their measured size is small; page rows carry only the host.
+        table = {r["of"]: (r["main_role"], np.array(r["texts"], dtype=np.int64)) for r in known.toLocalIterator()}
+        shared = pages.sparkSession.sparkContext.broadcast(table)
+        rows = rows.select("page_id", "url", "html", "host")
+    else:
+        shared = None
+        rows = rows.join(known, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "main_role", "texts")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        texts_of: dict[str, frozenset] = {}  # by host, one entry for each met in a batch
+        met: dict[str, tuple] = {}  # by host, one entry for each met in a batch
         for batch in batches:
-            texts_of.clear()
+            met.clear()
             out = []
-            for i, (page, role, host) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 5)))):
-                if role is not None and host not in texts_of:
-                    texts_of[host] = frozenset(batch.column(4)[i].as_py() or ())
-                out.append(main_text(page, role, texts_of.get(host, frozenset())) if page else "")
+            for i, (page, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if host not in met:
+                    if shared is not None:
+                        role, texts = shared.value.get(host, (None, ()))
+                        met[host] = role, frozenset(texts.tolist() if len(texts) else ())
+                    else:
+                        met[host] = batch.column(4)[i].as_py(), frozenset(batch.column(5)[i].as_py() or ())
+                out.append(main_text(page, *met[host]) if page else "")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "main_role", "texts", "host").mapInArrow(run, RESULT)
+    return rows.mapInArrow(run, RESULT)

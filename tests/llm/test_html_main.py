@@ -81,3 +81,34 @@ def test_odd_rows(spark):
 def test_hosts():
     assert hm.host_of("https://User@WWW.example.com:80/x?y") == "www.example.com"
     assert hm.host_of("/x") is None and hm.host_of(None) is None
+
+
+def test_names_within_an_article_take_nothing_away():
+    body = ('<h2 id="discussion">Head</h2><section id="discussion"><p>One</p></section><div class="search-results">Two</div>'
+            '<p class="copyright-law">Three</p><p>E = <math><mi>m</mi><mo>c</mo></math></p><video src=v>Four<p class="notice">Five</p>')
+    apart = '<div class="ad-box">advert</div><div class="comments"><p>reader</p></div><div class="share-links">share</div><ul class="related">more</ul>'
+    page = f'<body><div id="search">find</div><article>{body}{apart}</article></body>'
+    assert hm.main_text(page, None, frozenset()) == "Head One Two Three E = mc Four Five"
+    outside = '<div class="search-results">a</div><div id="discussion">b</div><p>Text.</p>'
+    assert hm.main_text(outside, None, frozenset()) == "Text."
+
+
+def test_stray_tags_take_linear_time():
+    import time
+
+    def spent(page):
+        t = time.process_time()
+        hm.main_text(page, None, frozenset())
+        return time.process_time() - t
+
+    for part, stray in (("<div>", "</section>"), ("<i>", "</p>"), ("<i>", "<h2>")):
+        spent(part * 500 + stray * 500)
+        assert spent(part * 16_000 + stray * 16_000) < 40 * max(spent(part * 2_000 + stray * 2_000), 0.02)
+
+
+def test_templates_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}.com/{i}", f"<body><h1>Site</h1><div><p>Text {i} of the page.</p></div><p>All rights</p></body>", "x", "y")
+                                   for i in range(12)], "page_id bigint, url string, html string, host string, texts string")
+    few = sorted(map(tuple, hm.extract(pages).collect()))
+    monkeypatch.setattr(hm, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, hm.extract(pages).collect())) == few and all("All rights" not in r[2] for r in few)
