@@ -29,11 +29,12 @@ import math
 import random
 import re
 import string
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import whole_text
@@ -52,6 +53,7 @@ DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+DIGITS = re.compile(r"[0-9]+")
 TRIGGER = re.compile(r"[0-9]{2}|@|[\[({] ?at ?[\])}]", re.I)
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\W\d_A-Za-z]+|\s|.", re.S)
 
@@ -305,32 +307,56 @@ def _rewritten(kind: str, span: str) -> list[str]:
     return []
 
 
+SHARE = 2  # windows of a text and kind at most
+
+
+def text_windows(text: str, reach: int = 40) -> list[tuple[str, str]]:
+    """(kind, snippet): for each kind up to ``SHARE`` windows around base spans, and one around other digits ('').
+
+    Which ones is decided by a hash of their place in the text, so that any place is as likely as any other.
+    """
+    base = base_spans(text)
+    rank = lambda at: zlib.crc32(f"{at}:{len(text)}".encode())
+    out = []
+    for kind in KINDS:
+        own = sorted(((a, b) for k, a, b in base if k == kind), key=lambda s: rank(s[0]))[:SHARE]
+        out += [(kind, text[max(0, a - reach):b + reach]) for a, b in own]
+    # Places within reach of a base span are left out; their spans are merged first, so that each digit asks one of them.
+    merged: list[list[int]] = []
+    for a, b in sorted((a - reach, b + reach) for _, a, b in base):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts, best = [a for a, _ in merged], None
+    for m in DIGITS.finditer(text):
+        i = bisect_right(starts, m.start()) - 1
+        if i < 0 or m.start() >= merged[i][1]:
+            best = min(best or (1 << 32, 0), (rank(m.start()), m.start()))
+    if best is not None:
+        out.append(("", text[max(0, best[1] - reach):best[1] + 2 * reach]))
+    return out
+
+
 def _windows(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        rows = []
-        for text in batch.column(0).to_pylist():
-            base, reach = base_spans(text), 40
-            for n, (_, a, b) in enumerate(base[:4]):
-                rows.append((text[max(0, a - reach):b + reach], True))
-            for n, m in enumerate(DIGIT.finditer(text)):
-                if n >= 40:
-                    break
-                if not any(a - reach < m.start() < b + reach for _, a, b in base):
-                    rows.append((text[max(0, m.start() - reach):m.start() + 2 * reach], False))
-                    break
+        rows = [w for text in batch.column(0).to_pylist() for w in text_windows(text)]
         cols = list(zip(*rows)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_())], names=["snippet", "found"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string())], names=["kind", "snippet"])
 
 
 def fit(docs: DataFrame, snippets: int = 400, sampled: int = 20_000) -> dict[str, float]:
-    """Weights of the field from at most ``snippets`` windows of about ``sampled`` documents."""
+    """Weights of the field from at most ``snippets`` windows, an equal share of each kind, and half as many without, of about ``sampled`` documents."""
     texts = docs.select(whole_text().alias("text"))
     share = min(1.0, sampled / max(1, texts.count()))
-    seen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).mapInArrow(_windows, "snippet string, found boolean")
-    chosen = (seen.distinct().withColumn("h", F.xxhash64("snippet")).orderBy(F.desc("found"), "h").limit(snippets).collect()
-              + seen.filter("NOT found").distinct().withColumn("h", F.xxhash64("snippet")).orderBy("h").limit(snippets // 2).collect())
+    seen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).mapInArrow(_windows, "kind string, snippet string")
+    seen = seen.distinct().withColumn("h", F.xxhash64("snippet"))
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("h", "snippet"))
+    most = F.when(F.col("kind") == "", snippets // 2).otherwise(snippets // len(KINDS))
+    chosen = (seen.withColumn("nth", nth).filter(F.col("nth") <= snippets // 2).filter(F.col("nth") <= most)
+              .orderBy(F.col("kind") == "", "h", "snippet").collect())  # bounded by snippets
     windows = []
     for text in dict.fromkeys(r["snippet"] for r in chosen):
         gold = base_spans(text)

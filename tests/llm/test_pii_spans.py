@@ -85,3 +85,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert "a.b@c.de" not in text and "[email]" in text and "[phone]" in text
     assert masked.filter("doc_id = 0").first().text is None
     assert ps.redact(no_docs, weights).count() == 0
+
+
+def test_training_windows_come_from_the_whole_text():
+    """Any place is as likely, and no kind takes the others' room."""
+    at = [ps.text_windows("x 7 " * n + "10.0.0.1 " + "y " * (400 - n) + "b@c.de " + "z " * 300) for n in range(0, 300, 7)]
+    assert all([k for k, _ in w].count("ip") == 1 and [k for k, _ in w].count("email") == 1 for w in at)
+    many = "".join(f"a{i}@b{i}.org " + "word " * 12 for i in range(200)) + "4111 1111 1111 1111 " + "w " * 60 + "99 " + "w " * 60 + "98"
+    found = ps.text_windows(many)
+    assert [k for k, _ in found] == ["email", "email", "card", ""]
+    assert not any("a0@" in w or "a1@" in w for k, w in found if k == "email")
