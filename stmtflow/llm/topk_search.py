@@ -12,7 +12,8 @@ integers, so the result is exact. The k best of each piece are merged per query.
 Cases: vectors that are null or hold a null or non-finite component take no part, as
 queries or candidates, and neither do rows without an id; exactly repeated rows count
 once; vectors of another length than the query's are not candidates for it; ties go to
-the smaller id; an empty table gives an empty result; other columns are ignored.
+the smaller id; components so large that a score may not fit 64 bits are refused with an error; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +39,17 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.when(usable, v).alias("v"))
             .filter("vec_id IS NOT NULL AND v IS NOT NULL")
-            .select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("bigint")).alias("v"))
+            .select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"), F.array_max(F.transform("v", lambda x: F.abs(x * scale) + 1)).alias("most"))
             .distinct())
 
 
+def check_range(rows: DataFrame) -> None:
+    """Refuse components whose scores may not fit 64 bits."""
+    most, dims = rows.agg(F.max("most"), F.max(F.size("v"))).first()
+    if most is not None and most * most * dims >= 2 ** 62:
+        raise ValueError(f"components of up to {most:g} in {dims} dimensions give scores beyond 64 bits")
+
+
 def branch_and_bound(q_ids, queries, ids, candidates, k: int, step: int = DIMENSIONS) -> list[tuple]:
     """(query position, candidate id, score) of the k best candidates of each query."""
     dims, n = candidates.shape[1], len(ids)
@@ -96,6 +104,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     as the row count asks for, so a block stays near ``block_rows`` rows at any size.
     """
     rows = cut(quantized(vectors, id_col, vec_col, scale).withColumn("dims", F.size("v")))
+    check_range(rows)
+    rows = rows.drop("most")
     counted = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.sum(is_query.cast("int")).alias("q"))
     counted = counted.select(F.col("dims").alias("of"), F.ceil(F.col("n") / block_rows).alias("c_blocks"),
                              F.ceil(F.col("q") / block_rows).alias("q_blocks"))

@@ -41,3 +41,13 @@ def test_pruning_is_exact_for_large_components():
         scores = values @ values[q]
         want = [j for j in np.lexsort((np.arange(500), -scores)) if j != q][:7]
         assert [g[1] for g in got if g[0] == q] == want
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    import pytest
+
+    rows = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        ts.top_k(rows, F.col("vec_id") % 20 == 0)
+    large = spark.createDataFrame([(0, [2.0 ** 22, 1.0]), (1, [2.0 ** 22, -1.0])], "vec_id bigint, embedding array<double>")
+    assert [r.score for r in ts.top_k(large, F.col("vec_id") % 20 == 0).collect()] == [2 ** 56 - 4096]
