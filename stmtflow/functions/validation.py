@@ -156,10 +156,9 @@ def tolerant_object(text, schema: RecordSchema) -> Column:
     fields = ", ".join(f"`{name}`: variant" for name in schema.names)
     rows = F.from_json(F.concat(F.lit("["), text, F.lit(', {"end of text": "end"}]')), f"array<struct<{fields}, `end of text`: string>>",
                        {"allowSingleQuotes": "false"})
-    whole = (F.size(rows) == 2) & (F.get(rows, 1)["end of text"] == "end")
-    record = F.struct(*[F.get(rows, 0)[name].alias(name) for name in schema.names])
-    return F.when(text.rlike(r"\A[ \t\n\r]*\{") & whole, F.to_variant_object(record))
-
+    # Through a list of one, so that the text is parsed once for all that is asked of it.
+    found = F.transform(F.array(rows), lambda r: F.when((F.size(r) == 2) & (F.get(r, 1)["end of text"] == "end"), F.to_variant_object(F.get(r, 0))))
+    return F.when(text.rlike(r"\A[ \t\n\r]*\{"), F.get(found, 0))
 
 
 def _strict_value(text: Column) -> Column:
