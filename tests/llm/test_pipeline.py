@@ -26,3 +26,22 @@ def test_stages_over_the_small_tables(spark, sf_small, tmp_path):
 
 def test_run(spark, sf_small):
     assert cp.run(spark, sf_small).count() > 0
+
+
+def test_stages_over_odd_and_empty_tables(spark, sf_small, odd_docs, no_docs):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, odd_docs, sf_small), stage(spark, no_docs, sf_small)
+        assert none.count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == odd_docs.columns and none.columns == odd_docs.columns, name
+        rows, n = got.collect(), odd_docs.count()
+        if name == "toxicity":
+            assert 0 < len(rows) <= n
+        elif name == "ngram_join":
+            texts = [r["text"] or "" for r in rows]
+            assert len(texts) == len(set(texts)) < n
+        elif name == "pii":
+            assert len(rows) == n and not any("a.b@c.de" in (r["text"] or "") for r in rows)
+            assert sum(r["text"] is None for r in rows) == sum(r["text"] is None for r in odd_docs.collect())
