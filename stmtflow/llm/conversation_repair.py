@@ -40,8 +40,7 @@ KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = (USER, USER, ASSISTANT, USER)  # the state after the one row that may be put in at a state
 GRAMMAR = {(START, 0): SYSTEM, (START, 1): USER, (SYSTEM, 1): USER, (USER, 2): ASSISTANT, (ASSISTANT, 1): USER}
-INITIALS = "sua"        # symbols 0 to 2; 3 is any other; 4 more if truncated
-SYMBOLS = 8
+SYMBOLS = 8             # first letter s, u, a or another; 4 more if truncated
 BLOCK = 4
 EXPANDED = 50_000       # expanded blocks kept by a task
 BROADCAST_ROWS = 200_000

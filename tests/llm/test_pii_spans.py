@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 from stmtflow.llm import pii_spans as ps
 
@@ -95,3 +96,59 @@ def test_training_windows_come_from_the_whole_text():
     found = ps.text_windows(many)
     assert [k for k, _ in found] == ["email", "email", "card", ""]
     assert not any("a0@" in w or "a1@" in w for k, w in found if k == "email")
+
+
+def segmentations(n, segments):
+    """All ways to cover n tokens by segments and tokens standing alone, as lists of segments."""
+    if n == 0:
+        yield []
+        return
+    for rest in segmentations(n - 1, segments):
+        yield rest
+    for s in segments:
+        if s[1] == n:
+            for rest in segmentations(s[0], segments):
+                yield [*rest, s]
+
+
+SHORT = ["call 555 123 4567 now", "10.1.2.3 or 4111 1111 1111 1111", "a [at] b [dot] org, 0049 30 123 4567", "x 1234567 y 7654321"]
+
+
+def test_decoding_equals_enumeration():
+    rng = random.Random(6)
+    for text in SHORT:
+        tokens = ps._tokens(text)
+        segments = ps.candidates(text, tokens, [])
+        assert segments
+        for _ in range(5):
+            weights = {f: rng.uniform(-2, 2) for s in segments for f in s[3]} | {f: rng.uniform(-1, 1) for f in ps._alone(tokens)}
+
+            def score(chosen):
+                covered = {t for i, j, *_ in chosen for t in range(i, j)}
+                return (sum(weights[f] for f, i in zip(ps._alone(tokens), range(len(tokens))) if i not in covered)
+                        + sum(sum(weights[f] for f in s[3]) - ps.MARGIN for s in chosen))
+
+            best = max(segmentations(len(tokens), segments), key=score)
+            got = ps.decode(text, weights, [])
+            chosen = [s for s in segments if (s[2], tokens[s[0]][0], tokens[s[1] - 1][1]) in got]
+            assert len(chosen) == len(got) and abs(score(chosen) - score(best)) < 1e-9
+
+
+def test_training_step_equals_enumeration():
+    """From weights of zero all segmentations are equally likely: one step moves by the true counts less their mean."""
+    gold = {"call 555 123 4567 now": [("phone", 5, 17)], "x 1234567 y 7654321": [("phone", 2, 9)]}
+    for text, spans in gold.items():
+        tokens = ps._tokens(text)
+        segments, alone = ps.candidates(text, tokens, []), ps._alone(tokens)
+
+        def counts(chosen):
+            covered = {t for i, j, *_ in chosen for t in range(i, j)}
+            return Counter([f for i, f in enumerate(alone) if i not in covered] + [f for s in chosen for f in s[3]])
+
+        every = [counts(c) for c in segmentations(len(tokens), segments)]
+        true = counts([s for s in segments if (s[2], tokens[s[0]][0], tokens[s[1] - 1][1]) in spans])
+        weights = ps.train([(text, spans)], epochs=1, rate=0.5, decay=0.0)
+        assert weights
+        for f, w in weights.items():
+            step = true[f] - sum(c[f] for c in every) / len(every)
+            assert abs(w - 0.5 * max(-2.0, min(2.0, step))) < 1e-9, f
