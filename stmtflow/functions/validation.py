@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,33 +172,25 @@ def _as_at(v: Column, path: str, spark_type: str) -> Column:
     return F.try_variant_get(v, path, spark_type)
 
 
-def validate_frame(df: DataFrame, variant_col: str, schema: RecordSchema, present: Column | None = None,
-                   errors_col: str = "errors", record_col: str = "record", barrier: bool = False) -> DataFrame:
-    """Add ``errors`` (array of ``field: code``, empty when valid) and ``record``
-    (typed struct, NULL unless valid) for a parsed VARIANT column.
+_built: dict[tuple, tuple] = {}
 
-    Three projections: (1) each field's variant and JSON type (list elements staged
-    the same way), (2) the checks and converted values, (3) the record. Each
-    costly expression is therefore evaluated once per row; Catalyst keeps the
-    stages apart because their outputs are used more than once. ``present`` marks
-    rows that had any input at all (otherwise ``json_invalid``). ``barrier``: see below.
+
+def _expressions(variant_col: str, schema: RecordSchema) -> tuple[list[Column], list[Column], Column, Column]:
+    """Columns of the first two projections, the errors and the values, all by name.
+
+    Thousands of calls into the JVM go into them and they depend on no frame, so they are built once per process.
     """
-    keep = [c for c in df.columns]
+    key = (variant_col, schema.name, schema.fields, id(SparkContext._gateway))
+    if key in _built:
+        return _built[key]
     v = F.col(variant_col)
-    stage = []
-    for name, kind in schema.fields:
-        x = F.try_variant_get(v, f"$.{name}", "variant")
-        stage += [x.alias(f"_x_{name}")]
-    staged = df.select("*", F.schema_of_variant(v).alias("_top"), *stage)
-    more = []
+    fields, types = [F.schema_of_variant(v).alias("_top")], []
     for name, kind in schema.fields:
-        t = _type_of(F.col(f"_x_{name}"))
-        more.append(t.alias(f"_t_{name}"))
+        fields.append(F.try_variant_get(v, f"$.{name}", "variant").alias(f"_x_{name}"))
+        types.append(_type_of(F.col(f"_x_{name}")).alias(f"_t_{name}"))
         if isinstance(kind, ListOf):
             arr = _as(F.col(f"_x_{name}"), "array<variant>")
-            more.append(F.transform(arr, _stager(kind.item)).alias(f"_i_{name}"))
-    staged = staged.select("*", *more)
-
+            types.append(F.transform(arr, _stager(kind.item)).alias(f"_i_{name}"))
     errs, values = [], []
     for fld, (name, kind) in zip(schema.spark_type().fields, schema.fields):
         x, t = F.col(f"_x_{name}"), F.col(f"_t_{name}")
@@ -207,13 +200,30 @@ def validate_frame(df: DataFrame, variant_col: str, schema: RecordSchema, presen
             err, value = _SCALAR_CHECKS[kind](x, t)
         errs.append(F.concat(F.lit(f"{name}: "), err))
         values.append(value.cast(fld.dataType).alias(name))
-    top = F.col("_top")
     errors = (F.when(v.isNull(), F.array(F.lit("json_invalid")))
-              .when(~top.startswith("OBJECT"), F.array(F.lit("model_type")))
+              .when(~F.col("_top").startswith("OBJECT"), F.array(F.lit("model_type")))
               .otherwise(F.array_compact(F.array(*errs))))
+    _built[key] = fields, types, errors, F.struct(*values)
+    return _built[key]
+
+
+def validate_frame(df: DataFrame, variant_col: str, schema: RecordSchema, present: Column | None = None,
+                   errors_col: str = "errors", record_col: str = "record", barrier: bool = False) -> DataFrame:
+    """Add ``errors`` (array of ``field: code``, empty when valid) and ``record``
+    (typed struct, NULL unless valid) for a parsed VARIANT column.
+
+    Three projections: (1) each field's variant and JSON type (list elements staged
+    the same way), (2) the checks and converted values, (3) the record. Each
+    costly expression is therefore evaluated once per row; Catalyst keeps the
+    stages apart because their outputs are used more than once. ``present`` marks
+    rows that had any input at all (otherwise ``json_invalid``). ``barrier``: see below.
+    """
+    keep = [c for c in df.columns]
+    fields, types, errors, values = _expressions(variant_col, schema)
+    staged = df.select("*", *fields).select("*", *types)
     if present is not None:
         errors = F.when(~present, F.array(F.lit("json_invalid"))).otherwise(errors)
-    checked = staged.select(*keep, errors.alias(errors_col), F.struct(*values).alias("_values"))
+    checked = staged.select(*keep, errors.alias(errors_col), values.alias("_values"))
     out = checked.select(*keep, errors_col, F.when(F.size(errors_col) == 0, F.col("_values")).alias(record_col))
     if not barrier:
         return out
