@@ -41,6 +41,20 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(text, WORD_PATTERN, "x"), r"[^x]+", "")).cast("bigint")
 
 
+def released() -> None:
+    """Give memory that a task no longer holds back to the system: Python workers live on for later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     """Whole rows as one struct ``row`` beside working columns, whose names then clash with none of theirs."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),

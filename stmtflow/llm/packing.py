@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import cut, released, whole_text
 from .token_counts import byte_alphabet
 
 WINDOW = 1024
@@ -45,9 +45,10 @@ DENSE_TERM = 8     # a term that one fragment in so many holds has a row of all
 K1, B = 1.2, 0.75
 DIMENSIONS = 64
 SAMPLE = 100_000   # fragments from which the tree grows in one round
-LEAST_SAMPLE = 32  # a leaf of fewer sampled ones is not split in that round
-CACHE_CHUNKS = 200_000  # at most so many while a task runs, a few MB per 10,000
-KEPT_CHUNKS = 40_000    # and so many from one task of a worker to its next
+LEAF_SAMPLE = 512  # and at least so many of each leaf that is split in it
+LEAST_SAMPLE = 32  # a part of fewer sampled ones is not split further in that round
+CACHE_CHUNKS = 80_000  # at most so many while a task runs, a few MB per 10,000
+KEPT_CHUNKS = 10_000    # and so many from one task of a worker to its next
 TWO_SPACES = re.compile(r"\s\s")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 PLACED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary, key bigint, leaf bigint"
@@ -67,14 +68,16 @@ class ChunkEncoder:
     Byte-level pre-tokenization keeps a single space with what follows it and a single line
     break apart from it. So a text without two adjacent white-space characters is the
     concatenation of its chunks: words after a space, and words after a line break, which
-    here begin with that break. Other texts go to the tokenizer whole.
+    here begin with that break. Other texts, and those that hold an added token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # A text that holds an added token is not the concatenation of its chunks' ids.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16  # ids fit 16 bits
         self.known: dict[str, bytes] = {}
         self.newline = packed_ids(self.ids(["\n"])[0])
@@ -120,7 +123,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text. Texts are taken in groups whose unseen chunks the cache can hold."""
-        chunks = [None if TWO_SPACES.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        chunks = [None if TWO_SPACES.search(t) or self.added and self.added.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         out, at = [], 0
         while at < len(texts):
             if len(self.known) > CACHE_CHUNKS:
@@ -172,6 +175,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())],
                                                  names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
         encoder.shrink(KEPT_CHUNKS)
+        released()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).mapInArrow(
         run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary")
@@ -326,29 +330,37 @@ def by_content(fragments: DataFrame, shared, tokens: int, shard_tokens: int) ->
 
     tree, rows, turn = ContentTree(), fragments.withColumn("leaf", F.lit(0).cast("bigint")), 0
     counts = {0: (fragments.count(), tokens)}
-    closed: set[int] = set()
+    whole: set[int] = set()  # leaves that a full sample of their own does not separate
     while True:
-        big = [leaf for leaf, (_, size) in counts.items() if size > shard_tokens and leaf not in closed]
+        big = sorted((leaf for leaf, (_, size) in counts.items() if size > shard_tokens and leaf not in whole), key=lambda leaf: -counts[leaf][1])
         if not big:
             break
-        many = sum(counts[leaf][0] for leaf in big)
-        share = min(1.0, SAMPLE / many)
+        # As many leaves in a round as the sample has room for, each with enough vectors of its own; the others have their turn later.
+        big = big[:max(1, SAMPLE // LEAF_SAMPLE)]
+        share = {leaf: min(1.0, SAMPLE / len(big) / counts[leaf][0]) for leaf in big}
         turn += 1
-        wanted = rows.filter(F.col("leaf").isin(big)) if tree.children[0, 0] >= 0 else rows
-        wanted = wanted.filter(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 30)) < share * (1 << 30)).select("ids", "length")
-        found = vectors(wanted, tree, "leaf bigint, length bigint, vector binary", sampled).toPandas()
+        shares = F.broadcast(spark.createDataFrame([(leaf, x) for leaf, x in share.items()], "of bigint, share double"))  # one row a leaf of the round
+        inside = rows.join(shares, F.col("leaf") == F.col("of"))
+        wanted = inside.filter(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("ids", "length")
+        found = vectors(wanted, tree, "leaf bigint, length bigint, vector binary", sampled).toPandas()  # about SAMPLE rows
         x = np.frombuffer(b"".join(found["vector"]), dtype=np.float32).reshape(-1, DIMENSIONS)
-        at, length, before = found["leaf"].to_numpy(), found["length"].to_numpy(), len(tree.plane)
+        at, length, split = found["leaf"].to_numpy(), found["length"].to_numpy(), []
         for leaf in big:
             mine = np.flatnonzero(at == leaf)
             # Parts of a quarter of a shard, so that the shards put together from them are even.
-            if not tree.grow(leaf, x[mine], length[mine], share * shard_tokens / 4, LEAST_SAMPLE if share < 1 else 2):
-                closed.add(leaf)
-        if len(tree.plane) == before:
-            break
-        rows = cut(vectors(fragments, tree, PLACED, placed))
-        counts = {r["leaf"]: (r["n"], r["size"]) for r in
-                  rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).collect()}
+            if tree.grow(leaf, x[mine], length[mine], share[leaf] * shard_tokens / 4, LEAST_SAMPLE if share[leaf] < 1 else 2):
+                split.append(leaf)
+            else:
+                whole.add(leaf)
+        if not split:
+            continue
+        # Only fragments of leaves that were split are projected again, and only they are written.
+        moved = rows.filter(F.col("leaf").isin(split)).drop("leaf") if tree.children[0, 0] >= 0 and len(counts) > 1 else rows.drop("leaf")
+        moved = cut(vectors(moved, tree, PLACED, placed))
+        rows = moved if len(counts) == 1 else rows.filter(~F.col("leaf").isin(split)).unionByName(moved)
+        counts = {leaf: n for leaf, n in counts.items() if leaf not in split}
+        counts |= {r["leaf"]: (r["n"], r["size"]) for r in
+                   moved.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).collect()}
     places = shard_places({leaf: size for leaf, (_, size) in counts.items()}, tree.leaves(), shards)
     places = spark.createDataFrame(places, "leaf bigint, low double, high double")
     within = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
@@ -363,7 +375,7 @@ def shard_windows(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, wi
     owner = np.repeat(np.arange(n), lengths)
     terms, inverse = np.unique(np.concatenate(ids), return_inverse=True)
     key, tf = np.unique(inverse.astype(np.int64) * n + owner, return_counts=True)
-    term_of, fragment_of = key // n, key % n
+    term_of, fragment_of = (key // n).astype(np.int32), (key % n).astype(np.int32)
     norm = K1 * (1 - B + B * lengths / mean_length)
     weight = (idf[terms][term_of] * tf * (K1 + 1) / (tf + norm[fragment_of])).astype(np.float32)
     postings = np.searchsorted(term_of, np.arange(len(terms) + 1))
@@ -375,6 +387,7 @@ def shard_windows(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, wi
     dense = np.zeros((len(long), n), dtype=np.float32)
     in_row = row_of[term_of] >= 0
     dense[row_of[term_of[in_row]], fragment_of[in_row]] = weight[in_row]
+    del inverse, key, tf, owner, in_row, norm  # as large as the shard
     left_from = np.zeros(n, dtype=np.int64)  # what is left of a fragment begins here
     room_of = lengths.copy()                 # and is this long; 0 when used up
     seeds = np.argsort(-lengths, kind="stable")
@@ -462,6 +475,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
     shared = spark.sparkContext.broadcast((idf, tokens / max(n, 1)))  # bounded by the vocabulary
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _tokenizers.clear()  # of the stage before, in this worker
+        _directions.clear()
         idf, mean_length = shared.value
         pdf = pdf.sort_values(["key", "doc_id", "start"], kind="stable").reset_index(drop=True)
         ids = [unpacked(d, k) for d, k in zip(pdf["ids"], pdf["length"])]
@@ -475,6 +490,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, shard_token
                 offset += b - a
         out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
         out["doc_id"] = doc.iloc[out["doc_id"]].reset_index(drop=True)
+        del pdf, ids
+        released()
         return out
 
     mixed = by_content(fragments, shared, tokens, shard_tokens).groupBy("shard").applyInPandas(run, PIECES)

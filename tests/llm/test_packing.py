@@ -11,9 +11,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(rows, docs, window=1024):
@@ -112,3 +110,22 @@ def test_neighbours_beyond_the_first_lots():
     ids[300] = r.integers(2000, 2040, 21)  # the first seed
     first = pk.shard_windows(ids, np.ones(4000), 20.0)[0]
     assert first[0][0] == 300 and all(f >= 300 for f, _, _ in first)
+
+
+def test_small_samples_do_not_stop_the_splitting(spark, monkeypatch):
+    """With a sample for few leaves a round, leaves are split in later rounds: neighbours stay together as with a large one."""
+    r = np.random.default_rng(8)
+    rows = [(i, 0, 200, None, 200, r.integers(500 * (i % 30) + 1, 500 * (i % 30) + 200, 200).astype("<u2").tobytes()) for i in range(1500)]
+    fragments = spark.createDataFrame(rows, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary")
+    shared = spark.sparkContext.broadcast((np.ones(16_000), 200.0))
+
+    def together():
+        got = pk.by_content(fragments, shared, 300_000, 10_000).collect()
+        assert sorted(x.doc_id for x in got) == list(range(1500))
+        of = {x.doc_id: x.shard for x in got}
+        return np.mean([of[a] == of[b] for t in range(30) for a in range(t, 1500, 30) for b in range(t, a, 30)])
+
+    plenty = together()
+    monkeypatch.setattr(pk, "SAMPLE", 400)
+    monkeypatch.setattr(pk, "LEAF_SAMPLE", 100)
+    assert plenty > 0.5 and together() > 0.7 * plenty
