@@ -11,7 +11,7 @@ from tools.check_oracle import TABLES, compare
 
 SAMPLE = ["extract_bills", "line_items", "label_candidates", "validate_response", "first_valid_attempt",
           "assemble_parts", "html_to_markdown", "store_all", "workflow_output", "append_bills",
-          "heading_sections", "scan_workitems"]
+          "heading_sections", "scan_workitems", "wide_line_items", "reconciled_bills", "html_table_cells"]
 
 
 @pytest.fixture(scope="module")
