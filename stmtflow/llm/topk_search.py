@@ -105,7 +105,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     """
     rows = cut(quantized(vectors, id_col, vec_col, scale).withColumn("dims", F.size("v")))
     check_range(rows)
-    rows = rows.drop("most")
+    rows = rows.select("vec_id", F.col("v").cast("array<int>").alias("v"), "dims")  # the range leaves 31 bits at most
     counted = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.sum(is_query.cast("int")).alias("q"))
     counted = counted.select(F.col("dims").alias("of"), F.ceil(F.col("n") / block_rows).alias("c_blocks"),
                              F.ceil(F.col("q") / block_rows).alias("q_blocks"))
