@@ -18,6 +18,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import json
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -116,7 +117,7 @@ def token_counts(docs: DataFrame, starting: list[bytes], continuing: list[bytes]
     worker builds the automaton once.
     """
     pieces = docs.sparkSession.sparkContext.broadcast((starting, continuing))
-    key = hash((mark, len(starting), len(continuing), tuple(starting[:50]), tuple(continuing[-50:])))
+    key = hashlib.sha256(repr((starting, continuing)).encode()).hexdigest()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
