@@ -155,3 +155,36 @@ def test_stored_answers_are_not_asked_again(spark, tmp_path):
     model_extract(docs, make, attempts=2, store=store).collect()
     assert sorted(log.read_text().split()) == ["a", "b", "c", "c", "c"]
     assert validate_response(model_extract(docs, make, attempts=2, store=store)).where(F.size("errors") == 0).count() == 2
+
+
+def test_hanging_calls_are_waited_for_together():
+    release = threading.Event()
+
+    def fn(text):
+        if int(text) % 100 == 0:
+            release.wait(30)
+        return text
+
+    t = time.monotonic()
+    got = list(calls.as_answered(fn, [(i, str(i)) for i in range(800)], 10, 1.0))
+    spent = time.monotonic() - t
+    release.set()
+    assert spent < 4  # eight hang: in order they are waited for in turn
+    assert sorted(k for k, _, _ in got) == list(range(800)) and sorted(k for k, _, e in got if e) == list(range(0, 800, 100))
+
+
+def test_documents_wait_for_lost_calls_to_end():
+    def fn(text):
+        if int(text) % 10 == 0:
+            time.sleep(1.0)
+        return text
+
+    for run in (calls.in_order, calls.as_answered):
+        got = list(run(fn, [(i, str(i)) for i in range(120)], 1, 0.2))
+        assert sorted(k for k, _, e in got if e) == list(range(0, 120, 10)) and len(got) == 120
+
+
+def test_a_deadline_gathers_small_partitions(spark, documents):
+    quick = documents.where("text <> 'hang'").repartition(64)
+    answers = model_extract(quick, a_model(), attempts=1, concurrency=3, deadline=30.0)
+    assert answers.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and answers.count() == 4
