@@ -73,11 +73,14 @@ def stream_extract_once(spark: SparkSession, docs: DataFrame, make_extractor=Non
                         **options) -> tuple[DataFrame, DataFrame | None]:
     """Run the stream over stored ``docs`` to its end: what it wrote, and the stored answers (None with the rules).
 
-    ``batches`` splits the documents over about as many micro-batches of one file each.
+    ``batches`` splits the documents over about as many micro-batches: of the files that the tasks of ``docs`` write,
+    each takes an equal share, so that no task holds a whole micro-batch.
     """
     base = shared_path(spark, "streams", "extract", unique=True)
-    materialize(docs if batches == 1 else docs.repartition(batches, "doc_id"), f"{base}/in")
+    files = len(materialize(docs, f"{base}/in").inputFiles())
+    if files < batches:  # few rows: the files are too few to deal out
+        files = len(materialize(docs.repartition(batches, "doc_id"), f"{base}/in").inputFiles())
     extract = by_rules if make_extractor is None else by_model(make_extractor, f"{base}/answers", **options)
-    stream = read_stream(spark, f"{base}/in", docs.schema, None if batches == 1 else 1)
+    stream = read_stream(spark, f"{base}/in", docs.schema, None if batches == 1 else max(1, -(-files // batches)))
     stream_extract(stream, extract, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return ingested(spark, f"{base}/out"), None if make_extractor is None else stored_answers(spark, f"{base}/answers")

@@ -174,3 +174,13 @@ def test_requests_past_their_limit_come_out_as_pending(spark, tmp_path):
     assert want <= set(states_of(states))
     assert [tuple(r) for r in rv.still_pending(states).collect()] == [(1, "expired")]
     assert spark.conf.get(rv.PROVIDER) != rv.ROCKSDB
+
+
+def test_micro_batches_are_read_by_many_tasks(spark):
+    rows = [(i, f"p{i}", "T", "# Account number\n\n1234") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, document_path string, document_type_hint string, text string").repartition(8, "doc_id")
+    out, answers = se.stream_extract_once(spark, docs, lambda: lambda text: '{"account_number": "1"}', batches=2, attempts=1)
+    assert out.count() == 400 and answers.count() == 400
+    assert out.select("batch_id").distinct().count() == 2
+    stored = out.inputFiles()[0].split("/out/")[0] + "/in"
+    assert len(spark.read.parquet(stored).inputFiles()) == 8
