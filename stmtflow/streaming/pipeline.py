@@ -31,6 +31,8 @@ from ..schemas import BILLS_TABLE, STATUS_COMPLETED
 from ..session import cut, materialize, path_exists, shared_path
 
 STREAM_BILLS = T.StructType(BILLS_TABLE.fields + [T.StructField("batch_id", T.LongType(), True)])
+# Texts are written at every step of a stream; this codec takes less room than the default one.
+CODEC = "zstd"
 MANIFEST = "batch_id bigint, last_id bigint"
 
 
@@ -63,7 +65,7 @@ def stream_ingest(spark: SparkSession, docs_path: str, docs_schema: T.StructType
     processed = document_status(docs.join(results, "doc_id", "left")).withColumn("branch", route_branch())
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("branch").parquet(f"{out_path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").partitionBy("branch").parquet(f"{out_path}/batch_id={batch_id}", compression=CODEC)
 
     return start_stream(processed.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
 
@@ -74,8 +76,8 @@ def ingested(spark: SparkSession, out_path: str) -> DataFrame:
 
 
 def _ingest_into(spark: SparkSession, base: str, docs: DataFrame, responses: DataFrame) -> str:
-    materialize(docs, f"{base}/in")
-    results = materialize(extraction_results(responses), f"{base}/results")
+    materialize(docs, f"{base}/in", CODEC)
+    results = materialize(extraction_results(responses), f"{base}/results", CODEC)
     stream_ingest(spark, f"{base}/in", docs.schema, results, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return f"{base}/out"
 
@@ -95,14 +97,14 @@ def stream_corrections(queue: DataFrame, corrections: DataFrame, requests: DataF
     matched = queue.select("doc_id").join(corrections.select("doc_id", "corrected"), "doc_id", "inner")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        apply_corrections(requests, batch).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        apply_corrections(requests, batch).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}", compression=CODEC)
 
     return start_stream(matched.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
 
 
 def _corrections_into(spark: SparkSession, base: str, requests: DataFrame, corrections: DataFrame) -> str:
-    stored = materialize(requests, f"{base}/queue")
-    materialize(corrections, f"{base}/corrections")
+    stored = materialize(requests, f"{base}/queue", CODEC)
+    materialize(corrections, f"{base}/corrections", CODEC)
     stream_corrections(read_stream(spark, f"{base}/queue", requests.schema),
                        read_stream(spark, f"{base}/corrections", corrections.schema),
                        stored, f"{base}/out", f"{base}/checkpoint").awaitTermination()
@@ -132,7 +134,7 @@ def append_batch(batch: DataFrame, batch_id: int, table: str, order_col: str = "
     base = last_id_before(spark, table, batch_id)
     numbered = number_rows(rows, order_col, base).withColumn("created_at", F.current_timestamp())
     (numbered.select(*[f.name for f in BILLS_TABLE.fields])
-     .write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}"))
+     .write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}", compression=CODEC))
     # After the rows: a batch that fails before this line is replayed whole, with the same ids.
     (spark.range(1).select(F.lit(base + rows.count()).cast("bigint").alias("last_id")).coalesce(1)
      .write.mode("overwrite").parquet(f"{table}_manifest/batch_id={batch_id}"))
@@ -151,7 +153,7 @@ def read_stream_table(spark: SparkSession, table: str) -> DataFrame:
 def stream_append_once(spark: SparkSession, stored: DataFrame) -> DataFrame:
     base = shared_path(spark, "streams", "append", unique=True)
     rows = stored.drop("branch")
-    materialize(rows, f"{base}/in")
+    materialize(rows, f"{base}/in", CODEC)
     stream_append(read_stream(spark, f"{base}/in", rows.schema), f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return read_stream_table(spark, f"{base}/table")
 

@@ -184,3 +184,19 @@ def test_micro_batches_are_read_by_many_tasks(spark):
     assert out.select("batch_id").distinct().count() == 2
     stored = out.inputFiles()[0].split("/out/")[0] + "/in"
     assert len(spark.read.parquet(stored).inputFiles()) == 8
+
+
+def test_streams_store_their_steps_in_less_room(spark):
+    import pyarrow.parquet as pq
+    from stmtflow.streaming.pipeline import stream_append_once
+    from stmtflow.schemas import BILLS_TABLE
+
+    names = [f.name for f in BILLS_TABLE.fields if f.name not in ("id", "created_at")]
+    rows = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("direct").alias("branch"),
+                                 *[F.lit("1").cast(BILLS_TABLE[n].dataType).alias(n) if BILLS_TABLE[n].dataType.simpleString() != "date"
+                                   else F.to_date(F.lit("2020-01-01")).alias(n) for n in names])
+    table = stream_append_once(spark, rows)
+    assert table.count() == 3
+    written = [pq.ParquetFile(path.removeprefix("file://")).metadata for path in table.inputFiles()]
+    codecs = {m.row_group(0).column(0).compression for m in written if m.num_row_groups}
+    assert codecs == {"ZSTD"}
