@@ -52,3 +52,17 @@ def test_time_is_linear_in_the_page(part):
 
     spent(1000)
     assert spent(16_000) < 40 * max(spent(2_000), 0.01)
+
+
+def test_a_plain_tag_is_found_in_one_step(monkeypatch):
+    from stmtflow.functions import html
+
+    class Unused:
+        def __getattr__(self, name):
+            raise AssertionError("a tag without quotes is searched for its end")
+
+    monkeypatch.setattr(html, "STOP", Unused())
+    page = "<table><tr><th>A</th><td id=1>b|c</td></tr></table><blink>x<br/>y</blink>"
+    assert html.to_markdown(page) == "|A|b\\|c|\n|---|---|\nx\ny"
+    monkeypatch.undo()
+    assert html.to_markdown("<p title='a>b'>x</p><a href=\"u>v\">t</a>") == "x\n[t](u>v)"
