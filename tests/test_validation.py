@@ -144,3 +144,31 @@ def test_attempts_past_the_limit_are_not_validated(spark):
 
     assert re.search(r"attempt#\d+ <= 1", plan[plan.index("CollectMetrics"):])  # the limit lies below the validation
     assert first_valid_response(df, max_attempts=1).count() == 0 and first_valid_response(df, max_attempts=2).count() == 1
+
+
+def test_each_variant_value_is_converted_once(spark):
+    import re
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        df = spark.createDataFrame([(1, "{}")], "doc_id long, response string").filter("doc_id > 0")
+        plan = validate_response(df)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert len(re.findall(r"variant_get\(_x_due_date#\d+", plan)) == 1
+
+
+def test_lists_of_fitting_types(spark):
+    """A list whose type alone shows that it fits gives what its elements give one by one; nulls among them are found."""
+    cases = {'[{"description":"a\\n\\"b","amount":1.25},{"amount":2},{}]': [('a\n"b', 1.25), (None, 2.0), (None, None)],
+             '[]': [], '[{"description":null,"amount":1e3}]': [(None, 1000.0)], '[{"amount":1,"zzz":[2]}]': [(None, 1.0)],
+             '[{"amount":"2"},{"amount":true}]': [(None, 2.0), (None, 1.0)]}
+    bad = {'[null]': "line_items: model_type", '[{"amount":1},null]': "line_items: model_type", '[[]]': "line_items: model_type",
+           '[{"amount":1},{"amount":"x"}]': "line_items: amount: float_parsing", '[{"description":1}]': "line_items: description: string_type"}
+    texts = [*cases, *bad]
+    rows = validate_response(spark.createDataFrame([(i, f'{{"line_items":{t}}}') for i, t in enumerate(texts)], "doc_id long, response string"))
+    got = {texts[r.doc_id]: r for r in rows.collect()}
+    for text, items in cases.items():
+        assert got[text].errors == [] and [tuple(x) for x in got[text].record.line_items] == items, text
+    for text, error in bad.items():
+        assert got[text].errors == [error], text
