@@ -14,7 +14,7 @@ PY_SPACE = r"\t\n\x0b\x0c\r \x1c-\x1f\x85\p{Z}"
 BLANK_RE = rf"^[{PY_SPACE}]*$"
 PAGE_BREAK_RE = r"(?m)^---[ \t]*$"
 MONEY_RE = r"^\s*-?\$?[ \t]?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})++)(?:\.[0-9]+)?\s*$"
-DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM-dd")
+DATE_FORMATS = LONG_FORMAT, SHORT_FORMAT, ISO_FORMAT = ("MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM-dd")
 
 
 def col_of(c) -> Column:
@@ -40,7 +40,7 @@ def char_length(c) -> Column:
 def parse_money(c, scale: int = 2) -> Column:
     """``$1,234.56`` / ``-$198.92`` / ``1234.5`` -> decimal; anything else (``1 2 3``, ``1,2,3``) -> NULL."""
     c = col_of(c)
-    return F.when(c.rlike(MONEY_RE), F.regexp_replace(c, r"[$,\s]", "").try_cast(f"decimal(18,{scale})"))
+    return F.when(c.rlike(MONEY_RE), F.translate(c, "$, \t\n\x0b\f\r", "").try_cast(f"decimal(18,{scale})"))
 
 
 def format_money(c) -> Column:
@@ -54,7 +54,10 @@ def normalize_date(c) -> Column:
     """``March 7, 2018`` / ``Mar. 7, 2018`` / ``Sept 7, 2018`` / ``2018-03-07`` -> DATE, else NULL."""
     c = F.regexp_replace(F.trim(col_of(c)), r"[ \t]+", " ")
     c = F.regexp_replace(F.regexp_replace(c, r"^([A-Za-z]{3,4})\.", "$1"), r"(?i)^sept ", "Sep ")
-    return F.coalesce(*[F.try_to_date(c, fmt) for fmt in DATE_FORMATS])
+    # Only the one format that can read it is tried: a failed one costs an exception.
+    return F.get(F.transform(F.array(c), lambda x: (
+        F.when(x.rlike("^[0-9+-]"), F.try_to_date(x, ISO_FORMAT)).when(F.substring(x, 4, 1) == " ", F.try_to_date(x, SHORT_FORMAT))
+        .when(x != "", F.try_to_date(x, LONG_FORMAT)))), 0)
 
 
 def normalize_account(c) -> Column:

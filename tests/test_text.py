@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from stmtflow.functions.text import format_money, is_blank, normalize_account, normalize_date, parse_money, py_strip
+from stmtflow.functions.text import DATE_FORMATS, format_money, is_blank, normalize_account, normalize_date, parse_money, py_strip
 from stmtflow.operators import text as tx
 
 TRICKY = ["", " ", "\t\n", "\x0b\x0c", "\x1c\x1d\x1e\x1f", "\x85", "\xa0", "\u1680", "\u2000\u200a",
@@ -110,3 +110,25 @@ def test_assemble_parts_is_one_grouping(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "a", 2: None}
     plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_a_date_is_read_by_one_format_only(spark):
+    """A format that cannot read a value costs an exception, so only one is tried; the values are those of all formats in turn."""
+    tried = ["March 7, 2018", "Mar 7, 2018", "Mar. 7, 2018", "may 7, 2018", "May. 7, 2018", "Sept 7, 2018", "SEPT. 17,  2018", "September 7, 2018",
+             "2018-03-07", " 2018-03-07 ", "+12018-03-07", "-2018-03-07", "2018-3-7", "", " ", "7 March 2018", "Marc 7, 2018", "Mar", "Mar ",
+             "Mai 7, 2018", "March 32, 2018", "Feb 30, 2018", "n/a x", "2018", "March  7, 2018", "M\u00e4r 7, 2018", None]
+    c = F.regexp_replace(F.trim("v"), r"[ \t]+", " ")
+    c = F.regexp_replace(F.regexp_replace(c, r"^([A-Za-z]{3,4})\.", "$1"), r"(?i)^sept ", "Sep ")
+    in_turn = F.coalesce(*[F.try_to_date(c, fmt) for fmt in DATE_FORMATS])
+    df = spark.createDataFrame([(v,) for v in tried], "v string")
+    rows = df.select("v", normalize_date("v").cast("string").alias("one"), in_turn.cast("string").alias("all")).collect()
+    assert [(r.v, r.one) for r in rows] == [(r.v, r["all"]) for r in rows]
+    assert sum(r.one is not None for r in rows) >= 11
+    plan = df.select(normalize_date("v"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "coalesce" not in plan
+
+
+def test_money_is_cleaned_without_a_pattern(spark):
+    df = spark.createDataFrame([(v,) for v in ["$1,234.56", "-$198.92", "\t1234.5\n", "\x0b$ 7\f\r", "1 2 3", "1,2,3", "", None]], "v string")
+    assert [r[0] for r in df.select(parse_money("v").cast("string")).collect()] == ["1234.56", "-198.92", "1234.50", "7.00", None, None, None, None]
+    assert "regexp_replace" not in df.select(parse_money("v"))._jdf.queryExecution().optimizedPlan().toString().lower()
