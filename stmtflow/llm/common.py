@@ -43,13 +43,19 @@ def word_count(text: Column) -> Column:
 
 def released() -> None:
     """Give memory that a task no longer holds back to the system: Python workers live on for later stages."""
-    import ctypes
     import gc
 
     import pyarrow as pa
 
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Give memory that the C library holds free back to the system."""
+    import ctypes
+
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim is not None:
         trim(0)

@@ -23,18 +23,16 @@ columns are ignored. Sequence ids are unique, not dense.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, released, whole_text
+from .common import cut, released, trimmed, whole_text
 from .token_counts import byte_alphabet
 
 WINDOW = 1024
@@ -42,14 +40,24 @@ END_ID = 0
 SHARD_TOKENS = 2_000_000
 NEIGHBOURS = 32    # looked at together for those that fit; the next ones follow while there is room
 DENSE_TERM = 8     # a term that one fragment in so many holds has a row of all fragments as its postings
+REBUILT = 8        # one in so many fragments of a shard's index is used up when the index is built again
 K1, B = 1.2, 0.75
 DIMENSIONS = 64
 SAMPLE = 100_000   # fragments from which the tree grows in one round
 LEAF_SAMPLE = 512  # and at least so many of each leaf that is split in it
 LEAST_SAMPLE = 32  # a part of fewer sampled ones is not split further in that round
-CACHE_CHUNKS = 80_000  # at most so many while a task runs, a few MB per 10,000
-KEPT_CHUNKS = 10_000    # and so many from one task of a worker to its next
-TWO_SPACES = re.compile(r"\s\s")
+CACHE_CHUNKS = 300_000  # at most so many before a group is encoded, some 6 MB per 100,000
+CACHE_BYTES = 64        # longer ones are not kept
+KEPT_CHUNKS = 150_000   # and so many from one task of a worker to its next
+GROUP_BYTES = 3 << 20   # of text, whose chunks are made distinct together
+GROUP_IDS = 100_000     # written together
+LEARNED = 32_000        # chunks at once
+CALL_CHUNKS = 64        # in one string for the model,
+CALL_PIECES = 32        # and so many strings in one call
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # punctuation of ASCII without the apostrophe, which begins pre-tokens of its own
+PLAIN = r"\A\n?\pL+[!-&(-/:-@\[-`{-~]*\z"  # letters and MARKS
+BREAKS = r"\x09\x0b-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"  # white space but \n
+UNEVEN = rf"[{BREAKS}\n][{BREAKS}\n]|\A[{BREAKS}\n]|[{BREAKS}]\z"  # texts for the tokenizer as they are
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 PLACED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary, key bigint, leaf bigint"
 
@@ -62,6 +70,31 @@ def packed_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All positions of the spans, one after the other."""
+    before = np.cumsum(count) - count
+    return np.repeat(start - before, count) + np.arange(int(count.sum()))
+
+
+def separable(vocabulary: dict[str, int]) -> bool:
+    """Whether no token goes over the end of a chunk, nor from a letter or a line break to one of ``MARKS``."""
+    alphabet = byte_alphabet()
+    for token in vocabulary:
+        if not all(c in alphabet for c in token):
+            continue
+        data = bytes(alphabet[c] for c in token)
+        try:
+            text = data.decode("utf-8")
+        except UnicodeDecodeError:  # parts of characters, which may be those of a letter
+            if any(b < 128 and not chr(b).isalpha() for b in data[1:]) or data[:1] == b"\n":
+                return False
+            continue
+        for before, after in zip(text, text[1:]):
+            if after in " \n" and not before.isspace() or before == "\n" and not after.isspace() or before.isalpha() and after in MARKS:
+                return False
+    return True
+
+
 class ChunkEncoder:
     """Token ids of texts by a tokenizers file, with the ids of chunks between spaces cached.
 
@@ -69,82 +102,148 @@ class ChunkEncoder:
     break apart from it. So a text without two adjacent white-space characters is the
     concatenation of its chunks: words after a space, and words after a line break, which
     here begin with that break. Other texts, and those that hold an added token, go to the tokenizer whole.
+
+    The chunks of many texts are made distinct together, and those not known yet are encoded
+    together: where the vocabulary is ``separable``, the tokenizer's model splits many letter chunks in one
+    call, and each ends where a token begins with a space or a line break.
     """
 
     def __init__(self, path: str):
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # A text that holds an added token is not the concatenation of its chunks' ids.
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16  # ids fit 16 bits
-        self.known: dict[str, bytes] = {}
-        self.newline = packed_ids(self.ids(["\n"])[0])
-        self.marks = {m: packed_ids(i) for m, i in zip(".,", self.ids([".", ","]))}
-        self.spelling = {b: c for c, b in byte_alphabet().items()}
-        probe = ["word", "Über", "żółw", "a", "naïveté", "日本"]
-        # Letters alone are one pre-token, which the byte-level model splits without the steps around it.
-        self.split = self.tokenizer.model.tokenize
-        self.direct = all(self.letters(w, True) == packed_ids(i) for w, i in zip(probe, self.ids([" " + w for w in probe])))
-
-    def letters(self, word: str, spaced: bool) -> bytes:
-        """Ids of a word of letters, with the space before it if ``spaced``, from the model itself."""
-        if not word.isascii():  # letters of ASCII stand for themselves
-            word = word.encode("utf-8", "replace").decode("latin-1").translate(self.spelling)
-        return packed_ids([t.id for t in self.split(self.spelling[32] + word if spaced else word)])
+        self.spelling = np.zeros(256, dtype="<u2")
+        for c, byte in byte_alphabet().items():
+            self.spelling[byte] = ord(c)
+        model, vocabulary = self.tokenizer.model, self.tokenizer.get_vocab(with_added_tokens=False)
+        space, newline = chr(self.spelling[32]), chr(self.spelling[10])
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[i for t, i in vocabulary.items() if t[0] in (space, newline)]] = True
+        self.bare = Tokenizer(model)  # the same model, without the steps around it
+        # Letters alone are one pre-token, and marks after them are another.
+        self.direct = (type(model).__name__ == "BPE" and not model.dropout and not model.ignore_merges
+                       and self.tokenizer.normalizer is None and separable(vocabulary))
+        if self.direct:
+            probe = ["word", "Über", "żółw,", "a", "\nnaïveté.", "日本", "\nend.***"]
+            start, count, ids = self.learned(pa.array(probe))
+            self.direct = [ids[a:a + n].tolist() for a, n in zip(start, count)] == self.ids([c if c[0] == "\n" else " " + c for c in probe])
+        # What is known: chunks, where its ids begin in the pool, how many they are, and groups that asked again.
+        self.words = pa.array(["", "\n"], pa.string())
+        self.pool = np.array(self.ids(["\n"])[0], dtype="<u4")
+        self.start, self.count, self.hits = np.zeros(2, dtype=np.int64), np.array([0, len(self.pool)], dtype=np.int32), np.zeros(2, dtype=np.int32)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def shrink(self, to: int) -> None:
-        """Keep the chunks met first, which are the common ones, and free the others."""
-        if len(self.known) > to:
-            self.known = dict(islice(self.known.items(), to))
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode unseen chunks."""
-        known, rest = self.known, []
-        # A word and the mark after it are separate pre-tokens: the word alone is learned.
-        marked = [c for c in chunks if c[-1:] in self.marks and c[-2:-1].isalpha()]
-        for c in [*chunks.difference(marked), *{c[:-1] for c in marked}, ""]:
-            if c in known:
-                continue
-            if self.direct and c.isalpha():
-                known[c] = self.letters(c, True)
-            elif self.direct and c[:1] == "\n" and c[1:].isalpha():
-                known[c] = self.newline + self.letters(c[1:], False)
-            else:
-                rest.append(c)
-        for c, ids in zip(rest, self.ids([c if c[:1] == "\n" else " " + c for c in rest])):
-            known[c] = packed_ids(ids)
-        for c in marked:
-            known[c] = known[c[:-1]] + self.marks[c[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text. Texts are taken in groups whose unseen chunks the cache can hold."""
-        chunks = [None if TWO_SPACES.search(t) or self.added and self.added.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        out, at = [], 0
-        while at < len(texts):
-            if len(self.known) > CACHE_CHUNKS:
-                self.shrink(CACHE_CHUNKS // 2)
-            known, found, new, to = self.known, [], set(), at
-            while to < len(texts) and len(new) < CACHE_CHUNKS // 4:
-                words = chunks[to] or [""]
-                data = list(map(known.get, words))
-                gaps = [i for i, d in enumerate(data) if d is None]
-                new.update([words[i] for i in gaps if i])
-                found.append((words, data, gaps))
-                to += 1
-            self.learn(new)
-            firsts = self.ids([t if c is None else c[0] for t, c in zip(texts[at:to], chunks[at:to])])
-            for first, (words, data, gaps) in zip(firsts, found):
-                for i in gaps:
-                    data[i] = known.get(words[i])
-                data[0] = packed_ids(first)  # the first chunk has no space before it
-                out.append(b"".join(data))
-            at = to
-        return out
+        """Keep the chunks asked for most often, of these the ones met first, and free the others."""
+        if len(self.words) <= to:
+            return
+        keep = np.argsort(-self.hits[2:], kind="stable")[:to - 2] + 2  # the first two always stay
+        keep = np.concatenate([[0, 1], np.sort(keep)])
+        start, self.count, self.hits = self.start[keep], self.count[keep], self.hits[keep]
+        self.words, self.pool = self.words.take(keep), self.pool[spans(start, self.count)]
+        self.start = np.cumsum(self.count, dtype=np.int64) - self.count
+
+    def learned(self, chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each chunk of an Arrow array begin, how many they are, and all ids."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = pc.match_substring_regex(chunks, PLAIN).to_numpy(zero_copy_only=False) if self.direct else np.zeros(len(chunks), dtype=bool)
+        said = pc.replace_substring(pc.binary_join_element_wise(" ", chunks, ""), " \n", "\n")
+        start, count = np.zeros(len(chunks), dtype=np.int64), np.zeros(len(chunks), dtype=np.int64)
+        together = said.filter(pa.array(plain))
+        ends = np.cumsum(pc.binary_length(together).to_numpy(), dtype=np.int64)[CALL_CHUNKS - 1::CALL_CHUNKS].tolist()
+        joined = pa.ListArray.from_arrays(pa.array([0, len(together)], pa.int32()), together)
+        data = np.frombuffer(pc.binary_join(joined, "")[0].as_buffer(), dtype=np.uint8)
+        spelled = self.spelling[data].tobytes().decode("utf-16-le")  # a character for each byte
+        pieces = [spelled[low:high] for low, high in zip([0, *ends], [*ends, len(spelled)]) if low < high]
+        ids = [np.array(e.ids, dtype="<u4") for low in range(0, len(pieces), CALL_PIECES)
+               for e in self.bare.encode_batch_fast(pieces[low:low + CALL_PIECES], add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, dtype="<u4"), *ids])
+        start[plain] = first = np.flatnonzero(self.begins[ids])
+        count[plain] = np.diff(first, append=len(ids))
+        rest = [np.array(x, dtype="<u4") for x in self.ids(said.filter(pa.array(~plain)).to_pylist())]
+        count[~plain] = sizes = np.array([len(x) for x in rest], dtype=np.int64)
+        start[~plain] = len(ids) + np.cumsum(sizes) - sizes
+        return start, count, np.concatenate([ids, *rest])
+
+    def found(self, chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``learned``, for an Arrow array of distinct chunks; those not known are learned, and remembered if they are short."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.words) > CACHE_CHUNKS:
+            self.shrink(CACHE_CHUNKS // 2)
+        place = pc.index_in(chunks, value_set=self.words).fill_null(-1).to_numpy()
+        self.hits[place[place >= 0]] += 1
+        start, count, pools, size = self.start[place], self.count[place], [self.pool], len(self.pool)
+        short = pc.less_equal(pc.binary_length(chunks), CACHE_BYTES).to_numpy(zero_copy_only=False)
+        for kept in (True, False):
+            new = np.flatnonzero((place < 0) & (short == kept))
+            for low in range(0, len(new), LEARNED):
+                some = new[low:low + LEARNED]
+                at, count[some], ids = self.learned(chunks.take(some))
+                start[some] = at + size
+                size += len(ids)
+                pools.append(ids)
+            if kept:
+                self.words = pa.concat_arrays([self.words, chunks.take(new)])
+                self.start, self.count = np.concatenate([self.start, start[new]]), np.concatenate([self.count, count[new]])
+                self.hits = np.concatenate([self.hits, np.zeros(len(new), dtype=np.int32)])
+                self.pool = np.concatenate(pools)
+                pools = [self.pool]
+        return start, count, np.concatenate(pools) if len(pools) > 1 else self.pool
+
+    def joined(self, texts) -> Iterator[np.ndarray]:
+        """The ids of each text that is the concatenation of its chunks."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # A line break before the text makes its first chunk one like others; its id is left out again.
+        texts = pc.binary_join_element_wise(pa.scalar("\n", texts.type), texts, pa.scalar("", texts.type))
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = chunks.flatten().dictionary_encode()
+        bounds, index = chunks.offsets.to_numpy(), coded.indices.to_numpy()
+        start, count, pool = self.found(coded.dictionary.cast(pa.string()))
+        lead = self.count[1]
+        del texts, chunks, coded
+        ends = np.concatenate([[0], np.cumsum(count[index], dtype=np.int64)])[bounds]  # in ids, of each text
+        low = 0
+        while low + 1 < len(bounds):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + GROUP_IDS, "right")) - 1)
+            part = index[bounds[low]:bounds[high]]
+            ids = pool[spans(start[part], count[part])]
+            for a, b in zip(ends[low:high] - ends[low], ends[low + 1:high + 1] - ends[low]):
+                yield ids[a + lead:b]
+            low = high
+
+    def encode(self, texts) -> Iterator[bytes]:
+        """The packed ids of each text of a list or an Arrow array, which are taken in groups of GROUP_BYTES."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        whole = pc.match_substring_regex(texts, UNEVEN)
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        group = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // GROUP_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        for low, high in zip(cuts, cuts[1:]):
+            part, apart = texts.slice(low, high - low), whole.slice(low, high - low)
+            if high - low == 1:  # may be longer than a group
+                part = part.cast(pa.large_string())
+            even = self.joined(part.filter(pc.invert(apart)))
+            flags, rest = apart.to_pylist(), part.filter(apart)
+            others = (np.array(x, dtype="<u4") for at in range(0, len(rest), 64) for x in self.ids(rest.slice(at, 64).to_pylist()))
+            for flag in flags:
+                yield next(others if flag else even).tobytes()
+            trimmed()
 
 
 def crc_of(ids: np.ndarray) -> int:
@@ -158,12 +257,13 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _tokenizers.get(path) or _tokenizers.setdefault(path, ChunkEncoder(path))
+        end = packed_ids([END_ID])
         for batch in batches:
+            encoded = encoder.encode(batch.column(1))
             for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
                 rows = []
-                for doc_id, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    data += packed_ids([END_ID])
+                for doc_id, data in zip(batch.column(0).slice(low, 512).to_pylist(), encoded):
+                    data += end
                     n = len(data) // 4
                     full = n - n % window
                     rows += [(doc_id, s, window, zlib.crc32(data[4 * s:4 * (s + window)]), n, None) for s in range(0, full, window)]
@@ -185,6 +285,18 @@ def unpacked(data: bytes, length: int) -> np.ndarray:
     return np.frombuffer(data, dtype="<u2" if len(data) == 2 * length else "<u4").astype(np.int64)
 
 
+def term_counts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, counts) of all fragments, one after the other, each in order of terms, and where each one's begin and the last one's end."""
+    lengths = np.array([len(x) for x in ids])
+    joined = np.concatenate(ids)
+    width = int(joined.max()) + 1
+    joined += np.repeat(np.arange(len(ids)) * width, lengths)
+    joined.sort()
+    first = np.flatnonzero(np.diff(joined, prepend=-1))
+    key = joined[first]
+    return key % width, np.diff(first, append=len(joined)), np.searchsorted(key, np.arange(len(ids) + 1) * width)
+
+
 def document_frequencies(fragments: DataFrame) -> dict[int, int]:
     """Fragments that hold each token id: a table of the vocabulary's size."""
     def run(batches: Iterator) -> Iterator:
@@ -192,11 +304,12 @@ def document_frequencies(fragments: DataFrame) -> dict[int, int]:
 
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for data, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                terms = np.unique(unpacked(data, n))
-                if terms[-1] >= len(counts):
-                    counts = np.concatenate([counts, np.zeros(int(terms[-1]) + 1 - len(counts), dtype=np.int64)])
-                counts[terms] += 1
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                terms, _, _ = term_counts([unpacked(d, n) for d, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist())])
+                more = np.bincount(terms, minlength=len(counts))
+                more[:len(counts)] += counts
+                counts = more
         terms = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(counts[terms], pa.int64())], names=["term", "n"])
 
@@ -212,10 +325,11 @@ def projected(ids: list[np.ndarray], idf: np.ndarray, mean_length: float) -> np.
         random = np.random.Generator(np.random.PCG64(7))
         directions = _directions[len(idf)] = random.standard_normal((len(idf), DIMENSIONS), dtype=np.float32)
     out = np.zeros((len(ids), DIMENSIONS), dtype=np.float32)
-    for i, x in enumerate(ids):
-        terms, tf = np.unique(x, return_counts=True)
-        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean_length))
-        v = weight.astype(np.float32) @ directions[terms]
+    terms, tf, first = term_counts(ids)
+    norm = np.repeat(K1 * (1 - B + B * np.array([len(x) for x in ids]) / mean_length), np.diff(first))
+    weight = (idf[terms] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+    for i, (low, high) in enumerate(zip(first.tolist(), first[1:].tolist())):
+        v = weight[low:high] @ directions[terms[low:high]]
         out[i] = v / max(float(np.linalg.norm(v)), 1e-9)
     return out
 
@@ -372,49 +486,68 @@ def shard_windows(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, wi
     """Sequences of one shard as lists of (fragment, from, to)."""
     n = len(ids)
     lengths = np.array([len(x) for x in ids])
-    owner = np.repeat(np.arange(n), lengths)
-    terms, inverse = np.unique(np.concatenate(ids), return_inverse=True)
-    key, tf = np.unique(inverse.astype(np.int64) * n + owner, return_counts=True)
-    term_of, fragment_of = (key // n).astype(np.int32), (key % n).astype(np.int32)
+    found, tf, first = term_counts(ids)
+    fragment_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
     norm = K1 * (1 - B + B * lengths / mean_length)
-    weight = (idf[terms][term_of] * tf * (K1 + 1) / (tf + norm[fragment_of])).astype(np.float32)
-    postings = np.searchsorted(term_of, np.arange(len(terms) + 1))
-    by_fragment = np.argsort(fragment_of, kind="stable")
-    first = np.searchsorted(fragment_of[by_fragment], np.arange(n + 1))
+    weight = (idf[found] * tf * (K1 + 1) / (tf + norm[fragment_of])).astype(np.float32)
+    terms = np.flatnonzero(np.bincount(found))
+    number = np.zeros(int(terms[-1]) + 1, dtype=np.int32)
+    number[terms] = np.arange(len(terms))
+    asked_by = number[found]  # the terms of a fragment, in order
+    by_term = np.argsort(asked_by.astype(np.uint16) if len(terms) <= 1 << 16 else asked_by, kind="stable")
+    term_of, fragment_of, weight = asked_by[by_term], fragment_of[by_term], weight[by_term]
+    del found, tf, norm, by_term  # as large as the shard
+    alive = np.arange(n)  # fragments in the index, which is built again when a part of them is used up
     row_of = np.full(len(terms), -1)  # terms of long postings, at most DENSE_TERM numbers for each of theirs
-    long = np.flatnonzero(np.diff(postings) * DENSE_TERM > n)
+    long = np.flatnonzero(np.bincount(term_of) * DENSE_TERM > n)
     row_of[long] = np.arange(len(long))
-    dense = np.zeros((len(long), n), dtype=np.float32)
-    in_row = row_of[term_of] >= 0
-    dense[row_of[term_of[in_row]], fragment_of[in_row]] = weight[in_row]
-    del inverse, key, tf, owner, in_row, norm  # as large as the shard
+    postings = dense = np.zeros(0)
+
+    def index() -> None:
+        """Postings of the fragments not used up."""
+        nonlocal alive, term_of, fragment_of, weight, postings, dense
+        left = room_of[alive] > 0
+        if not left.all():
+            held = left[fragment_of]
+            term_of, weight = term_of[held], weight[held]
+            fragment_of = (np.cumsum(left, dtype=np.int32) - 1)[fragment_of[held]]
+            alive = alive[left]
+        postings = np.searchsorted(term_of, np.arange(len(terms) + 1))
+        dense = np.zeros((len(long), len(alive)), dtype=np.float32)
+        in_row = row_of[term_of] >= 0
+        dense[row_of[term_of[in_row]], fragment_of[in_row]] = weight[in_row]
+
     left_from = np.zeros(n, dtype=np.int64)  # what is left of a fragment begins here
     room_of = lengths.copy()                 # and is this long; 0 when used up
     seeds = np.argsort(-lengths, kind="stable")
-    sequences, total, at = [], int(lengths.sum()), 0
+    sequences, total, at, used = [], int(lengths.sum()), 0, 0
+    index()
 
     def take(pieces: list, fragment: int, most: int) -> int:
+        nonlocal used
         size = min(int(room_of[fragment]), most)
         a = int(left_from[fragment])
         pieces.append((int(fragment), a, a + size))
         left_from[fragment] += size
         room_of[fragment] -= size
+        used += not room_of[fragment]
         return size
 
     def scored(seed: int) -> np.ndarray:
-        """Scores of all fragments for all terms of the seed; -1 for those used up."""
-        asked = term_of[by_fragment[first[seed]:first[seed + 1]]]
+        """Scores of the fragments in the index for all terms of the seed; -1 for those used up."""
+        asked = asked_by[first[seed]:first[seed + 1]]
         rows = row_of[asked]
         scores = dense[rows[rows >= 0]].sum(axis=0)
-        for term in asked[rows < 0].tolist():
-            low, high = postings[term], postings[term + 1]
-            scores[fragment_of[low:high]] += weight[low:high]
-        scores[room_of == 0] = -1
+        rare = asked[rows < 0]
+        low = postings[rare]
+        at = spans(low, postings[rare + 1] - low)
+        np.add.at(scores, fragment_of[at], weight[at])  # in the order of the terms
+        scores[room_of[alive] == 0] = -1
         return scores
 
     def nearest(scores: np.ndarray) -> Iterator[np.ndarray]:
         """All unused fragments in order of score, NEIGHBOURS at a time."""
-        done, most = 0, 4 * NEIGHBOURS
+        n, done, most = len(scores), 0, 4 * NEIGHBOURS
         while True:
             if most < n:  # with all that score as much as the last one
                 near = np.flatnonzero(scores >= np.partition(scores, n - most)[n - most])
@@ -423,7 +556,7 @@ def shard_windows(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, wi
             near = near[np.lexsort((near, -scores[near]))]
             near = near[scores[near] >= 0]
             for low in range(done, len(near), NEIGHBOURS):
-                yield near[low:low + NEIGHBOURS]
+                yield alive[near[low:low + NEIGHBOURS]]
             if most >= n:
                 return
             done, most = len(near), 8 * most
@@ -435,6 +568,9 @@ def shard_windows(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, wi
         pieces: list[tuple[int, int, int]] = []
         room = window - take(pieces, seed, window)
         if room:
+            if used >= len(alive) // REBUILT:
+                index()
+                used = 0
             for near in nearest(scored(seed)):
                 for fragment in near:
                     if 0 < room_of[fragment] <= room:

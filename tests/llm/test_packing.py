@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -129,3 +130,56 @@ def test_small_samples_do_not_stop_the_splitting(spark, monkeypatch):
     monkeypatch.setattr(pk, "SAMPLE", 400)
     monkeypatch.setattr(pk, "LEAF_SAMPLE", 100)
     assert plenty > 0.5 and together() > 0.7 * plenty
+
+
+def test_a_chunk_is_encoded_once_and_many_in_a_call(monkeypatch):
+    """Letters, marks and line breaks in every order: the ids are the tokenizer's, and unseen chunks do not cost a call each."""
+    r, t, encoder = random.Random(4), tokenizer(), pk.ChunkEncoder(PATH)
+    assert encoder.direct
+    texts = ["".join(r.choice("ab cé.,'\n\t1ß#… ’-日z_²|<>😀s\u00a0\u2003") for _ in range(r.randrange(30))) for _ in range(3000)]
+    texts += ["a\n", "\na", "x" * 300 + " " + "y" * 90 + " x", "it's it'. l'été, été… (é) æ. œ,", "\x1ca b", "end.\n"]
+    monkeypatch.setattr(pk, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(pk, "CACHE_CHUNKS", 50)
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    monkeypatch.undo()
+
+    calls = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return bare.encode_batch_fast(texts, **options)
+
+    bare, encoder.bare = encoder.bare, Counted()
+    words = ["".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(6400)]
+    first, again = encoder.encode([" ".join(words), " ".join(words)])
+    assert first == again and sum(calls) <= 101
+
+
+def test_white_space_of_uneven_texts():
+    """The pattern knows all white space that Python knows, so no text with two of them is cut into chunks."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    found = pc.match_substring_regex(pa.array([f"a{c}{c}a" for c in chars]), pk.UNEVEN).to_pylist()
+    assert {c for c, f in zip(chars, found) if f} == {c for c in chars if c.isspace()}
+
+
+def test_vocabularies_that_join_chunks_are_not_split_from_many():
+    assert pk.separable({"Ġa": 0, "b": 1, ".": 2, "...": 3, "ĊĊ": 4, "'s": 5})
+    for token in ("aĠb", "a.", "aĊ", "Ċa", "é."[0].encode().decode("latin-1") + ","):
+        assert not pk.separable({token: 0}), token
+
+
+def test_windows_do_not_depend_on_when_the_index_is_built_again(monkeypatch):
+    """Used up fragments leave the index of a shard; what is left scores as before."""
+    r = np.random.default_rng(9)
+    ids = [r.integers(0, 400, r.integers(1, 120)) for _ in range(700)]
+    idf, built = r.random(400) + 0.01, []
+    for every in (1 << 30, 8, 1):
+        monkeypatch.setattr(pk, "REBUILT", every)
+        built.append(pk.shard_windows(ids, idf, 60.0, 256))
+    assert built[0] == built[1] == built[2]
+    assert sum(b - a for s in built[0] for _, a, b in s) == sum(map(len, ids))
