@@ -17,7 +17,7 @@ from ..schemas import (
     ACCOUNT_MAX_CHARS, AMOUNT_FIELDS, AMOUNT_TYPE, BILL_RECORD, BILLS_TABLE, BILLS_TABLE_DDL,
     DOCUMENT_TYPE_MAX_CHARS,
 )
-from ..session import cut
+from ..session import CODEC, cut, shuffles_removed, stored
 
 
 def encode_line_items(items) -> Column:
@@ -83,25 +83,29 @@ def assign_ids(df: DataFrame, order_col: str = "doc_id", start: int | Column = 0
     2. rows per part -> running offsets, a window over a table of ``parts`` rows (its
        broadcast is bounded by that number);
     3. a running sum within each part gives every key its first id.
-    Rows that share a key are numbered among themselves by a hash of the row. The input is read
-    twice (keys, ids): store a costly one first (``session.cut``).
+    The join is a plain equality, so rows that are partitioned by the key already stay where they are; NULL
+    has its first id after all others. Rows that share a key are numbered among themselves by a hash of the row. The input is read
+    twice (keys, ids): store a costly one first (``session.cut``). A key that only the second reading has is an error.
     """
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = df.groupBy(F.col(order_col).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     ranged = cut(keys.repartitionByRange(n, F.col("_k").asc_nulls_last()).withColumn("_part", F.spark_partition_id()))
-    totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_t"), F.max("_n").alias("_most"))
+    totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_t"), F.max("_n").alias("_most"), F.sum(F.when(F.col("_k").isNotNull(), F.col("_n"))).alias("_named"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
     within = Window.partitionBy("_part").orderBy(F.col("_k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    start_col = start if isinstance(start, Column) else F.lit(start)
-    first = ranged.join(F.broadcast(offsets), "_part").select(
-        "_k", (start_col.cast("long") + F.col("_off") + F.coalesce(F.sum("_n").over(within), F.lit(0)) + 1).alias("_first"))
-    joined = df.join(first, F.col(order_col).eqNullSafe(F.col("_k")))
+    start_col = (start if isinstance(start, Column) else F.lit(start)).cast("long")
+    first = ranged.join(F.broadcast(offsets), "_part").where(F.col("_k").isNotNull()).select(
+        "_k", (start_col + F.col("_off") + F.coalesce(F.sum("_n").over(within), F.lit(0)) + 1).alias("_first"))
+    most, named = totals.agg(F.max("_most"), F.sum("_named")).first()
+    joined = df.join(first, F.col(order_col) == F.col("_k"), "left")
+    found = F.when(F.col(order_col).isNull(), start_col + F.lit(named or 0) + 1).otherwise(
+        F.coalesce("_first", F.raise_error(F.lit("the keys changed between two readings of the rows")).cast("long")))
     nth = F.lit(0)
-    if (totals.agg(F.max("_most")).first()[0] or 0) > 1:
+    if (most or 0) > 1:
         nth = F.row_number().over(Window.partitionBy(order_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))) - 1
-    return joined.withColumn(id_col, F.col("_first") + nth).drop("_k", "_first")
+    return joined.withColumn(id_col, found + nth).drop("_k", "_first")
 
 
 def range_bounds(df: DataFrame, order_col: str, parts: int) -> list:
@@ -163,15 +167,22 @@ def table_rows(df: DataFrame, record_col: str = "record", text_col: str = "full_
     return df.select(*keep, *record_to_row(record_col, text_col, type_col))
 
 
-def append_rows(rows: DataFrame, path: str, order_col: str = "doc_id") -> DataFrame:
+def append_rows(rows: DataFrame, path: str, order_col: str = "doc_id", reread: bool = False) -> DataFrame:
     """Append rows already in table layout (no ``id``/``created_at``) and return them,
-    read back from disk, with their new ids. The rows are computed once."""
+    read back from disk, with their new ids.
+
+    The rows are computed once, stored and numbered from there. With ``reread``, for rows whose keys are cheap to compute
+    by themselves, nothing is stored beside the table: the keys are numbered first (``assign_ids``, the same ids), then the
+    rows are computed and written with them; rows that are partitioned by ``order_col`` are not exchanged either.
+    """
     spark = rows.sparkSession
-    rows = cut(rows)
+    rows = rows if reread else stored(rows)
     ensure_bills_table(spark, path)
     base = current_max_id(spark, path)
-    with_ids = number_rows(rows, order_col, base).withColumn("created_at", F.current_timestamp())
-    with_ids.select(*[f.name for f in BILLS_TABLE.fields]).write.mode("append").parquet(path)
+    with shuffles_removed(spark):
+        numbered = assign_ids(rows, order_col, base) if reread else number_rows(rows, order_col, base)
+        with_ids = numbered.withColumn("created_at", F.current_timestamp())
+        with_ids.select(*[f.name for f in BILLS_TABLE.fields]).write.mode("append").parquet(path, compression=CODEC)
     return spark.read.schema(BILLS_TABLE).parquet(path).where(F.col("id") > base)
 
 

@@ -131,7 +131,7 @@ def q_bills_table(spark, sf):
     ensure_bills_table(spark, path)
     st = fx.statements(spark, sf).withColumn("document_type", F.lit(fx.DEFAULT_DOCUMENT_TYPE))
     records = ex.extract_records(st, keep=("text", "document_type"))
-    back = append_rows(table_rows(records, "record", "text", "document_type"), path)
+    back = append_rows(table_rows(records, "record", "text", "document_type"), path, reread=True)
     return _bill_columns(back.withColumn("doc_id", F.regexp_extract("raw_text_summary", "([0-9]+)$", 1).cast("long")))
 
 

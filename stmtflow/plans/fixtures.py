@@ -31,28 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with its customer and its ordered line items.
 
-    ``lineitem`` is grouped by order key (partial aggregation map-side) and joined to
-    ``orders`` on the same key; the customer join goes through AQE, which broadcasts
-    ``customer`` only when its runtime size is under the broadcast threshold.
+    The narrow order rows meet their customer first (AQE broadcasts ``customer`` only when its runtime size
+    is under the broadcast threshold) and are then hash-partitioned by order key, as the line items are before they
+    are grouped (their lists would be no smaller than their rows): so items, and the texts and records that
+    are made of them, are partitioned by document, and no later join on the document key moves them.
     """
-    # Hash-partition the (narrow) order rows by key: the lineitem aggregate is
-    # partitioned the same way, and the per-document work downstream (rendering,
-    # extraction, validation) is CPU-heavy per byte, so it should not inherit the
-    # partitioning of a few large input files.
+    # The per-document work downstream (rendering, extraction, validation) is CPU-heavy per byte,
+    # so it should not inherit the partitioning of a few large input files.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     orders = (table(spark, sf_dir, "orders")
-              .select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("d"))
-              .repartition(parts, "o_orderkey"))
+              .select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("d")))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     items = (table(spark, sf_dir, "lineitem")
+             .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+             .repartition(parts, "l_orderkey")
              .groupBy("l_orderkey")
              .agg(F.array_sort(F.collect_list(F.struct(
                  "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).alias("items")))
-    # Line items first: both sides are hash-partitioned by order key, so that join
-    # needs no further exchange; the customer dimension comes second.
-    return (orders.join(items, orders.o_orderkey == items.l_orderkey, "left")
-                  .join(customer, orders.o_custkey == customer.c_custkey, "left")
-                  .drop("c_custkey", "l_orderkey"))
+    named = orders.join(customer, orders.o_custkey == customer.c_custkey, "left").repartition(parts, "o_orderkey")
+    return (named.join(items, named.o_orderkey == items.l_orderkey, "left")
+                 .select("o_orderkey", "o_custkey", "o_totalprice", "d", "items", "c_name", "c_acctbal"))
 
 
 def payment_amount(f=F.col) -> Column:

@@ -130,3 +130,68 @@ def test_texts_stay_out_of_the_stored_stage(spark, sf_small):
 
     same = lambda df: sorted((r.doc_id, r.raw_ocr_text, r.account_number or "") for r in df.collect())
     assert same(with_texts(without.stored, cat._pipeline_docs(spark, sf_small))) == same(with_text.stored)
+
+
+def exchanges_of(df, column):
+    """How many exchanges of the plan carry a column of this name."""
+    plan = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].splitlines()
+    return sum("Exchange " in line and any(column in below for below in plan[i + 1:i + 2]) for i, line in enumerate(plan))
+
+
+def test_ids_leave_rows_where_their_key_puts_them(spark):
+    """Rows partitioned by their key get ids without an exchange of their texts, with the ids of stored rows."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(k, f"text {i}") for i, k in enumerate([5, None, 3, 3, 9, None, 7] * 20)]
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = spark.createDataFrame(rows, "doc_id long, body string").repartition(n, "doc_id")
+        out = assign_ids(df, "doc_id", 10)
+        assert exchanges_of(out, "body") == exchanges_of(df, "body")
+        assert sorted((r.id, str(r.doc_id)) for r in out.collect()) == sorted(
+            [*((11 + i, k) for i, k in enumerate("3" * 40 + "5" * 20 + "7" * 20 + "9" * 20)), *((111 + i, "None") for i in range(40))])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_rows_appended_twice_over_are_those_appended_once(spark):
+    from stmtflow.operators.store import append_rows, table_rows
+
+    recs = _records(spark, [(k, '{"account_number": "' + str(i) + '"}', f"text {i}", "X") for i, k in enumerate([4, 2, None, 2, 8])])
+    rows = table_rows(recs)
+    kept = [sorted((r.id, r.account_number, r.raw_ocr_text) for r in append_rows(rows, shared_path(spark, "test", "bills", unique=True), reread=again).collect())
+            for again in (False, True)]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [1, 2, 3, 4, 5] and kept[0][4][1] == "2"
+
+
+def test_keys_that_change_between_readings_are_an_error(spark, monkeypatch):
+    import pytest
+
+    from stmtflow.operators import store
+
+    monkeypatch.setattr(store, "cut", lambda df: cut(df.where("_k <> 5")))  # as if the first reading had not seen it
+    df = spark.range(9).withColumnRenamed("id", "doc_id")
+    with pytest.raises(Exception, match="keys changed"):
+        assign_ids(df, "doc_id").collect()
+
+
+def test_a_filled_table_is_stored_once(spark, sf_small, monkeypatch):
+    """bills_table: no text goes through an exchange or into a copy beside the table, which is written with the codec of the stages."""
+    import pyarrow.parquet as pq
+
+    from stmtflow.operators import store
+    from stmtflow.plans import catalog as cat
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    stored = []
+    monkeypatch.setattr(store, "cut", lambda df: stored.append(df.columns) or cut(df))
+    try:
+        docs = cat._pipeline_docs(spark, sf_small)  # the text holds this street
+        assert exchanges_of(docs.join(spark.range(10).withColumnRenamed("id", "doc_id"), "doc_id", "left"), "Elm Street") == 0
+        out = cat.q_bills_table(spark, sf_small)
+        assert out.count() == 1500 and all("raw_ocr_text" not in c for c in stored)
+        written = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in out.inputFiles()]
+        assert {m.row_group(0).column(0).compression for m in written if m.num_row_groups} == {"ZSTD"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
