@@ -4,7 +4,7 @@ work items + documents -> status (guard, blank check, extraction result) -> rout
 success -> payload -> direct-store checks; failure -> review queue -> corrections ->
 corrected-store checks; everything else is counted, not stored. Both branches land
 in one table. All joins are keyed by ``doc_id``. A caller that uses two or more
-branches asks for ``stored_stage``: the routed stage is then computed once and kept in the
+branches asks for ``stored_stage``: the routed stage (with texts only its validated records) is then computed once and kept in the
 shared folder; with one branch only, Spark prunes what that branch does not need.
 """
 
@@ -24,7 +24,7 @@ from ..operators.routing import (
 )
 from ..operators.store import constraint_error, table_rows
 from ..schemas import MODEL_MAX_RETRIES, STATUS_COMPLETED
-from ..session import cut
+from ..session import cut, stored
 
 
 @dataclass
@@ -71,12 +71,15 @@ def run_pipeline(documents: DataFrame, responses: DataFrame, corrections: DataFr
 
     Without ``keep_text`` no text goes into a join or a stored stage: a mark stands for it from the scan on (``text_mark``),
     which every check treats like the text. ``with_texts`` fetches the texts of the rows that are written.
+    With it a stored stage holds the validated records alone: each branch reads the texts from ``documents`` and writes no copy of them.
     """
     if not keep_text:
         documents = documents.withColumn("text", text_mark())
     results = extraction_results(responses, max_attempts)
+    if stored_stage and keep_text:
+        results = stored(results)
     processed = document_status(documents.join(results, "doc_id", "left"))
-    if stored_stage:
+    if stored_stage and not keep_text:
         processed = cut(processed)
     routes = route_decision(processed)
 
@@ -88,7 +91,7 @@ def run_pipeline(documents: DataFrame, responses: DataFrame, corrections: DataFr
     corrected = apply_corrections(queue, corrections)
     corrected = corrected.withColumn("store_error", constraint_error("record", "document_type_hint"))
     corrected = validate_corrected(corrected)
-    if stored_stage:
+    if stored_stage and not keep_text:
         corrected = cut(corrected)  # its keys number the rows, its rows are stored
     pending = pending_reviews(queue, corrections)
 
@@ -97,9 +100,8 @@ def run_pipeline(documents: DataFrame, responses: DataFrame, corrections: DataFr
                                "payload.document_type").withColumn("branch", F.lit("direct"))
     stored_corrected = table_rows(corrected.where(ok), "record", "full_ocr_text",
                                   "document_type_hint").withColumn("branch", F.lit("corrected"))
-    stored = stored_direct.unionByName(stored_corrected)
     return PipelineRun(processed, routes["success"], routes["failure"], routes["unrouted"],
-                       direct, queue, corrected, pending, stored)
+                       direct, queue, corrected, pending, stored_direct.unionByName(stored_corrected))
 
 
 def extract_files(spark, path: str, path_glob: str | None = "*.md") -> DataFrame:

@@ -61,7 +61,7 @@ def stream_extract(docs: DataFrame, extract: Extract, out_path: str, checkpoint:
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         extract_batch(batch, batch_id, extract, out_path)
 
-    return start_stream(docs.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
+    return start_stream(docs.sparkSession, docs.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
 
 
 def stored_answers(spark: SparkSession, answers_path: str) -> DataFrame:

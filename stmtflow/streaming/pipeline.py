@@ -25,14 +25,12 @@ from pyspark.sql import types as T
 
 from ..operators.review import apply_corrections
 from ..operators.routing import build_storage_payload, document_status, route_branch, validate_corrected, validate_direct
-from ..operators.store import constraint_error, number_rows, table_rows
+from ..operators.store import assign_ids, constraint_error, number_rows, table_rows
 from ..plans.pipeline import extraction_results
 from ..schemas import BILLS_TABLE, STATUS_COMPLETED
-from ..session import cut, materialize, path_exists, shared_path
+from ..session import CODEC, materialize, path_exists, shared_path, shuffles_removed, stored
 
 STREAM_BILLS = T.StructType(BILLS_TABLE.fields + [T.StructField("batch_id", T.LongType(), True)])
-# Texts are written at every step of a stream; this codec takes less room than the default one.
-CODEC = "zstd"
 MANIFEST = "batch_id bigint, last_id bigint"
 
 
@@ -43,9 +41,11 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_
     return reader.parquet(path)
 
 
-def start_stream(writer, checkpoint: str, available_now: bool, processing_time: str | None):
+def start_stream(spark: SparkSession, writer, checkpoint: str, available_now: bool, processing_time: str | None):
+    """Start a stream whose micro-batches store what they make; the shuffles of each are removed when it ends."""
     writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)).start()
+    with shuffles_removed(spark):  # a stream keeps the settings of its start
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)).start()
 
 
 def stream_ingest(spark: SparkSession, docs_path: str, docs_schema: T.StructType,
@@ -67,7 +67,7 @@ def stream_ingest(spark: SparkSession, docs_path: str, docs_schema: T.StructType
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").partitionBy("branch").parquet(f"{out_path}/batch_id={batch_id}", compression=CODEC)
 
-    return start_stream(processed.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
+    return start_stream(spark, processed.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
 
 
 def ingested(spark: SparkSession, out_path: str) -> DataFrame:
@@ -99,7 +99,7 @@ def stream_corrections(queue: DataFrame, corrections: DataFrame, requests: DataF
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         apply_corrections(requests, batch).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}", compression=CODEC)
 
-    return start_stream(matched.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
+    return start_stream(queue.sparkSession, matched.writeStream.foreachBatch(write_batch), checkpoint, available_now, processing_time)
 
 
 def _corrections_into(spark: SparkSession, base: str, requests: DataFrame, corrections: DataFrame) -> str:
@@ -127,23 +127,30 @@ def last_id_before(spark: SparkSession, table: str, batch_id: int) -> int:
     return int(rows.where(F.col("batch_id") < batch_id).agg(F.max("last_id")).first()[0] or 0)
 
 
-def append_batch(batch: DataFrame, batch_id: int, table: str, order_col: str = "doc_id") -> None:
-    """Write one micro-batch of table-layout rows with dense ids after earlier batches."""
+def append_batch(batch: DataFrame, batch_id: int, table: str, order_col: str = "doc_id", reread: bool = False) -> None:
+    """Write one micro-batch of table-layout rows with dense ids after earlier batches.
+
+    The batch is computed once and stored, then numbered and written; with ``reread``, for a batch that is only read from
+    files, no copy of it is stored: its keys are numbered first, then it is read again and written.
+    """
     spark = batch.sparkSession
-    rows = cut(batch)  # numbered, counted and written: computed once
+    rows = batch if reread else stored(batch)
     base = last_id_before(spark, table, batch_id)
-    numbered = number_rows(rows, order_col, base).withColumn("created_at", F.current_timestamp())
-    (numbered.select(*[f.name for f in BILLS_TABLE.fields])
-     .write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}", compression=CODEC))
+    written = f"{table}/batch_id={batch_id}"
+    with shuffles_removed(spark):
+        numbered = (assign_ids if reread else number_rows)(rows, order_col, base).withColumn("created_at", F.current_timestamp())
+        numbered.select(*[f.name for f in BILLS_TABLE.fields]).write.mode("overwrite").parquet(written, compression=CODEC)
+    n = spark.read.schema(BILLS_TABLE).parquet(written).count()
     # After the rows: a batch that fails before this line is replayed whole, with the same ids.
-    (spark.range(1).select(F.lit(base + rows.count()).cast("bigint").alias("last_id")).coalesce(1)
+    (spark.range(1).select(F.lit(base + n).cast("bigint").alias("last_id")).coalesce(1)
      .write.mode("overwrite").parquet(f"{table}_manifest/batch_id={batch_id}"))
 
 
 def stream_append(rows: DataFrame, table: str, checkpoint: str, available_now: bool = True,
-                  processing_time: str | None = None):
-    """Start the append stream for table-layout rows (with ``doc_id``); returns the query."""
-    return start_stream(rows.writeStream.foreachBatch(lambda b, i: append_batch(b, i, table)), checkpoint, available_now, processing_time)
+                  processing_time: str | None = None, reread: bool = False):
+    """Start the append stream for table-layout rows (with ``doc_id``); returns the query. ``reread``: see ``append_batch``."""
+    return start_stream(rows.sparkSession, rows.writeStream.foreachBatch(lambda b, i: append_batch(b, i, table, reread=reread)),
+                        checkpoint, available_now, processing_time)
 
 
 def read_stream_table(spark: SparkSession, table: str) -> DataFrame:
@@ -154,7 +161,7 @@ def stream_append_once(spark: SparkSession, stored: DataFrame) -> DataFrame:
     base = shared_path(spark, "streams", "append", unique=True)
     rows = stored.drop("branch")
     materialize(rows, f"{base}/in", CODEC)
-    stream_append(read_stream(spark, f"{base}/in", rows.schema), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    stream_append(read_stream(spark, f"{base}/in", rows.schema), f"{base}/table", f"{base}/checkpoint", reread=True).awaitTermination()
     return read_stream_table(spark, f"{base}/table")
 
 

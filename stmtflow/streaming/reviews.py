@@ -146,7 +146,7 @@ def stream_reviews(queue: DataFrame, corrections: DataFrame, requests: DataFrame
         apply_corrections(requests, done).write.mode("overwrite").parquet(f"{out_path}/corrected/batch_id={batch_id}")
 
     with rocksdb_state(queue.sparkSession):
-        return start_stream(states.writeStream.outputMode("append").foreachBatch(write_batch), checkpoint, available_now, processing_time)
+        return start_stream(queue.sparkSession, states.writeStream.outputMode("append").foreachBatch(write_batch), checkpoint, available_now, processing_time)
 
 
 def still_pending(states: DataFrame) -> DataFrame:

@@ -126,3 +126,58 @@ def test_files_of_a_tree(spark, tmp_path):
     assert read_files(list_files(spark, str(tmp_path / "none"))).count() == 0
     (tmp_path / "bad.md").write_bytes(b"a\xffb")
     assert read_text_documents(spark, str(tmp_path / "bad.md")).first()["text"] == "a\ufffdb"
+
+
+def test_a_stage_with_texts_stores_records_alone(spark, sf_small, monkeypatch):
+    """stream_append: the validated records are stored, the texts are read from the documents by each branch."""
+    from stmtflow.plans import pipeline as pl
+
+    stages = []
+    monkeypatch.setattr(pl, "stored", lambda df: stages.append(df.columns) or kept(df))
+    monkeypatch.setattr(pl, "cut", lambda df: stages.append(df.columns) or df)
+    kept = cat.cut
+    staged = cat._run(spark, sf_small, stored_stage=True).stored
+    assert stages == [["doc_id", "record"]]
+    same = lambda df: sorted((r.doc_id, r.branch, r.raw_ocr_text, r.account_number or "") for r in df.collect())
+    assert same(staged) == same(cat._run(spark, sf_small).stored)
+
+
+def _table_rows(spark, keys):
+    from stmtflow.schemas import BILLS_TABLE
+
+    names = [f for f in BILLS_TABLE.fields if f.name not in ("id", "created_at")]
+    rows = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(keys)], "doc_id long, raw_ocr_text string")
+    return rows.select("doc_id", *["raw_ocr_text" if f.name == "raw_ocr_text" else F.lit(None).cast(f.dataType).alias(f.name) for f in names])
+
+
+def test_a_batch_read_again_is_numbered_as_a_stored_one(spark, monkeypatch):
+    """Null and repeated keys over two batches: the same ids, and nothing stored but the table."""
+    from stmtflow.streaming import pipeline as sp
+
+    first, second = _table_rows(spark, [4, None, 2, 2]), _table_rows(spark, [1, 9])
+    tables = {}
+    for again in (False, True):
+        table = shared_path(spark, "test", "again", unique=True)
+        for number, batch in enumerate((first, second, second)):  # the second is replayed
+            append_batch(batch, min(number, 1), table, reread=again)
+        tables[again] = sorted((r.id, r.raw_ocr_text, r.batch_id) for r in read_stream_table(spark, table).collect())
+        assert last_id_before(spark, table, 2) == 6
+        monkeypatch.setattr(sp, "stored", lambda df: 1 / 0)
+    assert tables[True] == tables[False] and [r[0] for r in tables[True]] == [1, 2, 3, 4, 5, 6] and tables[True][3][1] == "text 1"
+
+
+def test_shuffles_of_a_stored_step_are_removed(spark):
+    import time
+
+    from stmtflow.session import REMOVE_SHUFFLES, materialize
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+    before, setting = shuffles(), spark.conf.get(REMOVE_SHUFFLES)
+    kept = materialize(spark.range(1000).repartition(3, "id"), shared_path(spark, "test", "removed", unique=True))
+    until = time.monotonic() + 20
+    while shuffles() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and kept.count() == 1000 and spark.conf.get(REMOVE_SHUFFLES) == setting
