@@ -487,7 +487,7 @@ def q_encode_line_items(spark, sf):
 def q_stream_ingest(spark, sf):
     from ..streaming.pipeline import stream_ingest_once
     docs = _pipeline_docs(spark, sf)
-    out = stream_ingest_once(spark, docs, fx.responses(spark, sf))
+    out = stream_ingest_once(spark, docs, fx.responses(spark, sf), batches=4)
     return out.select("doc_id", "status", "route", "reason")
 
 

@@ -75,15 +75,18 @@ def ingested(spark: SparkSession, out_path: str) -> DataFrame:
     return spark.read.option("basePath", out_path).parquet(f"{out_path}/batch_id=*")
 
 
-def _ingest_into(spark: SparkSession, base: str, docs: DataFrame, responses: DataFrame) -> str:
-    materialize(docs, f"{base}/in", CODEC)
+def _ingest_into(spark: SparkSession, base: str, docs: DataFrame, responses: DataFrame, batches: int = 1) -> str:
+    files = len(materialize(docs, f"{base}/in", CODEC).inputFiles())
     results = materialize(extraction_results(responses), f"{base}/results", CODEC)
-    stream_ingest(spark, f"{base}/in", docs.schema, results, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    stream_ingest(spark, f"{base}/in", docs.schema, results, f"{base}/out", f"{base}/checkpoint",
+                  None if batches == 1 else max(1, -(-files // batches))).awaitTermination()
     return f"{base}/out"
 
 
-def stream_ingest_once(spark: SparkSession, docs: DataFrame, responses: DataFrame) -> DataFrame:
-    return ingested(spark, _ingest_into(spark, shared_path(spark, "streams", "ingest", unique=True), docs, responses))
+def stream_ingest_once(spark: SparkSession, docs: DataFrame, responses: DataFrame, batches: int = 1) -> DataFrame:
+    """``batches`` splits the documents over at most as many micro-batches, by the files that the tasks of ``docs`` write:
+    only the texts of one of them lie in a shuffle at a time."""
+    return ingested(spark, _ingest_into(spark, shared_path(spark, "streams", "ingest", unique=True), docs, responses, batches))
 
 
 def stream_corrections(queue: DataFrame, corrections: DataFrame, requests: DataFrame, out_path: str, checkpoint: str,

@@ -181,3 +181,16 @@ def test_shuffles_of_a_stored_step_are_removed(spark):
     while shuffles() - before and time.monotonic() < until:
         time.sleep(0.2)
     assert not shuffles() - before and kept.count() == 1000 and spark.conf.get(REMOVE_SHUFFLES) == setting
+
+
+def test_ingest_in_several_micro_batches(spark):
+    """The documents are dealt to the micro-batches by their files; the rows are those of one batch."""
+    from stmtflow.streaming.pipeline import stream_ingest_once
+
+    rows = [(i, f"{i}.md", "T", " " if i % 5 == 0 else f"text {i}") for i in range(60)] + [(None, "n.md", "T", "text")]
+    docs = spark.createDataFrame(rows, "doc_id long, document_path string, document_type_hint string, text string").repartition(8)
+    responses = spark.createDataFrame([(i, 1, '{"account_number": "1"}' if i % 3 else "{") for i in range(50)], "doc_id long, attempt int, response string")
+    outs = [stream_ingest_once(spark, docs, responses, batches=n) for n in (1, 4)]
+    seen = [sorted(str((r.doc_id, r.text, r.status, r.route, r.branch, r.record)) for r in out.collect()) for out in outs]
+    assert seen[0] == seen[1] and len(seen[0]) == 61
+    assert [out.select("batch_id").distinct().count() for out in outs] == [1, 4]
