@@ -200,3 +200,20 @@ def test_streams_store_their_steps_in_less_room(spark):
     written = [pq.ParquetFile(path.removeprefix("file://")).metadata for path in table.inputFiles()]
     codecs = {m.row_group(0).column(0).compression for m in written if m.num_row_groups}
     assert codecs == {"ZSTD"}
+
+
+def test_reviews_store_their_steps_in_less_room(spark, tmp_path):
+    """Requests, changes and corrected documents are written with the codec of the other streams."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    queue = spark.createDataFrame([(i, f"text {i}", "T", f"{i}.md") for i in range(4)], QUEUE)
+    corrections = spark.createDataFrame([(1, '{"account_number": "1"}', 1), (2, "{}", 1)], CORRECTIONS)
+    states, corrected = rv.stream_reviews_once(spark, queue, corrections, order_col="place")
+    assert states_of(states) == [(0, "waiting", None), (1, "corrected", '{"account_number": "1"}'), (2, "corrected", "{}"), (3, "waiting", None)]
+    assert sorted((r["doc_id"], r["full_ocr_text"]) for r in corrected.collect()) == [(1, "text 1"), (2, "text 2")]
+    base = states.inputFiles()[0].removeprefix("file://").split("/out/")[0]
+    for step in ("queue", "corrections", "out/states", "out/corrected"):
+        written = [pq.ParquetFile(f).metadata for f in glob.glob(f"{base}/{step}/**/*.parquet", recursive=True)]
+        assert {m.row_group(0).column(0).compression for m in written if m.num_row_groups} == {"ZSTD"}, step
